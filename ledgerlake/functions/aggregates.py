@@ -36,10 +36,18 @@ def gross_sum(measures: Sequence[str] = MEASURES) -> Column:
 
 
 def measure_aggs(gross: bool = True, count_name: str = "row_count") -> list[Column]:
-    """``count`` + the four exact sums (+ gross total): one partial/final agg."""
-    aggs = [F.count(F.lit(1)).alias(count_name)] + [exact_sum(m) for m in MEASURES]
+    """``count`` + the four exact sums (+ gross total): one partial/final agg.
+
+    The gross total is the sum of the four decimal sums (exact, no fifth
+    aggregate buffer).
+    """
+    sums = {m: F.coalesce(F.sum(_dec(m)), F.lit(0).cast(SUM_TYPE)) for m in MEASURES}
+    aggs = [F.count(F.lit(1)).alias(count_name)] + [sums[m].cast("double").alias(m) for m in MEASURES]
     if gross:
-        aggs.append(gross_sum())
+        total = sums[MEASURES[0]]
+        for m in MEASURES[1:]:
+            total = total + sums[m]
+        aggs.append(total.cast("double").alias("gross_total"))
     return aggs
 
 

@@ -3,8 +3,10 @@
 Spark rows have no inherent order, so every page uses a *total* order: the
 requested sort keys followed by all ledger columns as tie-breakers.
 ``page`` plans as ``TakeOrderedAndProject`` (each task keeps only
-``offset + limit`` rows); for deep pages use ``seek_page``, which filters
-on the last seen key and keeps only ``limit`` rows per task.
+``offset + limit`` rows) while that is small; deeper pages number the
+rows with a range-partitioned, skew-safe ordinal instead, so no task ever
+holds more than its range partition. ``seek_page`` filters on the last
+seen key and keeps only ``limit`` rows per task.
 """
 
 from __future__ import annotations
@@ -14,9 +16,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.ordinal import number_rows
 from ledgerlake.schema import DIMS, ROW_ORDER
 
 PAGE_SIZE = 1000  # default UI page size
+# Above this many rows (offset + limit) a page is cut from a distributed
+# row numbering instead of a single top-k merge.
+DEEP_PAGE_ROWS = 100_000
 
 
 def _key(spec) -> tuple[str, bool]:
@@ -50,6 +56,11 @@ def page(df: DataFrame, order_by: Sequence = (), offset: int = 0, limit: int | N
     sorted_df = sort_rows(df, order_by)
     if not limit:
         return sorted_df
+    if offset + limit > DEEP_PAGE_ROWS:
+        keys = _sort_cols(total_order(order_by))
+        numbered = number_rows(df, [], keys, out="_row")
+        window = numbered.filter((F.col("_row") >= offset) & (F.col("_row") < offset + limit))
+        return window.orderBy("_row").drop("_row")
     if offset:
         sorted_df = sorted_df.offset(offset)
     return sorted_df.limit(limit)

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from ledgerlake.functions.aggregates import measure_aggs
 from ledgerlake.functions.predicates import LedgerFilter, path_filter
 from ledgerlake.operators.filters import apply_filter
+from ledgerlake.operators.ordinal import number_rows
 from ledgerlake.operators.rollup import NODE_MEASURES, level_column, level_label, node_path, rollup_table
 from ledgerlake.schema import COLUMNS, DIMS, ROW_ORDER
 
@@ -115,11 +116,12 @@ def transactions(
     order_by: Sequence[str] = ROW_ORDER,
 ) -> DataFrame:
     """Transaction leaves (level 4) of the filtered rows, numbered from 0
-    inside their leaf group in ``order_by`` order."""
+    inside their leaf group in ``order_by`` order. Numbering is skew-safe:
+    a leaf with a large share of the rows is spread over many tasks."""
     levels = list(levels)
-    w = Window.partitionBy(*levels).orderBy(*order_by)
-    rows = apply_filter(df, spec).select(*COLUMNS).withColumn("_n", F.row_number().over(w) - 1)
-    return rows.select(*_tx_columns(levels, F.col("_n")))
+    rows = apply_filter(df, spec).select(*COLUMNS)
+    numbered = number_rows(rows, levels, [F.col(c).asc_nulls_first() for c in order_by])
+    return numbered.select(*_tx_columns(levels, F.col("_n")))
 
 
 def capped_rows(

@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -30,15 +31,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a fresh temporary folder is configured.
+    Read from the session; only when it is unset (local tests) a fresh
+    temporary folder is configured.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/") + "/" + name
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
+    return base
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A sub-folder of the shared checkpoint folder for written tables."""
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
