@@ -78,6 +78,5 @@ def number_rows(
     )
     # offsets has at most ~3 rows per range partition: bounded, broadcast.
     joined = local.join(F.broadcast(offsets), on=[*group_cols, "_pid"], how="left")
-    return joined.withColumn(out, (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long")).drop(
-        "_pid", "_local", "_offset"
-    )
+    n_col = (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long").alias(out)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], n_col)

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.aggregates import exact_sum, measure_aggs, net
+from ledgerlake.functions.aggregates import sum_measures, totals_of
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.operators.rollup import rollup_table
@@ -29,7 +29,7 @@ def export_report(
         return out
     text = {c: F.lit("") for c in COLUMNS[:6]}
     text["particulars"] = F.lit(TOTAL_LABEL)
-    total = rows.agg(*[exact_sum(m) for m in MEASURES]).select(
+    total = totals_of(rows, gross=False).select(
         *[text[c].alias(c) for c in COLUMNS[:6]], *MEASURES, F.lit(True).alias("is_total")
     )
     return out.unionByName(total)
@@ -38,16 +38,8 @@ def export_report(
 def monthly_reconciliation(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
     """Per month and entity, Dr/Cr sums and the cash and bank nets."""
     month = F.coalesce(F.date_format(F.col(DAY_COLUMN), "yyyy-MM"), F.lit(UNKNOWN)).alias("month")
-    return (
-        apply_filter(df, spec)
-        .groupBy(month, "entity_type", "entity_sub_type", "entity_name")
-        .agg(
-            F.count(F.lit(1)).alias("row_count"),
-            *[exact_sum(m) for m in MEASURES],
-            net("cash_dr", "cash_cr", "cash_net"),
-            net("bank_dr", "bank_cr", "bank_net"),
-        )
-    )
+    grouped = apply_filter(df, spec).groupBy(month, "entity_type", "entity_sub_type", "entity_name")
+    return sum_measures(grouped, gross=False, nets=True)
 
 
 def entity_rollup(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
@@ -57,11 +49,7 @@ def entity_rollup(df: DataFrame, spec: LedgerFilter | Mapping | None = None) ->
 
 def cash_vs_bank(df: DataFrame, spec: LedgerFilter | Mapping | None = None, by: str = "entity_type") -> DataFrame:
     """Per ``by`` value, one row per channel (cash, bank): dr, cr, net."""
-    agg = apply_filter(df, spec).groupBy(by).agg(
-        *[exact_sum(m) for m in MEASURES],
-        net("cash_dr", "cash_cr", "cash_net"),
-        net("bank_dr", "bank_cr", "bank_net"),
-    )
+    agg = sum_measures(apply_filter(df, spec).groupBy(by), gross=False, nets=True)
     return agg.select(
         by,
         F.expr(
@@ -87,4 +75,4 @@ def audit_trail(df: DataFrame, entity_name: str) -> DataFrame:
 
 def range_totals(df: DataFrame, start: str, end: str, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
     """Totals of a date range (R4 with A1)."""
-    return date_range(df, start, end, spec).agg(*measure_aggs(gross=False))
+    return totals_of(date_range(df, start, end, spec), gross=False)

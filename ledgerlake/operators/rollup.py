@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.aggregates import measure_aggs
+from ledgerlake.functions.aggregates import sum_measures, totals_of
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.schema import COLUMNS, DIMS, DISPLAY_NAMES, MEASURES
@@ -53,16 +53,11 @@ def level_label(level: Column | int, dims: Sequence[str] = DIMS) -> Column:
 def level_summary(df: DataFrame, level: int, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
     """Group by one level: ``level, column, value`` + count, sums, gross."""
     dim = DIMS[level]
-    return (
-        apply_filter(df, spec)
-        .groupBy(dim)
-        .agg(*measure_aggs())
-        .select(
-            F.lit(level).alias("level"),
-            F.lit(DISPLAY_NAMES[dim]).alias("column"),
-            F.col(dim).alias("value"),
-            *NODE_MEASURES,
-        )
+    return sum_measures(apply_filter(df, spec).groupBy(dim)).select(
+        F.lit(level).alias("level"),
+        F.lit(DISPLAY_NAMES[dim]).alias("column"),
+        F.col(dim).alias("value"),
+        *NODE_MEASURES,
     )
 
 
@@ -78,12 +73,7 @@ def rollup_table(
     dims = list(dims)
     grouped_out = sum((F.grouping(d).cast("int") for d in dims), F.lit(0))
     level = (F.lit(len(dims) - 1) - grouped_out).alias("level")
-    return (
-        apply_filter(df, spec)
-        .rollup(*dims)
-        .agg(*measure_aggs(), level)
-        .select("level", *dims, *NODE_MEASURES)
-    )
+    return sum_measures(apply_filter(df, spec).rollup(*dims), level).select("level", *dims, *NODE_MEASURES)
 
 
 def group_lookup(df: DataFrame, keys: Mapping[str, str | None]) -> DataFrame:
@@ -93,21 +83,16 @@ def group_lookup(df: DataFrame, keys: Mapping[str, str | None]) -> DataFrame:
     ``level`` is the number of keys set.
     """
     f = LedgerFilter.of(keys)
-    return apply_filter(df, f).agg(*measure_aggs()).select(F.lit(len(f.items())).alias("level"), *NODE_MEASURES)
+    return totals_of(apply_filter(df, f)).select(F.lit(len(f.items())).alias("level"), *NODE_MEASURES)
 
 
 def flat_hierarchy(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
     """One row per full (date, type, sub type, name) group, ``id = a/b/c/d``."""
-    return (
-        apply_filter(df, spec)
-        .groupBy(*DIMS)
-        .agg(*measure_aggs())
-        .select(
-            F.concat_ws("/", *[F.col(d) for d in DIMS]).alias("id"),
-            F.lit(3).alias("level"),
-            *DIMS,
-            *NODE_MEASURES,
-        )
+    return sum_measures(apply_filter(df, spec).groupBy(*DIMS)).select(
+        F.concat_ws("/", *[F.col(d) for d in DIMS]).alias("id"),
+        F.lit(3).alias("level"),
+        *DIMS,
+        *NODE_MEASURES,
     )
 
 
@@ -115,27 +100,22 @@ def flat_hierarchy_nested(
     df: DataFrame,
     spec: LedgerFilter | Mapping | None = None,
     chunk_rows: int = 1000,
-    salts: int = 64,
 ) -> DataFrame:
     """Flat hierarchy with the group's transactions nested as an array.
 
-    No row is dropped, but no array grows without bound: each group's rows
-    are spread over ``salts`` hash buckets (so one huge group is numbered by
-    many tasks) and split into chunks of at most ``chunk_rows``. Output has
-    one row per (group, ``chunk``); group totals repeat on every chunk.
+    No row is dropped and no array grows with the data: rows are numbered
+    inside their group (range-partitioned, skew-safe) and cut into chunks of
+    at most ``chunk_rows``. Output has one row per (group, ``chunk``), chunk
+    0 first; the group totals repeat on every chunk.
     """
-    from pyspark.sql.window import Window
+    from ledgerlake.operators.ordinal import number_rows
 
     rows = apply_filter(df, spec).select(*COLUMNS)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in COLUMNS]), F.lit(salts)).cast("int")
-    w = Window.partitionBy(*DIMS, "salt").orderBy(*COLUMNS)
-    rows = rows.withColumn("salt", salt).withColumn(
-        "chunk_in_salt", F.floor((F.row_number().over(w) - 1) / chunk_rows).cast("int")
+    numbered = number_rows(rows, DIMS, [F.col(c).asc_nulls_first() for c in COLUMNS])
+    tx = F.struct(F.col("_n").alias("tx_index"), *[F.col(c) for c in COLUMNS[4:]])
+    chunks = (
+        numbered.withColumn("chunk", F.floor(F.col("_n") / chunk_rows).cast("int"))
+        .groupBy(*DIMS, "chunk")
+        .agg(F.array_sort(F.collect_list(tx)).alias("transactions"))
     )
-    tx = F.struct(*[F.col(c) for c in COLUMNS[4:]])
-    chunks = rows.groupBy(*DIMS, "salt", "chunk_in_salt").agg(F.array_sort(F.collect_list(tx)).alias("transactions"))
-    chunks = chunks.withColumn(
-        "chunk",
-        F.concat_ws("-", F.col("salt").cast("string"), F.col("chunk_in_salt").cast("string")),
-    ).drop("salt", "chunk_in_salt")
     return flat_hierarchy(df, spec).join(chunks, on=DIMS, how="inner")

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.aggregates import measure_aggs
+from ledgerlake.functions.aggregates import totals_of
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.schema import COLUMNS, DAY_COLUMN, DIMS, UNKNOWN
@@ -19,7 +19,7 @@ from ledgerlake.schema import COLUMNS, DAY_COLUMN, DIMS, UNKNOWN
 
 def totals(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
     """One row: ``row_count`` + the four exact sums; zeros when nothing matches."""
-    return apply_filter(df, spec).agg(*measure_aggs(gross=False))
+    return totals_of(apply_filter(df, spec), gross=False)
 
 
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:

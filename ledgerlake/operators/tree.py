@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlake.functions.aggregates import measure_aggs
+from ledgerlake.functions.aggregates import sum_measures
 from ledgerlake.functions.predicates import LedgerFilter, path_filter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.operators.ordinal import number_rows
@@ -68,7 +68,7 @@ def node_table(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> Dat
 
 def _level_nodes(df: DataFrame, f: LedgerFilter, level: int) -> DataFrame:
     """Nodes of ``level`` below the (fully set) prefix of ``f``."""
-    agg = apply_filter(df, f).groupBy(*DIMS[: level + 1]).agg(*measure_aggs())
+    agg = sum_measures(apply_filter(df, f).groupBy(*DIMS[: level + 1]))
     for d in DIMS[level + 1 :]:
         agg = agg.withColumn(d, F.lit(None).cast("string"))
     return _group_nodes(agg, level)
@@ -130,29 +130,23 @@ def capped_rows(
     spec: LedgerFilter | Mapping | None = None,
     levels: Sequence[str] = DIMS,
     order_by: Sequence[str] = ROW_ORDER,
-    salts: int = 32,
 ) -> DataFrame:
     """The first ``cap`` rows of every leaf group, with ``_n`` (0-based).
 
-    Exact top-N per group in two steps, safe for a group holding a large
-    share of the data: rows are hashed into ``salts`` buckets and each
-    (group, bucket) keeps its own first ``cap`` rows (many tasks share a
-    big group); the global first ``cap`` of a group is among those
-    survivors, which are then ranked per group (at most ``cap * salts``
-    rows each).
+    Up to Spark's window group-limit threshold (1000 by default) this is one
+    ``row_number() <= cap`` window: Spark keeps only ``cap`` rows per group
+    in every map task before the shuffle, so a huge group arrives already
+    cut down. Larger caps use the range-partitioned numbering of
+    ``ordinal.number_rows``, where no task holds more than its range slice.
     """
     levels = list(levels)
     rows = apply_filter(df, spec).select(*COLUMNS)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in COLUMNS]), F.lit(salts))
-    w1 = Window.partitionBy(*levels, "_salt").orderBy(*order_by)
-    w2 = Window.partitionBy(*levels).orderBy(*order_by)
-    survivors = (
-        rows.withColumn("_salt", salt)
-        .withColumn("_r1", F.row_number().over(w1))
-        .filter(F.col("_r1") <= cap)
-        .drop("_salt", "_r1")
-    )
-    return survivors.withColumn("_n", F.row_number().over(w2) - 1).filter(F.col("_n") < cap)
+    order = [F.col(c).asc_nulls_first() for c in order_by]
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if 0 < cap <= threshold:
+        w = Window.partitionBy(*levels).orderBy(*order)
+        return rows.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") < cap)
+    return number_rows(rows, levels, order).filter(F.col("_n") < cap)
 
 
 def leaf_cap(

@@ -128,3 +128,28 @@ def test_ordinal_with_a_hot_group(spark):
     ref = df.withColumn("_r", F.row_number().over(w) - 1)
     bad = out.join(ref, ["g", "id"]).filter(F.col("_n") != F.col("_r"))
     assert out.count() == 20000 and bad.count() == 0
+
+
+def test_large_cap_uses_bounded_numbering(small_ledger):
+    from pyspark.sql.window import Window
+
+    from ledgerlake.operators.tree import capped_rows
+
+    levels = ["entity_type"]
+    got = capped_rows(small_ledger, 1100, levels=levels)  # above the group-limit threshold
+    w = Window.partitionBy(*levels).orderBy(*COLUMNS)
+    ref = small_ledger.select(*COLUMNS).withColumn("_n", F.row_number().over(w) - 1).filter("_n < 1100")
+    got = got.withColumn("_n", F.col("_n").cast("int"))
+    assert got.count() == ref.count() == 5430
+    assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+
+
+def test_nested_chunks_are_whole_and_bounded(small_ledger):
+    from ledgerlake.operators.rollup import flat_hierarchy_nested
+
+    out = flat_hierarchy_nested(small_ledger, chunk_rows=2)
+    sizes = out.select(F.size("transactions").alias("s"), "row_count", "chunk")
+    assert sizes.filter("s > 2 OR s < 1").count() == 0
+    assert sizes.agg(F.sum("s")).first()[0] == small_ledger.count()
+    per_group = out.groupBy(*DIMS).agg(F.sum(F.size("transactions")).alias("s"), F.first("row_count").alias("n"))
+    assert per_group.filter("s != n").count() == 0
