@@ -27,64 +27,54 @@ _UNIT = 10.0**SCALE
 _LIMB_BITS = 21
 _LIMBS = 3
 _MASK = (1 << _LIMB_BITS) - 1
-_PREFIX = "__limb_"
 SUM_TYPE = "decimal(38,4)"
 
 
-def units(c: Column) -> Column:
-    """Amount as a whole number of 1e-4 units (rounded to nearest)."""
-    return F.rint(c.cast("double") * F.lit(_UNIT)).cast("long")
-
-
-def _limb(u: Column, i: int) -> Column:
-    part = F.shiftright(u, _LIMB_BITS * i)
-    return part.bitwiseAND(F.lit(_MASK)) if i < _LIMBS - 1 else part
+def exact_sum_sql(name: str) -> str:
+    """SQL text of the exact sum of column ``name`` as ``decimal(38,4)``.
 
+    Three ``long`` limb sums recombined in the aggregate's result
+    expression (no extra projection after the aggregate). Written as SQL
+    text so a whole aggregate list costs a few JVM calls to build.
+    """
+    u = f"CAST(rint(CAST(`{name}` AS DOUBLE) * {_UNIT:.1E}) AS BIGINT)"
+    parts = []
+    for i in range(_LIMBS):
+        limb = f"shiftright({u}, {_LIMB_BITS * i})" + (f" & {_MASK}" if i < _LIMBS - 1 else "")
+        s = f"CAST(COALESCE(SUM({limb}), 0) AS DECIMAL(38,0))"
+        parts.append(s if i == 0 else f"{s} * CAST({1 << (_LIMB_BITS * i)} AS DECIMAL(38,0))")
+    return f"CAST(({' + '.join(parts)}) / {10**SCALE} AS {SUM_TYPE})"
 
-def limb_aggs(name: str, value: Column | None = None) -> list[Column]:
-    """Partial-friendly ``long`` sums of the limbs of one amount column."""
-    u = units(F.col(name) if value is None else value)
-    return [F.sum(_limb(u, i)).alias(f"{_PREFIX}{name}_{i}") for i in range(_LIMBS)]
 
+def exact_sum(c: str) -> Column:
+    """Exact sum of amount column ``c`` as ``decimal(38,4)`` (0 over no rows)."""
+    return F.expr(exact_sum_sql(c))
 
-def exact_total(name: str) -> Column:
-    """Recombine the limb sums of ``name`` into an exact ``decimal(38,4)``
-    (0 when the group had no rows)."""
-    total = None
-    for i in range(_LIMBS):
-        s = F.coalesce(F.col(f"{_PREFIX}{name}_{i}"), F.lit(0)).cast("decimal(38,0)")
-        term = s * F.lit(1 << (_LIMB_BITS * i)).cast("decimal(38,0)") if i else s
-        total = term if total is None else total + term
-    return (total / F.lit(10**SCALE)).cast(SUM_TYPE)
 
-
-def sum_measures(
-    grouped: GroupedData,
-    *extra: Column,
+def measure_aggs(
     gross: bool = True,
     nets: bool = False,
     count_name: str = "row_count",
     measures: Sequence[str] = MEASURES,
-) -> DataFrame:
-    """Aggregate a grouping into: group columns, ``row_count``, ``extra``
-    aggregates, the exact measure sums (double), ``gross_total`` (sum of the
-    four) and, with ``nets``, ``cash_net`` / ``bank_net`` (Dr - Cr)."""
-    limbs = [a for m in measures for a in limb_aggs(m)]
-    agg = grouped.agg(F.count(F.lit(1)).alias(count_name), *extra, *limbs)
-    keep = [F.col(f"`{c}`") for c in agg.columns if not c.startswith(_PREFIX)]
-    dec = {m: exact_total(m) for m in measures}
-    out = [dec[m].cast("double").alias(m) for m in measures]
+) -> list[Column]:
+    """``row_count``, the exact measure sums (double), ``gross_total`` (sum
+    of the four) and, with ``nets``, ``cash_net`` / ``bank_net`` (Dr - Cr).
+    Shared limb sums are computed once (Spark dedupes equal aggregates)."""
+    dec = {m: exact_sum_sql(m) for m in measures}
+    out = [F.count(F.lit(1)).alias(count_name)] + [F.expr(f"CAST({dec[m]} AS DOUBLE) AS `{m}`") for m in measures]
     if gross:
-        g = dec[measures[0]]
-        for m in measures[1:]:
-            g = g + dec[m]
-        out.append(g.cast("double").alias("gross_total"))
+        out.append(F.expr(f"CAST({' + '.join(dec[m] for m in measures)} AS DOUBLE) AS gross_total"))
     if nets:
-        out.append((dec["cash_dr"] - dec["cash_cr"]).cast("double").alias("cash_net"))
-        out.append((dec["bank_dr"] - dec["bank_cr"]).cast("double").alias("bank_net"))
-    return agg.select(*keep, *out)
+        out.append(F.expr(f"CAST({dec['cash_dr']} - {dec['cash_cr']} AS DOUBLE) AS cash_net"))
+        out.append(F.expr(f"CAST({dec['bank_dr']} - {dec['bank_cr']} AS DOUBLE) AS bank_net"))
+    return out
+
+
+def sum_measures(grouped: GroupedData, *extra: Column, **kw) -> DataFrame:
+    """``grouped.agg`` of group columns, ``measure_aggs`` and ``extra``."""
+    return grouped.agg(*measure_aggs(**kw), *extra)
 
 
 def totals_of(df: DataFrame, **kw) -> DataFrame:
-    """One-row ``sum_measures`` over the whole frame."""
-    return sum_measures(df.groupBy(), **kw)
+    """One-row ``measure_aggs`` over the whole frame."""
+    return df.agg(*measure_aggs(**kw))

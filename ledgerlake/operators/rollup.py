@@ -20,34 +20,38 @@ from ledgerlake.schema import COLUMNS, DIMS, DISPLAY_NAMES, MEASURES
 NODE_MEASURES = ["row_count", *MEASURES, "gross_total"]
 
 
-def node_path(level: Column | int, dims: Sequence[str] = DIMS) -> Column:
-    """Path id ``/0/<date>/1/<type>/...`` down to ``level`` (inclusive).
+def node_path_sql(level: int | str, dims: Sequence[str] = DIMS) -> str:
+    """SQL text of the path id ``/0/<date>/1/<type>/...`` down to ``level``
+    (an int, or the name of an int column).
 
     Relations between nodes use the dim columns, never a split of this
     string, since values may contain ``/``.
     """
-    lvl = level if isinstance(level, Column) else F.lit(level)
-    parts = [
-        F.when(lvl >= i, F.concat(F.lit(f"/{i}/"), F.col(d))).otherwise(F.lit(""))
-        for i, d in enumerate(dims)
-    ]
-    return F.concat(*parts)
-
-
-def level_column(level: Column | int, dims: Sequence[str] = DIMS) -> Column:
-    lvl = level if isinstance(level, Column) else F.lit(level)
-    out = F.lit(None).cast("string")
-    for i, d in enumerate(dims):
-        out = F.when(lvl == i, F.col(d)).otherwise(out)
-    return out
-
-
-def level_label(level: Column | int, dims: Sequence[str] = DIMS) -> Column:
-    lvl = level if isinstance(level, Column) else F.lit(level)
-    out = F.lit(None).cast("string")
-    for i, d in enumerate(dims):
-        out = F.when(lvl == i, F.lit(DISPLAY_NAMES.get(d, d))).otherwise(out)
-    return out
+    if isinstance(level, int):
+        if level < 0:
+            return "CAST(NULL AS STRING)"
+        return "concat(" + ", ".join(f"'/{i}/', `{d}`" for i, d in enumerate(dims[: level + 1])) + ")"
+    parts = [f"CASE WHEN {level} >= {i} THEN concat('/{i}/', `{d}`) ELSE '' END" for i, d in enumerate(dims)]
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def node_path(level: int | str, dims: Sequence[str] = DIMS) -> Column:
+    return F.expr(node_path_sql(level, dims))
+
+
+def level_value_sql(level: int | str, dims: Sequence[str] = DIMS) -> str:
+    """The value of the node's own level (its label)."""
+    if isinstance(level, int):
+        return f"`{dims[level]}`"
+    return "CASE " + " ".join(f"WHEN {level} = {i} THEN `{d}`" for i, d in enumerate(dims)) + " END"
+
+
+def level_label_sql(level: int | str, dims: Sequence[str] = DIMS) -> str:
+    """Display name of the node's level column."""
+    if isinstance(level, int):
+        return f"'{DISPLAY_NAMES.get(dims[level], dims[level])}'"
+    whens = " ".join(f"WHEN {level} = {i} THEN '{DISPLAY_NAMES.get(d, d)}'" for i, d in enumerate(dims))
+    return f"CASE {whens} END"
 
 
 def level_summary(df: DataFrame, level: int, spec: LedgerFilter | Mapping | None = None) -> DataFrame:

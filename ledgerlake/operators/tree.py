@@ -19,7 +19,14 @@ from ledgerlake.functions.aggregates import sum_measures
 from ledgerlake.functions.predicates import LedgerFilter, path_filter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.operators.ordinal import number_rows
-from ledgerlake.operators.rollup import NODE_MEASURES, level_column, level_label, node_path, rollup_table
+from ledgerlake.operators.rollup import (
+    NODE_MEASURES,
+    level_label_sql,
+    level_value_sql,
+    node_path,
+    node_path_sql,
+    rollup_table,
+)
 from ledgerlake.schema import COLUMNS, DIMS, ROW_ORDER
 
 NODE_COLUMNS = [
@@ -36,23 +43,28 @@ NODE_COLUMNS = [
 ]
 
 
-def _group_nodes(agg: DataFrame, level: Column | int) -> DataFrame:
-    """Node columns from an aggregate carrying ``level`` and the dims."""
-    lvl = level if isinstance(level, Column) else F.lit(level)
-    dims = [F.when(lvl >= i, F.col(d)).alias(d) for i, d in enumerate(DIMS)]
-    parent = F.when(lvl > 0, node_path(lvl - 1))
-    return agg.select(
-        node_path(lvl).alias("node_id"),
-        parent.alias("parent_id"),
-        F.lit("group").alias("node_type"),
-        lvl.cast("int").alias("level"),
-        level_label(lvl).alias("column"),
-        level_column(lvl).alias("label"),
+def _group_nodes(agg: DataFrame, level: int | str) -> DataFrame:
+    """Node columns from an aggregate carrying the dims (and ``level`` when
+    it is a column name). Built as SQL text: one ``selectExpr``."""
+    lvl = str(level)
+    if isinstance(level, int):
+        dims = [f"`{d}`" if i <= level else f"CAST(NULL AS STRING) AS `{d}`" for i, d in enumerate(DIMS)]
+        parent = node_path_sql(level - 1)
+    else:
+        dims = [f"CASE WHEN {lvl} >= {i} THEN `{d}` END AS `{d}`" for i, d in enumerate(DIMS)]
+        parent = f"CASE WHEN {lvl} > 0 THEN {node_path_sql(lvl + ' - 1')} END"
+    return agg.selectExpr(
+        f"{node_path_sql(level)} AS node_id",
+        f"{parent} AS parent_id",
+        "'group' AS node_type",
+        f"CAST({lvl} AS INT) AS level",
+        f"{level_label_sql(level)} AS `column`",
+        f"{level_value_sql(level)} AS label",
         *dims,
         *NODE_MEASURES,
         # A group exists only if it has rows, so it always has children.
-        F.lit(True).alias("has_children"),
-        F.lit(False).alias("is_leaf"),
+        "true AS has_children",
+        "false AS is_leaf",
     )
 
 
@@ -63,14 +75,12 @@ def node_table(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> Dat
     first) for pre-order with siblings by label.
     """
     r = rollup_table(df, spec).filter(F.col("level") >= 0)
-    return _group_nodes(r, F.col("level"))
+    return _group_nodes(r, "level")
 
 
 def _level_nodes(df: DataFrame, f: LedgerFilter, level: int) -> DataFrame:
     """Nodes of ``level`` below the (fully set) prefix of ``f``."""
     agg = sum_measures(apply_filter(df, f).groupBy(*DIMS[: level + 1]))
-    for d in DIMS[level + 1 :]:
-        agg = agg.withColumn(d, F.lit(None).cast("string"))
     return _group_nodes(agg, level)
 
 
@@ -98,6 +108,7 @@ def children(df: DataFrame, path: Sequence[str], max_transactions: int = 10000)
 
 
 def _tx_columns(levels: Sequence[str], index: Column) -> list[Column]:
+    levels = list(levels)
     parent = node_path(len(levels) - 1, levels)
     return [
         F.concat(parent, F.lit("/tx/"), index.cast("string")).alias("node_id"),
