@@ -49,8 +49,10 @@ def number_rows(
     group_cols = list(group_cols)
     n = _partitions(df, partitions)
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_cols)
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
     ensure_checkpoint_dir(df.sparkSession)
+    if not group_cols:
+        return _number_globally(df, keys, n, out)
+    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
     ranged = ranged.checkpoint(eager=True)
 
     # Position inside the (partition, group) slice; slices are bounded by
@@ -58,25 +60,40 @@ def number_rows(
     w = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols)
     local = ranged.withColumn("_local", F.row_number().over(w) - 1)
 
-    if group_cols:
-        # Groups that can continue across a boundary: first and last group
-        # of every partition (<= 2 per partition).
-        key = F.struct(*[F.col(g) for g in group_cols])
-        ends = ranged.groupBy("_pid").agg(F.min(key).alias("first"), F.max(key).alias("last"))
-        cut = (
-            ends.select(F.explode(F.array("first", "last")).alias("k"))
-            .select(*[F.col(f"k.{g}").alias(g) for g in group_cols])
-            .distinct()
-        )
-        spans = ranged.join(F.broadcast(cut), on=group_cols, how="left_semi").groupBy(*group_cols, "_pid").count()
-    else:
-        spans = ranged.groupBy("_pid").count()
-
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spans.select(
-        *group_cols, "_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")
+    # Groups that can continue across a boundary: first and last group of
+    # every partition (<= 2 per partition).
+    key = F.struct(*[F.col(g) for g in group_cols])
+    ends = ranged.groupBy("_pid").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    cut = (
+        ends.select(F.explode(F.array("first", "last")).alias("k"))
+        .select(*[F.col(f"k.{g}").alias(g) for g in group_cols])
+        .distinct()
     )
+    spans = ranged.join(F.broadcast(cut), on=group_cols, how="left_semi").groupBy(*group_cols, "_pid").count()
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.select(*group_cols, "_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     # offsets has at most ~3 rows per range partition: bounded, broadcast.
     joined = local.join(F.broadcast(offsets), on=[*group_cols, "_pid"], how="left")
     n_col = (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long").alias(out)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], n_col)
+
+
+def _number_globally(df: DataFrame, keys: list[Column], n: int, out: str) -> DataFrame:
+    """Global position: sort each range partition, checkpoint it, and read
+    a row's place in its partition from ``monotonically_increasing_id``
+    (partition index << 33 | row index) of the checkpointed scan. Only the
+    per-partition counts (one row per partition) are aggregated and
+    broadcast; no row is shuffled twice."""
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    pid = F.spark_partition_id()
+    tagged = ranged.select(
+        "*",
+        pid.alias("_pid"),
+        (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_local"),
+    )
+    counts = tagged.groupBy("_pid").count()
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    joined = tagged.join(F.broadcast(offsets), on="_pid", how="left")
+    n_col = (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long").alias(out)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], n_col)
