@@ -26,13 +26,23 @@ DATE_FORMATS = [
 NULL_TOKENS = ["nan", "NaN", "None", "NA", "N/A", "null", "NULL"]
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-# Leading/trailing Unicode white space (tab, no-break space, ...).
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The Unicode White_Space code points (tab, line breaks,
+# space, next line, no-break space, ogham space, en quad .. hair space,
+# line/paragraph separators, narrow no-break, medium math, ideographic).
+WHITESPACE = "".join(
+    chr(c)
+    for c in [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 
 
 def strip_text(c: Column) -> Column:
-    """Trim Unicode white space at both ends (``trim`` only drops spaces)."""
-    return F.regexp_replace(c.cast("string"), _EDGE_SPACE, "")
+    """Trim Unicode white space at both ends (``trim`` only drops spaces).
+
+    ``btrim`` with the white-space set is a native character scan, cheaper
+    than a regular expression.
+    """
+    return F.btrim(c.cast("string"), F.lit(WHITESPACE))
 
 
 def parse_day(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:

@@ -122,4 +122,12 @@ def flat_hierarchy_nested(
         .groupBy(*DIMS, "chunk")
         .agg(F.array_sort(F.collect_list(tx)).alias("transactions"))
     )
-    return flat_hierarchy(df, spec).join(chunks, on=DIMS, how="inner")
+    # Group totals from the same checkpointed rows: no second pass over the
+    # source.
+    groups = sum_measures(numbered.groupBy(*DIMS)).select(
+        F.concat_ws("/", *[F.col(d) for d in DIMS]).alias("id"),
+        F.lit(3).alias("level"),
+        *DIMS,
+        *NODE_MEASURES,
+    )
+    return groups.join(chunks, on=DIMS, how="inner")
