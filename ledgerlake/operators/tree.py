@@ -205,3 +205,37 @@ def leaf_nodes(
     tx = tx.withColumn("remaining", F.lit(None).cast("bigint"))
     info = leaf_overflow(df, cap, spec, levels)
     return tx.unionByName(info, allowMissingColumns=True)
+
+
+HIERARCHY_COLUMNS = [
+    "node_id",
+    "parent_id",
+    "node_type",
+    "level",
+    "column",
+    "label",
+    *COLUMNS[:6],
+    "row_count",
+    *COLUMNS[6:],
+    "gross_total",
+    "has_children",
+    "is_leaf",
+    "tx_index",
+    "remaining",
+]
+
+
+def hierarchy(
+    df: DataFrame, spec: LedgerFilter | Mapping | None = None, max_transactions: int = 10000
+) -> DataFrame:
+    """The whole drill-down tree as one flat node table: group nodes of
+    levels 0-3 (count, sums, gross), the transactions under each leaf
+    (at most ``max_transactions`` per leaf) and one ``info`` row per leaf
+    that has more. The same filter applies to every part."""
+    groups = node_table(df, spec)
+    leaves = (
+        leaf_nodes(df, max_transactions, spec)
+        .withColumn("has_children", F.lit(False))
+        .withColumn("is_leaf", F.lit(True))
+    )
+    return groups.unionByName(leaves, allowMissingColumns=True).select(*HIERARCHY_COLUMNS)

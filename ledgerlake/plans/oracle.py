@@ -71,29 +71,56 @@ def _rollup(dims: list[str], where: str = "TRUE") -> str:
 ORDER = COLS
 
 
-def _tx(levels: list[str], where: str, cap: int | None) -> str:
+def _tx_select(levels: list[str], where: str, cap: int | None) -> str:
     path = _path(str(len(levels) - 1), levels)
     keep = f"WHERE n < {cap}" if cap else ""
     return (
-        _with()
-        + f"SELECT {path} || '/tx/' || CAST(n AS VARCHAR) AS node_id, {path} AS parent_id, 'transaction' AS node_type, "
+        f"SELECT {path} || '/tx/' || CAST(n AS VARCHAR) AS node_id, {path} AS parent_id, 'transaction' AS node_type, "
         f"{len(levels)} AS level, CAST(n AS INTEGER) AS tx_index, {COLS} FROM ("
         f"SELECT *, row_number() OVER (PARTITION BY {', '.join(levels)} ORDER BY {ORDER}) - 1 AS n "
         f"FROM ledger WHERE {where}) {keep}"
     )
 
 
-def _overflow(levels: list[str], cap: int) -> str:
+def _tx(levels: list[str], where: str, cap: int | None) -> str:
+    return _with() + _tx_select(levels, where, cap)
+
+
+def _overflow_select(levels: list[str], cap: int) -> str:
     path = _path(str(len(levels) - 1), levels)
     return (
-        _with()
-        + f"SELECT {path} || '/more' AS node_id, {path} AS parent_id, 'info' AS node_type, {len(levels)} AS level, "
+        f"SELECT {path} || '/more' AS node_id, {path} AS parent_id, 'info' AS node_type, {len(levels)} AS level, "
         f"{', '.join(levels)}, printf('... and %d more transactions', c - {cap}) AS label, "
         f"CAST(c - {cap} AS BIGINT) AS remaining FROM (SELECT {', '.join(levels)}, COUNT(*) AS c FROM ledger "
         f"GROUP BY {', '.join(levels)}) WHERE c > {cap}"
     )
 
 
+def _overflow(levels: list[str], cap: int) -> str:
+    return _with() + _overflow_select(levels, cap)
+
+
+def _hierarchy(cap: int) -> str:
+    nulls = {"s": "CAST(NULL AS VARCHAR)", "d": "CAST(NULL AS DOUBLE)", "b": "CAST(NULL AS BIGINT)",
+             "i": "CAST(NULL AS INTEGER)"}
+    meas = ", ".join(MEAS)
+    groups = (
+        f"SELECT node_id, parent_id, node_type, level, \"column\", label, {DIMS}, {nulls['s']} AS vch_type, "
+        f"{nulls['s']} AS particulars, row_count, {meas}, gross_total, has_children, is_leaf, "
+        f"{nulls['i']} AS tx_index, {nulls['b']} AS remaining FROM ({_node_select(f'({_rollup(D4)}) WHERE level >= 0')})"
+    )
+    tx = (
+        f"SELECT node_id, parent_id, node_type, level, {nulls['s']}, {nulls['s']}, {DIMS}, vch_type, particulars, "
+        f"{nulls['b']}, {meas}, {nulls['d']}, FALSE, TRUE, tx_index, {nulls['b']} FROM ({_tx_select(D4, 'TRUE', cap)})"
+    )
+    more = (
+        f"SELECT node_id, parent_id, node_type, level, {nulls['s']}, label, {DIMS}, {nulls['s']}, {nulls['s']}, "
+        f"{nulls['b']}, {', '.join([nulls['d']] * 4)}, {nulls['d']}, FALSE, TRUE, {nulls['i']}, remaining "
+        f"FROM ({_overflow_select(D4, cap)})"
+    )
+    return _with() + f"{groups} UNION ALL {tx} UNION ALL {more}"
+
+
 # --- cleaning rules, re-stated in DuckDB SQL -------------------------------
 
 _TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -214,6 +241,7 @@ def oracle_sql() -> dict[str, str]:
     q["leaf_overflow"] = _overflow(D4, P.LEAF_CAP)
     q["leaf_cap_coarse"] = _tx(list(P.COARSE_LEVELS), "TRUE", P.COARSE_CAP)
     q["leaf_overflow_coarse"] = _overflow(list(P.COARSE_LEVELS), P.COARSE_CAP)
+    q["hierarchy"] = _hierarchy(P.LEAF_CAP)
     q["sorted_ledger"] = W + f"SELECT {COLS} FROM ledger ORDER BY {ORDER}"
     rest = ", ".join(c for c in COLS.split(", ") if c != "cash_dr")
     q["user_sort"] = W + f"SELECT {COLS} FROM ledger ORDER BY cash_dr DESC, {rest} LIMIT {P.USER_SORT_LIMIT}"

@@ -145,3 +145,20 @@ def test_export(six):
     t = total[0]
     assert t["particulars"] == "TOTAL" and t["entity_name"] == ""
     assert (t["cash_dr"], t["cash_cr"], t["bank_dr"], t["bank_cr"]) == (15000.0, 5000.0, 15500.0, 0.0)
+
+
+def test_hierarchy_whole_tree(six):
+    from ledgerlake.operators.tree import hierarchy
+
+    rows = hierarchy(six).collect()
+    kinds = {}
+    for r in rows:
+        kinds[r["node_type"]] = kinds.get(r["node_type"], 0) + 1
+    assert kinds == {"group": 17, "transaction": 6}
+    capped = hierarchy(six, max_transactions=1).collect()
+    assert sum(r["node_type"] == "info" for r in capped) == 1
+    assert sum(r["node_type"] == "transaction" for r in capped) == 5
+    tx = [r for r in rows if r["node_type"] == "transaction"]
+    assert all(r["is_leaf"] and not r["has_children"] for r in tx)
+    parents = {r["node_id"] for r in rows if r["node_type"] == "group" and r["level"] == 3}
+    assert {r["parent_id"] for r in tx} == parents
