@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.schema import COLUMNS, DIMS
+from ledgerlake.schema import COLUMNS, ROW_ORDER
 
 
 def write_ledger(df: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
     """Save a clean ledger as Parquet, range-partitioned and sorted by the
-    four levels: a date or date-range filter then skips whole files and row
-    groups by their min/max statistics, and equality filters on the other
-    levels use dictionary filtering."""
-    ranged = df.repartitionByRange(partitions, *DIMS) if partitions else df.repartitionByRange(*DIMS)
-    ranged.sortWithinPartitions(*DIMS).write.mode(mode).parquet(path)
+    four levels (then the other columns): a date or date-range filter skips
+    whole files and row groups by their min/max statistics, and equality
+    filters on the other levels use dictionary filtering. Ranging on the
+    full row order lets Spark split even one (date, entity) key that holds
+    a large share of the rows over several files."""
+    keys = [c for c in ROW_ORDER if c in df.columns]
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
