@@ -30,17 +30,36 @@ _MASK = (1 << _LIMB_BITS) - 1
 SUM_TYPE = "decimal(38,4)"
 
 
-def exact_sum_sql(name: str) -> str:
+def _units_sql(name: str) -> str:
+    return f"CAST(rint(CAST(`{name}` AS DOUBLE) * {_UNIT:.1E}) AS BIGINT)"
+
+
+def _limb_sql(name: str, i: int) -> str:
+    limb = f"shiftright({_units_sql(name)}, {_LIMB_BITS * i})"
+    return limb + (f" & {_MASK}" if i < _LIMBS - 1 else "")
+
+
+def _limb_name(name: str, i: int) -> str:
+    return f"__limb_{name}_{i}"
+
+
+def limb_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
+    """The limbs of every measure as columns, to project once before an
+    ``Expand`` (rollup) instead of recomputing them for every copied row."""
+    return [F.expr(_limb_sql(m, i)).alias(_limb_name(m, i)) for m in measures for i in range(_LIMBS)]
+
+
+def exact_sum_sql(name: str, from_limbs: bool = False) -> str:
     """SQL text of the exact sum of column ``name`` as ``decimal(38,4)``.
 
     Three ``long`` limb sums recombined in the aggregate's result
-    expression (no extra projection after the aggregate). Written as SQL
+    expression (no extra projection after the aggregate). With
+    ``from_limbs`` the limbs are read from ``limb_columns``. Written as SQL
     text so a whole aggregate list costs a few JVM calls to build.
     """
-    u = f"CAST(rint(CAST(`{name}` AS DOUBLE) * {_UNIT:.1E}) AS BIGINT)"
     parts = []
     for i in range(_LIMBS):
-        limb = f"shiftright({u}, {_LIMB_BITS * i})" + (f" & {_MASK}" if i < _LIMBS - 1 else "")
+        limb = f"`{_limb_name(name, i)}`" if from_limbs else _limb_sql(name, i)
         s = f"CAST(COALESCE(SUM({limb}), 0) AS DECIMAL(38,0))"
         parts.append(s if i == 0 else f"{s} * CAST({1 << (_LIMB_BITS * i)} AS DECIMAL(38,0))")
     return f"CAST(({' + '.join(parts)}) / {10**SCALE} AS {SUM_TYPE})"
@@ -56,11 +75,12 @@ def measure_aggs(
     nets: bool = False,
     count_name: str = "row_count",
     measures: Sequence[str] = MEASURES,
+    from_limbs: bool = False,
 ) -> list[Column]:
     """``row_count``, the exact measure sums (double), ``gross_total`` (sum
     of the four) and, with ``nets``, ``cash_net`` / ``bank_net`` (Dr - Cr).
     Shared limb sums are computed once (Spark dedupes equal aggregates)."""
-    dec = {m: exact_sum_sql(m) for m in measures}
+    dec = {m: exact_sum_sql(m, from_limbs) for m in measures}
     out = [F.count(F.lit(1)).alias(count_name)] + [F.expr(f"CAST({dec[m]} AS DOUBLE) AS `{m}`") for m in measures]
     if gross:
         out.append(F.expr(f"CAST({' + '.join(dec[m] for m in measures)} AS DOUBLE) AS gross_total"))

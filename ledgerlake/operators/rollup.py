@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.aggregates import sum_measures, totals_of
+from ledgerlake.functions.aggregates import limb_columns, sum_measures, totals_of
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.schema import COLUMNS, DIMS, DISPLAY_NAMES, MEASURES
@@ -77,7 +77,10 @@ def rollup_table(
     dims = list(dims)
     grouped_out = sum((F.grouping(d).cast("int") for d in dims), F.lit(0))
     level = (F.lit(len(dims) - 1) - grouped_out).alias("level")
-    return sum_measures(apply_filter(df, spec).rollup(*dims), level).select("level", *dims, *NODE_MEASURES)
+    # Limbs are projected once per row, below the Expand that copies each
+    # row once per grouping set.
+    rows = apply_filter(df, spec).select(*dims, *limb_columns())
+    return sum_measures(rows.rollup(*dims), level, from_limbs=True).select("level", *dims, *NODE_MEASURES)
 
 
 def group_lookup(df: DataFrame, keys: Mapping[str, str | None]) -> DataFrame:
