@@ -89,3 +89,11 @@ def number_rejected(c: Column) -> Column:
     s = strip_text(c)
     blank = s.isNull() | (s == "")
     return F.when(~blank & number_or_null(c).isNull(), 1).otherwise(0)
+
+
+def day_of(columns: list[str]) -> Column:
+    """The parsed day of a clean ledger: ``txn_day`` when present, else
+    derived from the ``yyyy-MM-dd`` text (``Unknown`` -> null)."""
+    if "txn_day" in columns:
+        return F.col("txn_day")
+    return F.to_date(F.try_to_timestamp(F.col("txn_date"), F.lit("yyyy-MM-dd")))

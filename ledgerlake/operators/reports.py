@@ -12,7 +12,8 @@ from ledgerlake.functions.aggregates import sum_measures, totals_of
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.operators.rollup import rollup_table
-from ledgerlake.schema import COLUMNS, DAY_COLUMN, MEASURES, UNKNOWN
+from ledgerlake.functions.cleaning import day_of
+from ledgerlake.schema import COLUMNS, MEASURES, UNKNOWN
 
 TOTAL_LABEL = "TOTAL"
 
@@ -37,7 +38,7 @@ def export_report(
 
 def monthly_reconciliation(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
     """Per month and entity, Dr/Cr sums and the cash and bank nets."""
-    month = F.coalesce(F.date_format(F.col(DAY_COLUMN), "yyyy-MM"), F.lit(UNKNOWN)).alias("month")
+    month = F.coalesce(F.date_format(day_of(df.columns), "yyyy-MM"), F.lit(UNKNOWN)).alias("month")
     grouped = apply_filter(df, spec).groupBy(month, "entity_type", "entity_sub_type", "entity_name")
     return sum_measures(grouped, gross=False, nets=True)
 
@@ -63,7 +64,7 @@ def date_range(
     df: DataFrame, start: str, end: str, spec: LedgerFilter | Mapping | None = None
 ) -> DataFrame:
     """Rows with a real date in ``[start, end]``; Unknown dates excluded."""
-    day = F.col(DAY_COLUMN)
+    day = day_of(df.columns)
     rows = apply_filter(df, spec).filter(day.between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
     return rows.select(*COLUMNS)
 

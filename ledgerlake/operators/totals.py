@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.aggregates import totals_of
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
-from ledgerlake.schema import COLUMNS, DAY_COLUMN, DIMS, UNKNOWN
+from ledgerlake.functions.cleaning import day_of
+from ledgerlake.schema import COLUMNS, DIMS, UNKNOWN
 
 
 def totals(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
@@ -27,11 +28,12 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     entity types / sub types / names (exact unless ``approx``), and numeric
     rejects when the ledger was cleaned with ``with_rejects=True``."""
     distinct = F.approx_count_distinct if approx else F.count_distinct
+    day = day_of(df.columns)
     aggs = [
         F.count(F.lit(1)).alias("row_count"),
         F.lit(len(COLUMNS)).alias("column_count"),
-        F.date_format(F.min(DAY_COLUMN), "yyyy-MM-dd").alias("start_date"),
-        F.date_format(F.max(DAY_COLUMN), "yyyy-MM-dd").alias("end_date"),
+        F.date_format(F.min(day), "yyyy-MM-dd").alias("start_date"),
+        F.date_format(F.max(day), "yyyy-MM-dd").alias("end_date"),
         F.count(F.when(F.col("txn_date") == UNKNOWN, 1)).alias("unknown_dates"),
         distinct("entity_type").alias("entity_types"),
         distinct("entity_sub_type").alias("entity_sub_types"),

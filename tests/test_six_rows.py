@@ -162,3 +162,15 @@ def test_hierarchy_whole_tree(six):
     assert all(r["is_leaf"] and not r["has_children"] for r in tx)
     parents = {r["node_id"] for r in rows if r["node_type"] == "group" and r["level"] == 3}
     assert {r["parent_id"] for r in tx} == parents
+
+
+def test_reports_without_day_column(six):
+    from ledgerlake.operators.reports import date_range, monthly_reconciliation
+
+    bare = six.drop("txn_day")
+    p = one(profile(bare))
+    assert (p["start_date"], p["end_date"]) == ("2024-01-15", "2024-01-17")
+    assert date_range(bare, "2024-01-16", "2024-01-17").count() == 4
+    months = monthly_reconciliation(bare).collect()
+    assert {r["month"] for r in months} == {"2024-01"}
+    assert sum(r["cash_net"] for r in months) == 10000.0
