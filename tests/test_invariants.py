@@ -153,3 +153,40 @@ def test_nested_chunks_are_whole_and_bounded(small_ledger):
     assert sizes.agg(F.sum("s")).first()[0] == small_ledger.count()
     per_group = out.groupBy(*DIMS).agg(F.sum(F.size("transactions")).alias("s"), F.first("row_count").alias("n"))
     assert per_group.filter("s != n").count() == 0
+
+
+def _hot_ledger(spark, n=30000):
+    """A ledger where one (date, type, sub type, name) leaf holds 70% of rows."""
+    from ledgerlake.sources.generator import generate_rows
+
+    g = generate_rows(spark, n, seed=3, end_date="2024-01-31")
+    hot = F.pmod(F.xxhash64("particulars", "cash_dr", "bank_cr"), F.lit(10)) < 7
+    return g.select(
+        F.when(hot, F.lit("2024-01-15")).otherwise(F.col("txn_date")).alias("txn_date"),
+        F.when(hot, F.lit("Customer")).otherwise(F.col("entity_type")).alias("entity_type"),
+        F.when(hot, F.lit("Retail")).otherwise(F.col("entity_sub_type")).alias("entity_sub_type"),
+        F.when(hot, F.lit("ABC Corp")).otherwise(F.col("entity_name")).alias("entity_name"),
+        *[F.col(c) for c in COLUMNS[4:]],
+    )
+
+
+def test_hot_leaf_spreads_over_range_partitions(spark):
+    led = _hot_ledger(spark)
+    keys = [F.col(c).asc_nulls_first() for c in COLUMNS]
+    sizes = [r["count"] for r in led.repartitionByRange(16, *keys).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 0.15 * sum(sizes)
+
+
+def test_hot_leaf_numbering_and_cap(spark):
+    from pyspark.sql.window import Window
+
+    from ledgerlake.operators.tree import capped_rows, transactions
+
+    led = _hot_ledger(spark).cache()
+    tx = transactions(led).select("txn_date", "entity_type", "entity_sub_type", "entity_name", "tx_index", *COLUMNS[4:])
+    w = Window.partitionBy(*DIMS).orderBy(*COLUMNS)
+    ref = led.withColumn("tx_index", (F.row_number().over(w) - 1).cast("int")).select(tx.columns)
+    assert tx.count() == led.count()
+    assert tx.exceptAll(ref).count() == 0
+    big = capped_rows(led, 5000).groupBy(*DIMS).count().orderBy(F.desc("count")).first()
+    assert big["count"] == 5000
