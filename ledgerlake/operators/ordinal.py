@@ -55,10 +55,12 @@ def number_rows(
     ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
     ranged = ranged.checkpoint(eager=True)
 
-    # Position inside the (partition, group) slice; slices are bounded by
-    # the range partition size.
+    # Position inside the (partition, group) slice. Ranging on the partition
+    # id gives every range slice its own task (a hash of (pid, group) could
+    # stack several slices of one big group in one task); the window's
+    # clustering on (pid, group) is then met without another shuffle.
     w = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols)
-    local = ranged.withColumn("_local", F.row_number().over(w) - 1)
+    local = ranged.repartitionByRange(n, "_pid").withColumn("_local", F.row_number().over(w) - 1)
 
     # Groups that can continue across a boundary: first and last group of
     # every partition (<= 2 per partition).

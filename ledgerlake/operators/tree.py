@@ -156,7 +156,10 @@ def capped_rows(
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if 0 < cap <= threshold:
         w = Window.partitionBy(*levels).orderBy(*order)
-        return rows.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") < cap)
+        # The filter must sit directly on row_number() for Spark to plan the
+        # map-side WindowGroupLimit.
+        ranked = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap)
+        return ranked.withColumn("_n", F.col("_rn") - 1).drop("_rn")
     return number_rows(rows, levels, order).filter(F.col("_n") < cap)
 
 

@@ -58,3 +58,10 @@ def test_saved_ledger_same_answers(spark, saved, small_ledger):
     a = node_table(saved)
     b = node_table(small_ledger)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_small_cap_plans_map_side_group_limit(small_ledger):
+    from ledgerlake import leaf_cap
+
+    p = plan(leaf_cap(small_ledger, 3))
+    assert "WindowGroupLimit" in p and "Partial" in p
