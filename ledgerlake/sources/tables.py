@@ -137,8 +137,12 @@ def spread(df: DataFrame) -> DataFrame:
     cluster has cores (e.g. one unsplittable row group), so the work after
     the scan runs on every core. A big table has more splits than cores and
     is returned unchanged (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): leave as is
+        return df
+    if splits < cores:
         return df.repartition(cores)
     return df
 
