@@ -77,8 +77,10 @@ def text_predicate(column: str, op: str, value: str | None = None) -> Column:
     """Case-insensitive text condition on one of the six text columns."""
     if column not in TEXT_COLUMNS + ["txn_date"]:
         raise ValueError(f"not a text column: {column!r}")
+    if op not in TEXT_OPS:
+        raise ValueError(f"unknown text op {op!r}; expected one of {TEXT_OPS}")
     c = F.lower(F.col(column))
-    v = F.lit((value or "").lower())
+    v = F.lit(("" if value is None else str(value)).lower())
     if op == "contains":
         return c.contains(v)
     if op == "not_contains":
@@ -102,6 +104,8 @@ def number_predicate(column: str, op: str, value: float, value2: float | None =
     """Numeric condition on one of the four measures."""
     if column not in MEASURES:
         raise ValueError(f"not a measure: {column!r}")
+    if op not in NUMBER_OPS:
+        raise ValueError(f"unknown number op {op!r}; expected one of {NUMBER_OPS}")
     c = F.col(column)
     if op == "eq":
         return c == value
