@@ -246,6 +246,11 @@ def oracle_sql() -> dict[str, str]:
     rest = ", ".join(c for c in COLS.split(", ") if c != "cash_dr")
     q["user_sort"] = W + f"SELECT {COLS} FROM ledger ORDER BY cash_dr DESC, {rest} LIMIT {P.USER_SORT_LIMIT}"
     q["data_page"] = W + f"SELECT {COLS} FROM ledger ORDER BY {ORDER} LIMIT {P.PAGE_LIMIT} OFFSET {P.PAGE_OFFSET}"
+    record = "to_json({" + ", ".join(f"'{c}': {c}" for c in COLS.split(", ")) + "})"
+    q["page_json"] = W + (
+        f"SELECT {record} AS record FROM (SELECT {COLS} FROM ledger ORDER BY {ORDER} "
+        f"LIMIT {P.PAGE_LIMIT} OFFSET {P.PAGE_OFFSET})"
+    )
     q["page_meta"] = W + (
         f"SELECT COUNT(*) AS total_count, CAST(LEAST({P.PAGE_LIMIT}, GREATEST(COUNT(*) - {P.PAGE_OFFSET}, 0)) AS BIGINT) "
         f"AS returned, CAST({P.PAGE_OFFSET} AS BIGINT) AS page_offset FROM ledger"
