@@ -67,8 +67,8 @@ def _normalize_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One synthetic row per lineitem row, keyed by its identifying columns.
-    keys = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return generate_ledger(keys, seed=42, end_date="2024-01-31").select(*COLUMNS)
+    keys = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return generate_ledger(keys, P.GEN_KEY, seed=P.GEN_SEED, end_date=P.GEN_END).select(*COLUMNS)
 
 
 def _page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +139,8 @@ def queries() -> dict[str, Query]:
     return q
 
 
-# Queries whose result has no DuckDB text: nested arrays and Spark's own
-# hash-based generator are checked by row count only.
-WEAK = {"flat_hierarchy_nested", "generate_ledger"}
+# Queries whose result has no DuckDB text: nested arrays are checked by row
+# count only.
+WEAK = {"flat_hierarchy_nested"}
 
 FLAGSHIP = "entity_rollup"

@@ -187,6 +187,36 @@ def _inr(x: str) -> str:
     return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || {grouped} || '.' || {dp})"
 
 
+def _generator() -> str:
+    from ledgerlake.sources import generator as G
+
+    def lst(vals):
+        return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in vals) + "]"
+
+    m, a0 = G._M, G._A0
+    draws = ", ".join(
+        f"xor((y * {a}) % {m}, ((y * {a}) % {m}) >> 11) AS d{i}" for i, a in enumerate(G._DRAW_MULT, start=1)
+    )
+    by_type = lambda mapping, d: "CASE entity_type " + " ".join(
+        f"WHEN '{t}' THEN {lst(v)}[{d} % {len(v)} + 1]" for t, v in mapping.items()
+    ) + " END"
+    span = int((G.MAX_AMOUNT - G.MIN_AMOUNT) * 100) + 1
+    meas = ", ".join(f"CASE WHEN which = {i} THEN amount ELSE 0.0 END AS {c}" for i, c in enumerate(MEAS))
+    return (
+        f"WITH k AS (SELECT {P.GEN_KEY} AS key FROM lineitem), "
+        f"x AS (SELECT ((key % {m}) * {a0} + {P.GEN_SEED % m}) % {m} AS x FROM k), "
+        "y AS (SELECT xor(x, x >> 13) AS y FROM x), "
+        f"d AS (SELECT {draws} FROM y), "
+        f"t AS (SELECT *, {lst(G.ENTITY_TYPES)}[d1 % {len(G.ENTITY_TYPES)} + 1] AS entity_type, "
+        f"DATE '{P.GEN_END}' - {G.DAYS_BACK} + CAST(d5 % {G.DAYS_BACK + 1} AS INTEGER) AS day, "
+        f"CAST(d6 % {span} + {int(G.MIN_AMOUNT * 100)} AS DOUBLE) / CAST(100 AS DOUBLE) AS amount, "
+        f"d7 % 4 AS which FROM d) "
+        f"SELECT strftime(day, '%Y-%m-%d') AS txn_date, entity_type, {by_type(G.SUB_TYPES, 'd2')} AS entity_sub_type, "
+        f"{by_type(G.NAMES, 'd3')} AS entity_name, {lst(G.VCH_TYPES)}[d4 % {len(G.VCH_TYPES)} + 1] AS vch_type, "
+        f"{lst(G.PARTICULARS)}[d8 % {len(G.PARTICULARS)} + 1] AS particulars, {meas} FROM t"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     W = _with()
     day, busy, ty, sub, name = P.DAY, P.BUSY_DAY, P.TYPE, P.SUB_TYPE, P.NAME
@@ -287,6 +317,7 @@ def oracle_sql() -> dict[str, str]:
     q["format_amount"] = W + (
         f"SELECT {COLS}, " + ", ".join(f"format('{{:,.2f}}', {m}) AS {m}_text" for m in MEAS) + " FROM ledger"
     )
+    q["generate_ledger"] = _generator()
     D = _dirty()
     q["normalize_date"] = D + "SELECT event_id, raw_date, txn_date FROM dirty JOIN clean USING (event_id)"
     q["normalize_text"] = D + (

@@ -28,3 +28,6 @@ SEEK_LIMIT = 200
 USER_SORT = (("cash_dr", "desc"),)
 USER_SORT_LIMIT = 100
 NESTED_CHUNK_ROWS = 2
+GEN_KEY = "l_orderkey * 8 + l_linenumber"
+GEN_SEED = 42
+GEN_END = "2024-01-31"

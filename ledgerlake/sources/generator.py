@@ -1,8 +1,8 @@
 """Synthetic ledger generator (S8), fully distributed and repeatable.
 
-Each input row (any key columns) becomes one ledger row; every random draw
-is ``xxhash64(seed, draw number, keys)``, so the same keys and seed always
-give the same ledger, on any number of executors. Exactly one of the four
+Each input row becomes one ledger row; every random draw is an integer mix
+of the row's key and the seed, so the same keys and seed always give the
+same ledger, on any number of executors. Exactly one of the four
 measures is non-zero; the sub type and name always belong to the type.
 """
 
@@ -39,48 +39,61 @@ PARTICULARS = [
 MIN_AMOUNT, MAX_AMOUNT = 100.0, 50000.0
 DAYS_BACK = 30
 
+# Draw mixer: integer multiply / modulo / xor-shift only, so any SQL
+# engine computes the same draws (all products stay below 2^62).
+_M = 2147483647
+_A0 = 48271
+_DRAW_MULT = [16807, 69621, 39373, 950706376, 742938285, 1226874159, 62089911, 1343714438]
 
-def _pick(arr: Column, h: Column) -> Column:
-    return F.element_at(arr, (F.pmod(h, F.size(arr)) + 1).cast("int"))
 
+def _draws(keys: DataFrame, key_sql: str, seed: int) -> DataFrame:
+    """Add ``_d1`` .. ``_d8``: eight pseudo-random non-negative ints per row."""
+    x = keys.select(F.expr(f"(({key_sql}) % {_M}) * {_A0} + {seed % _M}").alias("_x"))
+    x = x.select(F.expr(f"_x % {_M}").alias("_x"))
+    x = x.select(F.expr("_x ^ shiftright(_x, 13)").alias("_y"))
+    out = []
+    for i, a in enumerate(_DRAW_MULT, start=1):
+        d = f"((_y * {a}) % {_M})"
+        out.append(F.expr(f"{d} ^ shiftright({d}, 11)").alias(f"_d{i}"))
+    return x.select(*out)
 
-def _lookup(mapping: dict[str, list[str]], key: Column) -> Column:
-    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
-    return F.element_at(m, key)
 
+def _pick(values: list[str], draw: str) -> Column:
+    arr = F.array(*[F.lit(v) for v in values])
+    return F.element_at(arr, (F.col(draw) % len(values) + 1).cast("int"))
 
-def generate_ledger(keys: DataFrame, seed: int = 0, end_date: str = "2024-01-31") -> DataFrame:
-    """One synthetic row per row of ``keys`` (dates in the ``DAYS_BACK``
-    days up to ``end_date``). Output: the 10 ledger columns + ``txn_day``."""
-    key_cols = [F.col(f"`{c}`") for c in keys.columns]
 
-    def draw(i: int) -> Column:
-        return F.xxhash64(F.lit(seed), F.lit(i), *key_cols)
+def _pick_by_type(mapping: dict[str, list[str]], draw: str) -> Column:
+    out = F.lit(None).cast("string")
+    for t, values in mapping.items():
+        out = F.when(F.col("entity_type") == t, _pick(values, draw)).otherwise(out)
+    return out
 
-    etype = _pick(F.array(*[F.lit(t) for t in ENTITY_TYPES]), draw(1))
-    unit = F.pmod(draw(6), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    amount = F.round(F.lit(MIN_AMOUNT) + unit * F.lit(MAX_AMOUNT - MIN_AMOUNT), 2)
-    which = F.pmod(draw(7), F.lit(len(MEASURES)))
+
+def generate_ledger(keys: DataFrame, key_sql: str = "id", seed: int = 0, end_date: str = "2024-01-31") -> DataFrame:
+    """One synthetic row per row of ``keys``, drawn from the integer key
+    expression ``key_sql`` (dates in the ``DAYS_BACK`` days up to
+    ``end_date``). Output: the 10 ledger columns + ``txn_day``. Narrow: no
+    shuffle, so it scales with the key table."""
+    d = _draws(keys, key_sql, seed)
+    d = d.withColumn("entity_type", _pick(ENTITY_TYPES, "_d1"))
+    cents = F.col("_d6") % F.lit(int((MAX_AMOUNT - MIN_AMOUNT) * 100) + 1) + F.lit(int(MIN_AMOUNT * 100))
+    amount = cents.cast("double") / F.lit(100.0)
+    which = F.col("_d7") % F.lit(len(MEASURES))
     start = F.date_sub(F.to_date(F.lit(end_date)), DAYS_BACK)
-    day = F.date_add(start, F.pmod(draw(5), F.lit(DAYS_BACK + 1)).cast("int"))
-    out = keys.select(
-        day.alias("txn_day"),
-        etype.alias("entity_type"),
-        *[F.col(f"`{c}`") for c in keys.columns],
-    )
-    out = out.select(
-        F.date_format("txn_day", "yyyy-MM-dd").alias("txn_date"),
+    day = F.date_add(start, (F.col("_d5") % F.lit(DAYS_BACK + 1)).cast("int"))
+    return d.select(
+        F.date_format(day, "yyyy-MM-dd").alias("txn_date"),
         F.col("entity_type"),
-        _pick(_lookup(SUB_TYPES, F.col("entity_type")), draw(2)).alias("entity_sub_type"),
-        _pick(_lookup(NAMES, F.col("entity_type")), draw(3)).alias("entity_name"),
-        _pick(F.array(*[F.lit(v) for v in VCH_TYPES]), draw(4)).alias("vch_type"),
-        _pick(F.array(*[F.lit(p) for p in PARTICULARS]), draw(8)).alias("particulars"),
+        _pick_by_type(SUB_TYPES, "_d2").alias("entity_sub_type"),
+        _pick_by_type(NAMES, "_d3").alias("entity_name"),
+        _pick(VCH_TYPES, "_d4").alias("vch_type"),
+        _pick(PARTICULARS, "_d8").alias("particulars"),
         *[F.when(which == i, amount).otherwise(F.lit(0.0)).alias(m) for i, m in enumerate(MEASURES)],
-        F.col("txn_day"),
-    )
-    return out.select(*COLUMNS, "txn_day")
+        day.alias("txn_day"),
+    ).select(*COLUMNS, "txn_day")
 
 
 def generate_rows(spark: SparkSession, n: int, seed: int = 0, end_date: str = "2024-01-31") -> DataFrame:
     """``n`` synthetic rows keyed by ``spark.range(n)``."""
-    return generate_ledger(spark.range(n), seed, end_date)
+    return generate_ledger(spark.range(n), "id", seed, end_date)
