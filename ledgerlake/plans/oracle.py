@@ -260,6 +260,16 @@ def oracle_sql() -> dict[str, str]:
     q["flat_hierarchy"] = W + (
         f"SELECT concat_ws('/', {DIMS}) AS id, 3 AS level, {DIMS}, {AGGS} FROM ledger GROUP BY {DIMS}"
     )
+    tx_fields = ", ".join(f"'{c}': {c}" for c in ["vch_type", "particulars", *MEAS])
+    q["flat_hierarchy_nested"] = W + (
+        f"SELECT concat_ws('/', {DIMS}) AS id, 3 AS level, g.txn_date, g.entity_type, g.entity_sub_type, "
+        f"g.entity_name, row_count, {', '.join(MEAS)}, gross_total, chunk, transactions FROM "
+        f"(SELECT {DIMS}, {AGGS} FROM ledger GROUP BY {DIMS}) g JOIN "
+        f"(SELECT {DIMS}, CAST(n // {P.NESTED_CHUNK_ROWS} AS INTEGER) AS chunk, "
+        f"to_json(list({{'tx_index': n, {tx_fields}}} ORDER BY n)) AS transactions FROM "
+        f"(SELECT *, row_number() OVER (PARTITION BY {DIMS} ORDER BY {ORDER}) - 1 AS n FROM ledger) "
+        f"GROUP BY {DIMS}, chunk) c USING ({DIMS})"
+    )
     q["node_table"] = W + _node_select(f"({_rollup(D4)}) WHERE level >= 0")
     q["browse_start_level"] = _level_nodes(f"txn_date = '{busy}'", 1)
     q["browse_by_type"] = _level_nodes(f"entity_type = '{P.BROWSE_TYPE}'", 0)
