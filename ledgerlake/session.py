@@ -34,11 +34,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a fresh
-    temporary folder is configured.
+    Read from the session. Only a local session (tests) without one gets a
+    fresh temporary folder; on a cluster an unset folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a shared folder: ledger numbering checkpoints there, "
+                "and a machine-local folder does not survive a lost executor"
+            )
         base = tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     try:
