@@ -236,9 +236,24 @@ def hierarchy(
     (at most ``max_transactions`` per leaf) and one ``info`` row per leaf
     that has more. The same filter applies to every part."""
     groups = node_table(df, spec)
-    leaves = (
-        leaf_nodes(df, max_transactions, spec)
+    tx = (
+        leaf_cap(df, max_transactions, spec)
         .withColumn("has_children", F.lit(False))
         .withColumn("is_leaf", F.lit(True))
     )
-    return groups.unionByName(leaves, allowMissingColumns=True).select(*HIERARCHY_COLUMNS)
+    # Overflow rows come from the level-3 group nodes (their row_count is
+    # the leaf size): no second aggregation, the rollup exchange is reused.
+    more = F.col("row_count") - F.lit(max_transactions)
+    info = groups.filter((F.col("level") == len(DIMS) - 1) & (more > 0)).select(
+        F.concat(F.col("node_id"), F.lit("/more")).alias("node_id"),
+        F.col("node_id").alias("parent_id"),
+        F.lit("info").alias("node_type"),
+        F.lit(len(DIMS)).alias("level"),
+        *DIMS,
+        F.format_string("... and %d more transactions", more).alias("label"),
+        more.cast("bigint").alias("remaining"),
+        F.lit(False).alias("has_children"),
+        F.lit(True).alias("is_leaf"),
+    )
+    out = groups.unionByName(tx, allowMissingColumns=True).unionByName(info, allowMissingColumns=True)
+    return out.select(*HIERARCHY_COLUMNS)
