@@ -26,6 +26,48 @@ from pyspark.sql.window import Window
 from ledgerlake.session import ensure_checkpoint_dir
 
 
+# Largest group a single window task may sort (rows); bigger groups are
+# numbered over range slices instead.
+MAX_GROUP_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Row count of the biggest group: one partial aggregate, one number to
+    the driver. This is the size check that picks the numbering strategy."""
+    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c"))
+    return counts.agg(F.coalesce(F.max("_c"), F.lit(0))).first()[0]
+
+
+def rank_in_groups(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[Column],
+    out: str = "_n",
+    limit: int | None = None,
+    max_group_rows: int | None = None,
+) -> DataFrame:
+    """0-based position in the group, optionally only rows below ``limit``.
+
+    Checked by size: when the largest group has at most ``max_group_rows``
+    rows, a plain ``row_number()`` window is exact and no task sorts more
+    than that (with a ``limit`` up to Spark's group-limit threshold, Spark
+    also cuts each group map-side). Otherwise the range-partitioned
+    ``number_rows`` spreads big groups over many tasks. Same result both
+    ways.
+    """
+    group_cols = list(group_cols)
+    bound = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+    if largest_group(df, group_cols) <= bound:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        ranked = df.withColumn("_rn", F.row_number().over(w))
+        if limit is not None:
+            # Directly on row_number() so Spark plans WindowGroupLimit.
+            ranked = ranked.filter(F.col("_rn") <= limit)
+        return ranked.withColumn(out, (F.col("_rn") - 1).cast("long")).drop("_rn")
+    numbered = number_rows(df, group_cols, order_cols, out)
+    return numbered.filter(F.col(out) < limit) if limit is not None else numbered
+
+
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions

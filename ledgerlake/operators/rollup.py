@@ -111,14 +111,14 @@ def flat_hierarchy_nested(
     """Flat hierarchy with the group's transactions nested as an array.
 
     No row is dropped and no array grows with the data: rows are numbered
-    inside their group (range-partitioned, skew-safe) and cut into chunks of
+    inside their group (size-checked, skew-safe) and cut into chunks of
     at most ``chunk_rows``. Output has one row per (group, ``chunk``), chunk
     0 first; the group totals repeat on every chunk.
     """
-    from ledgerlake.operators.ordinal import number_rows
+    from ledgerlake.operators.ordinal import rank_in_groups
 
     rows = apply_filter(df, spec).select(*COLUMNS)
-    numbered = number_rows(rows, DIMS, [F.col(c).asc_nulls_first() for c in COLUMNS])
+    numbered = rank_in_groups(rows, DIMS, [F.col(c).asc_nulls_first() for c in COLUMNS])
     tx = F.struct(F.col("_n").alias("tx_index"), *[F.col(c) for c in COLUMNS[4:]])
     chunks = (
         numbered.withColumn("chunk", F.floor(F.col("_n") / chunk_rows).cast("int"))

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from ledgerlake.functions.aggregates import sum_measures
 from ledgerlake.functions.predicates import LedgerFilter, path_filter
 from ledgerlake.operators.filters import apply_filter
-from ledgerlake.operators.ordinal import number_rows
+from ledgerlake.operators.ordinal import rank_in_groups
 from ledgerlake.operators.rollup import (
     NODE_MEASURES,
     level_label_sql,
@@ -127,11 +127,12 @@ def transactions(
     order_by: Sequence[str] = ROW_ORDER,
 ) -> DataFrame:
     """Transaction leaves (level 4) of the filtered rows, numbered from 0
-    inside their leaf group in ``order_by`` order. Numbering is skew-safe:
-    a leaf with a large share of the rows is spread over many tasks."""
+    inside their leaf group in ``order_by`` order. Numbering is size-checked
+    and skew-safe: a leaf above the per-task bound is spread over many
+    tasks."""
     levels = list(levels)
     rows = apply_filter(df, spec).select(*COLUMNS)
-    numbered = number_rows(rows, levels, [F.col(c).asc_nulls_first() for c in order_by])
+    numbered = rank_in_groups(rows, levels, [F.col(c).asc_nulls_first() for c in order_by])
     return numbered.select(*_tx_columns(levels, F.col("_n")))
 
 
@@ -144,23 +145,15 @@ def capped_rows(
 ) -> DataFrame:
     """The first ``cap`` rows of every leaf group, with ``_n`` (0-based).
 
-    Up to Spark's window group-limit threshold (1000 by default) this is one
-    ``row_number() <= cap`` window: Spark keeps only ``cap`` rows per group
-    in every map task before the shuffle, so a huge group arrives already
-    cut down. Larger caps use the range-partitioned numbering of
-    ``ordinal.number_rows``, where no task holds more than its range slice.
+    Size-checked (``ordinal.rank_in_groups``): leaves up to the per-task
+    bound use one ``row_number() <= cap`` window (map-side group limit for
+    caps up to 1000); a bigger leaf is numbered over range slices so no
+    task holds it whole.
     """
     levels = list(levels)
     rows = apply_filter(df, spec).select(*COLUMNS)
     order = [F.col(c).asc_nulls_first() for c in order_by]
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if 0 < cap <= threshold:
-        w = Window.partitionBy(*levels).orderBy(*order)
-        # The filter must sit directly on row_number() for Spark to plan the
-        # map-side WindowGroupLimit.
-        ranked = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap)
-        return ranked.withColumn("_n", F.col("_rn") - 1).drop("_rn")
-    return number_rows(rows, levels, order).filter(F.col("_n") < cap)
+    return rank_in_groups(rows, levels, order, limit=cap)
 
 
 def leaf_cap(

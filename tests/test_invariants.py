@@ -1,5 +1,6 @@
 """Invariants over the sf0.001 ledger view."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake import export_report, leaf_cap, leaf_overflow, node_table, page, rollup_table, sort_rows, totals
@@ -130,11 +131,14 @@ def test_ordinal_with_a_hot_group(spark):
     assert out.count() == 20000 and bad.count() == 0
 
 
-def test_large_cap_uses_bounded_numbering(small_ledger):
+def test_large_cap_uses_bounded_numbering(small_ledger, monkeypatch):
     from pyspark.sql.window import Window
 
+    from ledgerlake.operators import ordinal
     from ledgerlake.operators.tree import capped_rows
 
+    monkeypatch.setattr(ordinal, "MAX_GROUP_ROWS", 100)  # force the range-slice path
+
     levels = ["entity_type"]
     got = capped_rows(small_ledger, 1100, levels=levels)  # above the group-limit threshold
     w = Window.partitionBy(*levels).orderBy(*COLUMNS)
@@ -144,9 +148,13 @@ def test_large_cap_uses_bounded_numbering(small_ledger):
     assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
 
 
-def test_nested_chunks_are_whole_and_bounded(small_ledger):
+@pytest.mark.parametrize("bound", [0, 10**9])
+def test_nested_chunks_are_whole_and_bounded(small_ledger, monkeypatch, bound):
+    from ledgerlake.operators import ordinal
     from ledgerlake.operators.rollup import flat_hierarchy_nested
 
+    monkeypatch.setattr(ordinal, "MAX_GROUP_ROWS", bound)
+
     out = flat_hierarchy_nested(small_ledger, chunk_rows=2)
     sizes = out.select(F.size("transactions").alias("s"), "row_count", "chunk")
     assert sizes.filter("s > 2 OR s < 1").count() == 0
@@ -177,11 +185,15 @@ def test_hot_leaf_spreads_over_range_partitions(spark):
     assert len(sizes) == 16 and max(sizes) < 0.15 * sum(sizes)
 
 
-def test_hot_leaf_numbering_and_cap(spark):
+@pytest.mark.parametrize("bound", [1000, 10**9])
+def test_hot_leaf_numbering_and_cap(spark, monkeypatch, bound):
     from pyspark.sql.window import Window
 
+    from ledgerlake.operators import ordinal
     from ledgerlake.operators.tree import capped_rows, transactions
 
+    monkeypatch.setattr(ordinal, "MAX_GROUP_ROWS", bound)
+
     led = _hot_ledger(spark).cache()
     tx = transactions(led).select("txn_date", "entity_type", "entity_sub_type", "entity_name", "tx_index", *COLUMNS[4:])
     w = Window.partitionBy(*DIMS).orderBy(*COLUMNS)
