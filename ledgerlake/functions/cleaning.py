@@ -45,13 +45,13 @@ def strip_text(c: Column) -> Column:
     return F.btrim(c.cast("string"), F.lit(WHITESPACE))
 
 
-def parse_day(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+def parse_day(c: Column, formats: Sequence[str] = DATE_FORMATS, trim: bool = True) -> Column:
     """Parse one raw date cell into a DateType value, null if no layout fits.
 
     Each value is tried against every layout independently, so one file can
     mix layouts. Bare numbers never parse.
     """
-    s = strip_text(c)
+    s = strip_text(c) if trim else c
     return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in formats])
 
 
@@ -60,23 +60,35 @@ def date_text(day: Column) -> Column:
     return F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit(UNKNOWN))
 
 
-def clean_text(c: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
+def clean_text(c: Column, tokens: Sequence[str] = NULL_TOKENS, trim: bool = True) -> Column:
     """Trim, then turn null / empty / a missing-token into ``Unknown``."""
-    s = strip_text(c)
+    s = strip_text(c) if trim else c
     missing = s.isNull() | (s == "") | s.isin(list(tokens))
     return F.when(missing, F.lit(UNKNOWN)).otherwise(s)
 
 
-def number_or_null(c: Column) -> Column:
+# Finite doubles only: NaN sorts above every value in Spark, so one range
+# test drops NaN and both infinities.
+MAX_DOUBLE = 1.7976931348623157e308
+
+
+def parse_number(s: Column) -> Column:
+    """Trimmed text -> double when it has the accepted shape, else null."""
+    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+
+
+def finite(v: Column) -> Column:
+    """``v`` when it is a finite double, else null."""
+    return F.when(v.between(-MAX_DOUBLE, MAX_DOUBLE), v)
+
+
+def number_or_null(c: Column, trim: bool = True) -> Column:
     """Accepted decimal or exponent number as double; null otherwise.
 
     The guard stops Spark from reading ``1d``, ``1f``, ``nan`` or ``inf``
     as numbers; non-finite results (``1e999``) are rejected as well.
     """
-    s = strip_text(c)
-    v = F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
-    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
-    return F.when(finite, v)
+    return finite(parse_number(strip_text(c) if trim else c))
 
 
 def clean_number(c: Column) -> Column:

@@ -18,22 +18,8 @@ from ledgerlake.schema import DAY_COLUMN, MEASURES, TEXT_COLUMNS
 from ledgerlake.sources.ledger import positional
 
 
-def _day(df: DataFrame, formats: Sequence[str]) -> Column:
-    dtype = df.schema["txn_date"].dataType
-    if isinstance(dtype, T.DateType):
-        return F.col("txn_date")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.to_date(F.col("txn_date"))
-    return C.parse_day(F.col("txn_date"), formats)
-
-
-def _measure(df: DataFrame, name: str) -> tuple[Column, Column]:
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, T.NumericType):
-        v = F.col(name).cast("double")
-        ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
-        return F.when(ok, v).otherwise(F.lit(0.0)), F.when(F.col(name).isNotNull() & ~ok, 1).otherwise(0)
-    return C.clean_number(F.col(name)), C.number_rejected(F.col(name))
+def _typed(df: DataFrame, name: str, kinds) -> bool:
+    return isinstance(df.schema[name].dataType, kinds)
 
 
 def normalize(
@@ -50,23 +36,51 @@ def normalize(
     measure cells of the row were not numbers. ``drop_zero_rows`` removes
     rows whose four measures are all zero (each measure tested, so offsetting
     values are kept).
+
+    Three narrow projections (trim, parse, finish) so each cell is trimmed
+    and parsed once: Spark does not collapse projections that would repeat
+    a regular expression or a cast, and does not share work between the
+    branches of one conditional expression.
     """
     raw = positional(df)
-    day = _day(raw, date_formats)
-    measures = {m: _measure(raw, m) for m in MEASURES}
-    cols = [C.date_text(day).alias("txn_date")]
-    cols += [C.clean_text(F.col(c), null_tokens).alias(c) for c in TEXT_COLUMNS]
-    cols += [measures[m][0].alias(m) for m in MEASURES]
-    cols.append(day.alias(DAY_COLUMN))
+    dates = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    typed = {c: _typed(raw, c, dates if c == "txn_date" else T.NumericType) for c in ["txn_date", *MEASURES]}
+
+    # 1. trim every text cell once
+    trimmed = raw.select(
+        *[(F.col(c) if typed.get(c) else C.strip_text(F.col(c))).alias(c) for c in ["txn_date", *TEXT_COLUMNS, *MEASURES]]
+    )
+
+    # 2. parse dates and numbers, map missing text
+    if typed["txn_date"]:
+        day = F.to_date(F.col("txn_date"))
+    else:
+        day = C.parse_day(F.col("txn_date"), date_formats, trim=False)
+    parsed = [day.alias(DAY_COLUMN)]
+    parsed += [C.clean_text(F.col(c), null_tokens, trim=False).alias(c) for c in TEXT_COLUMNS]
+    for m in MEASURES:
+        v = F.col(m).cast("double") if typed[m] else C.parse_number(F.col(m))
+        parsed.append(v.alias(f"_v_{m}"))
+        if with_rejects:
+            parsed.append(F.col(m).alias(f"_s_{m}"))
+    stage = trimmed.select(*parsed)
+
+    # 3. finish: render the date, keep finite numbers (else 0.0), count rejects
+    out = [C.date_text(F.col(DAY_COLUMN)).alias("txn_date"), *TEXT_COLUMNS]
+    ok = {m: F.col(f"_v_{m}").between(-C.MAX_DOUBLE, C.MAX_DOUBLE) for m in MEASURES}
+    out += [F.when(ok[m], F.col(f"_v_{m}")).otherwise(F.lit(0.0)).alias(m) for m in MEASURES]
+    out.append(F.col(DAY_COLUMN))
     if with_rejects:
-        rejects = measures[MEASURES[0]][1]
-        for m in MEASURES[1:]:
-            rejects = rejects + measures[m][1]
-        cols.append(rejects.alias("numeric_rejects"))
-    out = raw.select(cols)
+        flags = []
+        for m in MEASURES:
+            s = F.col(f"_s_{m}")
+            present = s.isNotNull() if typed[m] else (s.isNotNull() & (s != ""))
+            flags.append(F.when(present & ~F.coalesce(ok[m], F.lit(False)), 1).otherwise(0))
+        out.append(sum(flags[1:], flags[0]).alias("numeric_rejects"))
+    result = stage.select(*out)
     if drop_zero_rows:
-        out = out.filter(non_zero())
-    return out
+        result = result.filter(non_zero())
+    return result
 
 
 def non_zero() -> Column:
