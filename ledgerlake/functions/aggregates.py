@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.schema import MEASURES
@@ -90,11 +90,22 @@ def measure_aggs(
     return out
 
 
-def sum_measures(grouped: GroupedData, *extra: Column, **kw) -> DataFrame:
-    """``grouped.agg`` of group columns, ``measure_aggs`` and ``extra``."""
-    return grouped.agg(*measure_aggs(**kw), *extra)
+def group_measures(
+    df: DataFrame, keys: Sequence[str], *extra: Column, rollup: bool = False, **kw
+) -> DataFrame:
+    """Group ``df`` by the ``keys`` columns (``rollup`` for every prefix)
+    into the keys, ``measure_aggs`` and ``extra`` aggregates.
+
+    The limbs are projected once per row first: cheaper than recomputing
+    them inside every sum, and below the ``Expand`` of a rollup they are not
+    recomputed for each copied row.
+    """
+    keys = list(keys)
+    pre = df.select(*[F.col(f"`{k}`") for k in keys], *limb_columns())
+    grouped = pre.rollup(*keys) if rollup else pre.groupBy(*keys)
+    return grouped.agg(*measure_aggs(from_limbs=True, **kw), *extra)
 
 
 def totals_of(df: DataFrame, **kw) -> DataFrame:
     """One-row ``measure_aggs`` over the whole frame."""
-    return df.agg(*measure_aggs(**kw))
+    return group_measures(df, [], **kw)

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.aggregates import sum_measures, totals_of
+from ledgerlake.functions.aggregates import group_measures, totals_of
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.operators.rollup import rollup_table
@@ -39,8 +39,8 @@ def export_report(
 def monthly_reconciliation(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
     """Per month and entity, Dr/Cr sums and the cash and bank nets."""
     month = F.coalesce(F.date_format(day_of(df.columns), "yyyy-MM"), F.lit(UNKNOWN)).alias("month")
-    grouped = apply_filter(df, spec).groupBy(month, "entity_type", "entity_sub_type", "entity_name")
-    return sum_measures(grouped, gross=False, nets=True)
+    rows = apply_filter(df, spec).withColumn("month", month)
+    return group_measures(rows, ["month", "entity_type", "entity_sub_type", "entity_name"], gross=False, nets=True)
 
 
 def entity_rollup(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def entity_rollup(df: DataFrame, spec: LedgerFilter | Mapping | None = None) ->
 
 def cash_vs_bank(df: DataFrame, spec: LedgerFilter | Mapping | None = None, by: str = "entity_type") -> DataFrame:
     """Per ``by`` value, one row per channel (cash, bank): dr, cr, net."""
-    agg = sum_measures(apply_filter(df, spec).groupBy(by), gross=False, nets=True)
+    agg = group_measures(apply_filter(df, spec), [by], gross=False, nets=True)
     return agg.select(
         by,
         F.expr(

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.aggregates import limb_columns, sum_measures, totals_of
+from ledgerlake.functions.aggregates import group_measures, totals_of
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.schema import COLUMNS, DIMS, DISPLAY_NAMES, MEASURES
@@ -57,7 +57,7 @@ def level_label_sql(level: int | str, dims: Sequence[str] = DIMS) -> str:
 def level_summary(df: DataFrame, level: int, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
     """Group by one level: ``level, column, value`` + count, sums, gross."""
     dim = DIMS[level]
-    return sum_measures(apply_filter(df, spec).groupBy(dim)).select(
+    return group_measures(apply_filter(df, spec), [dim]).select(
         F.lit(level).alias("level"),
         F.lit(DISPLAY_NAMES[dim]).alias("column"),
         F.col(dim).alias("value"),
@@ -79,8 +79,8 @@ def rollup_table(
     level = (F.lit(len(dims) - 1) - grouped_out).alias("level")
     # Limbs are projected once per row, below the Expand that copies each
     # row once per grouping set.
-    rows = apply_filter(df, spec).select(*dims, *limb_columns())
-    return sum_measures(rows.rollup(*dims), level, from_limbs=True).select("level", *dims, *NODE_MEASURES)
+    r = group_measures(apply_filter(df, spec), dims, level, rollup=True)
+    return r.select("level", *dims, *NODE_MEASURES)
 
 
 def group_lookup(df: DataFrame, keys: Mapping[str, str | None]) -> DataFrame:
@@ -95,7 +95,7 @@ def group_lookup(df: DataFrame, keys: Mapping[str, str | None]) -> DataFrame:
 
 def flat_hierarchy(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFrame:
     """One row per full (date, type, sub type, name) group, ``id = a/b/c/d``."""
-    return sum_measures(apply_filter(df, spec).groupBy(*DIMS)).select(
+    return group_measures(apply_filter(df, spec), DIMS).select(
         F.concat_ws("/", *[F.col(d) for d in DIMS]).alias("id"),
         F.lit(3).alias("level"),
         *DIMS,
@@ -127,7 +127,7 @@ def flat_hierarchy_nested(
     )
     # Group totals from the same checkpointed rows: no second pass over the
     # source.
-    groups = sum_measures(numbered.groupBy(*DIMS)).select(
+    groups = group_measures(numbered, DIMS).select(
         F.concat_ws("/", *[F.col(d) for d in DIMS]).alias("id"),
         F.lit(3).alias("level"),
         *DIMS,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlake.functions.aggregates import sum_measures
+from ledgerlake.functions.aggregates import group_measures
 from ledgerlake.functions.predicates import LedgerFilter, path_filter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.operators.ordinal import rank_in_groups
@@ -80,7 +80,7 @@ def node_table(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> Dat
 
 def _level_nodes(df: DataFrame, f: LedgerFilter, level: int) -> DataFrame:
     """Nodes of ``level`` below the (fully set) prefix of ``f``."""
-    agg = sum_measures(apply_filter(df, f).groupBy(*DIMS[: level + 1]))
+    agg = group_measures(apply_filter(df, f), DIMS[: level + 1])
     return _group_nodes(agg, level)
 
 
