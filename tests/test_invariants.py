@@ -202,3 +202,31 @@ def test_hot_leaf_numbering_and_cap(spark, monkeypatch, bound):
     assert tx.exceptAll(ref).count() == 0
     big = capped_rows(led, 5000).groupBy(*DIMS).count().orderBy(F.desc("count")).first()
     assert big["count"] == 5000
+
+
+def test_page_meta_and_unlimited_page(small_ledger):
+    from ledgerlake.operators.paging import page_meta
+
+    n = small_ledger.count()
+    m = page_meta(small_ledger, 100, None).first()
+    assert (m["total_count"], m["returned"], m["page_offset"]) == (n, n, 100)
+    m = page_meta(small_ledger, n - 5, 50).first()
+    assert m["returned"] == 5
+    assert page(small_ledger, (), 123, None).count() == n  # falsy limit: all rows, offset ignored
+
+
+def test_seek_descending(small_ledger):
+    from ledgerlake.operators.paging import seek_page
+
+    rows = small_ledger.select(*COLUMNS)
+    order = (("cash_dr", "desc"),)
+    from ledgerlake.operators.paging import total_order
+
+    first = [tuple(r) for r in page(rows, order, 0, 300).collect()]
+    keys = [k for k, _ in total_order(order)]
+    after_row = first[99]
+    after = tuple(after_row[COLUMNS.index(k)] for k in keys)  # the key, in sort-key order
+    nxt = [tuple(r) for r in seek_page(rows, after, order, 200).collect()]
+    after = after_row
+    want = [r for r in first[100:] if r != after][:200]
+    assert nxt[: len(want)] == want

@@ -91,3 +91,29 @@ def test_streaming_ingest(spark, six):
     q = start_ingest(spark, src, out, ck, available_now=True)
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 6
+
+
+def test_streaming_picks_up_only_new_files(spark, six):
+    src, out, ck = _tmp(), os.path.join(_tmp(), "ledger"), os.path.join(_tmp(), "ck")
+    _write_csv(os.path.join(src, "a.csv"), HEADER, SIX_ROWS[:4])
+    start_ingest(spark, src, out, ck, available_now=True).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 4
+    _write_csv(os.path.join(src, "b.csv"), HEADER, SIX_ROWS[4:])
+    start_ingest(spark, src, out, ck, available_now=True).awaitTermination(120)
+    assert _rows(spark.read.parquet(out)) == _rows(six)
+
+
+def test_missing_path_raises(spark):
+    import pytest
+
+    with pytest.raises(Exception):
+        read_ledger(spark, os.path.join(_tmp(), "nope"), "csv").count()
+
+
+def test_report_formats(spark, six):
+    for fmt in ("parquet", "json"):
+        d = os.path.join(_tmp(), fmt)
+        write_report(export_report(six), d, fmt)
+        back = spark.read.format(fmt).load(d)
+        assert back.count() == 7
+        assert back.filter("is_total").first()["bank_dr"] == 15500.0
