@@ -1,7 +1,9 @@
 """Row numbers within groups (or globally) without a group in one task.
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` sends each group to one
-task, so a group holding a third of the ledger becomes one huge sort. Here
+task, so a group holding a third of the ledger becomes one huge sort.
+``rank_in_groups`` checks the largest group first and keeps the plain
+window only below a per-task bound. Above it, ``number_rows`` is used:
 rows are range-partitioned on ``(g, k)``: partition sizes stay bounded
 whatever the skew, and a big group simply spans several consecutive
 partitions. Each row is numbered inside its (partition, group) slice, and
@@ -25,7 +27,6 @@ from pyspark.sql.window import Window
 
 from ledgerlake.session import ensure_checkpoint_dir
 
-
 # Largest group a single window task may sort (rows); bigger groups are
 # numbered over range slices instead.
 MAX_GROUP_ROWS = 2_000_000

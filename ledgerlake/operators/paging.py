@@ -104,6 +104,11 @@ def after_key(keys: list[tuple[str, bool]], values: Sequence) -> Column:
 
 
 def seek_page(df: DataFrame, after: Sequence, order_by: Sequence = (), limit: int = PAGE_SIZE) -> DataFrame:
-    """Next ``limit`` rows strictly after the key prefix ``after``."""
+    """Next ``limit`` rows strictly after the key prefix ``after``.
+
+    ``after`` holds values in sort-key order: the requested keys, then the
+    remaining ledger columns (``total_order``). Pass the last row's full key
+    to resume exactly; rows equal in every column count as one key.
+    """
     keys = total_order(order_by)
     return df.filter(after_key(keys, after)).orderBy(*_sort_cols(keys)).limit(limit)
