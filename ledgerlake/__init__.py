@@ -29,7 +29,7 @@ from ledgerlake.operators.tree import (
 )
 from ledgerlake.sources.generator import generate_ledger, generate_rows
 from ledgerlake.sources.ledger import read_ledger
-from ledgerlake.sources.sinks import json_records, write_ledger, write_report
+from ledgerlake.sources.sinks import json_records, read_saved_ledger, write_ledger, write_report
 from ledgerlake.sources.workbook import read_workbooks
 from ledgerlake.streaming.ingest import ledger_stream, start_ingest
 
@@ -39,6 +39,6 @@ __all__ = [
     "monthly_reconciliation", "range_totals", "flat_hierarchy", "flat_hierarchy_nested", "group_lookup",
     "level_summary", "rollup_table", "filter_options", "profile", "totals", "browse", "children", "hierarchy",
     "leaf_cap", "leaf_nodes", "leaf_overflow", "node_table", "transactions", "generate_ledger", "generate_rows",
-    "read_ledger", "read_workbooks", "json_records", "write_ledger", "write_report", "ledger_stream",
+    "read_ledger", "read_workbooks", "read_saved_ledger", "json_records", "write_ledger", "write_report", "ledger_stream",
     "start_ingest", "format_amount", "format_inr",
 ]

@@ -7,7 +7,7 @@ Equality filters on plain columns reach the Parquet scan as
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -44,10 +44,15 @@ class LedgerFilter:
         """The set keys, outermost level first."""
         return [(c, getattr(self, c)) for c in DIMS if getattr(self, c)]
 
-    def predicate(self) -> Column:
+    def predicate(self, columns: Sequence[str] = ()) -> Column:
+        """The AND of equalities. On a month-partitioned saved ledger
+        (``txn_month`` present) a date also fixes its month, so the scan
+        prunes every other month directory."""
         cond = F.lit(True)
         for c, v in self.items():
             cond = cond & (F.col(c) == F.lit(v))
+            if c == "txn_date" and "txn_month" in columns:
+                cond = cond & (F.col("txn_month") == F.lit(v[:7]))
         return cond
 
     def start_level(self) -> int:

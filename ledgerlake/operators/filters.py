@@ -17,7 +17,7 @@ def apply_filter(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> D
     f = LedgerFilter.of(spec)
     if f.is_empty():
         return df
-    return df.filter(f.predicate())
+    return df.filter(f.predicate(df.columns))
 
 
 def grid_filter(df: DataFrame, *conditions: tuple) -> DataFrame:

@@ -66,6 +66,9 @@ def date_range(
     """Rows with a real date in ``[start, end]``; Unknown dates excluded."""
     day = day_of(df.columns)
     rows = apply_filter(df, spec).filter(day.between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    if "txn_month" in df.columns:
+        # Same rows, but lets a month-partitioned ledger prune directories.
+        rows = rows.filter(F.col("txn_month").between(F.lit(start[:7]), F.lit(end[:7])))
     return rows.select(*COLUMNS)
 
 

@@ -65,3 +65,21 @@ def test_small_cap_plans_map_side_group_limit(small_ledger):
 
     p = plan(leaf_cap(small_ledger, 3))
     assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_month_partitioned_ledger_prunes_and_agrees(spark, small_ledger):
+    from ledgerlake import date_range, totals
+    from ledgerlake.sources.sinks import read_saved_ledger
+
+    path = shared_dir(spark, "plan-test-ledger-by-month")
+    write_ledger(small_ledger, path, partitions=4, by_month=True)
+    led = read_saved_ledger(spark, path)
+    assert dict(led.dtypes)["txn_month"] == "string" and dict(led.dtypes)["txn_date"] == "string"
+    spec = {"date": "1998-08-23", "entity_type": "ASIA"}
+    p = plan(apply_filter(led, spec))
+    assert "PartitionFilters: [isnotnull(txn_month" in p and "(txn_month" in p and "= 1998-08)" in p
+    assert totals(led, spec).first() == totals(small_ledger, spec).first()
+    a = date_range(led, "1996-01-01", "1996-03-31")
+    b = date_range(small_ledger, "1996-01-01", "1996-03-31")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert "PartitionFilters" in plan(a) and "txn_month" in plan(a).split("PartitionFilters")[1][:200]
