@@ -1,7 +1,10 @@
 """Column expressions that clean raw ledger text (rules N1-N3).
 
 All of them are plain Catalyst expressions, so cleaning runs inside
-whole-stage codegen next to the scan; no Python touches the rows.
+whole-stage codegen next to the scan; no Python touches the rows. Each
+helper is one self-contained expression; ``operators.normalize`` applies
+the same rules in three projections (trim, parse, finish) so that a cell
+is trimmed and parsed once for a whole table.
 """
 
 from __future__ import annotations

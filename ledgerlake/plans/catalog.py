@@ -1,8 +1,9 @@
 """Named queries over the driver tables: ``name -> (spark, sf_dir) -> DataFrame``.
 
 Every query reads the whole driver tables (through the ledger view or the
-dirty ``events`` projection) and returns a lazy DataFrame; nothing is
-collected here. Parameters live in ``params`` and are shared with the
+dirty ``events`` projection) and returns a DataFrame. No rows are collected
+here; the per-leaf numbering queries run their one-number size check (and,
+above the bound, a checkpoint) when built. Parameters live in ``params`` and are shared with the
 DuckDB oracle texts in ``oracle``.
 """
 
