@@ -38,8 +38,13 @@ def read_ledger(spark: SparkSession, path: str | list[str], fmt: str = "csv", he
 
     ``fmt`` is any Spark file source: ``csv`` (strings, no inference),
     ``parquet`` / ``orc`` (typed columns are fine, cleaning handles them),
-    ``json`` (matched by field name). Workbooks: ``sources.workbook``.
+    ``json`` (matched by field name), or ``xlsx`` (first sheet of every
+    workbook, see ``sources.workbook``).
     """
+    if fmt == "xlsx":
+        from ledgerlake.sources.workbook import read_workbooks
+
+        return read_workbooks(spark, path)
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", header).option("inferSchema", False).option("mode", "PERMISSIVE")

@@ -117,3 +117,11 @@ def test_report_formats(spark, six):
         back = spark.read.format(fmt).load(d)
         assert back.count() == 7
         assert back.filter("is_total").first()["bank_dr"] == 15500.0
+
+
+def test_single_workbook_through_read_ledger(spark, six):
+    d = _tmp()
+    rows = [HEADER] + [[*r[:6], *[float(x) for x in r[6:]]] for r in SIX_ROWS]
+    path = os.path.join(d, "one.xlsx")
+    write_xlsx(path, rows)
+    assert _rows(normalize(read_ledger(spark, path, "xlsx"))) == _rows(six)
