@@ -26,22 +26,38 @@ def totals(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFra
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Load report: rows, columns, real date range, unknown dates, distinct
     entity types / sub types / names (exact unless ``approx``), and numeric
-    rejects when the ledger was cleaned with ``with_rejects=True``."""
+    rejects when the ledger was cleaned with ``with_rejects=True``.
+
+    Two aggregation levels: rows are first reduced per (type, sub type,
+    name) with a map-side partial aggregate, so the distinct counts (which
+    Spark evaluates by expanding its input once per distinct column) run
+    over entities instead of over every ledger row.
+    """
     distinct = F.approx_count_distinct if approx else F.count_distinct
     day = day_of(df.columns)
+    entity = ["entity_type", "entity_sub_type", "entity_name"]
+    per = [
+        F.count(F.lit(1)).alias("_n"),
+        F.min(day).alias("_lo"),
+        F.max(day).alias("_hi"),
+        F.count(F.when(F.col("txn_date") == UNKNOWN, 1)).alias("_u"),
+    ]
+    if "numeric_rejects" in df.columns:
+        per.append(F.sum("numeric_rejects").alias("_r"))
+    per_entity = df.groupBy(*entity).agg(*per)
     aggs = [
-        F.count(F.lit(1)).alias("row_count"),
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("row_count"),
         F.lit(len(COLUMNS)).alias("column_count"),
-        F.date_format(F.min(day), "yyyy-MM-dd").alias("start_date"),
-        F.date_format(F.max(day), "yyyy-MM-dd").alias("end_date"),
-        F.count(F.when(F.col("txn_date") == UNKNOWN, 1)).alias("unknown_dates"),
+        F.date_format(F.min("_lo"), "yyyy-MM-dd").alias("start_date"),
+        F.date_format(F.max("_hi"), "yyyy-MM-dd").alias("end_date"),
+        F.coalesce(F.sum("_u"), F.lit(0)).cast("bigint").alias("unknown_dates"),
         distinct("entity_type").alias("entity_types"),
         distinct("entity_sub_type").alias("entity_sub_types"),
         distinct("entity_name").alias("entity_names"),
     ]
     if "numeric_rejects" in df.columns:
-        aggs.append(F.coalesce(F.sum("numeric_rejects"), F.lit(0)).cast("bigint").alias("numeric_rejects"))
-    return df.agg(*aggs)
+        aggs.append(F.coalesce(F.sum("_r"), F.lit(0)).cast("bigint").alias("numeric_rejects"))
+    return per_entity.agg(*aggs)
 
 
 def filter_options(df: DataFrame) -> DataFrame:
