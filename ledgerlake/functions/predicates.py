@@ -37,7 +37,8 @@ class LedgerFilter:
             return spec
         values: dict[str, str | None] = {}
         for key, value in spec.items():
-            values[spec_column(key)] = value
+            # Levels are text; a date object becomes its ISO text.
+            values[spec_column(key)] = None if value is None or value == "" else str(value)
         return cls(**values)
 
     def items(self) -> list[tuple[str, str]]:
@@ -70,7 +71,7 @@ def path_filter(path: list[str] | tuple[str, ...]) -> LedgerFilter:
     """Filter for the node reached by following ``path`` from the root."""
     if len(path) > len(DIMS):
         raise ValueError(f"path deeper than {len(DIMS)} levels: {path!r}")
-    return LedgerFilter(**dict(zip(DIMS, path)))
+    return LedgerFilter.of(dict(zip(DIMS, path)))
 
 
 # Operator names accepted by the grid filters.

@@ -174,3 +174,12 @@ def test_reports_without_day_column(six):
     months = monthly_reconciliation(bare).collect()
     assert {r["month"] for r in months} == {"2024-01"}
     assert sum(r["cash_net"] for r in months) == 10000.0
+
+
+def test_date_objects_in_filters(six):
+    import datetime as dt
+
+    t = one(totals(six, {"date": dt.date(2024, 1, 15)}))
+    assert (t["row_count"], t["cash_dr"]) == (2, 15000.0)
+    got = {r["label"] for r in children(six, [dt.date(2024, 1, 16)]).collect()}
+    assert got == {"Vendor"}
