@@ -125,3 +125,40 @@ def test_single_workbook_through_read_ledger(spark, six):
     path = os.path.join(d, "one.xlsx")
     write_xlsx(path, rows)
     assert _rows(normalize(read_ledger(spark, path, "xlsx"))) == _rows(six)
+
+
+def test_workbook_cell_kinds():
+    """Decode inline strings, booleans, custom date formats, date-times and
+    sparse rows (cells addressed by reference, gaps left empty)."""
+    import zipfile
+
+    from ledgerlake.sources.workbook import workbook_rows
+
+    d = _tmp()
+    path = os.path.join(d, "kinds.xlsx")
+    write_xlsx(path, [HEADER, [("date", 45306), "T", "S", "N", "V", "P", 1.5, 0, 0, 0]])
+    # Rewrite the sheet with other cell kinds and a custom date style.
+    sheet = (
+        '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+        '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+        '<row r="1"><c r="A1" t="inlineStr"><is><t>Date</t></is></c></row>'
+        '<row r="2"><c r="A2" s="2"><v>45306.5</v></c><c r="B2" t="inlineStr"><is><t> Inline </t></is></c>'
+        '<c r="D2" t="b"><v>1</v></c><c r="G2"><v>12.25</v></c></row>'
+        "</sheetData></worksheet>"
+    )
+    styles = (
+        '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+        '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
+        '<numFmts count="1"><numFmt numFmtId="164" formatCode="dd/mm/yyyy hh:mm"/></numFmts>'
+        '<cellXfs count="3"><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>'
+    )
+    src = zipfile.ZipFile(path)
+    parts = {n: src.read(n) for n in src.namelist()}
+    src.close()
+    parts["xl/worksheets/sheet1.xml"] = sheet.encode()
+    parts["xl/styles.xml"] = styles.encode()
+    with zipfile.ZipFile(path, "w") as z:
+        for n, b in parts.items():
+            z.writestr(n, b)
+    rows = list(workbook_rows(open(path, "rb").read(), 10))
+    assert rows == [["2024-01-15 12:00:00", " Inline ", None, "TRUE", None, None, "12.25", None, None, None]]
