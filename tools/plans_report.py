@@ -33,7 +33,7 @@ from ledgerlake import (  # noqa: E402
     totals,
 )
 from ledgerlake.session import local_session, shared_dir  # noqa: E402
-from ledgerlake.sources.sinks import write_ledger  # noqa: E402
+from ledgerlake.sources.sinks import read_saved_ledger, write_ledger  # noqa: E402
 from ledgerlake.sources.tables import ledger_from_tables  # noqa: E402
 
 
@@ -58,9 +58,13 @@ def main(sf_dir: str) -> None:
     path = shared_dir(spark, "plans-report-ledger")
     write_ledger(ledger_from_tables(spark, sf_dir), path)
     led = spark.read.parquet(path)
+    by_month_path = shared_dir(spark, "plans-report-ledger-by-month")
+    write_ledger(led, by_month_path, by_month=True)
+    by_month = read_saved_ledger(spark, by_month_path)
     day, ty = "1998-08-23", "ASIA"
     ops = {
         "totals (filtered)": totals(led, {"date": day, "entity_type": ty}),
+        "totals (filtered, month-partitioned ledger)": totals(by_month, {"date": day, "entity_type": ty}),
         "rollup_table": rollup_table(led),
         "node_table (filtered)": node_table(led, {"entity_type": ty}),
         "browse": browse(led, {"date": day}),
@@ -76,8 +80,8 @@ def main(sf_dir: str) -> None:
     print("# Physical plans\n")
     print(f"Saved ledger from `{sf_dir}` (range-partitioned, sorted Parquet), `local[8]`, AQE on. Each query "
           "is run once, then `explain(\"formatted\")` shows AQE's final plan; counts are taken from it.\n")
-    print("| Operator | Exchanges | Expand | Codegen operators / all | Python stages | Pushed filters | Read columns |")
-    print("|---|---|---|---|---|---|---|")
+    print("| Operator | Exchanges | Expand | Codegen operators / all | Python stages | Partition filters | Pushed filters | Read columns |")
+    print("|---|---|---|---|---|---|---|---|")
     texts = {}
     for name, df in ops.items():
         df.collect()
@@ -91,9 +95,11 @@ def main(sf_dir: str) -> None:
         python = len(re.findall(r"BatchEvalPython|ArrowEvalPython|MapInPandas|MapInArrow|FlatMapGroupsInPandas", text))
         pushed = sorted(set(re.findall(r"PushedFilters: \[([^\]]*)\]", text)))
         pushed = "; ".join(p for p in pushed if p) or "-"
+        parts = sorted(set(re.findall(r"PartitionFilters: \[([^\]]*)\]", text)))
+        parts = "; ".join(p for p in parts if p) or "-"
         schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
         cols = sorted({c.split(":")[0] for s in schemas for c in s.split(",") if c})
-        print(f"| {name} | {exchanges} | {expand} | {codegen} | {python} | {pushed} | {', '.join(cols)} |")
+        print(f"| {name} | {exchanges} | {expand} | {codegen} | {python} | {parts} | {pushed} | {', '.join(cols)} |")
     for name in ("totals (filtered)", "rollup_table", "leaf_cap (cap 10)", "ledger view (5-table join)"):
         print(f"\n## {name}\n\n```\n{final_tree(texts[name])}\n```")
 
