@@ -55,3 +55,32 @@ def test_leaf_cap_matches_brute_force(spark, rows, cap):
     want = sorted(r for rs in leaves.values() for r in sorted(rs)[:cap])
     got = sorted(tuple(x[c] for c in COLUMNS) for x in leaf_cap(_frame(spark, rows), cap).collect())
     assert got == want
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text(alphabet="0123456789eE+-.dfnaix_, \t ", max_size=8), min_size=1, max_size=50))
+def test_number_rule_matches_python(spark, values):
+    import math
+    import re
+
+    from pyspark.sql import functions as F
+
+    from ledgerlake.functions import cleaning as C
+
+    def rule(v):
+        s = v.strip(C.WHITESPACE)
+        if not re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", s):
+            return 0.0
+        x = float(s)
+        return x if math.isfinite(x) else 0.0
+
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r[0] for r in df.select(C.clean_number(F.col("v"))).collect()]
+    assert got == [rule(v) for v in values]
+    # The staged normalize applies the same rule.
+    from ledgerlake import normalize
+    from ledgerlake.schema import RAW_SCHEMA
+
+    raw = spark.createDataFrame([(str(i), "T", "S", "N", "V", "P", v, "0", "0", "0") for i, v in enumerate(values)], RAW_SCHEMA)
+    staged = [r["cash_dr"] for r in normalize(raw).collect()]
+    assert sorted(staged) == sorted(rule(v) for v in values)
