@@ -84,3 +84,23 @@ def test_number_rule_matches_python(spark, values):
     raw = spark.createDataFrame([(str(i), "T", "S", "N", "V", "P", v, "0", "0", "0") for i, v in enumerate(values)], RAW_SCHEMA)
     staged = [r["cash_dr"] for r in normalize(raw).collect()]
     assert sorted(staged) == sorted(rule(v) for v in values)
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    st.lists(row, min_size=1, max_size=40),
+    st.integers(min_value=0, max_value=45),
+    st.integers(min_value=1, max_value=20),
+    st.booleans(),
+)
+def test_page_matches_python_slice(spark, rows, offset, limit, deep):
+    from ledgerlake.operators import paging
+
+    frame = sorted((*r[:6], *[float(v) for v in r[6:]]) for r in rows)
+    old = paging.DEEP_PAGE_ROWS
+    paging.DEEP_PAGE_ROWS = 0 if deep else 10**9
+    try:
+        got = [tuple(x[c] for c in COLUMNS) for x in paging.page(_frame(spark, rows), (), offset, limit).collect()]
+    finally:
+        paging.DEEP_PAGE_ROWS = old
+    assert got == frame[offset : offset + limit]
