@@ -10,22 +10,37 @@ query (or a lost executor) re-reads only uncommitted files.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake.operators.normalize import normalize
-from ledgerlake.schema import RAW_SCHEMA
+from ledgerlake.schema import COLUMNS, DISPLAY_NAMES, RAW_SCHEMA
+
+# JSON records may use the snake_case names or the display labels.
+_JSON_SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType(), True) for c in COLUMNS]
+    + [T.StructField(DISPLAY_NAMES[c], T.StringType(), True) for c in COLUMNS]
+)
 
 
 def ledger_stream(spark: SparkSession, folder: str, fmt: str = "csv", max_files: int = 100) -> DataFrame:
     """Raw ledger files arriving in ``folder`` as a cleaned streaming frame.
 
     CSV is read positionally with the all-string raw schema (header row
-    skipped), so column names in the files do not matter.
+    skipped), so column names in the files do not matter. JSON records are
+    matched by name (snake_case or display label).
     """
-    reader = spark.readStream.format(fmt).schema(RAW_SCHEMA).option("maxFilesPerTrigger", max_files)
+    schema = _JSON_SCHEMA if fmt == "json" else RAW_SCHEMA
+    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return normalize(reader.load(folder))
+    raw = reader.load(folder)
+    if fmt == "json":
+        raw = raw.select(
+            *[F.coalesce(F.col(f"`{c}`"), F.col(f"`{DISPLAY_NAMES[c]}`")).cast("string").alias(c) for c in COLUMNS]
+        )
+    return normalize(raw)
 
 
 def start_ingest(

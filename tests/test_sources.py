@@ -162,3 +162,12 @@ def test_workbook_cell_kinds():
             z.writestr(n, b)
     rows = list(workbook_rows(open(path, "rb").read(), 10))
     assert rows == [["2024-01-15 12:00:00", " Inline ", None, "TRUE", None, None, "12.25", None, None, None]]
+
+
+def test_streaming_json_by_display_names(spark, six):
+    src, out, ck = _tmp(), os.path.join(_tmp(), "ledger"), os.path.join(_tmp(), "ck")
+    with open(os.path.join(src, "a.json"), "w") as f:
+        for r in SIX_ROWS:
+            f.write(json.dumps(dict(zip(HEADER, r))) + "\n")
+    start_ingest(spark, src, out, ck, fmt="json", available_now=True).awaitTermination(120)
+    assert _rows(spark.read.parquet(out)) == _rows(six)
