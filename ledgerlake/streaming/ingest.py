@@ -17,10 +17,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlake.operators.normalize import normalize
 from ledgerlake.schema import COLUMNS, DISPLAY_NAMES, RAW_SCHEMA
 
-# JSON records may use the snake_case names or the display labels.
+# JSON records may use the snake_case names or the display labels (Spark
+# matches names case-insensitively, so a label equal up to case is shared).
+_ALIASES = {c: DISPLAY_NAMES[c] for c in COLUMNS if DISPLAY_NAMES[c].lower() != c}
 _JSON_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType(), True) for c in COLUMNS]
-    + [T.StructField(DISPLAY_NAMES[c], T.StringType(), True) for c in COLUMNS]
+    + [T.StructField(a, T.StringType(), True) for a in _ALIASES.values()]
 )
 
 
@@ -38,7 +40,10 @@ def ledger_stream(spark: SparkSession, folder: str, fmt: str = "csv", max_files:
     raw = reader.load(folder)
     if fmt == "json":
         raw = raw.select(
-            *[F.coalesce(F.col(f"`{c}`"), F.col(f"`{DISPLAY_NAMES[c]}`")).cast("string").alias(c) for c in COLUMNS]
+            *[
+                (F.coalesce(F.col(f"`{c}`"), F.col(f"`{_ALIASES[c]}`")) if c in _ALIASES else F.col(f"`{c}`")).alias(c)
+                for c in COLUMNS
+            ]
         )
     return normalize(raw)
 
