@@ -17,14 +17,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlake.operators.normalize import normalize
 from ledgerlake.schema import COLUMNS, DISPLAY_NAMES, RAW_SCHEMA
 
-# JSON records may use the snake_case names or the display labels (Spark
-# matches names case-insensitively, so a label equal up to case is shared).
-_ALIASES = {c: DISPLAY_NAMES[c] for c in COLUMNS if DISPLAY_NAMES[c].lower() != c}
-_JSON_SCHEMA = T.StructType(
-    [T.StructField(c, T.StringType(), True) for c in COLUMNS]
-    + [T.StructField(a, T.StringType(), True) for a in _ALIASES.values()]
-)
-
 
 def ledger_stream(spark: SparkSession, folder: str, fmt: str = "csv", max_files: int = 100) -> DataFrame:
     """Raw ledger files arriving in ``folder`` as a cleaned streaming frame.
@@ -33,18 +25,19 @@ def ledger_stream(spark: SparkSession, folder: str, fmt: str = "csv", max_files:
     skipped), so column names in the files do not matter. JSON records are
     matched by name (snake_case or display label).
     """
-    schema = _JSON_SCHEMA if fmt == "json" else RAW_SCHEMA
-    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    raw = reader.load(folder)
     if fmt == "json":
-        raw = raw.select(
-            *[
-                (F.coalesce(F.col(f"`{c}`"), F.col(f"`{_ALIASES[c]}`")) if c in _ALIASES else F.col(f"`{c}`")).alias(c)
-                for c in COLUMNS
-            ]
+        # JSON Lines, keys snake_case or display labels (either case):
+        # parsed into a string map, so each key is looked up exactly.
+        lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(folder)
+        record = F.from_json(F.col("value"), T.MapType(T.StringType(), T.StringType()))
+        raw = lines.select(record.alias("r")).select(
+            *[F.coalesce(F.col("r")[c], F.col("r")[DISPLAY_NAMES[c]]).alias(c) for c in COLUMNS]
         )
+    else:
+        reader = spark.readStream.format(fmt).schema(RAW_SCHEMA).option("maxFilesPerTrigger", max_files)
+        if fmt == "csv":
+            reader = reader.option("header", True)
+        raw = reader.load(folder)
     return normalize(raw)
 
 
