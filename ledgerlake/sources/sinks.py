@@ -49,10 +49,16 @@ def read_saved_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
+def write_report(
+    df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite", ordered: bool = True
+) -> None:
     """Write an ``export_report`` result; CSV gets a header row. Files are
-    written in parallel, one per task; the TOTAL row is flagged by
-    ``is_total`` rather than by position."""
+    written in parallel, one per task. With ``ordered`` the rows are sorted
+    (range-partitioned, so no single task sorts everything) by ``is_total``
+    and then the ledger columns: the part files, in name order, read like
+    the report, with the TOTAL row last."""
+    if ordered and "is_total" in df.columns:
+        df = df.orderBy("is_total", *[c for c in COLUMNS if c in df.columns])
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", True)

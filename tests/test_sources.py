@@ -171,3 +171,18 @@ def test_streaming_json_by_display_names(spark, six):
             f.write(json.dumps(dict(zip(HEADER, r))) + "\n")
     start_ingest(spark, src, out, ck, fmt="json", available_now=True).awaitTermination(120)
     assert _rows(spark.read.parquet(out)) == _rows(six)
+
+
+def test_ordered_report_ends_with_total(spark, six):
+    import glob
+
+    d = os.path.join(_tmp(), "ordered")
+    write_report(export_report(six), d, "csv")
+    lines = []
+    for part in sorted(glob.glob(os.path.join(d, "part-*.csv"))):
+        with open(part) as f:
+            rows = list(csv.reader(f))
+        lines += rows[1:]  # each part file has its own header
+    assert len(lines) == 7
+    assert lines[-1][5] == "TOTAL"
+    assert [r[0] for r in lines[:-1]] == sorted(r[0] for r in lines[:-1])
