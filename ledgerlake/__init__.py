@@ -15,7 +15,16 @@ from ledgerlake.operators.reports import (
     monthly_reconciliation,
     range_totals,
 )
-from ledgerlake.operators.rollup import flat_hierarchy, flat_hierarchy_nested, group_lookup, level_summary, rollup_table
+from ledgerlake.operators.rollup import (
+    flat_hierarchy,
+    flat_hierarchy_nested,
+    group_lookup,
+    level_summary,
+    rollup_children,
+    rollup_lookup,
+    rollup_table,
+    write_rollup,
+)
 from ledgerlake.operators.totals import filter_options, profile, totals
 from ledgerlake.operators.tree import (
     browse,
@@ -40,5 +49,5 @@ __all__ = [
     "level_summary", "rollup_table", "filter_options", "profile", "totals", "browse", "children", "hierarchy",
     "leaf_cap", "leaf_nodes", "leaf_overflow", "node_table", "transactions", "generate_ledger", "generate_rows",
     "read_ledger", "read_workbooks", "read_saved_ledger", "json_records", "write_ledger", "write_report", "ledger_stream",
-    "start_ingest", "format_amount", "format_inr",
+    "start_ingest", "format_amount", "format_inr", "write_rollup", "rollup_lookup", "rollup_children",
 ]

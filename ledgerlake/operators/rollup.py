@@ -134,3 +134,49 @@ def flat_hierarchy_nested(
         *NODE_MEASURES,
     )
     return groups.join(chunks, on=DIMS, how="inner")
+
+
+def write_rollup(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Save ``rollup_table`` once (the reference's load-time aggregates), ranged
+    and sorted by (level, dims) so lookups skip row groups by min/max."""
+    r = rollup_table(df)
+    keys = ["level", *DIMS]
+    r.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+
+
+def _prefix_filter(rollup: DataFrame, values: Sequence[str]) -> DataFrame:
+    cond = F.col("level") == F.lit(len(values) - 1)
+    for d, v in zip(DIMS, values):
+        cond = cond & (F.col(d) == F.lit(str(v)))
+    return rollup.filter(cond)
+
+
+def rollup_lookup(rollup: DataFrame, keys: Mapping[str, str | None]) -> DataFrame:
+    """``group_lookup`` answered from a saved rollup: the keys must be a
+    prefix of the levels (date, then type, ...). A group that does not exist
+    gives zeros; no keys gives the grand total. Same columns as
+    ``group_lookup``."""
+    f = LedgerFilter.of(keys)
+    items = f.items()
+    values = [v for _, v in items]
+    if [c for c, _ in items] != DIMS[: len(items)]:
+        raise ValueError("rollup_lookup needs a prefix of the levels; use group_lookup for other key sets")
+    hit = _prefix_filter(rollup, values)
+    sums = [F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in [*MEASURES, "gross_total"]]
+    return hit.agg(
+        F.lit(len(items)).alias("level"), F.coalesce(F.sum("row_count"), F.lit(0)).cast("bigint").alias("row_count"), *sums
+    ).select("level", *NODE_MEASURES)
+
+
+def rollup_children(rollup: DataFrame, path: Sequence[str]) -> DataFrame:
+    """The child group nodes of ``path`` (fewer than four values) read from
+    a saved rollup, in the same node shape as ``tree.children``."""
+    from ledgerlake.operators.tree import _group_nodes
+
+    if len(path) >= len(DIMS):
+        raise ValueError("leaf transactions are not in the rollup; use tree.children on the ledger")
+    level = len(path)
+    cond = F.col("level") == F.lit(level)
+    for d, v in zip(DIMS, path):
+        cond = cond & (F.col(d) == F.lit(str(v)))
+    return _group_nodes(rollup.filter(cond), level)

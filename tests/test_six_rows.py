@@ -183,3 +183,25 @@ def test_date_objects_in_filters(six):
     assert (t["row_count"], t["cash_dr"]) == (2, 15000.0)
     got = {r["label"] for r in children(six, [dt.date(2024, 1, 16)]).collect()}
     assert got == {"Vendor"}
+
+
+def test_saved_rollup_answers_lookups(spark, six):
+    import tempfile
+
+    from ledgerlake.operators.rollup import rollup_children, rollup_lookup, write_rollup
+
+    path = tempfile.mkdtemp(prefix="ledgerlake-rollup-") + "/r"
+    write_rollup(six, path)
+    r = spark.read.parquet(path)
+    for keys in ({}, {"date": "2024-01-17"}, {"date": "2024-01-17", "entity_type": "Customer"},
+                 {"date": "2024-01-15", "entity_type": "Customer", "entity_sub_type": "Retail", "entity_name": "ABC Corp"},
+                 {"date": "1999-01-01"}):
+        assert one(rollup_lookup(r, keys)) == one(group_lookup(six, keys))
+    for path_ in ([], ["2024-01-16"], ["2024-01-16", "Vendor"], ["2024-01-16", "Vendor", "Service"]):
+        a = sorted(tuple(x) for x in rollup_children(r, path_).collect())
+        b = sorted(tuple(x) for x in children(six, path_).collect())
+        assert a == b
+    import pytest
+
+    with pytest.raises(ValueError):
+        rollup_lookup(r, {"entity_type": "Customer"})
