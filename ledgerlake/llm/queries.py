@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, decontaminate, line_dedup, mixing, pii, warc
+from ledgerlake.llm import chat, decontaminate, line_dedup, mixing, pii, simhash, substring, warc
 from ledgerlake.llm.common import text_or_empty
 from ledgerlake.session import shared_dir
 from ledgerlake.sources.tables import read_table
@@ -21,6 +21,20 @@ LANG_TARGETS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
 TOPIC_TARGETS = {"prose": 0.80, "legal": 0.05, "contact": 0.10, "noise": 0.05}
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.substring_dedup(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        "doc_id", simhash.hex_fingerprint(F.col("fingerprint")).alias("fingerprint"), "component_id"
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell, tokens, keep probability and draw."""
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"), SOURCE_TARGETS, LANG_TARGETS, TOPIC_TARGETS)
@@ -92,6 +106,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
+        "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
         "op6_decontaminate": op6_decontaminate,
         "op7_warc": op7_warc,
