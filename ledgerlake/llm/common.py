@@ -48,6 +48,21 @@ def parts_by_size(df: DataFrame, size: Column, per_part: int) -> tuple[int, int]
     return max(shuffle_partitions(df), -(-total // per_part), 1), total
 
 
+_SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+_TO_SPACE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
+
+
+def spaced(text: str | None) -> bytes:
+    """UTF-8 with A-Z lower-cased and every ASCII character that is neither
+    letter nor digit as a space."""
+    return (text or "").encode("utf-8").lower().translate(_TO_SPACE)
+
+
+def alnum_words(text: str | None) -> list[bytes]:
+    """Lower-cased runs of ASCII letters, digits and non-ASCII characters."""
+    return spaced(text).split()
+
+
 class WordHashes(dict):
     """Word (bytes) to a 64-bit hash, computed once for each distinct word."""
 

@@ -31,15 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import bounded_arrow, rolling, small_batches
+from ledgerlake.llm.common import alnum_words, bounded_arrow, rolling, small_batches, spaced
 
 WINDOW = 10
 #: Windows sent to the executors at once (about 200 bytes each).
 MAX_WINDOWS = 400_000
 
-_SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
-_TO_SPACE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
-
 HIT_FIELDS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
@@ -48,16 +45,11 @@ HIT_FIELDS = [
 ]
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words; only bytes below 0x80 separate."""
-    return (text or "").encode("utf-8").lower().translate(_TO_SPACE).split()
-
-
 def item_windows(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[str]]:
     """Window words to the ids (as strings) of the items that hold them."""
     found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for item, text in items:
-        words = words_of(text)
+        words = alnum_words(text)
         n = min(window, len(words))
         for i in range(len(words) - n + 1) if n else ():
             found[tuple(words[i : i + n])].add(str(item))
@@ -115,7 +107,7 @@ def _scanner(index_of, names: list[str], schema: pa.Schema):
             for batch in small_batches(whole):
                 n_words, n_hit, found, spans = [], [], [], []
                 for text in batch.column(names.index("text")).to_pylist():
-                    words = words_of(text)
+                    words = alnum_words(text)
                     mask, items = index.hits(words)
                     n_words.append(len(words))
                     n_hit.append(int(mask.sum()))
@@ -210,10 +202,10 @@ def decontaminate(
 def cut_words(text: str, spans: list[list[int]]) -> str:
     """``text`` without the words of each [start, end) range."""
     data = text.encode("utf-8")
-    spaced = data.lower().translate(_TO_SPACE)
+    clean = spaced(text)
     bounds, at = [], 0
-    for word in spaced.split():
-        at = spaced.index(word, at)
+    for word in clean.split():
+        at = clean.index(word, at)
         bounds.append((at, at + len(word)))
         at += len(word)
     pieces, last = [], 0

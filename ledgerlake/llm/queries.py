@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, decontaminate, line_dedup, mixing, pii, simhash, substring, warc
+from ledgerlake.llm import chat, decontaminate, fingerprint, line_dedup, mixing, pii, simhash, substring, warc
 from ledgerlake.llm.common import text_or_empty
 from ledgerlake.session import shared_dir
 from ledgerlake.sources.tables import read_table
@@ -21,6 +21,10 @@ LANG_TARGETS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
 TOPIC_TARGETS = {"prose": 0.80, "legal": 0.05, "contact": 0.10, "noise": 0.05}
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_robustness(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.substring_dedup(docs).select(
@@ -106,6 +110,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_imatch": op1_imatch,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
