@@ -7,11 +7,13 @@ holds. Raking scales the cells' token weights to one marginal after the
 other, ``sweeps`` times. The cell table, bounded as it is, sits in one
 partition, so the sweeps are windows without a shuffle.
 
-A document of a cell is kept with probability weight / tokens, scaled so
-that the most wanted cell is kept whole: with no probability cut at 1, the
-expected kept tokens meet the fitted marginals. The draw is a hash of the
-document's id and text against that probability: the same on every run and
-after a lost executor, and no shuffle of documents.
+The weights are raked to ``keep_share`` of all tokens. No document can be
+kept more than once, so after each sweep a cell's weight is cut to its
+tokens, and the next sweep moves what is missing to other cells of its
+marginals. A document is kept with the calibrated probability weight /
+tokens of its cell: the expected kept tokens are the weights. The draw is a
+hash of the document's id and text against that probability: the same on
+every run and after a lost executor, and no shuffle of documents.
 
 Targets are shares; each marginal's named values share one minus the part
 that "other" has in the data. A named value without documents gets none, and
@@ -19,8 +21,8 @@ its share goes to the others in proportion.
 
 Defined results: null texts and empty texts have no tokens but are drawn
 like their cell; null source or language counts as "other"; repeated rows
-are drawn alike; a cell without tokens keeps its documents with the scale
-of weight 1; an empty table gives an empty result; other columns pass
+are drawn alike; a cell without tokens keeps its documents with probability
+``keep_share``; an empty table gives an empty result; other columns pass
 through.
 """
 
@@ -34,6 +36,9 @@ from ledgerlake.session import ensure_checkpoint_dir
 
 OTHER = "other"
 SWEEPS = 20
+KEEP_SHARE = 0.5
+#: Sweeps in one plan; then the cells are checkpointed.
+PLANNED_SWEEPS = 4
 MARGINS = ("mix_source", "mix_lang", "mix_topic")
 #: Topics by what a text holds: the first pattern that matches.
 TOPIC_RULES = (
@@ -62,9 +67,12 @@ def _named(c: Column, targets: dict[str, float]) -> Column:
     return F.when(c.isin(*targets), c).otherwise(F.lit(OTHER))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = SWEEPS) -> DataFrame:
+def rake(
+    cells: DataFrame, targets: dict[str, dict[str, float]], keep_share: float = KEEP_SHARE, sweeps: int = SWEEPS
+) -> DataFrame:
     """``cells`` (margin columns and ``tokens``) with ``weight``: tokens
-    raked to ``targets`` (margin column to {value: share})."""
+    raked to ``targets`` (margin column to {value: share}) of ``keep_share``
+    of all tokens, in no cell more than its tokens."""
     everything = Window.partitionBy(F.lit(1))
     df = cells.withColumn("total", F.sum("tokens").over(everything))
     for margin, shares in targets.items():
@@ -85,11 +93,15 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int = S
             )
             .drop("own", "rest", "share", "first", "present")
         )
-    df = df.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
+    df = df.withColumn("weight", F.col("tokens") * keep_share)
+    for sweep in range(sweeps):
         for margin in targets:
             now = F.sum("weight").over(Window.partitionBy(margin))
-            df = df.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{margin}") / now).otherwise(0.0))
+            goal = F.col(f"goal_{margin}") * keep_share
+            df = df.withColumn("weight", F.when(now > 0, F.col("weight") * goal / now).otherwise(0.0))
+        df = df.withColumn("weight", F.least("weight", F.col("tokens").cast("double")))
+        if sweep % PLANNED_SWEEPS == PLANNED_SWEEPS - 1:
+            df = df.checkpoint()
     return df.drop("total", *[f"goal_{m}" for m in targets])
 
 
@@ -98,6 +110,7 @@ def mix(
     source_targets: dict[str, float],
     lang_targets: dict[str, float],
     topic_targets: dict[str, float],
+    keep_share: float = KEEP_SHARE,
     sweeps: int = SWEEPS,
     seed: str = "mix",
 ) -> DataFrame:
@@ -116,15 +129,9 @@ def mix(
     )
     cells = tagged.groupBy(*MARGINS).agg(F.sum("mix_tokens").alias("tokens")).coalesce(1).checkpoint()
     targets = dict(zip(MARGINS, (source_targets, lang_targets, topic_targets)))
-    fitted = rake(cells, targets, sweeps)
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
-    top = F.max("ratio").over(Window.partitionBy(F.lit(1)))
-    rates = (
-        fitted.withColumn("ratio", ratio)
-        .withColumn("keep_p", F.when(top > 0, F.least(F.lit(1.0), F.col("ratio") / top)).otherwise(1.0))
-        .select(*MARGINS, "keep_p")
-        .checkpoint()
-    )
+    fitted = rake(cells, targets, keep_share, sweeps)
+    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(keep_share))
+    rates = fitted.select(*MARGINS, rate.alias("keep_p")).checkpoint()
     base = tagged.select(*[F.col(f"`{c}`") for c in tagged.columns if c not in ("keep_p", "kept")])
     # One row for each cell: bounded by the targets, whatever the corpus.
     joined = base.join(F.broadcast(rates), list(MARGINS), "left")

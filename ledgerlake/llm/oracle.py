@@ -81,8 +81,64 @@ FROM placed GROUP BY conv_id, perspective, part
 """
 
 
+def _mixing() -> str:
+    from ledgerlake.llm import mixing
+    from ledgerlake.llm.queries import LANG_TARGETS, SOURCE_TARGETS, TOPIC_TARGETS
+
+    targets = dict(zip(mixing.MARGINS, (SOURCE_TARGETS, LANG_TARGETS, TOPIC_TARGETS)))
+
+    def named(column: str, values) -> str:
+        return f"CASE WHEN {column} IN ({', '.join(map(repr, values))}) THEN {column} ELSE 'other' END"
+
+    topic = " ".join(
+        f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{name}'" for name, p in mixing.TOPIC_RULES
+    )
+    parts = [
+        f"""tagged AS (
+  SELECT doc_id, text, {named('source', SOURCE_TARGETS)} AS mix_source, {named('lang', LANG_TARGETS)} AS mix_lang,
+         CASE {topic} ELSE '{mixing.DEFAULT_TOPIC}' END AS mix_topic,
+         len(regexp_extract_all(coalesce(text, ''), '[^{_WS[1:-1]}]+'))::BIGINT AS mix_tokens
+  FROM documents
+)""",
+        "cells AS (SELECT mix_source, mix_lang, mix_topic, sum(mix_tokens)::DOUBLE AS tokens FROM tagged GROUP BY ALL)",
+    ]
+    goals = []
+    for margin, shares in targets.items():
+        values = ", ".join(f"('{v}', {x!r})" for v, x in shares.items())
+        parts.append(
+            f"""goal_{margin} AS (
+  SELECT {margin}, own, CASE WHEN share IS NULL THEN own ELSE share / (sum(share) FILTER (own > 0) OVER ())
+         * (sum(own) OVER () - coalesce(sum(own) FILTER ({margin} = 'other') OVER (), 0)) END AS goal_{margin}
+  FROM (SELECT {margin}, sum(tokens) AS own FROM cells GROUP BY 1) LEFT JOIN (VALUES {values}) AS t({margin}, share) USING ({margin})
+)"""
+        )
+        goals.append(f"JOIN goal_{margin} USING ({margin})")
+    parts.append(
+        f"w0 AS (SELECT c.*, tokens * {mixing.KEEP_SHARE} AS weight, {', '.join('goal_' + m for m in targets)} FROM cells c {' '.join(goals)})"
+    )
+    last = "w0"
+    for sweep in range(mixing.SWEEPS):
+        for margin in targets:
+            name = f"w{sweep}_{margin}"
+            now = f"sum(weight) OVER (PARTITION BY {margin})"
+            parts.append(
+                f"{name} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {now} > 0 THEN weight * (goal_{margin} * {mixing.KEEP_SHARE}) / {now} ELSE 0 END AS weight) FROM {last})"
+            )
+            last = name
+        name = f"w{sweep + 1}"
+        parts.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (least(weight, tokens) AS weight) FROM {last})")
+        last = name
+    parts.append(f"rates AS (SELECT mix_source, mix_lang, mix_topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE {mixing.KEEP_SHARE} END AS keep_p FROM {last})")
+    return f"""WITH {', '.join(parts)}
+SELECT doc_id, mix_source, mix_lang, mix_topic, mix_tokens, round(keep_p, 9) AS keep_p,
+       ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT / {float(1 << 52)!r} < keep_p AS kept
+FROM tagged JOIN rates USING (mix_source, mix_lang, mix_topic)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_mixing": _mixing(),
         "op6_decontaminate": DECONTAMINATE,
         "op7_warc": WARC,
         "op9_line_dedup": LINE_DEDUP,

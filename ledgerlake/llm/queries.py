@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, decontaminate, fingerprint, line_dedup, mixing, pii, simhash, substring, warc
+from ledgerlake.llm import chat, decontaminate, fingerprint, line_dedup, mixing, pii, simhash, substring, toxicity, warc
 from ledgerlake.llm.common import text_or_empty
 from ledgerlake.session import shared_dir
 from ledgerlake.sources.tables import read_table
@@ -32,6 +32,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select(
@@ -112,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_imatch": op1_imatch,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_toxicity": op3_toxicity,
         "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
         "op6_decontaminate": op6_decontaminate,
