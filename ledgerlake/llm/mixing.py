@@ -35,10 +35,10 @@ from ledgerlake.llm.common import WHITESPACE, text_or_empty
 from ledgerlake.session import ensure_checkpoint_dir
 
 OTHER = "other"
-SWEEPS = 20
+SWEEPS = 12
 KEEP_SHARE = 0.5
 #: Sweeps in one plan; then the cells are checkpointed.
-PLANNED_SWEEPS = 4
+PLANNED_SWEEPS = 3
 MARGINS = ("mix_source", "mix_lang", "mix_topic")
 #: Topics by what a text holds: the first pattern that matches.
 TOPIC_RULES = (
