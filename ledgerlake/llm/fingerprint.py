@@ -2,8 +2,8 @@
 
 Terms are lower-cased runs of ASCII letters, digits and non-ASCII
 characters. The lexicon keeps the terms whose inverse document frequency
-ln(N / df) lies in a band, counted over all documents. A text's distinct
-lexicon terms are sorted, and for each of 64 random subsets of the lexicon
+ln(N / df) lies in a band, counted over all documents; terms are told apart
+by 64-bit hashes. A text's distinct lexicon terms are sorted, and for each of 64 random subsets of the lexicon
 the run of those terms that are in the subset is hashed to 16 bits; a
 subset that the text has no term of gives 0. Subsets come in five sizes,
 from a half of the lexicon to one 512th: large ones break at any change,
@@ -51,8 +51,8 @@ SUBSETS = ((2, 1), (6, 3), (14, 5), (20, 7), (22, 9))
 TASK_TERMS = 500_000
 BUCKET_CHARS = 16_000_000
 
-_DF = "term binary, df long"
-_DF_ARROW = pa.schema([("term", pa.binary()), ("df", pa.int64())])
+_DF = "term long, df long"
+_DF_ARROW = pa.schema([("term", pa.int64()), ("df", pa.int64())])
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,34 +69,38 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], schema=_DF_ARROW)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(_hashed(counts).view(np.int64)), pa.array(counts.values(), pa.int64())], schema=_DF_ARROW
+    )
 
 
-def lexicon(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> list[bytes]:
-    """The terms of ``docs.text`` in the band, sorted."""
+def _hashed(terms) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t, SEED) for t in terms), np.uint64, len(terms))
+
+
+def lexicon(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> np.ndarray:
+    """The hashes of the terms of ``docs.text`` in the band, sorted."""
     bounded_arrow(docs.sparkSession)
     n = docs.count()
     low, high = n * math.exp(-max_idf), n * math.exp(-min_idf)
     per_term = docs.select("text").mapInArrow(_count_terms, _DF).groupBy("term").agg(F.sum("df").alias("df"))
     band = per_term.where(F.col("df").between(math.ceil(low), math.floor(high))).select("term")
-    return sorted(bytes(r["term"]) for r in band.toLocalIterator())
+    return np.sort(np.array([r["term"] for r in band.toLocalIterator()], np.int64).view(np.uint64))
 
 
 class Subsets:
     """Which subsets each term is in, and hashes of texts by subset."""
 
-    def __init__(self, terms: list[bytes], min_terms: int = MIN_TERMS, seed: int = SEED):
+    def __init__(self, terms: np.ndarray, min_terms: int = MIN_TERMS):
         self.powers = np.repeat([p for _, p in SUBSETS], [n for n, _ in SUBSETS])
-        self.min_terms, self.seed = min_terms, seed
-        self.index = {t: i for i, t in enumerate(terms)}
-        self.known = frozenset(terms)
-        self.hash, self.member = self._of(terms)
-
-    def _of(self, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each term, and a bit for each subset it is in."""
-        own = np.fromiter((xxhash.xxh3_64_intdigest(t, self.seed) for t in terms), np.uint64, len(terms))
+        self.terms, self.min_terms = terms, min_terms
+        self.member = self._membership(terms)
+        self.hashes: dict[bytes, int] = {}
+
+    def _membership(self, terms: np.ndarray) -> np.ndarray:
+        """A bit for each subset that a term is in."""
         member = np.zeros(len(terms), np.uint64)
-        draw = own
+        draw = terms
         for k, power in enumerate(self.powers.tolist()):
             # A multiplicative generator, seeded by the term, of which the
             # highest bits decide: all zero with probability 1 / 2^power.
@@ -104,17 +108,26 @@ class Subsets:
             mixed = draw ^ (draw >> np.uint64(29))
             mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
             member |= ((mixed >> np.uint64(64 - power)) == 0).astype(np.uint64) << np.uint64(k)
-        return own, member
+        return member
+
+    def _terms_of(self, text: str | None) -> np.ndarray:
+        """Hashes of the distinct terms, sorted."""
+        terms, known = set(alnum_words(text)), self.hashes
+        if len(known) > TASK_TERMS:
+            known.clear()
+        for t in terms - known.keys():
+            known[t] = xxhash.xxh3_64_intdigest(t, SEED)
+        return np.sort(np.fromiter(map(known.__getitem__, terms), np.uint64, len(terms)))
 
     def fingerprint(self, text: str | None) -> np.ndarray:
-        terms = set(alnum_words(text))
-        found = terms & self.known
+        own = self._terms_of(text)
         out = np.zeros(len(self.powers), "<u2")
-        if len(found) >= self.min_terms:
-            at = np.array(sorted(map(self.index.__getitem__, found)))  # in the order of the terms
-            own, member = self.hash[at], self.member[at]
+        at = np.minimum(np.searchsorted(self.terms, own), max(len(self.terms) - 1, 0))
+        found = self.terms[at] == own if len(self.terms) else np.zeros(len(own), bool)
+        if found.sum() >= self.min_terms:
+            own, member = own[found], self.member[at[found]]
         else:
-            own, member = self._of(sorted(terms))
+            member = self._membership(own)
         if len(own):
             inside = (member[None, :] >> np.arange(len(out), dtype=np.uint64)[:, None]) & np.uint64(1) == 1
             for k in np.flatnonzero(inside.any(axis=1)).tolist():
@@ -134,11 +147,7 @@ def as_text(fingerprint: np.ndarray) -> str:
     return fingerprint.astype(">u2").tobytes().hex()
 
 
-def from_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u2").astype("<u2")
-
-
-def imatch(docs: DataFrame, terms: list[bytes] | None = None, min_terms: int = MIN_TERMS) -> DataFrame:
+def imatch(docs: DataFrame, terms: np.ndarray | None = None, min_terms: int = MIN_TERMS) -> DataFrame:
     """``docs`` with ``fingerprint``, by the lexicon ``terms`` (default:
     that of ``docs``). An input column of this name is replaced."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -160,9 +169,9 @@ def imatch(docs: DataFrame, terms: list[bytes] | None = None, min_terms: int = M
     return base.mapInArrow(add, out)
 
 
-_PLACED = "bucket long, guest boolean, doc_id long, text string, text_hash long, fingerprint string"
+_PLACED = "bucket long, guest boolean, doc_id long, text string, text_hash long"
 _PLACED_ARROW = pa.schema(
-    [("bucket", pa.int64()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string()), ("text_hash", pa.int64()), ("fingerprint", pa.string())]
+    [("bucket", pa.int64()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string()), ("text_hash", pa.int64())]
 )
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _EDITED_ARROW = pa.schema(
@@ -178,7 +187,7 @@ def edited_by_next(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def edit_robustness(docs: DataFrame, terms: list[bytes] | None = None, min_terms: int = MIN_TERMS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+def edit_robustness(docs: DataFrame, terms: np.ndarray | None = None, min_terms: int = MIN_TERMS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """How a fingerprint changes when half of a text does: for each row of
     ``docs`` (``doc_id``, ``text``), its fingerprint, that of the text
     edited with the next document's beginning, and the likeness to that and
@@ -205,7 +214,6 @@ def edit_robustness(docs: DataFrame, terms: list[bytes] | None = None, min_terms
     edges = np.asarray(starts, np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subsets = Subsets(sent.value, min_terms)
         guests: dict[int, tuple] = {}
         starting = {x: i for i, x in enumerate(firsts)}
         for whole in batches:
@@ -213,7 +221,7 @@ def edit_robustness(docs: DataFrame, terms: list[bytes] | None = None, min_terms
                 rows = []
                 for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns)):
                     bucket = 0 if doc_id is None else int(np.searchsorted(edges, doc_id, side="right"))
-                    row = (doc_id, text, text_hash, as_text(subsets.fingerprint(text)))
+                    row = (doc_id, text, text_hash)
                     rows.append((bucket, False, *row))
                     i = starting.get(doc_id)
                     if i is not None and (i not in guests or text_hash < guests[i][2]):
@@ -226,18 +234,20 @@ def edit_robustness(docs: DataFrame, terms: list[bytes] | None = None, min_terms
     def judge(table: pa.Table) -> pa.Table:
         subsets = Subsets(sent.value, min_terms)
         key = lambda r: (r[0] is not None, r[0] or 0, r[2])
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "text_hash", "fingerprint", "guest"))))
-        own = sorted((r for r in rows if not r[4]), key=key)
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "text_hash", "guest"))))
+        own = sorted((r for r in rows if not r[3]), key=key)
         out = []
         if own:
-            following = [*own[1:], min((r for r in rows if r[4]), key=key)]
-            for (doc_id, text, _, mark, _), after in zip(own, following):
+            following = [*own[1:], min((r for r in rows if r[3]), key=key)]
+            mark = subsets.fingerprint(own[0][1])
+            for (doc_id, text, _, _), after in zip(own, following):
                 edited = edited_by_next(text, after[1])
-                a, b = from_text(mark), subsets.fingerprint(edited)
+                changed, next_mark = subsets.fingerprint(edited), subsets.fingerprint(after[1])
                 out.append((
-                    doc_id, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), mark, as_text(b),
-                    likeness(a, b), likeness(a, from_text(after[3])),
+                    doc_id, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), as_text(mark), as_text(changed),
+                    likeness(mark, changed), likeness(mark, next_mark),
                 ))
+                mark = next_mark
         columns = zip(*out) if out else [[] for _ in _EDITED_ARROW]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _EDITED_ARROW)], schema=_EDITED_ARROW)
 
