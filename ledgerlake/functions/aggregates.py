@@ -1,16 +1,21 @@
 """Exact measure sums.
 
-Measures are stored as double but summed exactly: each amount becomes an
-integer count of 1e-4 units, split into three 21-bit limbs, and each limb
-is summed as a ``long`` (plain, codegen-friendly hash-aggregate buffers,
-with a map-side partial phase). After the aggregate, the limb sums are
-recombined once per group in ``decimal(38,4)`` and returned as double.
-
-The result does not depend on row or partition order (double sums do), a
-limb sum cannot overflow below 2^42 rows per group, and an amount that does
-not fit (|x| >= 9.2e14) raises under ANSI mode instead of turning into a
-wrong number. It equals ``sum(cast(x as decimal(28,4)))`` at about a third
-of the cost of decimal aggregation buffers.
+Measures are stored as double but summed exactly, as
+``sum(cast(x as decimal(28,4)))`` would: each amount becomes a count of
+1e-4 units. An amount below 1e11 with at most four decimals (its units,
+divided back, give the same double) takes a fast path: the units are split
+into three 21-bit limbs and each limb is summed as a ``long`` (plain,
+codegen-friendly hash-aggregate buffers, with a map-side partial phase).
+Every other amount is turned into ``decimal(28,4)`` by its shortest decimal
+text and summed as decimal. The
+result is the same on either path: two decimals of at most 15 digits never
+share a double. After the aggregate both are added once per group in
+``decimal(38,4)`` and returned as double.
+
+The result does not depend on row or partition order (double sums do), and
+a limb sum cannot overflow below 2^42 rows per group. Cleaning rejects (and
+counts) amounts of 1e24 or more, which ``decimal(28,4)`` can't hold; a sum
+over an uncleaned one stops the query, with ANSI mode on or off.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.cleaning import MAX_AMOUNT
 from ledgerlake.schema import MEASURES
 
 SCALE = 4
@@ -28,10 +34,32 @@ _LIMB_BITS = 21
 _LIMBS = 3
 _MASK = (1 << _LIMB_BITS) - 1
 SUM_TYPE = "decimal(38,4)"
+AMOUNT_TYPE = "decimal(28,4)"
+
+
+def _fast_sql(name: str) -> str:
+    x = f"CAST(`{name}` AS DOUBLE)"
+    return f"(abs({x}) < 1E11 AND rint({x} * {_UNIT:.1E}) / {_UNIT:.1E} = {x})"
 
 
 def _units_sql(name: str) -> str:
-    return f"CAST(rint(CAST(`{name}` AS DOUBLE) * {_UNIT:.1E}) AS BIGINT)"
+    return f"CASE WHEN {_fast_sql(name)} THEN CAST(rint(CAST(`{name}` AS DOUBLE) * {_UNIT:.1E}) AS BIGINT) ELSE 0L END"
+
+
+def _other_sql(name: str) -> str:
+    """The amount as a decimal when it is not on the fast path, else null."""
+    x = f"CAST(`{name}` AS DOUBLE)"
+    return (
+        f"CASE WHEN {x} IS NULL OR {_fast_sql(name)} THEN NULL "
+        f"WHEN abs({x}) >= {MAX_AMOUNT:.1E} THEN CAST(raise_error(concat('amount out of range: ', {x})) AS {AMOUNT_TYPE}) "
+        # The shortest text that reads as the same double: older JVMs print
+        # some doubles with a digit too many.
+        + "".join(
+            f"WHEN CAST(format_string('%.{d}e', {x}) AS DOUBLE) = {x} THEN CAST(format_string('%.{d}e', {x}) AS {AMOUNT_TYPE}) "
+            for d in (14, 15)
+        )
+        + f"ELSE CAST({x} AS {AMOUNT_TYPE}) END"
+    )
 
 
 def _limb_sql(name: str, i: int) -> str:
@@ -44,25 +72,30 @@ def _limb_name(name: str, i: int) -> str:
 
 
 def limb_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
-    """The limbs of every measure as columns, to project once before an
-    ``Expand`` (rollup) instead of recomputing them for every copied row."""
-    return [F.expr(_limb_sql(m, i)).alias(_limb_name(m, i)) for m in measures for i in range(_LIMBS)]
+    """The limbs (and the decimal rest) of every measure as columns, to
+    project once before an ``Expand`` (rollup) instead of recomputing them
+    for every copied row."""
+    limbs = [F.expr(_limb_sql(m, i)).alias(_limb_name(m, i)) for m in measures for i in range(_LIMBS)]
+    return limbs + [F.expr(_other_sql(m)).alias(_limb_name(m, _LIMBS)) for m in measures]
 
 
 def exact_sum_sql(name: str, from_limbs: bool = False) -> str:
     """SQL text of the exact sum of column ``name`` as ``decimal(38,4)``.
 
     Three ``long`` limb sums recombined in the aggregate's result
-    expression (no extra projection after the aggregate). With
-    ``from_limbs`` the limbs are read from ``limb_columns``. Written as SQL
-    text so a whole aggregate list costs a few JVM calls to build.
+    expression (no extra projection after the aggregate), plus the decimal
+    sum of the amounts off the fast path. With ``from_limbs`` both are read
+    from ``limb_columns``. Written as SQL text so a whole aggregate list
+    costs a few JVM calls to build.
     """
     parts = []
     for i in range(_LIMBS):
         limb = f"`{_limb_name(name, i)}`" if from_limbs else _limb_sql(name, i)
         s = f"CAST(COALESCE(SUM({limb}), 0) AS DECIMAL(38,0))"
         parts.append(s if i == 0 else f"{s} * CAST({1 << (_LIMB_BITS * i)} AS DECIMAL(38,0))")
-    return f"CAST(({' + '.join(parts)}) / {10**SCALE} AS {SUM_TYPE})"
+    other = f"`{_limb_name(name, _LIMBS)}`" if from_limbs else _other_sql(name)
+    fast = f"CAST(({' + '.join(parts)}) / {10**SCALE} AS {SUM_TYPE})"
+    return f"CAST({fast} + COALESCE(CAST(SUM({other}) AS {SUM_TYPE}), CAST(0 AS {SUM_TYPE})) AS {SUM_TYPE})"
 
 
 def exact_sum(c: str) -> Column:

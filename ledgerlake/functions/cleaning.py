@@ -16,15 +16,20 @@ from pyspark.sql import functions as F
 
 from ledgerlake.schema import UNKNOWN
 
-# Date layouts tried in order (month-first before day-first),
-# text tokens that mean "missing", and the shape of an accepted number.
-DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "MMM d yyyy",
+# Date layouts by the shape of the text, tried in order.
+# Ambiguous ones are read month first, and day first only if that is no
+# date (15/01/2024); two-digit years are 2000 to 2099. Text tokens that mean
+# "missing", and the shape of an accepted number.
+_CLOCK = r"[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+_CLOCK_FORMAT = "[ H:mm[:ss[.SSSSSSSSS]]]"
+DATE_LAYOUTS = [
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}({_CLOCK}(Z|[+-]\d{{2}}:?\d{{2}})?)?$", ["yyyy-M-d" + _CLOCK_FORMAT]),
+    (rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}({_CLOCK})?$", ["M/d/yyyy" + _CLOCK_FORMAT, "d/M/yyyy" + _CLOCK_FORMAT]),
+    (rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}}({_CLOCK})?$", ["M-d-yyyy" + _CLOCK_FORMAT, "d-M-yyyy" + _CLOCK_FORMAT]),
+    (rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}({_CLOCK})?$", ["yyyy/M/d" + _CLOCK_FORMAT]),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", ["M/d/yy", "d/M/yy"]),
+    (r"^\d{1,2}[- ][A-Za-z]{3,9}[- ]\d{4}$", ["d MMM yyyy", "d MMMM yyyy"]),
+    (r"^[A-Za-z]{3,9} \d{1,2},? \d{4}$", ["MMM d yyyy", "MMMM d yyyy"]),
 ]
 NULL_TOKENS = ["nan", "NaN", "None", "NA", "N/A", "null", "NULL"]
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -48,16 +53,40 @@ def strip_text(c: Column) -> Column:
     return F.btrim(c.cast("string"), F.lit(WHITESPACE))
 
 
-def parse_day(c: Column, formats: Sequence[str] = DATE_FORMATS, trim: bool = True) -> Column:
+def _with_layouts(s: Column) -> Column:
+    # A zone is dropped, not applied: the day is the one that is written.
+    zone = F.regexp_replace(s, r"(:\d{2}(\.\d+)?)(Z|[+-]\d{2}:?\d{2})$", "$1")
+    plain = F.when(s.rlike(r"^\d{4}-"), F.translate(zone, "T", " ")).when(
+        s.rlike("[A-Za-z]{3}"), F.translate(s, "-,", " ")
+    ).otherwise(F.translate(s, "T", " "))
+    out = None
+    for shape, formats in DATE_LAYOUTS:
+        day = F.coalesce(*[F.to_date(F.try_to_timestamp(plain, F.lit(f))) for f in formats])
+        out = F.when(s.rlike(shape), day) if out is None else out.when(s.rlike(shape), day)
+    return out
+
+
+def parse_day(c: Column, formats: Sequence[str] | None = None, trim: bool = True) -> Column:
     """Parse one raw date cell into a DateType value, null if no layout fits.
 
-    Each value is tried against every layout independently, so one file can
-    mix layouts. Bare numbers never parse.
+    Each value is read by its own shape, so one file can mix layouts; only
+    the layouts of that shape are tried. Bare numbers never parse. With
+    ``formats`` those are tried in order instead.
     """
     s = strip_text(c) if trim else c
+    if formats is None:
+        return _with_layouts(s)
     return F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(f))) for f in formats])
 
 
+def date_rejected(c: Column, day: Column) -> Column:
+    """1 when a cell that is neither blank nor a missing-token gave no
+    ``day``, else 0."""
+    s = strip_text(c)
+    blank = s.isNull() | (s == "") | s.isin(NULL_TOKENS)
+    return F.when(~blank & day.isNull(), 1).otherwise(0)
+
+
 def date_text(day: Column) -> Column:
     """Render a parsed day as ``yyyy-MM-dd``, or ``Unknown`` when missing."""
     return F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit(UNKNOWN))
@@ -70,9 +99,10 @@ def clean_text(c: Column, tokens: Sequence[str] = NULL_TOKENS, trim: bool = True
     return F.when(missing, F.lit(UNKNOWN)).otherwise(s)
 
 
-# Finite doubles only: NaN sorts above every value in Spark, so one range
-# test drops NaN and both infinities.
-MAX_DOUBLE = 1.7976931348623157e308
+# Amounts stay below what decimal(28,4) holds, so that sums are exact. NaN
+# sorts above every value in Spark: one range test drops it, both
+# infinities and what is too large.
+MAX_AMOUNT = 1e24
 
 
 def parse_number(s: Column) -> Column:
@@ -80,16 +110,21 @@ def parse_number(s: Column) -> Column:
     return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
 
 
+def in_range(v: Column) -> Column:
+    """Whether ``v`` is a number that an amount can be."""
+    return (v > -MAX_AMOUNT) & (v < MAX_AMOUNT)
+
+
 def finite(v: Column) -> Column:
-    """``v`` when it is a finite double, else null."""
-    return F.when(v.between(-MAX_DOUBLE, MAX_DOUBLE), v)
+    """``v`` when it is a number below MAX_AMOUNT, else null."""
+    return F.when(in_range(v), v)
 
 
 def number_or_null(c: Column, trim: bool = True) -> Column:
     """Accepted decimal or exponent number as double; null otherwise.
 
     The guard stops Spark from reading ``1d``, ``1f``, ``nan`` or ``inf``
-    as numbers; non-finite results (``1e999``) are rejected as well.
+    as numbers; results of 1e24 and more (``1e999``) are rejected as well.
     """
     return finite(parse_number(strip_text(c) if trim else c))
 

@@ -25,7 +25,7 @@ def _typed(df: DataFrame, name: str, kinds) -> bool:
 def normalize(
     df: DataFrame,
     drop_zero_rows: bool = False,
-    date_formats: Sequence[str] = C.DATE_FORMATS,
+    date_formats: Sequence[str] | None = None,
     null_tokens: Sequence[str] = C.NULL_TOKENS,
     with_rejects: bool = False,
 ) -> DataFrame:
@@ -33,7 +33,8 @@ def normalize(
 
     Output: the 10 ledger columns (no nulls) + ``txn_day`` (date, null when
     Unknown). ``with_rejects`` adds ``numeric_rejects``: how many non-blank
-    measure cells of the row were not numbers. ``drop_zero_rows`` removes
+    measure cells of the row were not numbers, and ``date_rejects``: 1 if a
+    date cell that is not blank fits no layout. ``drop_zero_rows`` removes
     rows whose four measures are all zero (each measure tested, so offsetting
     values are kept).
 
@@ -57,6 +58,8 @@ def normalize(
     else:
         day = C.parse_day(F.col("txn_date"), date_formats, trim=False)
     parsed = [day.alias(DAY_COLUMN)]
+    if with_rejects:
+        parsed.append(F.col("txn_date").cast("string").alias("_s_date"))
     parsed += [C.clean_text(F.col(c), null_tokens, trim=False).alias(c) for c in TEXT_COLUMNS]
     for m in MEASURES:
         v = F.col(m).cast("double") if typed[m] else C.parse_number(F.col(m))
@@ -67,7 +70,7 @@ def normalize(
 
     # 3. finish: render the date, keep finite numbers (else 0.0), count rejects
     out = [C.date_text(F.col(DAY_COLUMN)).alias("txn_date"), *TEXT_COLUMNS]
-    ok = {m: F.col(f"_v_{m}").between(-C.MAX_DOUBLE, C.MAX_DOUBLE) for m in MEASURES}
+    ok = {m: C.in_range(F.col(f"_v_{m}")) for m in MEASURES}
     out += [F.when(ok[m], F.col(f"_v_{m}")).otherwise(F.lit(0.0)).alias(m) for m in MEASURES]
     out.append(F.col(DAY_COLUMN))
     if with_rejects:
@@ -77,6 +80,7 @@ def normalize(
             present = s.isNotNull() if typed[m] else (s.isNotNull() & (s != ""))
             flags.append(F.when(present & ~F.coalesce(ok[m], F.lit(False)), 1).otherwise(0))
         out.append(sum(flags[1:], flags[0]).alias("numeric_rejects"))
+        out.append(C.date_rejected(F.col("_s_date"), F.col(DAY_COLUMN)).alias("date_rejects"))
     result = stage.select(*out)
     if drop_zero_rows:
         result = result.filter(non_zero())

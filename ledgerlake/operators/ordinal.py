@@ -2,19 +2,19 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` sends each group to one
 task, so a group holding a third of the ledger becomes one huge sort.
-``rank_in_groups`` checks the largest group first and keeps the plain
-window only below a per-task bound. Above it, ``number_rows`` is used:
-rows are range-partitioned on ``(g, k)``: partition sizes stay bounded
-whatever the skew, and a big group simply spans several consecutive
-partitions. Each row is numbered inside its (partition, group) slice, and
-only the groups cut by a partition boundary need an offset: at most about
-two per partition, so the offset table is bounded by the partition count
-and is safe to broadcast.
+``number_rows`` range-partitions the rows on ``(g, k)`` and, last, a hash
+of where the row stands, so that even rows equal in every column are spread
+and a big group simply spans several consecutive partitions. Each row is
+numbered inside its (partition, group) slice; only the groups cut by a
+partition boundary need an offset, about two for each partition.
 
 The range-partitioned rows are checkpointed into the shared checkpoint
 folder right after tagging them with their partition id: range bounds come
 from sampling, and every later branch (and any recomputation after a lost
-executor) must see the very same slices.
+executor) must see the very same slices. Building such a frame therefore
+runs jobs; the cluster should set
+``spark.cleaner.referenceTracking.cleanCheckpoints`` so that the files go
+when the frame does.
 """
 
 from __future__ import annotations
@@ -27,52 +27,49 @@ from pyspark.sql.window import Window
 
 from ledgerlake.session import ensure_checkpoint_dir
 
-# Largest group a single window task may sort (rows); bigger groups are
-# numbered over range slices instead.
-MAX_GROUP_ROWS = 2_000_000
+# Spark drops rows beyond this rank before the shuffle of a window.
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Input bytes for each range partition.
+PARTITION_BYTES = 128 << 20
+# Plan statistics of joins multiply sizes; more partitions than this are
+# the caller's choice.
+MAX_PARTITIONS = 1_000_000
 
 
-def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
-    """Row count of the biggest group: one partial aggregate, one number to
-    the driver. This is the size check that picks the numbering strategy."""
-    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c"))
-    return counts.agg(F.coalesce(F.max("_c"), F.lit(0))).first()[0]
-
-
-def rank_in_groups(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    order_cols: Sequence[Column],
-    out: str = "_n",
-    limit: int | None = None,
-    max_group_rows: int | None = None,
+def first_in_groups(
+    df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], limit: int, out: str = "_n"
 ) -> DataFrame:
-    """0-based position in the group, optionally only rows below ``limit``.
-
-    Checked by size: when the largest group has at most ``max_group_rows``
-    rows, a plain ``row_number()`` window is exact and no task sorts more
-    than that (with a ``limit`` up to Spark's group-limit threshold, Spark
-    also cuts each group map-side). Otherwise the range-partitioned
-    ``number_rows`` spreads big groups over many tasks. Same result both
-    ways.
+    """Rows at the 0-based positions below ``limit`` of their group.
+
+    For limits that Spark applies before the shuffle (1000 by default), a
+    ``row_number() <= limit`` window: no group sends more than ``limit`` rows
+    from a task. For larger ones the rows are numbered by ``number_rows``.
     """
     group_cols = list(group_cols)
-    bound = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    if largest_group(df, group_cols) <= bound:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        ranked = df.withColumn("_rn", F.row_number().over(w))
-        if limit is not None:
-            # Directly on row_number() so Spark plans WindowGroupLimit.
-            ranked = ranked.filter(F.col("_rn") <= limit)
-        return ranked.withColumn(out, (F.col("_rn") - 1).cast("long")).drop("_rn")
-    numbered = number_rows(df, group_cols, order_cols, out)
-    return numbered.filter(F.col(out) < limit) if limit is not None else numbered
-
-
-def _partitions(df: DataFrame, partitions: int | None) -> int:
+    if limit > int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000")):
+        return number_rows(df, group_cols, order_cols, out).filter(F.col(out) < limit)
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    # Directly on row_number() so Spark plans WindowGroupLimit.
+    ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    return ranked.withColumn(out, (F.col("_rn") - 1).cast("long")).drop("_rn")
+
+
+def partition_count(df: DataFrame, partitions: int | None) -> int:
+    """The given count, or one by the optimizer's size of the input, at
+    least ``spark.sql.shuffle.partitions``."""
     if partitions:
         return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # Spark Connect has no plan statistics here
+        return least
+    return max(least, min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))
+
+
+def spread_key() -> Column:
+    """A last range key that differs between rows equal in all others."""
+    return F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
 
 
 def number_rows(
@@ -90,12 +87,12 @@ def number_rows(
     partitions, so ``spark_partition_id()`` is the same slice everywhere.
     """
     group_cols = list(group_cols)
-    n = _partitions(df, partitions)
+    n = partition_count(df, partitions)
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_cols)
     ensure_checkpoint_dir(df.sparkSession)
     if not group_cols:
         return _number_globally(df, keys, n, out)
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    ranged = range_partitioned(df, n, keys).withColumn("_pid", F.spark_partition_id())
     ranged = ranged.checkpoint(eager=True)
 
     # Position inside the (partition, group) slice. Ranging on the partition
@@ -114,11 +111,12 @@ def number_rows(
         .select(*[F.col(f"k.{g}").alias(g) for g in group_cols])
         .distinct()
     )
-    spans = ranged.join(F.broadcast(cut), on=group_cols, how="left_semi").groupBy(*group_cols, "_pid").count()
+    slices = ranged.groupBy(*group_cols, "_pid").count()
+    spans = _null_safe_join(slices, cut, group_cols, "left_semi")
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.select(*group_cols, "_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    # offsets has at most ~3 rows per range partition: bounded, broadcast.
-    joined = local.join(F.broadcast(offsets), on=[*group_cols, "_pid"], how="left")
+    # At most ~3 rows per range partition: no hint, Spark broadcasts by size.
+    joined = _null_safe_join(local, offsets, [*group_cols, "_pid"], "left")
     n_col = (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long").alias(out)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], n_col)
 
@@ -127,9 +125,8 @@ def _number_globally(df: DataFrame, keys: list[Column], n: int, out: str) -> Dat
     """Global position: sort each range partition, checkpoint it, and read
     a row's place in its partition from ``monotonically_increasing_id``
     (partition index << 33 | row index) of the checkpointed scan. Only the
-    per-partition counts (one row per partition) are aggregated and
-    broadcast; no row is shuffled twice."""
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    per-partition counts (one row per partition) are joined back."""
+    ranged = range_partitioned(df, n, keys).sortWithinPartitions(*keys).checkpoint(eager=True)
     pid = F.spark_partition_id()
     tagged = ranged.select(
         "*",
@@ -139,6 +136,21 @@ def _number_globally(df: DataFrame, keys: list[Column], n: int, out: str) -> Dat
     counts = tagged.groupBy("_pid").count()
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    joined = tagged.join(F.broadcast(offsets), on="_pid", how="left")
+    joined = tagged.join(offsets, on="_pid", how="left")
     n_col = (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long").alias(out)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], n_col)
+
+
+def range_partitioned(df: DataFrame, n: int, keys: list[Column]) -> DataFrame:
+    """``n`` ranges of ``keys``, over which equal rows are spread too."""
+    return df.withColumn("_spread", spread_key()).repartitionByRange(n, *keys, F.col("_spread")).drop("_spread")
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join whose keys may be null on both sides; the right keys are dropped."""
+    renamed = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}" if c in on else c) for c in right.columns])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(f"`{c}`").eqNullSafe(F.col(f"`_r_{c}`"))
+    out = left.join(renamed, cond, how)
+    return out.drop(*[f"_r_{c}" for c in on])

@@ -2,11 +2,12 @@
 
 Spark rows have no inherent order, so every page uses a *total* order: the
 requested sort keys followed by all ledger columns as tie-breakers.
-``page`` plans as ``TakeOrderedAndProject`` (each task keeps only
-``offset + limit`` rows) while that is small; deeper pages number the
-rows with a range-partitioned, skew-safe ordinal instead, so no task ever
-holds more than its range partition. ``seek_page`` filters on the last
-seen key and keeps only ``limit`` rows per task.
+``page`` keeps ``offset + limit`` rows of each task and merges them: right
+for the first pages. ``seek_page`` resumes at the last seen key and keeps
+only ``limit`` rows of each task: right for walking on. ``numbered_page``
+numbers all rows over range partitions and cuts any page out of them: right
+for one far page, at the cost of a sort of everything. Which of them runs
+is the caller's choice, not the data's.
 """
 
 from __future__ import annotations
@@ -16,13 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.aggregates import exact_sum
 from ledgerlake.operators.ordinal import number_rows
-from ledgerlake.schema import DIMS, ROW_ORDER
+from ledgerlake.schema import DIMS, MEASURES, ROW_ORDER
 
-PAGE_SIZE = 1000  # default UI page size
-# Above this many rows (offset + limit) a page is cut from a distributed
-# row numbering instead of a single top-k merge.
-DEEP_PAGE_ROWS = 100_000
 
 
 def _key(spec) -> tuple[str, bool]:
@@ -50,24 +48,28 @@ def sort_rows(df: DataFrame, order_by: Sequence = tuple(DIMS)) -> DataFrame:
     return df.orderBy(*_sort_cols(total_order(order_by)))
 
 
-def page(df: DataFrame, order_by: Sequence = (), offset: int = 0, limit: int | None = PAGE_SIZE) -> DataFrame:
+def page(df: DataFrame, order_by: Sequence, offset: int, limit: int | None) -> DataFrame:
     """One page in total order. A falsy ``limit`` returns every row (sorted)
     and ignores ``offset``, as the reference does."""
     sorted_df = sort_rows(df, order_by)
     if not limit:
         return sorted_df
-    if offset + limit > DEEP_PAGE_ROWS:
-        keys = _sort_cols(total_order(order_by))
-        numbered = number_rows(df, [], keys, out="_row")
-        window = numbered.filter((F.col("_row") >= offset) & (F.col("_row") < offset + limit))
-        return window.orderBy("_row").drop("_row")
     if offset:
         sorted_df = sorted_df.offset(offset)
     return sorted_df.limit(limit)
 
 
-def page_meta(df: DataFrame, offset: int = 0, limit: int | None = PAGE_SIZE) -> DataFrame:
-    """``total_count`` (before paging), ``returned`` and ``page_offset``."""
+def numbered_page(df: DataFrame, order_by: Sequence, offset: int, limit: int) -> DataFrame:
+    """The rows of ``page`` cut out of a numbering of all rows: no task
+    holds more than its range partition, however deep the page."""
+    numbered = number_rows(df, [], _sort_cols(total_order(order_by)), out="_row")
+    window = numbered.filter((F.col("_row") >= offset) & (F.col("_row") < offset + limit))
+    return window.orderBy("_row").drop("_row")
+
+
+def page_meta(df: DataFrame, offset: int, limit: int | None) -> DataFrame:
+    """``total_count`` (before paging), ``returned``, ``page_offset`` and
+    the four exact sums over all rows, in one pass."""
     n = F.count(F.lit(1))
     if limit:
         returned = F.least(F.lit(limit).cast("bigint"), F.greatest(n - F.lit(offset), F.lit(0).cast("bigint")))
@@ -77,6 +79,7 @@ def page_meta(df: DataFrame, offset: int = 0, limit: int | None = PAGE_SIZE) ->
         n.alias("total_count"),
         returned.cast("bigint").alias("returned"),
         F.lit(offset).cast("bigint").alias("page_offset"),
+        *[exact_sum(m).cast("double").alias(m) for m in MEASURES],
     )
 
 
@@ -103,12 +106,44 @@ def after_key(keys: list[tuple[str, bool]], values: Sequence) -> Column:
     return lead & cond
 
 
-def seek_page(df: DataFrame, after: Sequence, order_by: Sequence = (), limit: int = PAGE_SIZE) -> DataFrame:
-    """Next ``limit`` rows strictly after the key prefix ``after``.
+def seek_page(
+    df: DataFrame, after: Sequence, order_by: Sequence, limit: int, seen: int = 0, tie_break: Sequence[str] = ROW_ORDER
+) -> DataFrame:
+    """Next ``limit`` rows after the key prefix ``after``.
 
     ``after`` holds values in sort-key order: the requested keys, then the
-    remaining ledger columns (``total_order``). Pass the last row's full key
-    to resume exactly; rows equal in every column count as one key.
+    remaining columns (``total_order``). A cursor is the last row's full key
+    and ``seen``, the number of rows with that key that were returned so far
+    (``next_cursor`` makes it): those are skipped, and rows equal in every
+    column are not lost at a page boundary. Without ``seen`` the page starts
+    strictly after the key or key prefix.
     """
-    keys = total_order(order_by)
-    return df.filter(after_key(keys, after)).orderBy(*_sort_cols(keys)).limit(limit)
+    keys = total_order(order_by, tie_break)
+    cond = after_key(keys, after)
+    if not seen:
+        return df.filter(cond).orderBy(*_sort_cols(keys)).limit(limit)
+    if len(after) != len(keys):
+        raise ValueError("seen counts rows of one full key; give all key values")
+    same = F.lit(True)
+    for (k, _), v in zip(keys, after):
+        same = same & F.col(k).eqNullSafe(F.lit(v))
+    return df.filter(cond | same).orderBy(*_sort_cols(keys)).offset(seen).limit(limit)
+
+
+def next_cursor(
+    rows: Sequence, order_by: Sequence, after: Sequence = (), seen: int = 0, tie_break: Sequence[str] = ROW_ORDER
+) -> tuple[tuple, int]:
+    """(after, seen) that resume after the page ``rows`` (collected rows),
+    itself reached with the given cursor."""
+    if not rows:
+        return tuple(after), seen
+    names = [k for k, _ in total_order(order_by, tie_break)]
+    key = lambda r: tuple(r[c] for c in names)
+    last = key(rows[-1])
+    equal = 0
+    for r in reversed(rows):
+        if key(r) != last:
+            break
+        equal += 1
+    carried = seen if equal == len(rows) and tuple(after) == last else 0
+    return last, equal + carried

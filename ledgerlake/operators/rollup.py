@@ -111,22 +111,22 @@ def flat_hierarchy_nested(
     """Flat hierarchy with the group's transactions nested as an array.
 
     No row is dropped and no array grows with the data: rows are numbered
-    inside their group (size-checked, skew-safe) and cut into chunks of
-    at most ``chunk_rows``. Output has one row per (group, ``chunk``), chunk
-    0 first; the group totals repeat on every chunk.
+    inside their group over range partitions and cut into chunks of at most
+    ``chunk_rows``. Output has one row per (group, ``chunk``), chunk 0
+    first; the group totals repeat on every chunk.
     """
-    from ledgerlake.operators.ordinal import rank_in_groups
+    from ledgerlake.operators.ordinal import number_rows
 
     rows = apply_filter(df, spec).select(*COLUMNS)
-    numbered = rank_in_groups(rows, DIMS, [F.col(c).asc_nulls_first() for c in COLUMNS])
+    numbered = number_rows(rows, DIMS, [F.col(c).asc_nulls_first() for c in COLUMNS], "_n")
     tx = F.struct(F.col("_n").alias("tx_index"), *[F.col(c) for c in COLUMNS[4:]])
     chunks = (
-        numbered.withColumn("chunk", F.floor(F.col("_n") / chunk_rows).cast("int"))
+        numbered.withColumn("chunk", F.floor(F.col("_n") / chunk_rows).cast("bigint"))
         .groupBy(*DIMS, "chunk")
         .agg(F.array_sort(F.collect_list(tx)).alias("transactions"))
     )
-    # Group totals from the same checkpointed rows: no second pass over the
-    # source.
+    # Group totals from the numbering's checkpointed rows: no second pass
+    # over the source.
     groups = group_measures(numbered, DIMS).select(
         F.concat_ws("/", *[F.col(d) for d in DIMS]).alias("id"),
         F.lit(3).alias("level"),
@@ -144,6 +144,20 @@ def write_rollup(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     r.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).parquet(path)
 
 
+def rollup_options(rollup: DataFrame) -> DataFrame:
+    """``totals.filter_options`` answered from a saved rollup: the distinct
+    values stand in its nodes, one row for each (level, path)."""
+    return (
+        rollup.where("level >= 0")
+        .selectExpr(
+            "CASE level " + " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DIMS)) + " END AS dimension",
+            f"{level_value_sql('level')} AS value",
+        )
+        .distinct()
+        .orderBy("dimension", "value")
+    )
+
+
 def _prefix_filter(rollup: DataFrame, values: Sequence[str]) -> DataFrame:
     cond = F.col("level") == F.lit(len(values) - 1)
     for d, v in zip(DIMS, values):

@@ -26,7 +26,8 @@ def totals(df: DataFrame, spec: LedgerFilter | Mapping | None = None) -> DataFra
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Load report: rows, columns, real date range, unknown dates, distinct
     entity types / sub types / names (exact unless ``approx``), and numeric
-    rejects when the ledger was cleaned with ``with_rejects=True``.
+    and date rejects (not blank, no layout fits) when the ledger was cleaned
+    with ``with_rejects=True``.
 
     Two aggregation levels: rows are first reduced per (type, sub type,
     name) with a map-side partial aggregate, so the distinct counts (which
@@ -44,6 +45,8 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     ]
     if "numeric_rejects" in df.columns:
         per.append(F.sum("numeric_rejects").alias("_r"))
+    if "date_rejects" in df.columns:
+        per.append(F.sum("date_rejects").alias("_d"))
     per_entity = df.groupBy(*entity).agg(*per)
     aggs = [
         F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("row_count"),
@@ -57,6 +60,8 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     ]
     if "numeric_rejects" in df.columns:
         aggs.append(F.coalesce(F.sum("_r"), F.lit(0)).cast("bigint").alias("numeric_rejects"))
+    if "date_rejects" in df.columns:
+        aggs.append(F.coalesce(F.sum("_d"), F.lit(0)).cast("bigint").alias("date_rejects"))
     return per_entity.agg(*aggs)
 
 

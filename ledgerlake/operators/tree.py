@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from ledgerlake.functions.aggregates import group_measures
 from ledgerlake.functions.predicates import LedgerFilter, path_filter
 from ledgerlake.operators.filters import apply_filter
-from ledgerlake.operators.ordinal import rank_in_groups
+from ledgerlake.operators.ordinal import first_in_groups, number_rows
 from ledgerlake.operators.rollup import (
     NODE_MEASURES,
     level_label_sql,
@@ -85,11 +85,12 @@ def _level_nodes(df: DataFrame, f: LedgerFilter, level: int) -> DataFrame:
 
 
 def browse(
-    df: DataFrame, spec: LedgerFilter | Mapping | None = None, max_transactions: int = 10000
+    df: DataFrame, spec: LedgerFilter | Mapping | None = None, max_transactions: int | None = None
 ) -> DataFrame:
     """Nodes of the first level the spec leaves unset, over filtered rows.
 
-    With all four levels set, the capped transaction leaves are returned.
+    With all four levels set, the transaction leaves are returned: all of
+    them, or with ``max_transactions`` so many and an overflow row.
     """
     f = LedgerFilter.of(spec)
     start = f.start_level()
@@ -98,9 +99,10 @@ def browse(
     return _level_nodes(df, f, start)
 
 
-def children(df: DataFrame, path: Sequence[str], max_transactions: int = 10000) -> DataFrame:
+def children(df: DataFrame, path: Sequence[str], max_transactions: int | None = None) -> DataFrame:
     """Expand the node at ``path`` (values from level 0 down): its child
-    groups, or its capped transactions when ``path`` has all four levels."""
+    groups, or its transactions when ``path`` has all four levels (all, or
+    with ``max_transactions`` so many and an overflow row)."""
     f = path_filter(tuple(path))
     if len(path) >= len(DIMS):
         return leaf_nodes(df, max_transactions, f)
@@ -115,7 +117,7 @@ def _tx_columns(levels: Sequence[str], index: Column) -> list[Column]:
         parent.alias("parent_id"),
         F.lit("transaction").alias("node_type"),
         F.lit(len(levels)).alias("level"),
-        index.cast("int").alias("tx_index"),
+        index.cast("bigint").alias("tx_index"),
         *[F.col(c) for c in COLUMNS],
     ]
 
@@ -127,12 +129,11 @@ def transactions(
     order_by: Sequence[str] = ROW_ORDER,
 ) -> DataFrame:
     """Transaction leaves (level 4) of the filtered rows, numbered from 0
-    inside their leaf group in ``order_by`` order. Numbering is size-checked
-    and skew-safe: a leaf above the per-task bound is spread over many
-    tasks."""
+    inside their leaf group in ``order_by`` order. A leaf of any size is
+    spread over range partitions."""
     levels = list(levels)
     rows = apply_filter(df, spec).select(*COLUMNS)
-    numbered = rank_in_groups(rows, levels, [F.col(c).asc_nulls_first() for c in order_by])
+    numbered = number_rows(rows, levels, [F.col(c).asc_nulls_first() for c in order_by], "_n")
     return numbered.select(*_tx_columns(levels, F.col("_n")))
 
 
@@ -143,17 +144,12 @@ def capped_rows(
     levels: Sequence[str] = DIMS,
     order_by: Sequence[str] = ROW_ORDER,
 ) -> DataFrame:
-    """The first ``cap`` rows of every leaf group, with ``_n`` (0-based).
-
-    Size-checked (``ordinal.rank_in_groups``): leaves up to the per-task
-    bound use one ``row_number() <= cap`` window (map-side group limit for
-    caps up to 1000); a bigger leaf is numbered over range slices so no
-    task holds it whole.
-    """
+    """The first ``cap`` rows of every leaf group, with ``_n`` (0-based),
+    by ``ordinal.first_in_groups``."""
     levels = list(levels)
     rows = apply_filter(df, spec).select(*COLUMNS)
     order = [F.col(c).asc_nulls_first() for c in order_by]
-    return rank_in_groups(rows, levels, order, limit=cap)
+    return first_in_groups(rows, levels, order, cap)
 
 
 def leaf_cap(
@@ -184,6 +180,7 @@ def leaf_overflow(
         F.lit("info").alias("node_type"),
         F.lit(len(levels)).alias("level"),
         *levels,
+        # Fixed value: the label's wording.
         F.format_string("... and %d more transactions", more).alias("label"),
         more.cast("bigint").alias("remaining"),
     )
@@ -191,12 +188,16 @@ def leaf_overflow(
 
 def leaf_nodes(
     df: DataFrame,
-    cap: int,
+    cap: int | None,
     spec: LedgerFilter | Mapping | None = None,
     levels: Sequence[str] = DIMS,
     order_by: Sequence[str] = ROW_ORDER,
 ) -> DataFrame:
-    """Capped transactions plus overflow rows, one schema."""
+    """Transactions (all of them without a ``cap``) plus overflow rows, one
+    schema."""
+    if cap is None:
+        tx = transactions(df, spec, levels, order_by).withColumn("label", F.lit(None).cast("string"))
+        return tx.withColumn("remaining", F.lit(None).cast("bigint"))
     tx = leaf_cap(df, cap, spec, levels, order_by).withColumn("label", F.lit(None).cast("string"))
     tx = tx.withColumn("remaining", F.lit(None).cast("bigint"))
     info = leaf_overflow(df, cap, spec, levels)
@@ -222,11 +223,11 @@ HIERARCHY_COLUMNS = [
 
 
 def hierarchy(
-    df: DataFrame, spec: LedgerFilter | Mapping | None = None, max_transactions: int = 10000
+    df: DataFrame, spec: LedgerFilter | Mapping | None = None, max_transactions: int | None = None
 ) -> DataFrame:
     """The whole drill-down tree as one flat node table: group nodes of
-    levels 0-3 (count, sums, gross), the transactions under each leaf
-    (at most ``max_transactions`` per leaf) and one ``info`` row per leaf
+    levels 0-3 (count, sums, gross) and the transactions under each leaf;
+    with ``max_transactions`` so many of them and one ``info`` row per leaf
     that has more. The same filter applies to every part."""
     groups = node_table(df, spec)
     leaves = (

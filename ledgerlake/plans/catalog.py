@@ -2,13 +2,14 @@
 
 Every query reads the whole driver tables (through the ledger view or the
 dirty ``events`` projection) and returns a DataFrame. No rows are collected
-here; the per-leaf numbering queries run their one-number size check (and,
-above the bound, a checkpoint) when built. Parameters live in ``params`` and are shared with the
+here. Queries that number whole leaves checkpoint their ranges when built,
+and those on saved data write it then. Parameters live in ``params`` and are shared with the
 DuckDB oracle texts in ``oracle``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,9 @@ from ledgerlake.operators.filters import apply_filter, grid_filter
 from ledgerlake.operators.normalize import normalize
 from ledgerlake.plans import params as P
 from ledgerlake.schema import COLUMNS, MEASURES
+from ledgerlake.session import shared_dir
 from ledgerlake.sources.generator import generate_ledger
+from ledgerlake.sources.ledger import read_ledger
 from ledgerlake.sources.tables import RAW_COLUMNS, dirty_events, ledger_from_tables, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +75,31 @@ def _generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate_ledger(keys, P.GEN_KEY, seed=P.GEN_SEED, end_date=P.GEN_END).select(*COLUMNS)
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """The ledger with amounts of 1e12 to 1e15."""
+    return df.withColumns({m: F.col(m) * P.LARGE_FACTOR for m in MEASURES})
+
+
+def _saved_rollup(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query on a rollup that was saved once (here: for this query)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = shared_dir(spark, f"rollup-{uuid.uuid4().hex}")
+        rollup.write_rollup(ledger_from_tables(spark, sf_dir), path)
+        return fn(spark.read.parquet(path))
+
+    return run
+
+
+def _read_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty ledger written as CSV files, then read, cleaned and
+    profiled as a user's files would be."""
+    path = shared_dir(spark, f"csv-{uuid.uuid4().hex}")
+    dirty_events(spark, sf_dir).select(*RAW_COLUMNS, "extra_col").write.option("header", True).csv(path)
+    raw = read_ledger(spark, path, "csv", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return totals.profile(normalize(raw, with_rejects=True))
+
+
 def _page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paging.page(ledger_from_tables(spark, sf_dir), (), P.PAGE_OFFSET, P.PAGE_LIMIT)
     return rows.select(F.to_json(F.struct(*COLUMNS)).alias("record"))
@@ -92,6 +120,21 @@ def queries() -> dict[str, Query]:
         ),
         "filter_none": L(lambda df: _rows(apply_filter(df, {}))),
         "text_filter": L(lambda df: _rows(grid_filter(df, *P.TEXT_CONDITIONS))),
+        "text_filter_more": L(lambda df: _rows(grid_filter(df, *P.TEXT_CONDITIONS_MORE))),
+        "number_filter_more": L(lambda df: _rows(grid_filter(df, *P.NUMBER_CONDITIONS_MORE))),
+        "totals_large": L(lambda df: totals.totals(_large(df))),
+        "rollup_large": L(lambda df: rollup.rollup_table(_large(df))),
+        "saved_rollup_lookup": _saved_rollup(lambda r: rollup.rollup_lookup(r, {"date": P.BUSY_DAY})),
+        "saved_rollup_children": _saved_rollup(lambda r: rollup.rollup_children(r, P.EXPAND_PATH)),
+        "saved_rollup_options": _saved_rollup(rollup.rollup_options),
+        "read_ledger": _read_ledger,
+        "sort_by_date": L(lambda df: _rows(paging.sort_rows(df, (("txn_date", "desc"),)))),
+        "seek_page_dup": L(
+            lambda df: paging.seek_page(
+                df.select(*P.DUP_KEYS), P.DUP_AFTER, (), P.SEEK_LIMIT, seen=P.DUP_SEEN, tie_break=P.DUP_KEYS
+            )
+        ),
+        "numbered_page": L(lambda df: _rows(paging.numbered_page(df, (), P.PAGE_OFFSET, P.PAGE_LIMIT))),
         "number_filter": L(lambda df: _rows(grid_filter(df, *P.NUMBER_CONDITIONS))),
         "level_summary": L(lambda df: rollup.level_summary(df, 1)),
         "gross_total": L(lambda df: rollup.level_summary(df, 0)),

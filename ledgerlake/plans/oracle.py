@@ -16,17 +16,22 @@ def _with() -> str:
     return f"WITH ledger AS ({ledger_sql_for_duckdb()})\n"
 
 
+def _dec(m: str) -> str:
+    # Through text: a direct cast of a large double rounds twice.
+    return f"CAST(CAST({m} AS VARCHAR) AS DECIMAL(28,4))"
+
+
 def _sum(m: str, alias: str | None = None) -> str:
-    return f"CAST(COALESCE(SUM(CAST({m} AS DECIMAL(28,4))), 0) AS DOUBLE) AS {alias or m}"
+    return f"CAST(COALESCE(SUM({_dec(m)}), 0) AS DOUBLE) AS {alias or m}"
 
 
 def _net(dr: str, cr: str, alias: str) -> str:
-    return f"CAST(COALESCE(SUM(CAST({dr} AS DECIMAL(28,4)) - CAST({cr} AS DECIMAL(28,4))), 0) AS DOUBLE) AS {alias}"
+    return f"CAST(COALESCE(SUM({_dec(dr)} - {_dec(cr)}), 0) AS DOUBLE) AS {alias}"
 
 
 SUMS = ", ".join(_sum(m) for m in MEAS)
 GROSS = (
-    "CAST(COALESCE(SUM(" + " + ".join(f"CAST({m} AS DECIMAL(28,4))" for m in MEAS) + "), 0) AS DOUBLE) AS gross_total"
+    "CAST(COALESCE(SUM(" + " + ".join(_dec(m) for m in MEAS) + "), 0) AS DOUBLE) AS gross_total"
 )
 AGGS = f"COUNT(*) AS row_count, {SUMS}, {GROSS}"
 TOTALS = f"COUNT(*) AS row_count, {SUMS}"
@@ -76,7 +81,7 @@ def _tx_select(levels: list[str], where: str, cap: int | None) -> str:
     keep = f"WHERE n < {cap}" if cap else ""
     return (
         f"SELECT {path} || '/tx/' || CAST(n AS VARCHAR) AS node_id, {path} AS parent_id, 'transaction' AS node_type, "
-        f"{len(levels)} AS level, CAST(n AS INTEGER) AS tx_index, {COLS} FROM ("
+        f"{len(levels)} AS level, CAST(n AS BIGINT) AS tx_index, {COLS} FROM ("
         f"SELECT *, row_number() OVER (PARTITION BY {', '.join(levels)} ORDER BY {ORDER}) - 1 AS n "
         f"FROM ledger WHERE {where}) {keep}"
     )
@@ -102,7 +107,7 @@ def _overflow(levels: list[str], cap: int) -> str:
 
 def _hierarchy(cap: int) -> str:
     nulls = {"s": "CAST(NULL AS VARCHAR)", "d": "CAST(NULL AS DOUBLE)", "b": "CAST(NULL AS BIGINT)",
-             "i": "CAST(NULL AS INTEGER)"}
+             "i": "CAST(NULL AS BIGINT)"}
     meas = ", ".join(MEAS)
     groups = (
         f"SELECT node_id, parent_id, node_type, level, \"column\", label, {DIMS}, {nulls['s']} AS vch_type, "
@@ -124,7 +129,11 @@ def _hierarchy(cap: int) -> str:
 # --- cleaning rules, re-stated in DuckDB SQL -------------------------------
 
 _TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-_FMT = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%m/%d/%Y", "%d/%m/%Y", "%b %d %Y"]
+_FMT = [
+    "%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%g", "%m/%d/%y", "%d/%m/%y",
+    "%m/%d/%Y", "%d/%m/%Y", "%m/%d/%Y %H:%M", "%m-%d-%Y", "%d-%m-%Y", "%d-%b-%Y", "%d %B %Y", "%Y/%m/%d", "%B %d, %Y",
+    "%b %d, %Y", "%b %d %Y",
+]
 _TOKENS = "('nan', 'NaN', 'None', 'NA', 'N/A', 'null', 'NULL', '')"
 _NUM = "'[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?'"
 
@@ -146,7 +155,7 @@ def _text(x: str) -> str:
 def _num_or_null(x: str) -> str:
     t = _TRIM.format(x=x)
     v = f"CASE WHEN regexp_full_match({t}, {_NUM}) THEN TRY_CAST({t} AS DOUBLE) END"
-    return f"CASE WHEN isfinite({v}) THEN {v} END"
+    return f"CASE WHEN abs({v}) < 1e24 THEN {v} END"
 
 
 def _num(x: str) -> str:
@@ -170,7 +179,8 @@ def _clean_select() -> str:
         + ", ".join(f"{_num(r)} AS {m}" for r, m in zip(RAW[6:], MEAS))
         + f", {_day('raw_date')} AS txn_day, "
         + " + ".join(_rej(r) for r in RAW[6:])
-        + " AS numeric_rejects"
+        + f" AS numeric_rejects, CASE WHEN {_text('raw_date')} <> 'Unknown' AND {_day('raw_date')} IS NULL "
+        "THEN 1 ELSE 0 END AS date_rejects"
     )
 
 
@@ -235,6 +245,28 @@ def oracle_sql() -> dict[str, str]:
         "AND starts_with(lower(entity_name), 'customer#0000001') AND lower(vch_type) <> 'journal'"
     )
     q["number_filter"] = W + f"SELECT {COLS} FROM ledger WHERE cash_dr BETWEEN 10000.0 AND 30000.0 AND bank_cr = 0.0"
+    q["text_filter_more"] = W + (
+        f"SELECT {COLS} FROM ledger WHERE lower(vch_type) = 'receipt' AND NOT contains(lower(particulars), 'low') "
+        "AND ends_with(entity_name, '7') AND entity_type <> ''"
+    )
+    q["number_filter_more"] = W + (
+        f"SELECT {COLS} FROM ledger WHERE cash_dr < 20000.0 AND cash_cr <= 30000.0 AND bank_dr >= 0.0 "
+        "AND bank_cr <> 0.0 AND bank_cr > 15000.0"
+    )
+    large = ", ".join(f"{m} * {P.LARGE_FACTOR!r}::DOUBLE AS {m}" for m in MEAS)
+    WL = f"WITH small AS ({ledger_sql_for_duckdb()}), ledger AS (SELECT * REPLACE ({large}) FROM small)\n"
+    q["totals_large"] = WL + f"SELECT {TOTALS} FROM ledger"
+    q["rollup_large"] = WL + _rollup(D4)
+    q["saved_rollup_lookup"] = W + f"SELECT 1 AS level, {AGGS} FROM ledger WHERE txn_date = '{busy}'"
+    q["saved_rollup_children"] = _level_nodes(
+        f"txn_date = '{P.EXPAND_PATH[0]}' AND entity_type = '{P.EXPAND_PATH[1]}'", len(P.EXPAND_PATH)
+    )
+    q["sort_by_date"] = W + f"SELECT {COLS} FROM ledger ORDER BY txn_date DESC"
+    dup = ", ".join(P.DUP_KEYS)
+    q["seek_page_dup"] = W + (
+        f"SELECT {dup} FROM ledger WHERE ({dup}) >= {P.DUP_AFTER!r} ORDER BY {dup} "
+        f"LIMIT {P.SEEK_LIMIT} OFFSET {P.DUP_SEEN}"
+    )
     q["level_summary"] = W + (
         f"SELECT 1 AS level, 'Entity Type' AS \"column\", entity_type AS value, {AGGS} FROM ledger GROUP BY entity_type"
     )
@@ -257,6 +289,7 @@ def oracle_sql() -> dict[str, str]:
         + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value FROM ledger" for d in D4)
         + ") ORDER BY dimension, value"
     )
+    q["saved_rollup_options"] = q["filter_options"]
     q["flat_hierarchy"] = W + (
         f"SELECT concat_ws('/', {DIMS}) AS id, 3 AS level, {DIMS}, {AGGS} FROM ledger GROUP BY {DIMS}"
     )
@@ -265,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT concat_ws('/', {DIMS}) AS id, 3 AS level, g.txn_date, g.entity_type, g.entity_sub_type, "
         f"g.entity_name, row_count, {', '.join(MEAS)}, gross_total, chunk, transactions FROM "
         f"(SELECT {DIMS}, {AGGS} FROM ledger GROUP BY {DIMS}) g JOIN "
-        f"(SELECT {DIMS}, CAST(n // {P.NESTED_CHUNK_ROWS} AS INTEGER) AS chunk, "
+        f"(SELECT {DIMS}, CAST(n // {P.NESTED_CHUNK_ROWS} AS BIGINT) AS chunk, "
         f"to_json(list({{'tx_index': n, {tx_fields}}} ORDER BY n)) AS transactions FROM "
         f"(SELECT *, row_number() OVER (PARTITION BY {DIMS} ORDER BY {ORDER}) - 1 AS n FROM ledger) "
         f"GROUP BY {DIMS}, chunk) c USING ({DIMS})"
@@ -286,6 +319,7 @@ def oracle_sql() -> dict[str, str]:
     rest = ", ".join(c for c in COLS.split(", ") if c != "cash_dr")
     q["user_sort"] = W + f"SELECT {COLS} FROM ledger ORDER BY cash_dr DESC, {rest} LIMIT {P.USER_SORT_LIMIT}"
     q["data_page"] = W + f"SELECT {COLS} FROM ledger ORDER BY {ORDER} LIMIT {P.PAGE_LIMIT} OFFSET {P.PAGE_OFFSET}"
+    q["numbered_page"] = q["data_page"]
     record = "to_json({" + ", ".join(f"'{c}': {c}" for c in COLS.split(", ")) + "})"
     q["page_json"] = W + (
         f"SELECT {record} AS record FROM (SELECT {COLS} FROM ledger ORDER BY {ORDER} "
@@ -293,7 +327,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["page_meta"] = W + (
         f"SELECT COUNT(*) AS total_count, CAST(LEAST({P.PAGE_LIMIT}, GREATEST(COUNT(*) - {P.PAGE_OFFSET}, 0)) AS BIGINT) "
-        f"AS returned, CAST({P.PAGE_OFFSET} AS BIGINT) AS page_offset FROM ledger"
+        f"AS returned, CAST({P.PAGE_OFFSET} AS BIGINT) AS page_offset, {SUMS} FROM ledger"
     )
     q["seek_page"] = W + (
         f"SELECT {COLS} FROM ledger WHERE txn_date > '{P.SEEK_AFTER[0]}' ORDER BY {ORDER} LIMIT {P.SEEK_LIMIT}"
@@ -342,6 +376,8 @@ def oracle_sql() -> dict[str, str]:
         "SELECT COUNT(*) AS row_count, 10 AS column_count, strftime(MIN(txn_day), '%Y-%m-%d') AS start_date, "
         "strftime(MAX(txn_day), '%Y-%m-%d') AS end_date, COUNT(CASE WHEN txn_date = 'Unknown' THEN 1 END) AS unknown_dates, "
         "COUNT(DISTINCT entity_type) AS entity_types, COUNT(DISTINCT entity_sub_type) AS entity_sub_types, "
-        "COUNT(DISTINCT entity_name) AS entity_names, CAST(SUM(numeric_rejects) AS BIGINT) AS numeric_rejects FROM clean"
+        "COUNT(DISTINCT entity_name) AS entity_names, CAST(SUM(numeric_rejects) AS BIGINT) AS numeric_rejects, "
+        "CAST(SUM(date_rejects) AS BIGINT) AS date_rejects FROM clean"
     )
+    q["read_ledger"] = q["ingest_ledger"]
     return q

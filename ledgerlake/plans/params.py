@@ -18,6 +18,23 @@ TEXT_CONDITIONS = (
     ("vch_type", "not_equal", "journal"),
 )
 NUMBER_CONDITIONS = (("cash_dr", "between", 10000.0, 30000.0), ("bank_cr", "eq", 0.0))
+TEXT_CONDITIONS_MORE = (
+    ("vch_type", "equals", "receipt"),
+    ("particulars", "not_contains", "low"),
+    ("entity_name", "ends_with", "7"),
+    ("entity_type", "not_blank"),
+)
+NUMBER_CONDITIONS_MORE = (
+    ("cash_dr", "lt", 20000.0),
+    ("cash_cr", "le", 30000.0),
+    ("bank_dr", "ge", 0.0),
+    ("bank_cr", "ne", 0.0),
+    ("bank_cr", "gt", 15000.0),
+)
+LARGE_FACTOR = 9.87654321e9
+DUP_KEYS = ("entity_type", "entity_sub_type")
+DUP_AFTER = ("AFRICA", "NATION_0")
+DUP_SEEN = 3
 LEAF_CAP = 1
 COARSE_LEVELS = ("entity_type", "entity_sub_type")
 COARSE_CAP = 2

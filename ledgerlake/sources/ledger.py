@@ -19,18 +19,22 @@ def positional(df: DataFrame) -> DataFrame:
     """Keep the first 10 columns and give them the ledger names."""
     n = len(df.columns)
     if n < len(COLUMNS):
-        raise ValueError(f"Expected {len(COLUMNS)} columns, found {n}")
+        raise ValueError(f"a ledger has {len(COLUMNS)} columns, this one has {n}")
     first = df.columns[: len(COLUMNS)]
     return df.select([F.col(f"`{src}`").alias(dst) for src, dst in zip(first, COLUMNS)])
 
 
-def by_name(df: DataFrame) -> DataFrame:
-    """For self-describing formats (JSON) whose field order is not kept:
-    match display labels or snake_case names, missing ones become null."""
-    present = {_BY_NAME[c]: c for c in df.columns if c in _BY_NAME}
-    return df.select(
-        [F.col(f"`{present[c]}`").alias(c) if c in present else F.lit(None).cast("string").alias(c) for c in COLUMNS]
-    )
+def json_ledger(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
+    """JSON objects (one in a line, or with ``multiline`` an array or object
+    in a file) by field name: display labels or snake_case names, missing
+    fields become null. Every value is read as the text that was written:
+    no pass to infer types, and cleaning decides what it means."""
+    kind = "array<map<string,string>>" if multiline else "map<string,string>"
+    fields = F.from_json("value", kind)
+    rows = spark.read.text(path, wholetext=multiline).where(F.trim("value") != "")
+    rows = rows.select((F.explode(fields) if multiline else fields).alias("m"))
+    names = {c: [n for n, own in _BY_NAME.items() if own == c] for c in COLUMNS}
+    return rows.select([F.coalesce(*[F.col("m")[n] for n in names[c]]).alias(c) for c in COLUMNS])
 
 
 def read_ledger(spark: SparkSession, path: str | list[str], fmt: str = "csv", header: bool = True, **options) -> DataFrame:
@@ -45,12 +49,11 @@ def read_ledger(spark: SparkSession, path: str | list[str], fmt: str = "csv", he
         from ledgerlake.sources.workbook import read_workbooks
 
         return read_workbooks(spark, path)
+    if fmt == "json":
+        return json_ledger(spark, path, str(options.get("multiLine", False)).lower() == "true")
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", header).option("inferSchema", False).option("mode", "PERMISSIVE")
     for k, v in options.items():
         reader = reader.option(k, v)
-    df = reader.load(path)
-    if fmt == "json":
-        return by_name(df)
-    return positional(df)
+    return positional(reader.load(path))

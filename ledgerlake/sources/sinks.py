@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlake.operators.ordinal import partition_count, range_partitioned
 from ledgerlake.schema import COLUMNS, ROW_ORDER
 
 
@@ -16,11 +17,13 @@ def write_ledger(
     df: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None, by_month: bool = False
 ) -> None:
     """Save a clean ledger as Parquet, range-partitioned and sorted by the
-    four levels (then the other columns): a date or date-range filter skips
+    four levels (then the other columns), in files by the size of the input
+    (or ``partitions`` of them): a date or date-range filter skips
     whole files and row groups by their min/max statistics, and equality
     filters on the other levels use dictionary filtering. Ranging on the
-    full row order lets Spark split even one (date, entity) key that holds
-    a large share of the rows over several files.
+    full row order, and last on a spread key, lets Spark split even one
+    (date, entity) key, or one repeated row, that holds a large share of the
+    rows over several files.
 
     ``by_month`` also writes one ``txn_month=yyyy-MM`` directory per month
     (``Unknown`` for missing dates): date filters then prune whole
@@ -30,7 +33,7 @@ def write_ledger(
     keys = [c for c in ROW_ORDER if c in df.columns]
     if by_month:
         df = df.withColumn(MONTH_COLUMN, F.substring("txn_date", 1, 7))
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged = range_partitioned(df, partition_count(df, partitions), [F.col(k) for k in keys])
     writer = ranged.sortWithinPartitions(*keys).write.mode(mode)
     if by_month:
         writer = writer.partitionBy(MONTH_COLUMN)

@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # lineitem -> orders -> customer -> nation -> region; region is the entity
 # type, nation the sub type, customer the entity; one measure per line.
@@ -38,6 +37,10 @@ JOIN {region} ON n_regionkey = r_regionkey
 
 _ISO = "CAST(CAST(ts AS DATE) AS STRING)"
 _P2 = "lpad(CAST({f}(ts) AS STRING), 2, '0')"
+_TIME = " || ':' || ".join(_P2.format(f=f) for f in ("hour", "minute", "second"))
+_MONTH = (
+    "split_part('January,February,March,April,May,June,July,August,September,October,November,December', ',', month(ts))"
+)
 _BASE = "CAST(CAST(value AS DECIMAL(12,2)) AS STRING)"
 
 # A raw, all-string ledger with every kind of dirt the cleaning rules
@@ -47,7 +50,7 @@ _BASE = "CAST(CAST(value AS DECIMAL(12,2)) AS STRING)"
 DIRTY_SQL = f"""
 SELECT
   event_id,
-  CASE event_id % 9
+  CASE event_id % 19
     WHEN 0 THEN {_ISO}
     WHEN 1 THEN {_ISO} || ' ' || {_P2.format(f='hour')} || ':' || {_P2.format(f='minute')}
     WHEN 2 THEN {_P2.format(f='month')} || '/' || {_P2.format(f='day')} || '/' || CAST(year(ts) AS STRING)
@@ -57,6 +60,17 @@ SELECT
     WHEN 5 THEN '  ' || {_ISO} || chr(9)
     WHEN 6 THEN 'x'
     WHEN 7 THEN NULL
+    WHEN 9 THEN {_ISO} || 'T' || {_TIME}
+    WHEN 10 THEN {_ISO} || ' ' || {_TIME} || '.123'
+    WHEN 11 THEN {_P2.format(f='day')} || '-' || {_P2.format(f='month')} || '-' || CAST(year(ts) AS STRING)
+    WHEN 12 THEN CAST(day(ts) AS STRING) || '-' || substr({_MONTH}, 1, 3) || '-' || CAST(year(ts) AS STRING)
+    WHEN 13 THEN CAST(day(ts) AS STRING) || ' ' || {_MONTH} || ' ' || CAST(year(ts) AS STRING)
+    WHEN 14 THEN CAST(year(ts) AS STRING) || '/' || {_P2.format(f='month')} || '/' || {_P2.format(f='day')}
+    WHEN 15 THEN {_MONTH} || ' ' || CAST(day(ts) AS STRING) || ', ' || CAST(year(ts) AS STRING)
+    WHEN 16 THEN substr({_MONTH}, 1, 3) || ' ' || CAST(day(ts) AS STRING) || ', ' || CAST(year(ts) AS STRING)
+    WHEN 17 THEN {_P2.format(f='month')} || '/' || {_P2.format(f='day')} || '/' || substr(CAST(year(ts) AS STRING), 3, 2)
+    WHEN 18 THEN CAST(month(ts) AS STRING) || '/' || CAST(day(ts) AS STRING) || '/' || CAST(year(ts) AS STRING)
+                 || ' ' || CAST(hour(ts) AS STRING) || ':' || {_P2.format(f='minute')}
     ELSE CAST(event_id AS STRING)
   END AS raw_date,
   CASE event_id % 7
@@ -133,23 +147,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-spread a fact table whose scan has fewer partitions than the
-    cluster has cores (e.g. one unsplittable row group), so the work after
-    the scan runs on every core. Hashing on the row keys is deterministic
-    without the local sort a round-robin repartition needs, and leaves the
-    other columns prunable. A big table has more splits than cores and is
-    returned unchanged (no shuffle)."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. Spark Connect): leave as is
-        return df
-    if splits < cores:
-        return df.repartition(cores, *[F.col(k) for k in keys])
-    return df
-
-
 def ledger_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean ledger (10 columns + ``txn_day``) derived from the driver tables.
 
@@ -157,13 +154,12 @@ def ledger_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     their measured file size, lineitem x orders stays a shuffle join.
     """
     tables = {t: read_table(spark, sf_dir, t) for t in LEDGER_TABLES}
-    tables["lineitem"] = spread(tables["lineitem"], ["l_orderkey", "l_linenumber"])
     return spark.sql(LEDGER_SQL, **tables)
 
 
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id`` + 10 raw string columns + one extra column."""
-    return spark.sql(DIRTY_SQL, events=spread(read_table(spark, sf_dir, "events"), ["event_id"]))
+    return spark.sql(DIRTY_SQL, events=read_table(spark, sf_dir, "events"))
 
 
 def ledger_sql_for_duckdb() -> str:

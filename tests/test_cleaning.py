@@ -64,6 +64,24 @@ def test_dates(spark, raw, expected):
     assert df.select(C.date_text(C.parse_day(F.col("v")))).first()[0] == expected
 
 
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("2024-01-15T10:00:00", "2024-01-15"), ("2024-01-15 10:00:00.123", "2024-01-15"),
+        ("2024-01-15T23:30:00+05:30", "2024-01-15"), ("2024-01-15T23:30:00Z", "2024-01-15"),
+        ("15-01-2024", "2024-01-15"), ("01-02-2024", "2024-01-02"), ("1-Apr-2024", "2024-04-01"),
+        ("01-Apr-2024", "2024-04-01"), ("15 January 2024", "2024-01-15"), ("2024/01/15", "2024-01-15"),
+        ("January 3, 2024", "2024-01-03"), ("Jan 3, 2024", "2024-01-03"), ("May 3 2024", "2024-05-03"),
+        ("01/02/24", "2024-01-02"), ("15/01/24", "2024-01-15"), ("1/2/2024 10:30", "2024-01-02"),
+        ("20240115", "Unknown"), ("2024-13-45", "Unknown"), ("2024-01-15T25:00:00", "Unknown"), ("31-Foo-2024", "Unknown"),
+    ],
+)
+def test_date_layouts(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "v string")
+    got = df.select(C.date_text(C.parse_day(F.col("v"))), C.date_rejected(F.col("v"), C.parse_day(F.col("v")))).first()
+    assert tuple(got) == (expected, int(expected == "Unknown"))
+
+
 @pytest.mark.parametrize("raw,expected", TEXTS)
 def test_text(spark, raw, expected):
     df = spark.createDataFrame([(raw,)], "v string")
@@ -84,7 +102,7 @@ def _raw(spark, ncols, rows=1):
 
 
 def test_nine_columns_is_an_error(spark):
-    with pytest.raises(ValueError, match="Expected 10 columns, found 9"):
+    with pytest.raises(ValueError, match="10 columns, this one has 9"):
         positional(_raw(spark, 9))
 
 

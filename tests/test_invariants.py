@@ -52,25 +52,27 @@ def test_pages_concatenate_to_sorted_whole(small_ledger):
     assert parts == whole
 
 
-def test_seek_pages_walk_everything(small_ledger):
-    from ledgerlake.operators.paging import seek_page
+def _walk(rows, order, limit, tie_break=tuple(COLUMNS)):
+    from ledgerlake.operators.paging import next_cursor, seek_page
+
+    got, after, seen = [], (), 0
+    while chunk := seek_page(rows, after, order, limit, seen, tie_break).collect():
+        got += [tuple(r) for r in chunk]
+        after, seen = next_cursor(chunk, order, after, seen, tie_break)
+    return got
+
 
+def test_seek_pages_walk_everything(small_ledger):
     rows = small_ledger.select(*COLUMNS)
-    whole = [tuple(r) for r in sort_rows(rows, ()).collect()]
-    got, after = [], ()
-    while True:
-        chunk = [tuple(r) for r in seek_page(rows, after, (), 1000).collect()]
-        if not chunk:
-            break
-        got += chunk
-        after = chunk[-1]
+    assert _walk(rows, (), 1000) == [tuple(r) for r in sort_rows(rows, ()).collect()]
 
-    def distinct_in_order(xs):
-        return [r for i, r in enumerate(xs) if i == 0 or r != xs[i - 1]]
 
-    # Seek resumes strictly after the last key: rows identical in all ten
-    # columns are one key, so compare distinct rows in order.
-    assert distinct_in_order(got) == distinct_in_order(whole)
+def test_seek_pages_keep_rows_that_are_equal(spark, six):
+    rows = six.select(*COLUMNS)
+    rows = rows.unionByName(rows).unionByName(rows.limit(1)).unionByName(rows)
+    whole = [tuple(r) for r in sort_rows(rows, ()).collect()]
+    for limit in (1, 2, 3, 7):
+        assert _walk(rows, (), limit) == whole
 
 
 def test_export_total_equals_totals(small_ledger):
@@ -101,19 +103,18 @@ def test_dims_never_null_after_cleaning(small_ledger):
     assert small_ledger.filter(cond).count() == 0
 
 
-def test_deep_pages_match_top_k(small_ledger, monkeypatch):
+def test_numbered_pages_match_top_k(small_ledger):
     from ledgerlake.operators import paging
 
     rows = small_ledger.select(*COLUMNS)
     whole = [tuple(r) for r in sort_rows(rows, ()).collect()]
-    monkeypatch.setattr(paging, "DEEP_PAGE_ROWS", 0)
     got = []
     for off in range(0, len(whole), 2000):
-        got += [tuple(r) for r in paging.page(rows, (), off, 2000).collect()]
+        got += [tuple(r) for r in paging.numbered_page(rows, (), off, 2000).collect()]
     assert got == whole
-    desc = [tuple(r) for r in paging.page(rows, (("cash_dr", "desc"),), 100, 50).collect()]
-    monkeypatch.setattr(paging, "DEEP_PAGE_ROWS", 10**9)
-    assert desc == [tuple(r) for r in paging.page(rows, (("cash_dr", "desc"),), 100, 50).collect()]
+    order = (("cash_dr", "desc"),)
+    deep = [tuple(r) for r in paging.numbered_page(rows, order, 100, 50).collect()]
+    assert deep == [tuple(r) for r in paging.page(rows, order, 100, 50).collect()]
 
 
 def test_ordinal_with_a_hot_group(spark):
@@ -131,14 +132,11 @@ def test_ordinal_with_a_hot_group(spark):
     assert out.count() == 20000 and bad.count() == 0
 
 
-def test_large_cap_uses_bounded_numbering(small_ledger, monkeypatch):
+def test_large_cap_uses_bounded_numbering(small_ledger):
     from pyspark.sql.window import Window
 
-    from ledgerlake.operators import ordinal
     from ledgerlake.operators.tree import capped_rows
 
-    monkeypatch.setattr(ordinal, "MAX_GROUP_ROWS", 100)  # force the range-slice path
-
     levels = ["entity_type"]
     got = capped_rows(small_ledger, 1100, levels=levels)  # above the group-limit threshold
     w = Window.partitionBy(*levels).orderBy(*COLUMNS)
@@ -148,13 +146,9 @@ def test_large_cap_uses_bounded_numbering(small_ledger, monkeypatch):
     assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
 
 
-@pytest.mark.parametrize("bound", [0, 10**9])
-def test_nested_chunks_are_whole_and_bounded(small_ledger, monkeypatch, bound):
-    from ledgerlake.operators import ordinal
+def test_nested_chunks_are_whole_and_bounded(small_ledger):
     from ledgerlake.operators.rollup import flat_hierarchy_nested
 
-    monkeypatch.setattr(ordinal, "MAX_GROUP_ROWS", bound)
-
     out = flat_hierarchy_nested(small_ledger, chunk_rows=2)
     sizes = out.select(F.size("transactions").alias("s"), "row_count", "chunk")
     assert sizes.filter("s > 2 OR s < 1").count() == 0
@@ -185,19 +179,26 @@ def test_hot_leaf_spreads_over_range_partitions(spark):
     assert len(sizes) == 16 and max(sizes) < 0.15 * sum(sizes)
 
 
-@pytest.mark.parametrize("bound", [1000, 10**9])
-def test_hot_leaf_numbering_and_cap(spark, monkeypatch, bound):
+def test_equal_rows_spread_over_range_partitions(spark):
+    from ledgerlake.operators.ordinal import number_rows, range_partitioned
+
+    df = spark.range(40000).select(F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("k"))
+    for n in (8, 32):
+        parts = range_partitioned(df, n, [F.col("k").asc()]).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in parts) < 3 * 40000 / n
+    numbered = number_rows(df, ["k"], [F.col("k").asc()], "_n", partitions=8).where("k = 'same'")
+    assert sorted(r["_n"] for r in numbered.collect()) == list(range(20000))
+
+
+def test_hot_leaf_numbering_and_cap(spark):
     from pyspark.sql.window import Window
 
-    from ledgerlake.operators import ordinal
     from ledgerlake.operators.tree import capped_rows, transactions
 
-    monkeypatch.setattr(ordinal, "MAX_GROUP_ROWS", bound)
-
     led = _hot_ledger(spark).cache()
     tx = transactions(led).select("txn_date", "entity_type", "entity_sub_type", "entity_name", "tx_index", *COLUMNS[4:])
     w = Window.partitionBy(*DIMS).orderBy(*COLUMNS)
-    ref = led.withColumn("tx_index", (F.row_number().over(w) - 1).cast("int")).select(tx.columns)
+    ref = led.withColumn("tx_index", (F.row_number().over(w) - 1).cast("bigint")).select(tx.columns)
     assert tx.count() == led.count()
     assert tx.exceptAll(ref).count() == 0
     big = capped_rows(led, 5000).groupBy(*DIMS).count().orderBy(F.desc("count")).first()

@@ -4,6 +4,7 @@ pushed to the Parquet scan of a saved ledger."""
 import pytest
 
 import __spark_entry__ as E
+from ledgerlake.plans import catalog
 from ledgerlake import apply_filter, rollup_table
 from ledgerlake.session import shared_dir
 from ledgerlake.sources.sinks import write_ledger
@@ -17,7 +18,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_python_stage(spark, name):
     p = plan(E.queries()[name](spark, SF))
     assert not any(n in p for n in PY_NODES), p

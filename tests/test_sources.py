@@ -6,6 +6,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from ledgerlake import normalize, read_ledger, totals
 from ledgerlake.operators.reports import export_report
 from ledgerlake.schema import COLUMNS, DISPLAY_NAMES
@@ -141,7 +143,7 @@ def test_workbook_cell_kinds():
     sheet = (
         '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
         '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
-        '<row r="1"><c r="A1" t="inlineStr"><is><t>Date</t></is></c></row>'
+        '<row r="1"><c r="A1" t="inlineStr"><is><t>Date</t></is></c><c r="J1" t="inlineStr"><is><t>Bank Cr</t></is></c></row>'
         '<row r="2"><c r="A2" s="2"><v>45306.5</v></c><c r="B2" t="inlineStr"><is><t> Inline </t></is></c>'
         '<c r="D2" t="b"><v>1</v></c><c r="G2"><v>12.25</v></c></row>'
         "</sheetData></worksheet>"
@@ -160,10 +162,39 @@ def test_workbook_cell_kinds():
     with zipfile.ZipFile(path, "w") as z:
         for n, b in parts.items():
             z.writestr(n, b)
-    rows = list(workbook_rows(open(path, "rb").read(), 10))
+    rows = list(workbook_rows(open(path, "rb").read()))
     assert rows == [["2024-01-15 12:00:00", " Inline ", None, "TRUE", None, None, "12.25", None, None, None]]
 
 
+@pytest.mark.parametrize("width", [9, 10, 17])
+def test_workbook_width(spark, six, width):
+    d = _tmp()
+    write_xlsx(os.path.join(d, "good.xlsx"), [HEADER, *SIX_ROWS])
+    wide = [[*r, *["x"] * 10][:width] for r in [HEADER, *SIX_ROWS]]
+    write_xlsx(os.path.join(d, f"wide{width}.xlsx"), wide)
+    read = read_ledger(spark, d, "xlsx")
+    if width < 10:
+        with pytest.raises(Exception, match="wide9.xlsx: a ledger has 10 columns, this one has 9"):
+            read.collect()
+    else:
+        assert read.count() == 12 and len(read.columns) == 10
+
+
+def test_escaped_letters_are_no_date_format(tmp_path):
+    import zipfile
+
+    from ledgerlake.sources.workbook import _date_styles
+
+    formats = ["0.00\\ \\D\\r", "d/m/yy", '0.00" day"']
+    xml = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts>' + "".join(
+        f'<numFmt numFmtId="{164 + i}" formatCode="{f.replace(chr(34), "&quot;")}"/>' for i, f in enumerate(formats)
+    ) + "</numFmts><cellXfs>" + "".join(f'<xf numFmtId="{164 + i}"/>' for i in range(3)) + "</cellXfs></styleSheet>"
+    path = str(tmp_path / "s.xlsx")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/styles.xml", xml)
+    assert _date_styles(zipfile.ZipFile(path)) == {1}
+
+
 def test_streaming_json_by_display_names(spark, six):
     src, out, ck = _tmp(), os.path.join(_tmp(), "ledger"), os.path.join(_tmp(), "ck")
     with open(os.path.join(src, "a.json"), "w") as f:

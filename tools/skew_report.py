@@ -35,6 +35,7 @@ from ledgerlake import (  # noqa: E402
     totals,
     transactions,
 )
+from ledgerlake.operators.paging import numbered_page  # noqa: E402
 from ledgerlake.schema import COLUMNS  # noqa: E402
 from ledgerlake.sources.generator import generate_rows  # noqa: E402
 
@@ -60,11 +61,6 @@ def main(rows: int) -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     sc = spark.sparkContext
-    # Per-task bound scaled to this small ledger (as 2M rows is to a big
-    # one): the hot leaf exceeds it, so its numbering takes the range path.
-    from ledgerlake.operators import ordinal
-
-    ordinal.MAX_GROUP_ROWS = rows // 20
     sc.setCheckpointDir(os.path.join(scratch, "ckpt"))
 
     g = generate_rows(spark, rows, seed=11, end_date="2024-01-31")
@@ -94,7 +90,7 @@ def main(rows: int) -> None:
         "leaf_cap (cap 5000)": lambda: noop(leaf_cap(led, 5000)),
         "transactions (all leaves numbered)": lambda: noop(transactions(led)),
         "flat_hierarchy_nested (chunks of 1000)": lambda: noop(flat_hierarchy_nested(led, chunk_rows=1000)),
-        "page (offset = half the ledger)": lambda: page(led, (), rows // 2, 1000).collect(),
+        "page (offset = half the ledger)": lambda: numbered_page(led, (), rows // 2, 1000).collect(),
     }
     for name, fn in ops.items():
         sc.setJobDescription(name)
@@ -133,9 +129,7 @@ def main(rows: int) -> None:
     print(f"# Per-task load with one hot leaf\n")
     print(f"Ledger: {rows:,} rows in 32 Parquet files; the hot leaf (2024-01-15 / Customer / Retail / ABC Corp) "
           f"holds {hot_rows:,} rows ({hot_rows / rows:.0%}). `local[8]`, 32 shuffle partitions, AQE on with partition coalescing off. "
-          "Source: Spark event log (`SparkListenerTaskEnd` input + shuffle records) of `tools/skew_report.py`. "
-          f"Per-task group bound (`ordinal.MAX_GROUP_ROWS`) scaled to {rows // 20:,} rows, so the hot leaf is "
-          "above it, as a third of a 100 TB ledger would be above the default 2,000,000.\n")
+          "Source: Spark event log (`SparkListenerTaskEnd` input + shuffle records) of `tools/skew_report.py`.\n")
     print("Scan input per task is set by file packing (about 1/8 of the ledger on 8 cores); the hot-key")
     print("risk is in shuffle input, where one key's rows meet. A shuffle share near the hot leaf's share")
     print("would mean the leaf landed in one task.\n")
