@@ -39,12 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import alnum_words, bounded_arrow, parts_by_size, small_batches, text_or_empty
+from ledgerlake.llm.common import WordHashes, alnum_words, bounded_arrow, parts_by_size, small_batches, text_or_empty
 
 MIN_IDF = 2.3
 MAX_IDF = 7.6
 MIN_TERMS = 8
-SEED = 7
 #: How many subsets keep a term with which probability (as a power of 1/2).
 SUBSETS = ((2, 1), (6, 3), (14, 5), (20, 7), (22, 9))
 #: Distinct terms a task counts before it hands them on.
@@ -75,7 +74,7 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 
 def _hashed(terms) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(t, SEED) for t in terms), np.uint64, len(terms))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
 
 
 def lexicon(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF) -> np.ndarray:
@@ -95,7 +94,7 @@ class Subsets:
         self.powers = np.repeat([p for _, p in SUBSETS], [n for n, _ in SUBSETS])
         self.terms, self.min_terms = terms, min_terms
         self.member = self._membership(terms)
-        self.hashes: dict[bytes, int] = {}
+        self.hashes = WordHashes()
 
     def _membership(self, terms: np.ndarray) -> np.ndarray:
         """A bit for each subset that a term is in."""
@@ -112,12 +111,10 @@ class Subsets:
 
     def _terms_of(self, text: str | None) -> np.ndarray:
         """Hashes of the distinct terms, sorted."""
-        terms, known = set(alnum_words(text)), self.hashes
-        if len(known) > TASK_TERMS:
-            known.clear()
-        for t in terms - known.keys():
-            known[t] = xxhash.xxh3_64_intdigest(t, SEED)
-        return np.sort(np.fromiter(map(known.__getitem__, terms), np.uint64, len(terms)))
+        terms = set(alnum_words(text))
+        if len(self.hashes) > TASK_TERMS:
+            self.hashes.clear()
+        return np.sort(np.fromiter(map(self.hashes.__getitem__, terms), np.uint64, len(terms)))
 
     def fingerprint(self, text: str | None) -> np.ndarray:
         own = self._terms_of(text)

@@ -23,6 +23,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+SUBSTRING = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{_WS[1:-1]}]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+), repeated AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN repeated USING (win)
+), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs
+), judged AS (
+  SELECT words.doc_id, count(gone.p) AS n_removed,
+         string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS kept
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN judged USING (doc_id)
+"""
+
 WARC = """
 WITH page AS (
   SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest,
@@ -138,6 +156,7 @@ FROM tagged JOIN rates USING (mix_source, mix_lang, mix_topic)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": SUBSTRING,
         "op5_mixing": _mixing(),
         "op6_decontaminate": DECONTAMINATE,
         "op7_warc": WARC,

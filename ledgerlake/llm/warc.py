@@ -287,7 +287,10 @@ def dechunk(body: bytes) -> tuple[bytes, bool]:
 
 
 def decode_http(block: bytes) -> tuple[bytes, dict[bytes, bytes], bool]:
-    """Payload, headers by lower-case name, and whether it is whole."""
+    """Payload, headers by lower-case name, and whether it is whole. A
+    block that is no HTTP message is its own payload."""
+    if not block.startswith(b"HTTP/"):
+        return block, {}, True
     head, _, body = block.partition(b"\r\n\r\n")
     headers = {}
     for line in head.split(b"\r\n")[1:]:

@@ -62,3 +62,76 @@ def components(ids, values, distance=3):
         smallest[find(i)].append(x)
     known = {r: min((x for x in xs if x is not None), default=None) for r, xs in smallest.items()}
     return [known[find(i)] for i in range(len(ids))]
+
+
+def line_dedup(docs, min_chars=10):
+    """[(doc_id, n_lines, n_dropped, kept text)] for [(doc_id, text)]."""
+    key = lambda line: lower_ascii(line.strip(" \t\n\x0b\x0c\r"))
+    held = defaultdict(set)
+    for doc_id, text in docs:
+        for line in (text or "").split("\n"):
+            if doc_id is not None and len(key(line)) >= min_chars:
+                held[key(line)].add(doc_id)
+    out = []
+    for doc_id, text in docs:
+        lines = (text or "").split("\n")
+        gone = lambda x: doc_id is not None and len(held.get(key(x), ())) > 1 and doc_id != min(held[key(x)])  # noqa: B023, E731
+        kept = [x for x in lines if not gone(x)]
+        out.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contamination(docs, items, window=10):
+    """[(doc_id, n_words, n_hit, [item ids as sorted strings])]."""
+    windows = defaultdict(set)
+    for item, text in items:
+        w = ITEM_WORD.findall(lower_ascii(text or ""))
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1) if n else ():
+            windows[tuple(w[i : i + n])].add(str(item))
+    out = []
+    for doc_id, text in docs:
+        w = ITEM_WORD.findall(lower_ascii(text or ""))
+        hit, found = set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit.update(range(i, i + n))
+                    found |= windows[tuple(w[i : i + n])]
+        out.append((doc_id, len(w), len(hit), sorted(found)))
+    return out
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        total += d if i % 2 == 0 else sum(divmod(2 * d, 10))
+    return total % 10 == 0
+
+
+def base_spans(text):
+    """[kind:start:end] by kind and start."""
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": True,
+                "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True,
+                "card": 16 <= len(digits) <= 19 and luhn(digits),
+                "phone": 8 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
