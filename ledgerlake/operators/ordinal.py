@@ -31,9 +31,8 @@ from ledgerlake.session import ensure_checkpoint_dir
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 # Input bytes for each range partition.
 PARTITION_BYTES = 128 << 20
-# Plan statistics of joins multiply sizes; more partitions than this are
-# the caller's choice.
-MAX_PARTITIONS = 1_000_000
+# Relations without statistics claim more than any table holds.
+UNKNOWN_BYTES = 1 << 60
 
 
 def first_in_groups(
@@ -54,17 +53,24 @@ def first_in_groups(
     return ranked.withColumn(out, (F.col("_rn") - 1).cast("long")).drop("_rn")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the relations that ``df`` reads, as far as the plan knows
+    them (a join's own estimate multiplies its sides)."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    except AttributeError:  # Spark Connect has no plan here
+        return 0
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < UNKNOWN_BYTES)
+
+
 def partition_count(df: DataFrame, partitions: int | None) -> int:
-    """The given count, or one by the optimizer's size of the input, at
-    least ``spark.sql.shuffle.partitions``."""
+    """The given count, or one by the size of the input, at least
+    ``spark.sql.shuffle.partitions``."""
     if partitions:
         return partitions
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:  # Spark Connect has no plan statistics here
-        return least
-    return max(least, min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))
+    return max(least, -(-input_bytes(df) // PARTITION_BYTES))
 
 
 def spread_key() -> Column:
