@@ -182,10 +182,14 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         texts.join(label, "doc_id")
         .groupBy("text_hash", "toxic")
         .agg(F.min("doc_id").alias("doc_id"))
-        .select("doc_id", "toxic", F.pmod(F.xxhash64("text_hash"), F.lit(CALIBRATION_FOLD)).alias("fold"))
+        .select("doc_id", "toxic", _fold(F.col("text_hash")).alias("fold"))
     )
 
 
+def _fold(text_hash: Column) -> Column:
+    return F.pmod(F.xxhash64(text_hash), F.lit(CALIBRATION_FOLD))
+
+
 def fit(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """A model of ``docs`` (``doc_id``, ``text``) by ``labels`` (``doc_id``,
     ``toxic``); None without a row of both classes."""
@@ -194,13 +198,17 @@ def fit(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, calibr
     rows = training_rows(docs, labels).cache()
     try:
         sizes = _sizes(rows)
-        if not all(sizes.get((c, calibrating)) for c in (0, 1) for calibrating in (False, True)):
+        if not all(sizes.get((c, part)) for c in (0, 1) for part in (False, True)):
             return None
-        texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", text_or_empty().alias("text")).join(rows, "doc_id")
-        model = _counts(texts.where("fold <> 0").select("toxic", "text"), min_share)
-        share = min(1.0, calibration_rows / sum(n for (_, calibrating), n in sizes.items() if calibrating))
+        # Which part a text is for follows from the text: each is shuffled for one of the two joins.
+        texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", text_or_empty().alias("text"))
+        texts = texts.withColumn("fold", _fold(F.xxhash64("text")))
+        counted = texts.where("fold <> 0").join(rows, ["doc_id", "fold"])
+        model = _counts(counted.select("toxic", "text"), min_share)
+        share = min(1.0, calibration_rows / sum(n for (_, part), n in sizes.items() if part))
         chosen = F.pmod(F.xxhash64(F.lit("calibration"), "text"), F.lit(1 << 30)) < int(share * (1 << 30))
-        sample = _features(texts.where((F.col("fold") == 0) & chosen).select("toxic", "text"), model).select("toxic", "f").collect()
+        calibrating = texts.where((F.col("fold") == 0) & chosen).join(rows, ["doc_id", "fold"])
+        sample = _features(calibrating.select("toxic", "text"), model).select("toxic", "f").collect()
         model.weights = _logistic(np.array([r["f"] for r in sample]), np.array([r["toxic"] for r in sample], float))
         return model
     finally:
