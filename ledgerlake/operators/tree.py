@@ -13,7 +13,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerlake.functions.aggregates import group_measures
 from ledgerlake.functions.predicates import LedgerFilter, path_filter
