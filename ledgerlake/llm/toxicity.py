@@ -179,7 +179,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"))
     return (
-        texts.join(label, "doc_id")
+        texts.join(label.hint("merge"), "doc_id")
         .groupBy("text_hash", "toxic")
         .agg(F.min("doc_id").alias("doc_id"))
         .select("doc_id", "toxic", _fold(F.col("text_hash")).alias("fold"))
@@ -200,14 +200,16 @@ def fit(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, calibr
         sizes = _sizes(rows)
         if not all(sizes.get((c, part)) for c in (0, 1) for part in (False, True)):
             return None
-        # Which part a text is for follows from the text: each is shuffled for one of the two joins.
+        # Which part a text is for follows from the text: each is shuffled
+        # for one of the two joins. Labels grow with the corpus: the joins
+        # are shuffles at every size.
         texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", text_or_empty().alias("text"))
         texts = texts.withColumn("fold", _fold(F.xxhash64("text")))
-        counted = texts.where("fold <> 0").join(rows, ["doc_id", "fold"])
+        counted = texts.where("fold <> 0").join(rows.hint("merge"), ["doc_id", "fold"])
         model = _counts(counted.select("toxic", "text"), min_share)
         share = min(1.0, calibration_rows / sum(n for (_, part), n in sizes.items() if part))
         chosen = F.pmod(F.xxhash64(F.lit("calibration"), "text"), F.lit(1 << 30)) < int(share * (1 << 30))
-        calibrating = texts.where((F.col("fold") == 0) & chosen).join(rows, ["doc_id", "fold"])
+        calibrating = texts.where((F.col("fold") == 0) & chosen).join(rows.hint("merge"), ["doc_id", "fold"])
         sample = _features(calibrating.select("toxic", "text"), model).select("toxic", "f").collect()
         model.weights = _logistic(np.array([r["f"] for r in sample]), np.array([r["toxic"] for r in sample], float))
         return model
