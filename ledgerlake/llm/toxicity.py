@@ -17,11 +17,12 @@ into a probability. It is fitted on labelled documents that the counts
 have not seen: a fifth of them, at most about ``calibration_rows`` (chosen
 by a hash of the text).
 
-Scale: counts are gathered from all labelled training rows. N-grams with
-less than ``min_share`` of their order's total count are left to the
-backoff, so that at most 1 / min_share of each order remain, whatever the
-corpus: the model is collected and broadcast. Documents are scored where
-they are read; only training texts are shuffled.
+Scale: every count is kept, as a Spark table. Documents are dealt to chunks
+by a hash of their row; the distinct 5-grams of each chunk are joined with
+their ratios, and each chunk is read with a dictionary of its own. What a
+task holds is bounded by its chunk, and nothing that grows with the corpus
+is collected or broadcast: only the shared orders 1 and 2 are, at most
+65,536 pairs of bytes.
 
 Defined results: null and empty texts have no words and get the score of
 a length of zero; a null ``doc_id`` is not held out and has no label; a
@@ -40,28 +41,34 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import alnum_words, bounded_arrow, small_batches, text_or_empty
+from ledgerlake.llm.common import alnum_words, bounded_arrow, parts_by_size, shuffle_partitions, small_batches, text_or_empty
+from ledgerlake.session import ensure_checkpoint_dir
 
 ORDER = 5
 #: Highest order of the backoff that both classes share.
 SHARED = 2
 DISCOUNT = 0.75
-MIN_SHARE = 2e-7
 CLIP = 50.0
 DECISIVE = 3.0
 CALIBRATION_ROWS = 20_000
-#: One training text in so many is left out of the counts, for calibration.
+#: At most one training text in so many is chosen for calibration.
 CALIBRATION_FOLD = 5
 THRESHOLD = 0.7
 #: Entries that a task holds before it hands counts on, or forgets words.
 TASK_ENTRIES = 400_000
-
-_COUNTED = "toxic int, item binary, n long"
-_COUNTED_ARROW = pa.schema([("toxic", pa.int32()), ("item", pa.binary()), ("n", pa.int64())])
+#: Bytes of text in a chunk of documents that is scored at once.
+CHUNK_BYTES = 4_000_000
+#: Chunks for each shuffle partition, at least.
+CHUNKS_PER_PARTITION = 4
+
+_COUNTED = "part int, item binary, n long"
+_COUNTED_ARROW = pa.schema([("part", pa.int32()), ("item", pa.binary()), ("n", pa.int64())])
+_ASKED = "chunk long, g binary"
+_ASKED_ARROW = pa.schema([("chunk", pa.int64()), ("g", pa.binary())])
 _BEGIN, _END = b"\x01", b"\x02"
 
 
@@ -71,14 +78,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
-    toxic, items = zip(*counts) if counts else ((), ())
+    parts, items = zip(*counts) if counts else ((), ())
     return pa.RecordBatch.from_arrays(
-        [pa.array(toxic, pa.int32()), pa.array(items, pa.binary()), pa.array(counts.values(), pa.int64())], schema=_COUNTED_ARROW
+        [pa.array(parts, pa.int32()), pa.array(items, pa.binary()), pa.array(counts.values(), pa.int64())], schema=_COUNTED_ARROW
     )
 
 
 def _flushed(pairs: Iterator[tuple[list, int]]) -> Iterator[pa.RecordBatch]:
-    """Counts of (class, item) from lists of them with a weight, handed on
+    """Counts of (part, item) from lists of them with a weight, handed on
     whenever the counter is full."""
     counts: Counter = Counter()
     for keys, n in pairs:
@@ -91,11 +98,11 @@ def _flushed(pairs: Iterator[tuple[list, int]]) -> Iterator[pa.RecordBatch]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) rows to documents by class and word."""
+    """(part, text) rows to documents by part and word."""
     def pairs():
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield [(toxic, w) for w in set(alnum_words(text.as_py()))], 1
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield [(part, w) for w in set(alnum_words(text.as_py()))], 1
 
     yield from _flushed(pairs())
 
@@ -107,58 +114,59 @@ def grams(word: bytes, order: int) -> list[bytes]:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, word, n) rows to counts by class and n-gram."""
+    """(part, word, n) rows to counts by part and n-gram."""
     def pairs():
         for batch in batches:
-            for toxic, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                yield [(toxic, g) for order in range(SHARED + 1, ORDER + 1) for g in grams(word, order)], n
+            for part, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                yield [(part, g) for order in range(SHARED + 1, ORDER + 1) for g in grams(word, order)], n
 
     yield from _flushed(pairs())
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, text, ...) rows to the 5-grams of each chunk; a task may
+    name one again after it has handed on what it holds."""
+    asked: dict[int, set[bytes]] = {}
+    seen: dict[int, set[bytes]] = {}
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        for chunk, found in asked.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(list(found), pa.binary())], schema=_ASKED_ARROW)
+
+    for whole in batches:
+        for batch in small_batches(whole):
+            columns = batch.schema.names
+            for chunk, text in zip(batch.column(columns.index("chunk")).to_pylist(), batch.column(columns.index("text"))):
+                words, found = seen.setdefault(chunk, set()), asked.setdefault(chunk, set())
+                new = set(alnum_words(text.as_py())) - words
+                words |= new
+                for word in new:
+                    found.update(grams(word, ORDER))
+            if sum(map(len, asked.values())) + sum(map(len, seen.values())) > TASK_ENTRIES:
+                yield from handed()
+                asked, seen = {}, {}
+    yield from handed()
+
+
 @dataclass
 class Model:
-    """Discounted class probabilities by n-gram, backoff weights by
-    context, and the shared backoff by bigram and byte."""
-
-    seen: dict[bytes, tuple[float, float]]
-    rest: dict[bytes, tuple[float, float]]
-    pairs: dict[bytes, float]
-    pair_rest: dict[bytes, float]
-    single: dict[bytes, float]
-    weights: tuple[float, ...] = ()
-
-    def shared(self, pair: bytes) -> float:
-        """Kneser-Ney probability of a byte after one other."""
-        p = self.single.get(pair[1:], 0.0) + self.single[b""] / 256
-        return self.pairs.get(pair, 0.0) + self.pair_rest.get(pair[:1], 1.0) * p
+    """Texts by n-gram of orders 3 to 5 (``item``) and class (``n0`` and
+    ``n1``), the shared backoff by pair of bytes, and the weights of the
+    features."""
 
-    def gram_ratio(self, gram: bytes) -> float:
-        """log p(last byte | the others, toxic) - log p(... | ordinary)."""
-        ordinary = toxic = self.shared(gram[-SHARED:])
-        for order in range(SHARED + 1, ORDER + 1):
-            g = gram[-order:]
-            rest = self.rest.get(g[:-1])
-            if rest is not None:
-                seen = self.seen.get(g, (0.0, 0.0))
-                ordinary = seen[0] + rest[0] * ordinary
-                toxic = seen[1] + rest[1] * toxic
-        return math.log(toxic / ordinary)
+    counts: DataFrame
+    pairs: np.ndarray
+    weights: tuple[float, ...] = ()
 
 
 class _Ratios(dict):
-    """Evidence of words, each worked out once."""
+    """Evidence of words, each worked out once, from that of 5-grams."""
 
-    def __init__(self, model: Model):
-        self.model, self.by_gram = model, {}
+    def __init__(self, by_gram: dict[bytes, float]):
+        self.by_gram = by_gram
 
     def __missing__(self, word: bytes) -> float:
-        total = 0.0
-        for g in grams(word, ORDER):
-            r = self.by_gram.get(g)
-            if r is None:
-                r = self.by_gram[g] = self.model.gram_ratio(g)
-            total += r
+        total = sum(self.by_gram[g] for g in grams(word, ORDER))
         value = self[word] = min(max(total, -CLIP), CLIP)
         return value
 
@@ -166,93 +174,79 @@ class _Ratios(dict):
         words = alnum_words(text)
         if len(self) > TASK_ENTRIES:
             self.clear()
-        if len(self.by_gram) > TASK_ENTRIES:
-            self.by_gram.clear()
         ratios = np.fromiter(map(self.__getitem__, words), float, len(words))
         n = max(len(words), 1)
         return float(ratios.sum()) / n, float(ratios[ratios > DECISIVE].sum()) / n, math.log(n)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, fold): one labelled row that is not held out for
-    each distinct text and label."""
+    """(doc_id, text_hash, toxic, draw): one labelled row that is not held
+    out for each distinct text and label; ``draw`` orders them at random."""
     label = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"))
     return (
         texts.join(label.hint("merge"), "doc_id")
         .groupBy("text_hash", "toxic")
         .agg(F.min("doc_id").alias("doc_id"))
-        .select("doc_id", "toxic", _fold(F.col("text_hash")).alias("fold"))
+        .select("doc_id", "text_hash", "toxic", _draw(F.col("text_hash")).alias("draw"))
     )
 
 
-def _fold(text_hash: Column) -> Column:
-    return F.pmod(F.xxhash64(text_hash), F.lit(CALIBRATION_FOLD))
+def _draw(text_hash: Column) -> Column:
+    return F.xxhash64(F.lit("calibration"), text_hash)
 
 
-def fit(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """A model of ``docs`` (``doc_id``, ``text``) by ``labels`` (``doc_id``,
     ``toxic``); None without a row of both classes."""
     spark = docs.sparkSession
     bounded_arrow(spark)
+    ensure_checkpoint_dir(spark)
     rows = training_rows(docs, labels).cache()
     try:
-        sizes = _sizes(rows)
-        if not all(sizes.get((c, part)) for c in (0, 1) for part in (False, True)):
+        fold = F.pmod("draw", F.lit(CALIBRATION_FOLD))
+        rows = rows.withColumn("chosen", fold == 0).withColumn("part", F.when(fold == 0, F.col("toxic") + 2).otherwise(F.col("toxic")))
+        sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+        if not all(sizes.get(part) for part in range(4)):
             return None
-        # Which part a text is for follows from the text: each is shuffled
-        # for one of the two joins. Labels grow with the corpus: the joins
-        # are shuffles at every size.
+        share = min(1.0, calibration_rows / (sizes[2] + sizes[3]))
+        # Labels grow with the corpus: the joins are shuffles at every size.
         texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", text_or_empty().alias("text"))
-        texts = texts.withColumn("fold", _fold(F.xxhash64("text")))
-        counted = texts.where("fold <> 0").join(rows.hint("merge"), ["doc_id", "fold"])
-        model = _counts(counted.select("toxic", "text"), min_share)
-        share = min(1.0, calibration_rows / sum(n for (_, part), n in sizes.items() if part))
-        chosen = F.pmod(F.xxhash64(F.lit("calibration"), "text"), F.lit(1 << 30)) < int(share * (1 << 30))
-        calibrating = texts.where((F.col("fold") == 0) & chosen).join(rows.hint("merge"), ["doc_id", "fold"])
-        sample = _features(calibrating.select("toxic", "text"), model).select("toxic", "f").collect()
-        model.weights = _logistic(np.array([r["f"] for r in sample]), np.array([r["toxic"] for r in sample], float))
-        return model
+        texts = texts.withColumn("text_hash", F.xxhash64("text"))
+        counted = texts.join(rows.hint("merge"), ["doc_id", "text_hash"])
+        counts = _counts(counted.select("part", "text"))
+        sampled = F.pmod(F.xxhash64(F.lit("sample"), "text_hash"), F.lit(1 << 30)) < int(share * (1 << 30))
+        calibrating = texts.where(sampled).join(rows.where("chosen").hint("merge"), ["doc_id", "text_hash"])
+        unseen = Model(counts.select("item", "n0", "n1").where("n0 + n1 > 0"), _backoff(counts.where("n0 + n1 > 0")))
+        sample = _features(calibrating.select("toxic", "text"), unseen).select("toxic", "f").collect()
+        weights = _logistic(np.array([r["f"] for r in sample]), np.array([r["toxic"] for r in sample], float))
+        unseen.weights = weights
+        return unseen
     finally:
         rows.unpersist()
 
 
-def _sizes(rows: DataFrame) -> dict[tuple[int, bool], int]:
-    found = rows.groupBy("toxic", (F.col("fold") == 0).alias("calibrating")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return {(r["toxic"], r["calibrating"]): r["n"] for r in found}
+def _counts(texts: DataFrame) -> DataFrame:
+    """Counts by n-gram of (part, text) rows: ``n0`` and ``n1`` of parts 0
+    and 1, ``c0`` and ``c1`` of parts 2 and 3."""
+    words = texts.mapInArrow(_words, _COUNTED).groupBy("part", "item").agg(F.sum("n").alias("n"))
+    by_part = [F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(("n0", "n1", "c0", "c1"))]
+    return words.mapInArrow(_grams, _COUNTED).groupBy("item").agg(*by_part).checkpoint()
 
 
-def _counts(texts: DataFrame, min_share: float) -> Model:
-    words = texts.mapInArrow(_words, _COUNTED).groupBy("toxic", "item").agg(F.sum("n").alias("n"))
-    by_class = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
-    counts = words.mapInArrow(_grams, _COUNTED).groupBy("item").agg(*by_class).cache()
-    try:
-        order = F.octet_length("item")
-        context = F.substring("item", F.lit(1), (order - 1))
-        totals = {r["o"]: r["n"] for r in counts.groupBy(order.alias("o")).agg(F.sum(F.col("n0") + F.col("n1")).alias("n")).collect()}
-        enough = F.coalesce(*[F.when(F.octet_length("g") == o, F.lit(max(1.0, min_share * n))) for o, n in totals.items()])
-        kept = counts.select(F.col("item").alias("g"), "n0", "n1").where(F.col("n0") + F.col("n1") >= enough)
-        contexts = (
-            counts.groupBy(context.alias("h")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-            .select("h", "n0", "n1", F.concat("h", F.lit(b"\x00")).alias("g"))
-            .where(F.col("n0") + F.col("n1") >= enough)
-        )
-        n = {bytes(r["h"]): (r["n0"], r["n1"]) for r in contexts.toLocalIterator()}
-        seen, left = {}, {h: [1.0, 1.0] for h in n}
-        for r in kept.toLocalIterator():
-            g = bytes(r["g"])
-            total, rest = n[g[:-1]], left[g[:-1]]
-            p = tuple(max(k - DISCOUNT, 0.0) / t if t else 0.0 for k, t in zip((r["n0"], r["n1"]), total))
-            seen[g] = p
-            rest[0] -= p[0]
-            rest[1] -= p[1]
-        # Continuation counts of both classes: how many bytes stand before a pair.
-        pairs = counts.where(order == SHARED + 1).groupBy(F.substring("item", 2, SHARED).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-        continued = {bytes(r["p"]): r["n"] for r in pairs.toLocalIterator()}
-    finally:
-        counts.unpersist()
-    rest = {h: (max(a, 1e-9), max(b, 1e-9)) for h, (a, b) in left.items()}
-    return Model(seen, rest, *_shared(continued))
+def _backoff(counts: DataFrame) -> np.ndarray:
+    """The shared probability of a byte after one other, by both."""
+    # Continuation counts of both classes: how many bytes stand before a pair.
+    third = counts.where(F.octet_length("item") == SHARED + 1)
+    continued = third.groupBy(F.substring("item", 2, SHARED).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    pairs, pair_rest, single = _shared({bytes(r["p"]): r["n"] for r in continued})
+    out = np.empty((256, 256))
+    for a in range(256):
+        for b in range(256):
+            h, x = bytes([a]), bytes([b])
+            p = single.get(x, 0.0) + single[b""] / 256
+            out[a, b] = pairs.get(h + x, 0.0) + pair_rest.get(h, 1.0) * p
+    return out
 
 
 def _shared(continued: dict[bytes, int]) -> tuple[dict, dict, dict]:
@@ -264,9 +258,9 @@ def _shared(continued: dict[bytes, int]) -> tuple[dict, dict, dict]:
         before[pair[1:]] += 1
     pairs = {p: (n - DISCOUNT) / after[p[:1]] for p, n in continued.items()}
     pair_rest = {h: DISCOUNT * kinds[h] / after[h] for h in after}
-    total = sum(before.values())
+    total = max(sum(before.values()), 1)
     single = {x: (n - DISCOUNT) / total for x, n in before.items()}
-    single[b""] = DISCOUNT * len(before) / total
+    single[b""] = DISCOUNT * len(before) / total if before else 1.0
     return pairs, pair_rest, single
 
 
@@ -285,27 +279,67 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return (float(b[0] - weights @ mean), *map(float, weights))
 
 
+def gram_ratios(asked: DataFrame, model: Model) -> DataFrame:
+    """(g, ratio) for each distinct 5-gram ``g`` of ``asked``: log p(last
+    byte | the others, toxic) - log p(... | ordinary)."""
+    spark = asked.sparkSession
+    g = F.col("item")
+    suffixes = F.array(*[F.substring("g", ORDER - o + 1, o) for o in range(SHARED + 1, ORDER + 1)])
+    needed = asked.select("g").distinct().select(F.explode(suffixes).alias("item"), F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("n1"), F.lit(1).alias("asked"))
+    known = model.counts.select("item", "n0", "n1", F.lit(0).alias("asked"))
+    both = needed.unionByName(known).groupBy("item").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("asked").alias("asked"))
+    # A context has at most 256 n-grams.
+    context = Window.partitionBy(F.substring(g, F.lit(1), F.octet_length(g) - 1))
+    seen, rest = [], []
+    for c in ("n0", "n1"):
+        total, left = F.sum(c).over(context), F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+        seen.append(F.when(total > 0, left / total).otherwise(0.0).alias(f"seen_{c}"))
+        rest.append(F.when(total > 0, F.greatest(1 - F.sum(left).over(context) / total, F.lit(1e-9))).otherwise(1.0).alias(f"rest_{c}"))
+    steps = both.select("item", "asked", *seen, *rest).where("asked = 1").drop("asked")
+    pair = np.indices((256, 256)).reshape(2, -1).T.astype(np.uint8)
+    shared = pa.table({"p": pa.array(map(bytes, pair), pa.binary()), "p_n0": model.pairs.ravel()})
+    done = F.broadcast(spark.createDataFrame(shared)).withColumn("p_n1", F.col("p_n0"))
+    for o in range(SHARED + 1, ORDER + 1):
+        step = steps.where(F.octet_length("item") == o).withColumn("p", F.substring("item", 2, o - 1))
+        done = step.join(done, "p").select(
+            F.col("item").alias("p"), *[(F.col(f"seen_{c}") + F.col(f"rest_{c}") * F.col(f"p_{c}")).alias(f"p_{c}") for c in ("n0", "n1")]
+        )
+    return done.select(F.col("p").alias("g"), F.log(F.col("p_n1") / F.col("p_n0")).alias("ratio"))
+
+
+def _row_hash(rows: DataFrame) -> Column:
+    """A hash of the columns of a row that have one, maps have none."""
+    fields = [f.name for f in rows.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in fields])
+
+
 def _features(rows: DataFrame, model: Model, score: Callable | None = None) -> DataFrame:
     """``rows`` (with ``text``) with ``f``, the features, or by ``score``
     a function of them as ``score``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast((model.seen, model.rest, model.pairs, model.pair_rest, model.single))
     added = T.StructField("f", T.ArrayType(T.DoubleType())) if score is None else T.StructField("score", T.DoubleType())
     out = T.StructType([*rows.schema.fields, added])
     schema, at = to_arrow_schema(out), rows.columns.index("text")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = _Ratios(Model(*sent.value))
-        for whole in batches:
-            for batch in small_batches(whole):
-                made = [ratios.features(t) for t in batch.column(at).to_pylist()]
-                if score is not None:
-                    made = [score(f) for f in made]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, schema.field(schema.names[-1]).type)], schema=schema)
-
-    return rows.mapInArrow(add, out)
+    bytes_of = F.octet_length(text_or_empty())
+    parts, _ = parts_by_size(rows, bytes_of, CHUNK_BYTES)
+    chunks = max(parts, CHUNKS_PER_PARTITION * shuffle_partitions(rows))
+    # Rows keep their names inside a struct: theirs may be those used here.
+    packed = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "text"])
+    dealt = rows.select(F.pmod(_row_hash(rows), F.lit(chunks)).alias("chunk"), F.col("text"), packed.alias("others")).repartition("chunk")
+    asked = dealt.mapInArrow(_asked, _ASKED).repartition("g")
+    found = asked.join(gram_ratios(asked, model).hint("shuffle_merge"), "g").select("chunk", "g", "ratio")
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        ratios = _Ratios(dict(zip(right["g"].to_pylist(), right["ratio"].to_pylist())))
+        made = [ratios.features(t.as_py()) for t in left["text"]]
+        if score is not None:
+            made = [score(f) for f in made]
+        others = iter(left["others"].combine_chunks().flatten())
+        columns = [left["text"] if i == at else next(others) for i in range(len(schema.names) - 1)]
+        return pa.Table.from_arrays([*columns, pa.array(made, schema.field(schema.names[-1]).type)], schema=schema)
+
+    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(add, out)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

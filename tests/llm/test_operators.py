@@ -296,6 +296,34 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert score(labels) == pytest.approx(score(flipped), abs=1e-12)
 
 
+def not_held_out(spark, n):
+    ids = spark.range(n).select("id", toxicity.held_out(F.col("id")).alias("held")).orderBy("id").collect()
+    return iter([r["id"] for r in ids if not r["held"]]), iter([r["id"] for r in ids if r["held"]])
+
+
+def test_toxicity_of_spellings_that_are_rare_in_a_large_corpus(spark):
+    """Each insult stands in two of the training texts, its n-grams are under
+    2e-7 of those of their order."""
+    rng = random.Random(3)
+    learned, held = not_held_out(spark, 1500)
+    common = " ".join(f"w{i:07d}" for i in range(25_000))
+    insults = ["".join(rng.sample("qxzjvkwy", 7)) for _ in range(40)]
+    docs, labels = [], []
+    for i in range(60):
+        docs.append((next(learned), f"{common} {i}"))
+        labels.append((docs[-1][0], 0))
+    for word, toxic in [(w, 1) for w in insults * 2] + [(f"w{rng.randrange(25_000):07d}", 0) for _ in range(160)]:
+        docs.append((next(learned), f"w{rng.randrange(25_000):07d} {word} w{rng.randrange(25_000):07d}"))
+        labels.append((docs[-1][0], toxic))
+    asked = {next(held): (w, toxic) for toxic, words in ((1, insults), (0, [f"w{i:07d}" for i in range(40)])) for w in words}
+    docs += [(i, f"w0000100 {w} w0000200") for i, (w, _) in asked.items()]
+    frame = spark.createDataFrame(docs, DOCS).repartition(4)
+    scored = toxicity.score(frame, toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int")))
+    got = {r["doc_id"]: r["predicted"] for r in scored.select("doc_id", "predicted").collect()}
+    assert np.mean([got[i] for i, (_, toxic) in asked.items() if toxic]) > 0.8
+    assert np.mean([got[i] for i, (_, toxic) in asked.items() if not toxic]) < 0.1
+
+
 def test_raking_meets_the_targets(spark):
     rng = random.Random(1)
     rows = [(a, b, c, rng.randrange(500, 5000)) for a in ("s0", "s1", "other") for b in ("x", "y") for c in ("p", "q")]
