@@ -13,9 +13,11 @@ A word's evidence is its log-likelihood ratio, at most ``CLIP`` either way.
 A document is scored by the length-normalised difference of its two
 log-likelihoods, the part of it that words with a ratio above ``DECISIVE``
 give, and the logarithm of its length; a logistic regression turns these
-into a probability. It is fitted on labelled documents that the counts
-have not seen: a fifth of them, at most about ``calibration_rows`` (chosen
-by a hash of the text).
+into a probability. It is fitted on a calibration sample, of each class a
+fifth of the texts, at most about ``calibration_rows`` in all (chosen by a
+hash of the text), by counts that have not seen it; the counts that score
+documents are then of all training texts. A class of a single text has it
+in both.
 
 Scale: every count is kept, as a Spark table. Documents are dealt to chunks
 by a hash of their row; the distinct 5-grams of each chunk are joined with
@@ -204,24 +206,31 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
     ensure_checkpoint_dir(spark)
     rows = training_rows(docs, labels).cache()
     try:
-        fold = F.pmod("draw", F.lit(CALIBRATION_FOLD))
-        rows = rows.withColumn("chosen", fold == 0).withColumn("part", F.when(fold == 0, F.col("toxic") + 2).otherwise(F.col("toxic")))
-        sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
-        if not all(sizes.get(part) for part in range(4)):
+        found = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first"), F.max("draw").alias("last"))
+        classes = {r["toxic"]: r for r in found.collect()}
+        if not all(c in classes for c in (0, 1)):
             return None
-        share = min(1.0, calibration_rows / (sizes[2] + sizes[3]))
+        share = min(1 / CALIBRATION_FOLD, calibration_rows / sum(r["n"] for r in classes.values()))
+        below = -(1 << 63) + int(share * (1 << 64))
+        # At least one text of each class to calibrate by, and one to count.
+        limit, last, alone = (
+            F.when(F.col("toxic") == 0, classes[0][k] if k else classes[0]["n"] == 1).otherwise(classes[1][k] if k else classes[1]["n"] == 1)
+            for k in ("first", "last", None)
+        )
+        chosen = (F.col("draw") <= F.greatest(limit, F.lit(below))) & ((F.col("draw") < last) | alone)
+        rows = rows.withColumn("chosen", chosen).withColumn("part", F.when(chosen & ~alone, F.col("toxic") + 2).otherwise(F.col("toxic")))
         # Labels grow with the corpus: the joins are shuffles at every size.
         texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", text_or_empty().alias("text"))
         texts = texts.withColumn("text_hash", F.xxhash64("text"))
         counted = texts.join(rows.hint("merge"), ["doc_id", "text_hash"])
         counts = _counts(counted.select("part", "text"))
-        sampled = F.pmod(F.xxhash64(F.lit("sample"), "text_hash"), F.lit(1 << 30)) < int(share * (1 << 30))
-        calibrating = texts.where(sampled).join(rows.where("chosen").hint("merge"), ["doc_id", "text_hash"])
+        highest = max(below, *(r["first"] for r in classes.values()))
+        calibrating = texts.where(_draw(F.col("text_hash")) <= highest).join(rows.where("chosen").hint("merge"), ["doc_id", "text_hash"])
         unseen = Model(counts.select("item", "n0", "n1").where("n0 + n1 > 0"), _backoff(counts.where("n0 + n1 > 0")))
         sample = _features(calibrating.select("toxic", "text"), unseen).select("toxic", "f").collect()
         weights = _logistic(np.array([r["f"] for r in sample]), np.array([r["toxic"] for r in sample], float))
-        unseen.weights = weights
-        return unseen
+        every = counts.select("item", (F.col("n0") + F.col("c0")).alias("n0"), (F.col("n1") + F.col("c1")).alias("n1"))
+        return Model(every, _backoff(counts), weights)
     finally:
         rows.unpersist()
 

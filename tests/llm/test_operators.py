@@ -324,6 +324,50 @@ def test_toxicity_of_spellings_that_are_rare_in_a_large_corpus(spark):
     assert np.mean([got[i] for i, (_, toxic) in asked.items() if not toxic]) < 0.1
 
 
+def test_toxicity_ratios_match_plain_counts(spark):
+    """All training texts are counted, and the joins give the model's ratios."""
+    docs, plain = documents(spark)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    held = {r["doc_id"] for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
+    texts = {(t or "", truth[i]) for i, t in plain if i in truth and i not in held}
+    want = {}
+    for text, toxic in texts:
+        for word in set(toxicity.alnum_words(text)):
+            for order in (3, 4, 5):
+                for g in toxicity.grams(word, order):
+                    want.setdefault(g, [0, 0])[toxic] += 1
+    assert {bytes(r["item"]): [r["n0"], r["n1"]] for r in model.counts.collect()} == want
+    after = {}
+    for g, n in want.items():
+        after.setdefault(g[:-1], []).append(n)
+
+    def ratio(gram):
+        p = [model.pairs[gram[-2], gram[-1]]] * 2
+        for g in (gram[-3:], gram[-4:], gram):
+            for c in (0, 1):
+                total = sum(n[c] for n in after.get(g[:-1], []))
+                if total:
+                    rest = 1 - sum(max(n[c] - 0.75, 0) for n in after[g[:-1]]) / total
+                    p[c] = max(want.get(g, [0, 0])[c] - 0.75, 0) / total + max(rest, 1e-9) * p[c]
+        return math.log(p[1] / p[0])
+
+    asked = [*{g for w in ("qqqq", "the", "\u00e9t\u00e9", *(plain[0][1] or "").split()) for g in toxicity.grams(w.encode(), 5)}]
+    frame = spark.createDataFrame([(g,) for g in asked], "g binary")
+    got = {bytes(r["g"]): r["ratio"] for r in toxicity.gram_ratios(frame, model).collect()}
+    assert got == {g: pytest.approx(ratio(g), abs=1e-9) for g in asked}
+
+
+def test_toxicity_learns_from_one_text_of_a_class(spark):
+    learned, _ = not_held_out(spark, 30)
+    texts = ["you grobix", "hello there", "good day", "fine words", "kind regards", "many thanks"]
+    docs = spark.createDataFrame([(next(learned), t) for t in texts], DOCS)
+    labels = docs.select("doc_id", F.col("text").contains("grobix").cast("int").alias("toxic"))
+    got = {r["text"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert got["you grobix"] > max(got[t] for t in texts[1:]) > 0
+
+
 def test_raking_meets_the_targets(spark):
     rng = random.Random(1)
     rows = [(a, b, c, rng.randrange(500, 5000)) for a in ("s0", "s1", "other") for b in ("x", "y") for c in ("p", "q")]
