@@ -48,8 +48,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its cell, tokens, keep probability and draw."""
-    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), SOURCE_TARGETS, LANG_TARGETS, TOPIC_TARGETS)
+    """Every document with its cell, tokens, keep probability and draw, at
+    the fixed share and sweeps of the query's SQL."""
+    docs = read_table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, SOURCE_TARGETS, LANG_TARGETS, TOPIC_TARGETS, mixing.KEEP_SHARE, mixing.SWEEPS)
     return mixed.select(
         "doc_id", *mixing.MARGINS, "mix_tokens", F.round("keep_p", 9).alias("keep_p"), "kept"
     )

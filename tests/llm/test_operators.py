@@ -7,6 +7,7 @@ import math
 import os
 import random
 import uuid
+import warnings
 
 import numpy as np
 import pytest
@@ -393,6 +394,27 @@ def test_mix_draws_by_probability(spark):
     assert all(abs(r["k"] - r["p"]) < 0.05 for r in got)
 
 
+def test_mix_meets_targets_with_a_scarce_margin(spark):
+    """Contact holds 3 of 100 documents and is to be 10 of 100: half of all
+    tokens can't be kept at that, three tenths can."""
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 100 < 3, "to a@b.org now").otherwise("one two three").alias("text"),
+        F.when(F.col("id") % 7 < 2, "src0").otherwise("src1").alias("source"), F.when(F.col("id") % 11 < 3, "en").otherwise("de").alias("lang"),
+    )
+    targets = ({"src0": 0.6, "src1": 0.4}, {"en": 0.5, "de": 0.5}, {"prose": 0.9, "contact": 0.1})
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        mixed = mixing.mix(docs, *targets).cache()
+    weight = F.sum(F.col("mix_tokens") * F.col("keep_p"))
+    total = mixed.agg(weight).first()[0]
+    for margin, shares in zip(mixing.MARGINS, targets):
+        got = {r[0]: r[1] / total for r in mixed.groupBy(margin).agg(weight).collect()}
+        assert got == {v: pytest.approx(x, rel=1e-3) for v, x in shares.items()}
+    assert mixed.agg(F.max("keep_p")).first()[0] <= 1.0 and total > 0.2 * mixed.agg(F.sum("mix_tokens")).first()[0]
+    with pytest.warns(UserWarning, match="mix_topic=contact"):
+        mixing.mix(docs, *targets, keep_share=0.5)
+
+
 def test_chat_perspectives(spark):
     rows = [(1, 2, "bob", "second"), (1, 1, "ann", "first <|im_end|>"), (1, 0, "system", "be kind"), (1, 130, "bob", "😀 later")]
     got = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
