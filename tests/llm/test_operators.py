@@ -176,6 +176,17 @@ def test_redact(spark):
     assert got == {1: "😀 mail <email> now", 2: "plain", 3: None, 4: "<phone>"}
 
 
+def test_ibans_end_where_the_account_does(spark):
+    account, spaced = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    texts = {f"IBAN {a} {after}": a for a in (account, spaced, "NO9386011117947") for after in ("BIC COBADEFFXXX", "EUR 120", "2 times", "ok", "")}
+    texts |= {f"{account} {spaced}": f"{account},{spaced}", f"{account}1": "", "DE88370400440532013000 EUR 1": ""}
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    found = {r["text"]: ",".join(s["match"] for s in r["pii"] if s["kind"] == "iban") for r in pii.find_pii(docs).collect()}
+    assert found == texts
+    cut = {r["doc_id"]: r["text"] for r in pii.redact(docs, kinds=("iban",)).collect()}
+    assert cut[0] == "IBAN <iban> BIC COBADEFFXXX" and cut[1] == "IBAN <iban> EUR 120"
+
+
 PAGES = "page_id long, url string, html string"
 
 
