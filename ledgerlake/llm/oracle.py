@@ -154,6 +154,84 @@ FROM tagged JOIN rates USING (mix_source, mix_lang, mix_topic)
 """
 
 
+def _clusters(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Plain rounds: every vector against every centroid."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY digest NULLS LAST, q) - 1 AS cluster, q
+  FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS digest, q FROM kept) ORDER BY digest NULLS LAST, q LIMIT {k}
+)""",
+    ]
+    for r in range(rounds + 1):
+        distance = f"list_sum(list_transform(range(1, {dim + 1}), lambda i: (kept.q[i] - c{r}.q[i]) * (kept.q[i] - c{r}.q[i])))::BIGINT"
+        parts.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT n, any_value(vec_id) AS vec_id, any_value(q) AS q, (best % {k})::INTEGER AS cluster, best // {k} AS distance
+  FROM (SELECT n, kept.vec_id, kept.q, min({distance} * {k} + cluster) OVER (PARTITION BY n) AS best FROM kept, c{r}) GROUP BY n, best
+)"""
+        )
+        if r == rounds:
+            break
+        parts.append(
+            f"""m{r} AS (
+  SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q
+  FROM (SELECT cluster, i, sum(q[i]) AS s, count(*) AS n FROM (SELECT cluster, q, unnest(range(1, {dim + 1})) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster
+), c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m USING (cluster))"""
+        )
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, a.cluster, distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster
+"""
+
+
+#: CRC-32 of the decimal text of an id, a byte and a bit at a time.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+TRIE = f"""
+WITH said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM said)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, n, role, text FROM convs c JOIN said s ON s.conv_id = c.base AND n < h
+  UNION ALL SELECT c.conv_id, 1, n, role, text FROM convs c JOIN said s ON s.conv_id = c.conv_id AND n >= h
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, n) AS d, role, text FROM rebuilt
+), paths AS MATERIALIZED (
+  SELECT conv_id, d, length(text) AS chars, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+         OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS node FROM turns
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM convs
+), nodes AS (
+  SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM paths GROUP BY node, d
+), edges AS (
+  SELECT DISTINCT p.node, q.node AS parent FROM paths p JOIN paths q ON p.conv_id = q.conv_id AND q.d = p.d - 1
+), kids AS (SELECT parent AS node, count(*) AS n_children FROM edges GROUP BY parent
+), own AS (
+  SELECT node, n_children IS NULL AS leaf, (n_convs - 1) * chars AS saved FROM nodes LEFT JOIN kids USING (node)
+), pairs AS (
+  SELECT DISTINCT q.node AS top, p.node FROM paths p JOIN paths q ON p.conv_id = q.conv_id AND q.d <= p.d
+), totals AS (
+  SELECT top AS node, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM pairs JOIN own USING (node) GROUP BY top
+), ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(node, d) AS node FROM paths GROUP BY conv_id) GROUP BY node
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN totals USING (node) LEFT JOIN kids USING (node) LEFT JOIN ends USING (node)
+LEFT JOIN edges USING (node) LEFT JOIN nodes p ON p.node = edges.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": SUBSTRING,
@@ -162,4 +240,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": WARC,
         "op9_line_dedup": LINE_DEDUP,
         "op10_chat": CHAT,
+        "op11_clusters": _clusters(),
+        "op12_prefix_trie": TRIE,
     }

@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, decontaminate, fingerprint, line_dedup, mixing, pii, simhash, substring, toxicity, warc
+from ledgerlake.llm import (
+    chat, clustering, decontaminate, fingerprint, line_dedup, mixing, pii, prefix_trie, secret_scan, simhash, substring, toxicity, warc,
+)
 from ledgerlake.llm.common import text_or_empty
 from ledgerlake.session import shared_dir
 from ledgerlake.sources.tables import read_table
@@ -118,6 +120,35 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(read_table(spark, sf_dir, "embeddings"))
+    digits = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(digits, 256).alias("centroid_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.shared_prefixes(read_table(spark, sf_dir, "conversations"))
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs, secret_scan.fit(docs))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    return found.select(
+        "doc_id", *[count(k) for k in secret_scan.BASE_KINDS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_imatch": op1_imatch,
@@ -130,4 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_line_dedup": op9_line_dedup,
         "op10_chat": op10_chat,
+        "op11_clusters": op11_clusters,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_secrets": op13_secrets,
     }

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -135,3 +137,85 @@ def base_spans(text):
             if ok:
                 out.append(f"{kind}:{m.start()}:{m.end()}")
     return out
+
+
+def clusters(rows, k=8, rounds=10, dim=64, scale=1024, seed="3"):
+    """([(vec_id, cluster, distance)], centroids) by plain rounds."""
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(scale * x) for x in v]))
+    digest = lambda i: (i is None, sha(f"{seed}:{i}"))
+    centroids = [v for i, v in sorted(kept, key=lambda r: (digest(r[0]), r[1]))[:k]]
+    for r in range(rounds + 1):
+        found = []
+        for i, v in kept:
+            ds = [sum((a - b) ** 2 for a, b in zip(v, c)) for c in centroids]
+            found.append((i, ds.index(min(ds)), min(ds)))
+        if r < rounds:
+            for c in range(len(centroids)):
+                own = [v for (_, v), (_, a, _) in zip(kept, found) if a == c]
+                if own:
+                    centroids[c] = [sum(x) // len(own) for x in zip(*own)]
+    return found if kept else [], centroids
+
+
+def trie(rows, span=100, heads=6):
+    """Nodes of the rebuilt conversations of [(conv_id, turn, role, text)]."""
+    said = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            said[c].append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [(role, text) for *_, role, text in sorted(v)] for c, v in said.items()}
+    members, children, ends = defaultdict(list), defaultdict(set), defaultdict(list)
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        path = turns.get(c - int(math.fmod(c, span)), [])[:h] + own[h:]
+        for d in range(len(path) + 1):
+            members[tuple(path[:d])].append(c)
+            if d:
+                children[tuple(path[: d - 1])].add(tuple(path[:d]))
+        ends[tuple(path)].append(c)
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[q] for q in children[p]) if children[p] else 1
+        saved[p] = (len(members[p]) - 1) * len(p[-1][1] if p else "") + sum(saved[q] for q in children[p])
+    return [
+        (min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children[p]), leaves[p], saved[p], sha(",".join(map(str, sorted(ends.get(p, []))))))
+        for p, m in members.items()
+    ]
+
+
+SECRETS = {
+    "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+}
+
+
+def secret_spans(text):
+    """[(start, kind, end)] of the base kinds, by start, then kind."""
+    out = []
+    for n, (kind, pattern) in enumerate(SECRETS.items()):
+        for m in re.finditer(pattern, text or ""):
+            if len(m[2] if kind == "assign" else m[0]) >= (8, 16, 32)[n]:
+                out.append((m.start(), n, m.end()))
+    return [f"{list(SECRETS)[n]}:{s}:{e}" for s, n, e in sorted(out)]
+
+
+def gram_counts(tokens):
+    """(two characters before, character) with start and end marks."""
+    out = Counter()
+    for t in tokens:
+        marked = "  " + t + " "
+        out.update((marked[i : i + 2], marked[i + 2]) for i in range(len(t) + 1))
+    return out
+
+
+def char_probability(counts, before, char, size=67, backoff=20.0, floor=0.05):
+    """p(char | before) of a character model of order two."""
+    total = lambda keep: sum(n for (b, c), n in counts.items() if keep(b, c))
+    p = (total(lambda b, c: c == char) + 1) / (sum(counts.values()) + size)
+    p = (total(lambda b, c: c == char and b[1] == before[1]) + backoff * p) / (total(lambda b, c: b[1] == before[1]) + backoff)
+    p = (counts[before, char] + backoff * p) / (total(lambda b, c: b == before) + backoff)
+    return (1 - floor) * p + floor / size

@@ -91,6 +91,7 @@ def test_queries_on_empty_tables(spark, tmp_path):
         "documents": "doc_id long, text string, lang string, source string, n_chars long",
         "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int",
         "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string",
+        "embeddings": "vec_id long, embedding array<float>, label int",
     }.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in queries.queries().items():
