@@ -71,6 +71,13 @@ def _limb_name(name: str, i: int) -> str:
     return f"__limb_{name}_{i}"
 
 
+def limb_fields(measures: Sequence[str] = MEASURES) -> list[tuple[str, str]]:
+    """(name, type) of the sums that add up without loss: the limbs of every
+    measure and its decimal rest, named as in ``limb_columns``."""
+    types = ["bigint"] * _LIMBS + [SUM_TYPE]
+    return [(_limb_name(m, i), kind) for m in measures for i, kind in enumerate(types)]
+
+
 def limb_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
     """The limbs (and the decimal rest) of every measure as columns, to
     project once before an ``Expand`` (rollup) instead of recomputing them

@@ -84,9 +84,12 @@ def number_rows(
     order_cols: Sequence[Column],
     out: str = "_n",
     partitions: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Add ``out``: 0-based position of the row inside its group in
     ``order_cols`` order (global position when ``group_cols`` is empty).
+    With ``weight``, a column of whole numbers, the sum of the weights that
+    stand before the row instead (needs ``group_cols``).
 
     ``order_cols`` must make the order total up to identical rows.
     An explicit partition count keeps AQE from re-cutting the range
@@ -97,6 +100,8 @@ def number_rows(
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_cols)
     ensure_checkpoint_dir(df.sparkSession)
     if not group_cols:
+        if weight:
+            raise ValueError("running sums of weights need a group column")
         return _number_globally(df, keys, n, out)
     ranged = range_partitioned(df, n, keys).withColumn("_pid", F.spark_partition_id())
     ranged = ranged.checkpoint(eager=True)
@@ -106,7 +111,10 @@ def number_rows(
     # stack several slices of one big group in one task); the window's
     # clustering on (pid, group) is then met without another shuffle.
     w = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols)
-    local = ranged.repartitionByRange(n, "_pid").withColumn("_local", F.row_number().over(w) - 1)
+    place = F.row_number().over(w) - 1
+    if weight:
+        place = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = ranged.repartitionByRange(n, "_pid").withColumn("_local", place)
 
     # Groups that can continue across a boundary: first and last group of
     # every partition (<= 2 per partition).
@@ -117,12 +125,12 @@ def number_rows(
         .select(*[F.col(f"k.{g}").alias(g) for g in group_cols])
         .distinct()
     )
-    slices = ranged.groupBy(*group_cols, "_pid").count()
-    spans = _null_safe_join(slices, cut, group_cols, "left_semi")
+    slices = ranged.groupBy(*group_cols, "_pid").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("count"))
+    spans = null_safe_join(slices, cut, group_cols, "left_semi")
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.select(*group_cols, "_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     # At most ~3 rows per range partition: no hint, Spark broadcasts by size.
-    joined = _null_safe_join(local, offsets, [*group_cols, "_pid"], "left")
+    joined = null_safe_join(local, offsets, [*group_cols, "_pid"], "left")
     n_col = (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long").alias(out)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], n_col)
 
@@ -152,7 +160,7 @@ def range_partitioned(df: DataFrame, n: int, keys: list[Column]) -> DataFrame:
     return df.withColumn("_spread", spread_key()).repartitionByRange(n, *keys, F.col("_spread")).drop("_spread")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join whose keys may be null on both sides; the right keys are dropped."""
     renamed = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}" if c in on else c) for c in right.columns])
     cond = F.lit(True)

@@ -84,7 +84,8 @@ def page_meta(df: DataFrame, offset: int, limit: int | None) -> DataFrame:
 
 
 def after_key(keys: list[tuple[str, bool]], values: Sequence) -> Column:
-    """Rows strictly after ``values`` (a prefix of the key) in key order.
+    """Rows strictly after ``values`` (a prefix of the key) in key order, in
+    which nulls come first, or last where the key descends.
 
     Written as ``k0 >= v0 AND (k0 > v0 OR (k0 = v0 AND ...))`` so the
     leading bound reaches the Parquet scan as a pushed filter.
@@ -94,16 +95,21 @@ def after_key(keys: list[tuple[str, bool]], values: Sequence) -> Column:
     keys = keys[: len(values)]
 
     def beyond(c: Column, v, asc: bool) -> Column:
-        return c > F.lit(v) if asc else c < F.lit(v)
+        if v is None:
+            return c.isNotNull() if asc else F.lit(False)
+        return c > F.lit(v) if asc else c.isNull() | (c < F.lit(v))
 
     cond = None
     for (k, asc), v in reversed(list(zip(keys, values))):
         c = F.col(k)
         step = beyond(c, v, asc)
-        cond = step if cond is None else step | ((c == F.lit(v)) & cond)
-    k0, asc0 = keys[0]
-    lead = F.col(k0) >= F.lit(values[0]) if asc0 else F.col(k0) <= F.lit(values[0])
-    return lead & cond
+        same = c.isNull() if v is None else c == F.lit(v)
+        cond = step if cond is None else step | (same & cond)
+    (k0, asc0), v0 = keys[0], values[0]
+    c0 = F.col(k0)
+    if v0 is None:
+        return cond if asc0 else c0.isNull() & cond
+    return (c0 >= F.lit(v0) if asc0 else c0.isNull() | (c0 <= F.lit(v0))) & cond
 
 
 def seek_page(

@@ -115,7 +115,7 @@ def flat_hierarchy_nested(
     ``chunk_rows``. Output has one row per (group, ``chunk``), chunk 0
     first; the group totals repeat on every chunk.
     """
-    from ledgerlake.operators.ordinal import number_rows
+    from ledgerlake.operators.ordinal import null_safe_join, number_rows
 
     rows = apply_filter(df, spec).select(*COLUMNS)
     numbered = number_rows(rows, DIMS, [F.col(c).asc_nulls_first() for c in COLUMNS], "_n")
@@ -126,14 +126,16 @@ def flat_hierarchy_nested(
         .agg(F.array_sort(F.collect_list(tx)).alias("transactions"))
     )
     # Group totals from the numbering's checkpointed rows: no second pass
-    # over the source.
+    # over the source. Checkpointed themselves, they leave a plain exchange
+    # to the join, which Spark splits at a group with very many chunks.
     groups = group_measures(numbered, DIMS).select(
         F.concat_ws("/", *[F.col(d) for d in DIMS]).alias("id"),
         F.lit(3).alias("level"),
         *DIMS,
         *NODE_MEASURES,
-    )
-    return groups.join(chunks, on=DIMS, how="inner")
+    ).checkpoint()
+    joined = null_safe_join(chunks, groups, DIMS, "inner")
+    return joined.select(*groups.columns, "chunk", "transactions")
 
 
 def write_rollup(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import cleaning as C
 from ledgerlake.functions.formatting import format_amount, format_inr
-from ledgerlake.operators import paging, reports, rollup, totals, tree
+from ledgerlake.operators import nested, page_index, paging, reports, rollup, rollup_state, totals, tree
 from ledgerlake.operators.filters import apply_filter, grid_filter
 from ledgerlake.operators.normalize import normalize
 from ledgerlake.plans import params as P
@@ -25,7 +25,8 @@ from ledgerlake.schema import COLUMNS, MEASURES
 from ledgerlake.session import shared_dir
 from ledgerlake.sources.generator import generate_ledger
 from ledgerlake.sources.ledger import read_ledger
-from ledgerlake.sources.tables import RAW_COLUMNS, dirty_events, ledger_from_tables, read_table
+from ledgerlake.sources.quarantine import read_checked
+from ledgerlake.sources.tables import RAW_COLUMNS, dirty_events, dirty_lines, ledger_from_tables, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +101,63 @@ def _read_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.profile(normalize(raw, with_rejects=True))
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The dirty ledger written as CSV lines of differing widths, in folders
+    with differing headers, and read with its malformed lines kept apart."""
+    base = shared_dir(spark, f"lines-{uuid.uuid4().hex}")
+    lines = dirty_lines(spark, sf_dir)
+    for folder, width in enumerate(P.LINE_HEADERS):
+        # One column, whose name is the header line; written as it stands.
+        text = lines.where(F.col("folder") == folder).select(F.col("line").alias(",".join(f"c{i}" for i in range(width))))
+        text.write.options(header=True, sep="\x01", quote="", escapeQuotes=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(
+            f"{base}/{folder}"
+        )
+    return read_checked(spark, f"{base}/*")
+
+
+def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)[1].select("line", "found", "expected", "reason")
+
+
+def _rollup_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger folded batch by batch, with retries and a compaction on
+    the way."""
+    path = shared_dir(spark, f"state-{uuid.uuid4().hex}")
+    ledger = ledger_from_tables(spark, sf_dir)
+    batch = F.pmod(F.xxhash64(*COLUMNS), F.lit(P.FOLDED_BATCHES))
+    for n in range(P.FOLDED_BATCHES):
+        rows = ledger.where(batch == n)
+        rollup_state.fold(rows, path, n)
+        if n == 0:
+            rollup_state.fold(rows, path, n)
+        if n == 1:
+            rollup_state.compact(spark, path)
+            rollup_state.fold(rows, path, n)
+    return rollup_state.read_rollup(spark, path)
+
+
+def _indexed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cut out of two saved orders: shallow, beyond the end, at a key
+    and in the order of a user's sort."""
+    path = shared_dir(spark, f"pages-{uuid.uuid4().hex}")
+    ledger = _rows(ledger_from_tables(spark, sf_dir))
+    page_index.write_page_index(ledger, f"{path}/plain", range_rows=P.INDEX_RANGE_ROWS)
+    page_index.write_page_index(ledger, f"{path}/sorted", P.USER_SORT, range_rows=P.INDEX_RANGE_ROWS)
+    plain = page_index.read_page_index(spark, f"{path}/plain")
+    by_cash = page_index.read_page_index(spark, f"{path}/sorted", P.USER_SORT)
+    pages = {
+        "shallow": plain.page(P.PAGE_OFFSET, P.PAGE_LIMIT),
+        "deep": plain.page(plain.total() - P.DEEP_FROM_END, P.DEEP_LIMIT),
+        "key": plain.page_at(P.SEEK_AFTER, P.SEEK_LIMIT)[1],
+        "sorted": by_cash.page(P.SORTED_OFFSET, P.USER_SORT_LIMIT),
+    }
+    named = [df.select(F.lit(name).alias("page"), *COLUMNS) for name, df in pages.items()]
+    out = named[0]
+    for more in named[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paging.page(ledger_from_tables(spark, sf_dir), (), P.PAGE_OFFSET, P.PAGE_LIMIT)
     return rows.select(F.to_json(F.struct(*COLUMNS)).alias("record"))
@@ -183,6 +241,11 @@ def queries() -> dict[str, Query]:
         "drop_zero_rows": lambda s, d: _rows(_dirty_clean(s, d, drop_zero_rows=True)),
         "ingest_ledger": lambda s, d: totals.profile(_dirty_clean(s, d, with_rejects=True)),
         "generate_ledger": _generate,
+        "ingest_rejects": _ingest_rejects,
+        "ingest_checked": lambda s, d: _rows(normalize(_checked(s, d)[0])),
+        "rollup_incremental": _rollup_incremental,
+        "indexed_page": _indexed_page,
+        "nested_tree": L(lambda df: nested.nested_tree(df, max_nodes=P.TREE_NODES)),
     }
     return q
 

@@ -5,7 +5,7 @@ and by ``tests/test_oracle.py``."""
 from __future__ import annotations
 
 from ledgerlake.plans import params as P
-from ledgerlake.sources.tables import dirty_sql_for_duckdb, ledger_sql_for_duckdb
+from ledgerlake.sources.tables import LINES_SQL, dirty_sql_for_duckdb, ledger_sql_for_duckdb
 
 COLS = "txn_date, entity_type, entity_sub_type, entity_name, vch_type, particulars, cash_dr, cash_cr, bank_dr, bank_cr"
 DIMS = "txn_date, entity_type, entity_sub_type, entity_name"
@@ -227,6 +227,49 @@ def _generator() -> str:
     )
 
 
+def _amounts() -> str:
+    return " || ',' || ".join(f"'\"{m}\":' || {_dec(m)}::VARCHAR" for m in MEAS)
+
+
+def _nested(limit: int) -> str:
+    """The nested tree, a level at a time from the transactions up."""
+    path = "'/0/' || txn_date || '/1/' || entity_type || '/2/' || entity_sub_type || '/3/' || entity_name"
+    parts = [
+        f"""c4 AS (
+  SELECT {DIMS}, n AS ord, 1 AS size, '{{"id":' || to_json({path} || '/tx/' || n::VARCHAR)::VARCHAR || ',"type":"transaction","level":4,"vch_type":'
+         || to_json(vch_type)::VARCHAR || ',"particulars":' || to_json(particulars)::VARCHAR || ',"amounts":{{' || {_amounts()} || '}}}}' AS json
+  FROM (SELECT *, row_number() OVER (PARTITION BY {DIMS} ORDER BY {ORDER}) - 1 AS n FROM ledger)
+)"""
+    ]
+    out = []
+    for level in range(3, -2, -1):
+        dims = D4[: level + 1]
+        by, using = (", ".join(dims), f"USING ({', '.join(dims)})") if dims else ("one", "USING (one)")
+        keys = by if dims else "1 AS one"
+        parts.append(
+            f"""p{level + 1} AS (
+  SELECT {by}, before // {limit} AS part, sum(size)::BIGINT AS nodes, '[' || string_agg(json, ',' ORDER BY before) || ']' AS json
+  FROM (SELECT *, {keys if not dims else '0 AS zero'}, sum(size) OVER ({'PARTITION BY ' + by if dims else ''} ORDER BY ord ROWS UNBOUNDED PRECEDING)::BIGINT - size AS before FROM c{level + 1})
+  GROUP BY {by}, part
+), k{level + 1} AS (
+  SELECT {by}, max(part) + 1 AS parts, sum(nodes)::BIGINT AS below, max(json) FILTER (part = 0) AS first FROM p{level + 1} GROUP BY {by}
+)"""
+        )
+        node = " || ".join(f"'/{i}/' || {d}" for i, d in enumerate(dims)) or "''"
+        out.append(f"SELECT {node} AS path, part, nodes, json FROM p{level + 1} JOIN k{level + 1} {using}" + (f" WHERE below > {limit}" if dims else ""))
+        if dims:
+            parts.append(
+                f"""c{level} AS (
+  SELECT {', '.join([*dims[:-1], f'{dims[-1]} AS ord'])}, CASE WHEN below <= {limit} THEN below + 1 ELSE 1 END AS size,
+         '{{"id":' || to_json({node})::VARCHAR || ',"type":"group","level":{level},"label":' || to_json({dims[-1]})::VARCHAR
+         || ',"column":"{LABELS[dims[-1]]}","count":' || row_count::VARCHAR || ',"aggregates":{{' || {_amounts()} || '}},"parts":' || CASE WHEN below <= {limit} THEN 0 ELSE parts END::VARCHAR
+         || ',"children":' || CASE WHEN below <= {limit} THEN first ELSE '[]' END || '}}' AS json
+  FROM (SELECT {by}, {AGGS} FROM ledger GROUP BY {by}) JOIN k{level + 1} {using}
+)"""
+            )
+    return f"WITH ledger AS ({ledger_sql_for_duckdb()}), {', '.join(parts)}\n" + " UNION ALL ".join(out)
+
+
 def oracle_sql() -> dict[str, str]:
     W = _with()
     day, busy, ty, sub, name = P.DAY, P.BUSY_DAY, P.TYPE, P.SUB_TYPE, P.NAME
@@ -380,4 +423,25 @@ def oracle_sql() -> dict[str, str]:
         "CAST(SUM(date_rejects) AS BIGINT) AS date_rejects FROM clean"
     )
     q["read_ledger"] = q["ingest_ledger"]
+    q["ingest_rejects"] = (
+        f"WITH dirty AS ({dirty_sql_for_duckdb()}), lines AS ({LINES_SQL.format(dirty='dirty')})\n"
+        "SELECT line, found, expected, CASE WHEN expected < 10 THEN 'header has too few columns' WHEN found IS NULL THEN 'open quote' "
+        "WHEN found < expected THEN 'too few fields' ELSE 'too many fields' END AS reason "
+        "FROM lines WHERE expected < 10 OR found IS NULL OR found <> expected"
+    )
+    q["ingest_checked"] = D + (
+        f"SELECT {COLS} FROM clean WHERE event_id % 3 = 0 AND event_id % 7 NOT IN (1, 2, 3) OR event_id % 3 = 1 AND event_id % 7 = 2"
+    )
+    q["rollup_incremental"] = q["rollup_report"]
+    plain = f"SELECT {COLS}, row_number() OVER (ORDER BY {ORDER}) - 1 AS i, count(*) OVER () AS n FROM ledger"
+    by_cash = f"SELECT {COLS}, row_number() OVER (ORDER BY cash_dr DESC, {rest}) - 1 AS i FROM ledger"
+    first = P.SEEK_AFTER[0]
+    q["indexed_page"] = W + (
+        f", plain AS ({plain}), by_cash AS ({by_cash})\n"
+        f"SELECT 'shallow' AS page, {COLS} FROM plain WHERE i >= {P.PAGE_OFFSET} AND i < {P.PAGE_OFFSET + P.PAGE_LIMIT} UNION ALL "
+        f"SELECT 'deep', {COLS} FROM plain WHERE i >= n - {P.DEEP_FROM_END} AND i < n - {P.DEEP_FROM_END} + {P.DEEP_LIMIT} UNION ALL "
+        f"(SELECT 'key', {COLS} FROM plain WHERE txn_date >= '{first}' ORDER BY i LIMIT {P.SEEK_LIMIT}) UNION ALL "
+        f"SELECT 'sorted', {COLS} FROM by_cash WHERE i >= {P.SORTED_OFFSET} AND i < {P.SORTED_OFFSET + P.USER_SORT_LIMIT}"
+    )
+    q["nested_tree"] = _nested(P.TREE_NODES)
     return q

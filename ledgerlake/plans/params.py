@@ -48,3 +48,10 @@ NESTED_CHUNK_ROWS = 2
 GEN_KEY = "l_orderkey * 8 + l_linenumber"
 GEN_SEED = 42
 GEN_END = "2024-01-31"
+LINE_HEADERS = (10, 11, 9)
+FOLDED_BATCHES = 3
+INDEX_RANGE_ROWS = 4000
+DEEP_FROM_END = 150
+DEEP_LIMIT = 300
+SORTED_OFFSET = 4990
+TREE_NODES = 40

@@ -140,6 +140,33 @@ RAW_COLUMNS = [
     "raw_bank_cr",
 ]
 
+
+
+def _quoted(x: str) -> str:
+    """A CSV field: quoted, with quotes inside doubled."""
+    return f"chr(34) || replace(coalesce({x}, ''), chr(34), chr(34) || chr(34)) || chr(34)"
+
+
+_NINE = " || ',' || ".join(_quoted(c) for c in RAW_COLUMNS[:9])
+_TEN = f"{_NINE} || ',' || {_quoted(RAW_COLUMNS[9])}"
+
+# The dirty ledger as CSV lines in three folders, whose headers have 10, 11
+# and 9 columns; in each some lines have 9 or 11 fields or an open quote.
+LINES_SQL = f"""
+SELECT
+  event_id,
+  CAST(event_id % 3 AS INTEGER) AS folder,
+  CASE event_id % 7 WHEN 1 THEN 9 WHEN 2 THEN 11 WHEN 3 THEN NULL ELSE 10 END AS found,
+  CASE event_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 11 ELSE 9 END AS expected,
+  CASE event_id % 7
+    WHEN 1 THEN {_NINE}
+    WHEN 2 THEN {_TEN} || ',' || {_quoted("extra_col")}
+    WHEN 3 THEN {_NINE} || ',' || chr(34) || 'never closed'
+    ELSE {_TEN}
+  END AS line
+FROM {{dirty}}
+"""
+
 LEDGER_TABLES = ["lineitem", "orders", "customer", "nation", "region"]
 
 
@@ -162,6 +189,11 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DIRTY_SQL, events=read_table(spark, sf_dir, "events"))
 
 
+def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id``, ``folder``, ``found``, ``expected``, ``line``."""
+    return spark.sql(LINES_SQL, dirty=dirty_events(spark, sf_dir))
+
+
 def ledger_sql_for_duckdb() -> str:
     return LEDGER_SQL.format(**{t: t for t in LEDGER_TABLES})
 
