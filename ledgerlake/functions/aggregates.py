@@ -56,7 +56,7 @@ def _other_sql(name: str) -> str:
         # some doubles with a digit too many.
         + "".join(
             f"WHEN CAST(format_string('%.{d}e', {x}) AS DOUBLE) = {x} THEN CAST(format_string('%.{d}e', {x}) AS {AMOUNT_TYPE}) "
-            for d in (14, 15)
+            for d in (14, 15, 16)
         )
         + f"ELSE CAST({x} AS {AMOUNT_TYPE}) END"
     )
@@ -86,23 +86,23 @@ def limb_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
     return limbs + [F.expr(_other_sql(m)).alias(_limb_name(m, _LIMBS)) for m in measures]
 
 
-def exact_sum_sql(name: str, from_limbs: bool = False) -> str:
-    """SQL text of the exact sum of column ``name`` as ``decimal(38,4)``.
-
-    Three ``long`` limb sums recombined in the aggregate's result
-    expression (no extra projection after the aggregate), plus the decimal
-    sum of the amounts off the fast path. With ``from_limbs`` both are read
-    from ``limb_columns``. Written as SQL text so a whole aggregate list
-    costs a few JVM calls to build.
-    """
+def _recombined_sql(sums: Sequence[str]) -> str:
+    """SQL text of ``decimal(38,4)`` from the sums of a measure's limbs and
+    of its decimal rest."""
     parts = []
-    for i in range(_LIMBS):
-        limb = f"`{_limb_name(name, i)}`" if from_limbs else _limb_sql(name, i)
-        s = f"CAST(COALESCE(SUM({limb}), 0) AS DECIMAL(38,0))"
-        parts.append(s if i == 0 else f"{s} * CAST({1 << (_LIMB_BITS * i)} AS DECIMAL(38,0))")
-    other = f"`{_limb_name(name, _LIMBS)}`" if from_limbs else _other_sql(name)
+    for i, s in enumerate(sums[:-1]):
+        limb = f"CAST(COALESCE({s}, 0) AS DECIMAL(38,0))"
+        parts.append(limb if i == 0 else f"{limb} * CAST({1 << (_LIMB_BITS * i)} AS DECIMAL(38,0))")
     fast = f"CAST(({' + '.join(parts)}) / {10**SCALE} AS {SUM_TYPE})"
-    return f"CAST({fast} + COALESCE(CAST(SUM({other}) AS {SUM_TYPE}), CAST(0 AS {SUM_TYPE})) AS {SUM_TYPE})"
+    return f"CAST({fast} + COALESCE(CAST({sums[-1]} AS {SUM_TYPE}), CAST(0 AS {SUM_TYPE})) AS {SUM_TYPE})"
+
+
+def exact_sum_sql(name: str) -> str:
+    """SQL text of the exact sum of column ``name`` as ``decimal(38,4)``:
+    three ``long`` limb sums, recombined, plus the decimal sum of the amounts
+    off the fast path. Written as SQL text so a whole aggregate list costs a
+    few JVM calls to build."""
+    return _recombined_sql([f"SUM({x})" for x in (*[_limb_sql(name, i) for i in range(_LIMBS)], _other_sql(name))])
 
 
 def exact_sum(c: str) -> Column:
@@ -110,31 +110,45 @@ def exact_sum(c: str) -> Column:
     return F.expr(exact_sum_sql(c))
 
 
-def measure_aggs(
-    gross: bool = True,
-    nets: bool = False,
-    count_name: str = "row_count",
-    measures: Sequence[str] = MEASURES,
-    from_limbs: bool = False,
-) -> list[Column]:
-    """``row_count``, the exact measure sums (double), ``gross_total`` (sum
-    of the four) and, with ``nets``, ``cash_net`` / ``bank_net`` (Dr - Cr).
-    Shared limb sums are computed once (Spark dedupes equal aggregates)."""
-    dec = {m: exact_sum_sql(m, from_limbs) for m in measures}
+def measure_aggs(gross: bool = True, count_name: str = "row_count", measures: Sequence[str] = MEASURES) -> list[Column]:
+    """``row_count``, the exact measure sums (double) and ``gross_total`` as
+    plain aggregates, for a frame that is aggregated once."""
+    dec = {m: exact_sum_sql(m) for m in measures}
     out = [F.count(F.lit(1)).alias(count_name)] + [F.expr(f"CAST({dec[m]} AS DOUBLE) AS `{m}`") for m in measures]
     if gross:
         out.append(F.expr(f"CAST({' + '.join(dec[m] for m in measures)} AS DOUBLE) AS gross_total"))
-    if nets:
-        out.append(F.expr(f"CAST({dec['cash_dr']} - {dec['cash_cr']} AS DOUBLE) AS cash_net"))
-        out.append(F.expr(f"CAST({dec['bank_dr']} - {dec['bank_cr']} AS DOUBLE) AS bank_net"))
     return out
 
 
+def finish_measures(
+    sums: DataFrame, count: Column, gross: bool = True, nets: bool = False, count_name: str = "row_count", measures: Sequence[str] = MEASURES
+) -> DataFrame:
+    """The columns of ``sums`` that are no limb sums, with ``row_count``, the
+    exact measure sums (double), ``gross_total`` (sum of the four) and, with
+    ``nets``, ``cash_net`` / ``bank_net`` (Dr - Cr) from its ``limb_fields``.
+
+    Two projections: each measure is recombined once, in a method of its
+    own. In the aggregate's own output they would make a generated method
+    that is too long for the JVM to compile.
+    """
+    limbs = {name for name, _ in limb_fields(measures)}
+    others = [c for c in sums.columns if c not in limbs and c != "__rows"]
+    decimals = {m: _recombined_sql([f"`{_limb_name(m, i)}`" for i in range(_LIMBS + 1)]) for m in measures}
+    once = sums.select(*[F.col(f"`{c}`") for c in others], count.alias("__rows"), *[F.expr(d).alias(f"__sum_{m}") for m, d in decimals.items()])
+    out = [F.col("__rows").alias(count_name)] + [F.col(f"__sum_{m}").cast("double").alias(m) for m in measures]
+    if gross:
+        out.append(F.expr(f"CAST({' + '.join(f'__sum_{m}' for m in measures)} AS DOUBLE) AS gross_total"))
+    if nets:
+        out.append(F.expr("CAST(__sum_cash_dr - __sum_cash_cr AS DOUBLE) AS cash_net"))
+        out.append(F.expr("CAST(__sum_bank_dr - __sum_bank_cr AS DOUBLE) AS bank_net"))
+    return once.select(*[F.col(f"`{c}`") for c in others], *out)
+
+
 def group_measures(
     df: DataFrame, keys: Sequence[str], *extra: Column, rollup: bool = False, **kw
 ) -> DataFrame:
     """Group ``df`` by the ``keys`` columns (``rollup`` for every prefix)
-    into the keys, ``measure_aggs`` and ``extra`` aggregates.
+    into the keys, the ``extra`` aggregates and ``finish_measures``.
 
     The limbs are projected once per row first: cheaper than recomputing
     them inside every sum, and below the ``Expand`` of a rollup they are not
@@ -143,9 +157,10 @@ def group_measures(
     keys = list(keys)
     pre = df.select(*[F.col(f"`{k}`") for k in keys], *limb_columns())
     grouped = pre.rollup(*keys) if rollup else pre.groupBy(*keys)
-    return grouped.agg(*measure_aggs(from_limbs=True, **kw), *extra)
+    sums = [F.sum(name).alias(name) for name, _ in limb_fields()]
+    return finish_measures(grouped.agg(*extra, F.count(F.lit(1)).alias("__rows"), *sums), F.col("__rows"), **kw)
 
 
 def totals_of(df: DataFrame, **kw) -> DataFrame:
-    """One-row ``measure_aggs`` over the whole frame."""
+    """The one row of ``group_measures`` over the whole frame."""
     return group_measures(df, [], **kw)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlake.functions.aggregates import limb_columns, limb_fields, measure_aggs
+from ledgerlake.functions.aggregates import finish_measures, limb_columns, limb_fields
 from ledgerlake.operators.rollup import NODE_MEASURES
 from ledgerlake.schema import DIMS
 from ledgerlake.session import ensure_checkpoint_dir
@@ -124,9 +124,9 @@ def rollup_of_state(state: DataFrame) -> DataFrame:
     added up first, so the rollup expands groups, not transactions."""
     grouped_out = sum((F.grouping(d).cast("int") for d in DIMS), F.lit(0))
     level = (F.lit(len(DIMS) - 1) - grouped_out).alias("level")
-    sums = measure_aggs(from_limbs=True)[1:]
-    out = merge_state(state).rollup(*DIMS).agg(F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("row_count"), *sums, level)
-    return out.select("level", *DIMS, *NODE_MEASURES)
+    sums = [F.sum(name).alias(name) for name, _ in limb_fields()]
+    out = merge_state(state).rollup(*DIMS).agg(level, F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("__rows"), *sums)
+    return finish_measures(out, F.col("__rows")).select("level", *DIMS, *NODE_MEASURES)
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,26 @@ def test_no_python_stage(spark, name):
     assert not any(n in p for n in PY_NODES), p
 
 
+def longest_method(df) -> int:
+    """Bytes of bytecode of the longest generated method of a plan."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        found = debug.codegenStringSeq(df.select("*")._jdf.queryExecution().executedPlan())
+        return max(found.apply(i)._3().maxMethodCodeSize() for i in range(found.size()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_generated_methods_are_short_enough_to_be_compiled(small_ledger):
+    """The JVM interprets methods of over 8,000 bytes."""
+    from ledgerlake import browse, entity_rollup, flat_hierarchy, monthly_reconciliation, node_table, totals
+
+    for make in (node_table, rollup_table, flat_hierarchy, totals, entity_rollup, monthly_reconciliation, browse):
+        assert 0 < longest_method(make(small_ledger)) < 8000, make.__name__
+
+
 def test_one_expand_in_rollup(small_ledger):
     p = plan(rollup_table(small_ledger))
     assert p.count("Expand") == 1
