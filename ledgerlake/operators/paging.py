@@ -2,8 +2,8 @@
 
 Spark rows have no inherent order, so every page uses a *total* order: the
 requested sort keys followed by all ledger columns as tie-breakers.
-``page`` keeps ``offset + limit`` rows of each task and merges them: right
-for the first pages. ``seek_page`` resumes at the last seen key and keeps
+``page`` keeps ``offset + limit`` rows of each task and merges them, over
+many splits in a tree of tasks (``top_rows``): right for the first pages. ``seek_page`` resumes at the last seen key and keeps
 only ``limit`` rows of each task: right for walking on. ``numbered_page``
 numbers all rows over range partitions and cuts any page out of them: right
 for one far page, at the cost of a sort of everything. Which of them runs
@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.aggregates import exact_sum
-from ledgerlake.operators.ordinal import number_rows
+from ledgerlake.operators.ordinal import number_rows, partition_count
 from ledgerlake.schema import DIMS, MEASURES, ROW_ORDER
 
+#: Tasks whose first rows one task merges.
+FAN_IN = 64
 
 
 def _key(spec) -> tuple[str, bool]:
@@ -48,12 +50,41 @@ def sort_rows(df: DataFrame, order_by: Sequence = tuple(DIMS)) -> DataFrame:
     return df.orderBy(*_sort_cols(total_order(order_by)))
 
 
-def page(df: DataFrame, order_by: Sequence, offset: int, limit: int | None) -> DataFrame:
+def _first_of_each_task(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of every task, by their place in its sort."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.sortWithinPartitions(*order).withColumn("_place", place).where(F.col("_place") < k).drop("_place")
+
+
+def top_rows(df: DataFrame, order: list[Column], k: int, fan_in: int = FAN_IN, parts: int | None = None) -> DataFrame:
+    """Rows among which the first ``k`` in ``order`` are, in at most
+    ``fan_in`` tasks of at most ``k`` rows each.
+
+    A plain limit lets one task merge ``k`` rows of every split. Here every
+    task keeps its first ``k``, and they are merged ``fan_in`` tasks at a
+    time until so few are left: no merge sees more than ``fan_in * k`` rows,
+    however many splits the input has (``parts``; by its size if not given).
+    """
+    n = partition_count(df, parts)
+    if n <= fan_in:
+        return df
+    top = _first_of_each_task(df, order, k)
+    while n > fan_in:
+        n = -(-n // fan_in)
+        # Rows are dealt evenly: any split of them keeps the first k in some task's k.
+        top = _first_of_each_task(top.repartition(n), order, k)
+    return top
+
+
+def page(
+    df: DataFrame, order_by: Sequence, offset: int, limit: int | None, fan_in: int = FAN_IN, parts: int | None = None
+) -> DataFrame:
     """One page in total order. A falsy ``limit`` returns every row (sorted)
     and ignores ``offset``, as the reference does."""
-    sorted_df = sort_rows(df, order_by)
     if not limit:
-        return sorted_df
+        return sort_rows(df, order_by)
+    order = _sort_cols(total_order(order_by))
+    sorted_df = top_rows(df, order, offset + limit, fan_in, parts).orderBy(*order)
     if offset:
         sorted_df = sorted_df.offset(offset)
     return sorted_df.limit(limit)
@@ -126,14 +157,15 @@ def seek_page(
     """
     keys = total_order(order_by, tie_break)
     cond = after_key(keys, after)
+    order = _sort_cols(keys)
     if not seen:
-        return df.filter(cond).orderBy(*_sort_cols(keys)).limit(limit)
+        return top_rows(df.filter(cond), order, limit).orderBy(*order).limit(limit)
     if len(after) != len(keys):
         raise ValueError("seen counts rows of one full key; give all key values")
     same = F.lit(True)
     for (k, _), v in zip(keys, after):
         same = same & F.col(k).eqNullSafe(F.lit(v))
-    return df.filter(cond | same).orderBy(*_sort_cols(keys)).offset(seen).limit(limit)
+    return top_rows(df.filter(cond | same), order, seen + limit).orderBy(*order).offset(seen).limit(limit)
 
 
 def next_cursor(

@@ -195,6 +195,39 @@ def test_a_deep_page_reads_two_ranges_at_most(spark, small_ledger):
     assert index.rank(("1998-08-23",)) == rows.where("txn_date < '1998-08-23'").count()
 
 
+@pytest.mark.parametrize("order", [(), (("cash_dr", "desc"),), ("particulars", ("bank_cr", "desc"))])
+def test_a_tree_of_merges_gives_the_same_page(spark, small_ledger, order):
+    rows = small_ledger.select(*COLUMNS).unionByName(small_ledger.select(*COLUMNS).limit(500)).repartition(60)
+    for offset, limit in ((0, 40), (13, 1500)):
+        want = [tuple(r) for r in page(rows, order, offset, limit).collect()]
+        assert len(want) == limit
+        assert [tuple(r) for r in page(rows, order, offset, limit, fan_in=4, parts=60).collect()] == want
+
+
+def test_no_merge_sees_more_than_its_fan_in(spark, small_ledger):
+    """60 tasks, 4 to a merge: 15, then 4 tasks; each gets 4 x 20 rows."""
+    from ledgerlake.operators import paging
+
+    seen, first = [], paging._first_of_each_task
+
+    def spy(df, order, k):
+        seen.append(df)
+        return first(df, order, k)
+
+    paging._first_of_each_task = spy
+    try:
+        rows = small_ledger.select(*COLUMNS).repartition(60).cache()
+        last = paging.top_rows(rows, paging._sort_cols(paging.total_order(("cash_dr",))), 20, fan_in=4, parts=60)
+    finally:
+        paging._first_of_each_task = first
+    per_task = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(seen) == 3
+    for merge, tasks in zip(seen[1:], (15, 4)):
+        sizes = per_task(merge)
+        assert len(sizes) <= tasks and max(sizes) <= 4 * 20 + 4
+    assert len(per_task(last)) <= 4 and max(per_task(last)) <= 20
+
+
 def with_nulls(spark):
     rows = [(d, t, None if i % 2 else "s", n, "v", f"p{i}", float(i), 0.0, 0.0, 1.0) for i, (d, t, n) in enumerate(
         [(d, t, n) for d in ("2024-01-01", None) for t in ("A", None) for n in ("x", None)] * 3)]
