@@ -31,28 +31,62 @@ from ledgerlake.session import ensure_checkpoint_dir
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 # Input bytes for each range partition.
 PARTITION_BYTES = 128 << 20
+# Sampled rows that the first rows of a group make, about.
+SAMPLE_RANK = 400
+SAMPLE_SEED = 7
 # Relations without statistics claim more than any table holds.
 UNKNOWN_BYTES = 1 << 60
 
 
 def first_in_groups(
-    df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], limit: int, out: str = "_n"
+    df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], limit: int, out: str = "_n"
 ) -> DataFrame:
-    """Rows at the 0-based positions below ``limit`` of their group.
+    """Rows at the 0-based positions below ``limit`` of their group, in the
+    ascending order of ``order_cols``, nulls first.
 
     For limits that Spark applies before the shuffle (1000 by default), a
     ``row_number() <= limit`` window: no group sends more than ``limit`` rows
-    from a task. For larger ones the rows are numbered by ``number_rows``.
+    from a task. For larger ones the rows that can be among the first are
+    numbered by ``number_rows``.
     """
-    group_cols = list(group_cols)
+    group_cols, names = list(group_cols), list(order_cols)
+    order = [F.col(c).asc_nulls_first() for c in names]
     if limit > int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000")):
-        return number_rows(df, group_cols, order_cols, out).filter(F.col(out) < limit)
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        # The planner's size of what is left, a join, would be far too large.
+        parts = partition_count(df, None)
+        return number_rows(among_first(df, group_cols, names, limit), group_cols, order, out, parts).filter(F.col(out) < limit)
+    w = Window.partitionBy(*group_cols).orderBy(*order)
     # Directly on row_number() so Spark plans WindowGroupLimit.
     ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
     return ranked.withColumn(out, (F.col("_rn") - 1).cast("long")).drop("_rn")
 
 
+def among_first(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], limit: int) -> DataFrame:
+    """``df`` without rows that can't be among the first ``limit`` of their
+    group: of a group much larger than ``limit`` little more than that many
+    rows stay, and no others are sorted or sent anywhere.
+
+    A sample in which the first ``limit`` rows of a group make about
+    ``SAMPLE_RANK`` gives each large group a threshold, the key of the sample's row a
+    quarter further on. It holds only if a count finds at least ``limit``
+    rows up to it, so a poor sample costs time, never rows. Groups with too
+    few sampled rows have no threshold: they are hardly larger than ``limit``.
+    """
+    keys, names = list(group_cols), list(order_cols)
+    ensure_checkpoint_dir(df.sparkSession)
+    rank = SAMPLE_RANK + SAMPLE_RANK // 4
+    sampled = df.select(*dict.fromkeys([*keys, *names])).where(F.rand(SAMPLE_SEED) < SAMPLE_RANK / limit)
+    firsts = first_in_groups(sampled, keys, names, rank, "_place")
+    key = F.struct(*names)
+    found = firsts.groupBy(*keys).agg(F.max(key).alias("_last"), F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") == rank).drop("_rows").checkpoint()
+    if found.isEmpty():
+        return df
+    passed = null_safe_join(df, found, keys, "inner").where(key <= F.col("_last"))
+    enough = passed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.max("_last").alias("_last")).where(F.col("_rows") >= limit).drop("_rows").checkpoint()
+    kept = null_safe_join(df, enough, keys, "left").where(F.col("_last").isNull() | (key <= F.col("_last")))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the relations that ``df`` reads, as far as the plan knows
     them (a join's own estimate multiplies its sides)."""

@@ -147,8 +147,7 @@ def capped_rows(
     by ``ordinal.first_in_groups``."""
     levels = list(levels)
     rows = apply_filter(df, spec).select(*COLUMNS)
-    order = [F.col(c).asc_nulls_first() for c in order_by]
-    return first_in_groups(rows, levels, order, cap)
+    return first_in_groups(rows, levels, list(order_by), cap)
 
 
 def leaf_cap(

@@ -216,6 +216,7 @@ def queries() -> dict[str, Query]:
         "leaf_overflow": L(lambda df: tree.leaf_overflow(df, P.LEAF_CAP)),
         "leaf_cap_coarse": L(lambda df: tree.leaf_cap(df, P.COARSE_CAP, levels=P.COARSE_LEVELS)),
         "leaf_overflow_coarse": L(lambda df: tree.leaf_overflow(df, P.COARSE_CAP, levels=P.COARSE_LEVELS)),
+        "leaf_cap_large": L(lambda df: tree.leaf_cap(df, P.LARGE_CAP, levels=P.LARGE_LEVELS)),
         "hierarchy": L(lambda df: tree.hierarchy(df, max_transactions=P.LEAF_CAP)),
         "sorted_ledger": L(lambda df: _rows(paging.sort_rows(df))),
         "user_sort": L(lambda df: _rows(paging.page(df, P.USER_SORT, 0, P.USER_SORT_LIMIT))),

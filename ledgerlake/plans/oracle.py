@@ -357,6 +357,7 @@ def oracle_sql() -> dict[str, str]:
     q["leaf_overflow"] = _overflow(D4, P.LEAF_CAP)
     q["leaf_cap_coarse"] = _tx(list(P.COARSE_LEVELS), "TRUE", P.COARSE_CAP)
     q["leaf_overflow_coarse"] = _overflow(list(P.COARSE_LEVELS), P.COARSE_CAP)
+    q["leaf_cap_large"] = _tx(list(P.LARGE_LEVELS), "TRUE", P.LARGE_CAP)
     q["hierarchy"] = _hierarchy(P.LEAF_CAP)
     q["sorted_ledger"] = W + f"SELECT {COLS} FROM ledger ORDER BY {ORDER}"
     rest = ", ".join(c for c in COLS.split(", ") if c != "cash_dr")

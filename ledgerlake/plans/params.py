@@ -55,3 +55,5 @@ DEEP_FROM_END = 150
 DEEP_LIMIT = 300
 SORTED_OFFSET = 4990
 TREE_NODES = 40
+LARGE_LEVELS = ("entity_type",)
+LARGE_CAP = 1500

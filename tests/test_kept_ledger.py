@@ -228,6 +228,26 @@ def test_no_merge_sees_more_than_its_fan_in(spark, small_ledger):
     assert len(per_task(last)) <= 4 and max(per_task(last)) <= 20
 
 
+def test_large_caps_sort_only_what_can_be_kept(spark):
+    """A hot group of 60,000 rows, a null one, one near the cap, small ones
+    and many equal rows: the first 5,000 of each, and few others numbered."""
+    from ledgerlake.operators.ordinal import among_first, first_in_groups
+
+    sizes = {"hot": 60_000, None: 20_000, "near": 5_300, "small": 30, "same": 12_000}
+    rows = spark.range(60_000).select(F.explode(F.array(*[F.lit(g) for g in sizes])).alias("g"), "id")
+    limit = F.coalesce(*[F.when(F.col("g").eqNullSafe(F.lit(g)), F.lit(n)) for g, n in sizes.items()])
+    value = F.when(F.col("g") == "same", F.lit(1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(40_000)))
+    df = rows.where(F.col("id") < limit).select("g", F.when(F.col("id") % 50 != 0, value).alias("v"), "id").cache()
+    got = first_in_groups(df, ["g"], ["v", "id"], 5000).collect()
+    by_group: dict = {}
+    for r in df.collect():
+        by_group.setdefault(r["g"], []).append((r["v"] is not None, r["v"] or 0, r["id"]))
+    want = {(g, i, x[2]) for g, xs in by_group.items() for i, x in enumerate(sorted(xs)[:5000])}
+    assert {(r["g"], r["_n"], r["id"]) for r in got} == want and len(got) == len(want) == 4 * 5000 + 30
+    assert among_first(df, ["g"], ["v", "id"], 5000).count() < 1.6 * len(want)
+    assert among_first(df.where("g = 'small'"), ["g"], ["v", "id"], 5000).count() == 30
+
+
 def with_nulls(spark):
     rows = [(d, t, None if i % 2 else "s", n, "v", f"p{i}", float(i), 0.0, 0.0, 1.0) for i, (d, t, n) in enumerate(
         [(d, t, n) for d in ("2024-01-01", None) for t in ("A", None) for n in ("x", None)] * 3)]
