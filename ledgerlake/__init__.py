@@ -4,7 +4,9 @@ drill-down, paging and reports, all as DataFrame operators."""
 from ledgerlake.functions.formatting import format_amount, format_inr
 from ledgerlake.functions.predicates import GridFilter, LedgerFilter
 from ledgerlake.operators.filters import apply_filter, grid_filter
+from ledgerlake.operators.nested import nested_tree
 from ledgerlake.operators.normalize import normalize
+from ledgerlake.operators.page_index import read_page_index, write_page_index
 from ledgerlake.operators.paging import page, page_meta, seek_page, sort_rows
 from ledgerlake.operators.reports import (
     audit_trail,
@@ -38,6 +40,7 @@ from ledgerlake.operators.tree import (
 )
 from ledgerlake.sources.generator import generate_ledger, generate_rows
 from ledgerlake.sources.ledger import read_ledger
+from ledgerlake.sources.quarantine import load_checked, read_checked
 from ledgerlake.sources.sinks import json_records, read_saved_ledger, write_ledger, write_report
 from ledgerlake.sources.workbook import read_workbooks
 from ledgerlake.streaming.ingest import ledger_stream, start_ingest
@@ -50,4 +53,5 @@ __all__ = [
     "leaf_cap", "leaf_nodes", "leaf_overflow", "node_table", "transactions", "generate_ledger", "generate_rows",
     "read_ledger", "read_workbooks", "read_saved_ledger", "json_records", "write_ledger", "write_report", "ledger_stream",
     "start_ingest", "format_amount", "format_inr", "write_rollup", "rollup_lookup", "rollup_children",
+    "nested_tree", "read_page_index", "write_page_index", "load_checked", "read_checked",
 ]
