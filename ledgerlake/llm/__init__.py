@@ -1,5 +1,6 @@
 """Training-data operators on Spark: deduplication, decontamination,
-toxicity scoring, source mixing, WARC, PII and chat formatting.
+toxicity scoring, source mixing, WARC, PII, secrets, chat formatting,
+vector clusters and conversation tries.
 
 Nothing outside this package imports it, except the registration in
 ``__spark_entry__`` and ``corpus_pipeline``.
