@@ -36,10 +36,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select(
-        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
-    )
+    packed = toxicity.pack(docs)
+    model = toxicity.fit(packed, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.scores(packed, model)
+    packed.release()
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

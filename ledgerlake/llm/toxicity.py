@@ -2,12 +2,14 @@
 
 Two letter models, of toxic and of ordinary documents, read each word
 (lower-cased runs of ASCII letters, digits and non-ASCII characters, as
-bytes between boundary marks) with 5-grams. Orders 3 to 5 are counted by
-class, with absolute discounting; what is discounted goes to one backoff
-distribution that both share: orders 1 and 2 by Kneser-Ney continuation
-counts over both classes. A rare expression therefore has the same
-probability in both and says nothing. A word counts once for each distinct
-text that holds it, so that copies do not count again.
+bytes between boundary marks) with 5-grams, by interpolated Kneser-Ney: the
+fifth order has a class's counts of texts, orders 3 and 4 its continuation
+counts (plain ones where the n-gram begins at the word's begin). What is
+discounted goes to one backoff distribution that both classes share: orders
+1 and 2 by continuation counts over both. A rare expression therefore has
+the same probability in both and says nothing. A word counts once for each
+distinct text that holds it, so that copies do not count again. Words are
+read one by one: a phrase of ordinary words is no evidence.
 
 A word's evidence is its log-likelihood ratio, at most ``CLIP`` either way.
 A document is scored by the length-normalised difference of its two
@@ -19,36 +21,42 @@ hash of the text), by counts that have not seen it; the counts that score
 documents are then of all training texts. A class of a single text has it
 in both.
 
-Scale: every count is kept, as a Spark table. Documents are dealt to chunks
-by a hash of their row; the distinct 5-grams of each chunk are joined with
-their ratios, and each chunk is read with a dictionary of its own. What a
-task holds is bounded by its chunk, and nothing that grows with the corpus
-is collected or broadcast: only the shared orders 1 and 2 are, at most
-65,536 pairs of bytes.
+Scale: ``pack`` reads the texts once and writes them as bags of words, each
+task in chunks of about ``CHUNK_BYTES`` with a vocabulary of their own, into
+a table bucketed by chunk. Counting, sampling and scoring read that table
+and shuffle no text. Every count is kept, as a Spark table; each chunk asks
+for its distinct 5-grams, whose ratios are worked out once for the whole
+corpus, by the two bytes before the last (a group bounded by the alphabet).
+What a task holds is bounded by a chunk, and nothing that grows with the
+corpus is collected or broadcast: only the shared orders 1 and 2 are, at
+most 65,536 pairs of bytes. The tables stay in the shared folder.
 
 Defined results: null and empty texts have no words and get the score of
 a length of zero; a null ``doc_id`` is not held out and has no label; a
 document with several labels is toxic if one says so, null labels count
-for nothing; repeated rows get equal scores; without a training row of
+for nothing; equal texts get equal scores; without a training row of
 both classes every score is 0.0; an empty table gives an empty result;
-other columns pass through.
+other columns pass through. A single text must fit a task.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import alnum_words, bounded_arrow, parts_by_size, shuffle_partitions, small_batches, text_or_empty
-from ledgerlake.session import ensure_checkpoint_dir
+from ledgerlake.llm.common import alnum_words, bounded_arrow, pack_sorted, shuffle_partitions, small_batches, text_or_empty, unpack_sorted
+from ledgerlake.session import shared_dir
 
 ORDER = 5
 #: Highest order of the backoff that both classes share.
@@ -59,18 +67,20 @@ DECISIVE = 3.0
 CALIBRATION_ROWS = 20_000
 #: At most one training text in so many is chosen for calibration.
 CALIBRATION_FOLD = 5
+#: Partitions of the calibration sample.
+SAMPLE_PARTS = 8
 THRESHOLD = 0.7
-#: Entries that a task holds before it hands counts on, or forgets words.
+#: Entries that a task holds before it hands counts on, or closes a chunk.
 TASK_ENTRIES = 400_000
-#: Bytes of text in a chunk of documents that is scored at once.
-CHUNK_BYTES = 4_000_000
-#: Chunks for each shuffle partition, at least.
-CHUNKS_PER_PARTITION = 4
+#: Bytes of text in a chunk, and documents, at most.
+CHUNK_BYTES, CHUNK_ROWS = 32_000_000, 200_000
 
 _COUNTED = "part int, item binary, n long"
 _COUNTED_ARROW = pa.schema([("part", pa.int32()), ("item", pa.binary()), ("n", pa.int64())])
 _ASKED = "chunk long, g binary"
 _ASKED_ARROW = pa.schema([("chunk", pa.int64()), ("g", pa.binary())])
+_RATIOS_ARROW = pa.schema([("g", pa.binary()), ("ratio", pa.float64())])
+_SAMPLE_ARROW = pa.schema([("toxic", pa.int32()), ("text", pa.string())])
 _BEGIN, _END = b"\x01", b"\x02"
 
 
@@ -79,131 +89,186 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    parts, items = zip(*counts) if counts else ((), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(parts, pa.int32()), pa.array(items, pa.binary()), pa.array(counts.values(), pa.int64())], schema=_COUNTED_ARROW
-    )
+def grams(word: bytes) -> list[bytes]:
+    """The 5-grams of a word that end at its letters or its end."""
+    padded = _BEGIN * (ORDER - 1) + word + _END
+    return [padded[i - ORDER + 1 : i + 1] for i in range(ORDER - 1, len(padded))]
 
 
-def _flushed(pairs: Iterator[tuple[list, int]]) -> Iterator[pa.RecordBatch]:
-    """Counts of (part, item) from lists of them with a weight, handed on
-    whenever the counter is full."""
-    counts: Counter = Counter()
-    for keys, n in pairs:
-        for k in keys:
-            counts[k] += n
-        if len(counts) > TASK_ENTRIES:
-            yield _counted(counts)
-            counts = Counter()
-    yield _counted(counts)
-
+class _Numbers(dict):
+    """Words to numbers, in order of appearance."""
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, text) rows to documents by part and word."""
-    def pairs():
-        for batch in batches:
-            for part, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield [(part, w) for w in set(alnum_words(text.as_py()))], 1
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
 
-    yield from _flushed(pairs())
 
+@dataclass
+class Packed:
+    """Texts as bags of words: rows (chunk, at, doc_id, h1, h2, data), with
+    ``data`` the sorted numbers of a text's words, or, where ``at`` is -1,
+    the words of the chunk in the order of their numbers."""
 
-def grams(word: bytes, order: int) -> list[bytes]:
-    """The ``order``-grams of a word that end at its letters or its end."""
-    padded = _BEGIN * (ORDER - 1) + word + _END
-    return [padded[i - order + 1 : i + 1] for i in range(ORDER - 1, len(padded))]
+    rows: DataFrame
+    table: str
 
+    def release(self) -> None:
+        """Forget the table; its files stay in the shared folder."""
+        self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, word, n) rows to counts by part and n-gram."""
-    def pairs():
-        for batch in batches:
-            for part, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                yield [(part, g) for order in range(SHARED + 1, ORDER + 1) for g in grams(word, order)], n
 
-    yield from _flushed(pairs())
+def _text_keys() -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text_or_empty()), F.xxhash64(F.lit("text"), text_or_empty())]
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, text, ...) rows to the 5-grams of each chunk; a task may
-    name one again after it has handed on what it holds."""
-    asked: dict[int, set[bytes]] = {}
-    seen: dict[int, set[bytes]] = {}
+def _bags(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h1, h2, text) rows to those of ``Packed``."""
+    task, closed = TaskContext.get().partitionId() << 32, 0
+    words, size, at = _Numbers(), 0, 0
 
-    def handed() -> Iterator[pa.RecordBatch]:
-        for chunk, found in asked.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(list(found), pa.binary())], schema=_ASKED_ARROW)
+    def vocabulary() -> pa.RecordBatch:
+        data = zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+        return pa.RecordBatch.from_pylist([{"chunk": task + closed, "at": -1, "data": data}], schema=schema)
 
     for whole in batches:
         for batch in small_batches(whole):
-            columns = batch.schema.names
-            for chunk, text in zip(batch.column(columns.index("chunk")).to_pylist(), batch.column(columns.index("text"))):
-                words, found = seen.setdefault(chunk, set()), asked.setdefault(chunk, set())
-                new = set(alnum_words(text.as_py())) - words
-                words |= new
-                for word in new:
-                    found.update(grams(word, ORDER))
-            if sum(map(len, asked.values())) + sum(map(len, seen.values())) > TASK_ENTRIES:
-                yield from handed()
-                asked, seen = {}, {}
-    yield from handed()
+            data = []
+            for text in batch.column(3):
+                found = alnum_words(text.as_py())
+                numbers = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+                numbers.sort()
+                data.append(pack_sorted(numbers) if found else b"")
+            n = batch.num_rows
+            arrays = [pa.array([task + closed] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), *batch.columns[:3], pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            size, at = size + batch.nbytes, at + n
+            if size > CHUNK_BYTES or at > CHUNK_ROWS or len(words) > TASK_ENTRIES:
+                yield vocabulary()
+                words, size, at, closed = _Numbers(), 0, 0, closed + 1
+    if at:
+        yield vocabulary()
+
+
+def pack(docs: DataFrame) -> Packed:
+    """``docs`` (``text``, and ``doc_id`` if there is one) as bags of words,
+    in a table bucketed by chunk."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = docs.sparkSession
+    bounded_arrow(spark)
+    doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    h1, h2 = _text_keys()
+    narrow = docs.select(doc_id.alias("doc_id"), h1.alias("h1"), h2.alias("h2"), text_or_empty().alias("text"))
+    kept = [T.StructField(f.name, f.dataType) for f in narrow.schema.fields[:3]]
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("at", T.IntegerType()), *kept, T.StructField("data", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+    table = f"bags_{uuid.uuid4().hex}"
+    made = narrow.mapInArrow(lambda it: _bags(it, arrow), schema)
+    made.write.bucketBy(shuffle_partitions(docs), "chunk").option("path", shared_dir(spark, table)).saveAsTable(table)
+    return Packed(spark.table(table), table)
+
+
+def _opened(chunk: pa.Table) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    """The words of a chunk, its rows' numbers by ``at``, and where the row
+    of each ``at`` stands."""
+    order = np.argsort(chunk["at"].to_numpy())
+    data = chunk["data"].to_pylist()
+    words = zstandard.ZstdDecompressor().decompress(data[order[0]]).split()
+    bags = [unpack_sorted(data[i]).astype(np.int64) if data[i] else np.empty(0, np.int64) for i in order[1:]]
+    return words, bags, order[1:]
+
+
+def _counted_chunk(chunk: pa.Table, rows: pa.Table) -> pa.Table:
+    """Texts by part and word of the ``rows`` (chunk, at, part)."""
+    out = []
+    if rows.num_rows:
+        words, bags, _ = _opened(chunk)
+        at, parts = rows["at"].to_numpy(), rows["part"].to_numpy()
+        for part in np.unique(parts).tolist():
+            counts = np.zeros(len(words), np.int64)
+            for i in at[parts == part].tolist():
+                counts[np.unique(bags[i])] += 1
+            seen = np.flatnonzero(counts)
+            arrays = [pa.array([part] * len(seen), pa.int32()), pa.array([words[i] for i in seen], pa.binary()), pa.array(counts[seen])]
+            out.append(pa.Table.from_arrays(arrays, schema=_COUNTED_ARROW))
+    return pa.concat_tables(out) if out else _COUNTED_ARROW.empty_table()
+
+
+def _sampled_chunk(chunk: pa.Table, rows: pa.Table) -> pa.Table:
+    """The words of the ``rows`` (chunk, at, toxic) as texts."""
+    out = []
+    if rows.num_rows:
+        words, bags, _ = _opened(chunk)
+        for at, toxic in zip(rows["at"].to_pylist(), rows["toxic"].to_pylist()):
+            out.append({"toxic": toxic, "text": b" ".join([words[i] for i in bags[at].tolist()]).decode()})
+    return pa.Table.from_pylist(out, schema=_SAMPLE_ARROW)
 
 
-@dataclass
-class Model:
-    """Texts by n-gram of orders 3 to 5 (``item``) and class (``n0`` and
-    ``n1``), the shared backoff by pair of bytes, and the weights of the
-    features."""
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, word, n) rows to counts by part and 5-gram; a task hands them
+    on whenever its counter is full."""
+    counts: Counter = Counter()
 
-    counts: DataFrame
-    pairs: np.ndarray
-    weights: tuple[float, ...] = ()
+    def handed() -> pa.RecordBatch:
+        parts, items = zip(*counts) if counts else ((), ())
+        arrays = [pa.array(parts, pa.int32()), pa.array(items, pa.binary()), pa.array(counts.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, schema=_COUNTED_ARROW)
 
+    for batch in batches:
+        for part, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for g in grams(word):
+                counts[part, g] += n
+        if len(counts) > TASK_ENTRIES:
+            yield handed()
+            counts = Counter()
+    yield handed()
 
-class _Ratios(dict):
-    """Evidence of words, each worked out once, from that of 5-grams."""
 
-    def __init__(self, by_gram: dict[bytes, float]):
-        self.by_gram = by_gram
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, words) rows to the distinct 5-grams of each chunk."""
+    for batch in batches:
+        for chunk, data in zip(*(c.to_pylist() for c in batch.columns)):
+            found: set[bytes] = set()
+            for word in zstandard.ZstdDecompressor().decompress(data).split():
+                found.update(grams(word))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(sorted(found), pa.binary())], schema=_ASKED_ARROW)
 
-    def __missing__(self, word: bytes) -> float:
-        total = sum(self.by_gram[g] for g in grams(word, ORDER))
-        value = self[word] = min(max(total, -CLIP), CLIP)
-        return value
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        words = alnum_words(text)
-        if len(self) > TASK_ENTRIES:
-            self.clear()
-        ratios = np.fromiter(map(self.__getitem__, words), float, len(words))
-        n = max(len(words), 1)
-        return float(ratios.sum()) / n, float(ratios[ratios > DECISIVE].sum()) / n, math.log(n)
+@dataclass
+class Model:
+    """Texts by 5-gram (``item``) and class (``n0`` and ``n1``), the shared
+    backoff by pair of bytes, and the weights of the features."""
+
+    counts: DataFrame
+    pairs: np.ndarray
+    weights: tuple[float, ...] = ()
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, toxic, draw): one labelled row that is not held
-    out for each distinct text and label; ``draw`` orders them at random."""
+def training_rows(packed: Packed, labels: DataFrame) -> DataFrame:
+    """(chunk, at, toxic, draw): one labelled row that is not held out for
+    each distinct text and label; ``draw`` orders them at random."""
     label = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"))
+    texts = packed.rows.where("at >= 0 AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    # Repeated rows are one before the shuffle; labels grow with the corpus, so that it is one at every size.
+    once = texts.groupBy("doc_id", "h1", "h2").agg(F.min(F.struct("chunk", "at")).alias("place"))
     return (
-        texts.join(label.hint("merge"), "doc_id")
-        .groupBy("text_hash", "toxic")
-        .agg(F.min("doc_id").alias("doc_id"))
-        .select("doc_id", "text_hash", "toxic", _draw(F.col("text_hash")).alias("draw"))
+        once.join(label.hint("merge"), "doc_id")
+        .groupBy("h1", "h2", "toxic")
+        .agg(F.min("place").alias("place"))
+        .select("place.chunk", "place.at", "toxic", F.xxhash64(F.lit("calibration"), "h1").alias("draw"))
     )
 
 
-def _draw(text_hash: Column) -> Column:
-    return F.xxhash64(F.lit("calibration"), text_hash)
-
-
-def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
-    """A model of ``docs`` (``doc_id``, ``text``) by ``labels`` (``doc_id``,
-    ``toxic``); None without a row of both classes."""
-    spark = docs.sparkSession
-    bounded_arrow(spark)
-    ensure_checkpoint_dir(spark)
+def fit(docs: DataFrame | Packed, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
+    """A model of ``docs`` (``doc_id``, ``text``; or packed ones) by
+    ``labels`` (``doc_id``, ``toxic``); None without a row of both classes."""
+    if not isinstance(docs, Packed):
+        packed = pack(docs.select("doc_id", "text"))
+        try:
+            return fit(packed, labels, calibration_rows)
+        finally:
+            packed.release()
     rows = training_rows(docs, labels).cache()
     try:
         found = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first"), F.max("draw").alias("last"))
@@ -218,36 +283,38 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
             for k in ("first", "last", None)
         )
         chosen = (F.col("draw") <= F.greatest(limit, F.lit(below))) & ((F.col("draw") < last) | alone)
-        rows = rows.withColumn("chosen", chosen).withColumn("part", F.when(chosen & ~alone, F.col("toxic") + 2).otherwise(F.col("toxic")))
-        # Labels grow with the corpus: the joins are shuffles at every size.
-        texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", text_or_empty().alias("text"))
-        texts = texts.withColumn("text_hash", F.xxhash64("text"))
-        counted = texts.join(rows.hint("merge"), ["doc_id", "text_hash"])
-        counts = _counts(counted.select("part", "text"))
-        highest = max(below, *(r["first"] for r in classes.values()))
-        calibrating = texts.where(_draw(F.col("text_hash")) <= highest).join(rows.where("chosen").hint("merge"), ["doc_id", "text_hash"])
+        dealt = rows.withColumn("chosen", chosen).withColumn("part", F.when(chosen & ~alone, F.col("toxic") + 2).otherwise(F.col("toxic")))
+        bags = docs.rows.select("chunk", "at", "data").groupBy("chunk")
+        counts = _counts(bags.cogroup(dealt.select("chunk", "at", "part").groupBy("chunk")).applyInArrow(_counted_chunk, _COUNTED))
+        sample = bags.cogroup(dealt.where("chosen").select("chunk", "at", "toxic").groupBy("chunk")).applyInArrow(_sampled_chunk, "toxic int, text string")
         unseen = Model(counts.select("item", "n0", "n1").where("n0 + n1 > 0"), _backoff(counts.where("n0 + n1 > 0")))
-        sample = _features(calibrating.select("toxic", "text"), unseen).select("toxic", "f").collect()
-        weights = _logistic(np.array([r["f"] for r in sample]), np.array([r["toxic"] for r in sample], float))
+        # Its labels go where other texts have their ids.
+        sample = pack(sample.select(F.col("toxic").alias("doc_id"), "text").repartition(SAMPLE_PARTS))
+        points = _features(sample, unseen).select("doc_id", "f").collect()
+        sample.release()
+        weights = _logistic(np.array([r["f"] for r in points]), np.array([r["doc_id"] for r in points], float))
         every = counts.select("item", (F.col("n0") + F.col("c0")).alias("n0"), (F.col("n1") + F.col("c1")).alias("n1"))
         return Model(every, _backoff(counts), weights)
     finally:
         rows.unpersist()
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """Counts by n-gram of (part, text) rows: ``n0`` and ``n1`` of parts 0
-    and 1, ``c0`` and ``c1`` of parts 2 and 3."""
-    words = texts.mapInArrow(_words, _COUNTED).groupBy("part", "item").agg(F.sum("n").alias("n"))
+def _counts(words: DataFrame) -> DataFrame:
+    """Counts by 5-gram of (part, word, n) rows: ``n0`` and ``n1`` of parts
+    0 and 1, ``c0`` and ``c1`` of parts 2 and 3."""
+    spark = words.sparkSession
+    once = words.groupBy("part", "item").agg(F.sum("n").alias("n"))
     by_part = [F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(("n0", "n1", "c0", "c1"))]
-    return words.mapInArrow(_grams, _COUNTED).groupBy("item").agg(*by_part).checkpoint()
+    path = shared_dir(spark, f"grams-{uuid.uuid4().hex}")
+    once.mapInArrow(_grams, _COUNTED).groupBy("item").agg(*by_part).write.parquet(path)
+    return spark.read.schema("item binary, n0 long, n1 long, c0 long, c1 long").parquet(path)
 
 
 def _backoff(counts: DataFrame) -> np.ndarray:
     """The shared probability of a byte after one other, by both."""
     # Continuation counts of both classes: how many bytes stand before a pair.
-    third = counts.where(F.octet_length("item") == SHARED + 1)
-    continued = third.groupBy(F.substring("item", 2, SHARED).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    third = counts.select(F.substring("item", ORDER - SHARED, SHARED + 1).alias("t")).distinct()
+    continued = third.groupBy(F.substring("t", 2, SHARED).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     pairs, pair_rest, single = _shared({bytes(r["p"]): r["n"] for r in continued})
     out = np.empty((256, 256))
     for a in range(256):
@@ -288,81 +355,118 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return (float(b[0] - weights @ mean), *map(float, weights))
 
 
-def gram_ratios(asked: DataFrame, model: Model) -> DataFrame:
-    """(g, ratio) for each distinct 5-gram ``g`` of ``asked``: log p(last
-    byte | the others, toxic) - log p(... | ordinary)."""
-    spark = asked.sparkSession
-    g = F.col("item")
-    suffixes = F.array(*[F.substring("g", ORDER - o + 1, o) for o in range(SHARED + 1, ORDER + 1)])
-    needed = asked.select("g").distinct().select(F.explode(suffixes).alias("item"), F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("n1"), F.lit(1).alias("asked"))
-    known = model.counts.select("item", "n0", "n1", F.lit(0).alias("asked"))
-    both = needed.unionByName(known).groupBy("item").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("asked").alias("asked"))
-    # A context has at most 256 n-grams.
-    context = Window.partitionBy(F.substring(g, F.lit(1), F.octet_length(g) - 1))
-    seen, rest = [], []
+def _discounted(counts: dict[bytes, int]) -> dict[bytes, list]:
+    """By context: the sum of its counts, and how many there are."""
+    out: dict[bytes, list] = {}
+    for g, n in counts.items():
+        entry = out.setdefault(g[:-1], [0, 0])
+        entry[0] += n
+        entry[1] += 1
+    return out
+
+
+def _continued(counts: dict[bytes, int]) -> dict[bytes, int]:
+    """Continuation counts of the next lower order; n-grams that begin at
+    the word's begin have one continuation only and keep their counts."""
+    out: Counter = Counter()
+    for g, n in counts.items():
+        out[g[1:]] += n if g[1:2] == _BEGIN else 1
+    return out
+
+
+def _pair_ratios(known: pa.Table, asked: pa.Table, pairs: np.ndarray) -> pa.Table:
+    """Ratios of the 5-grams asked for, from all known ones with the same
+    two bytes before the last."""
+    wanted = asked["g"].to_pylist()
+    if not wanted:
+        return _RATIOS_ARROW.empty_table()
+    items = known["item"].to_pylist()
+    by_class = []
     for c in ("n0", "n1"):
-        total, left = F.sum(c).over(context), F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
-        seen.append(F.when(total > 0, left / total).otherwise(0.0).alias(f"seen_{c}"))
-        rest.append(F.when(total > 0, F.greatest(1 - F.sum(left).over(context) / total, F.lit(1e-9))).otherwise(1.0).alias(f"rest_{c}"))
-    steps = both.select("item", "asked", *seen, *rest).where("asked = 1").drop("asked")
-    pair = np.indices((256, 256)).reshape(2, -1).T.astype(np.uint8)
-    shared = pa.table({"p": pa.array(map(bytes, pair), pa.binary()), "p_n0": model.pairs.ravel()})
-    done = F.broadcast(spark.createDataFrame(shared)).withColumn("p_n1", F.col("p_n0"))
-    for o in range(SHARED + 1, ORDER + 1):
-        step = steps.where(F.octet_length("item") == o).withColumn("p", F.substring("item", 2, o - 1))
-        done = step.join(done, "p").select(
-            F.col("item").alias("p"), *[(F.col(f"seen_{c}") + F.col(f"rest_{c}") * F.col(f"p_{c}")).alias(f"p_{c}") for c in ("n0", "n1")]
-        )
-    return done.select(F.col("p").alias("g"), F.log(F.col("p_n1") / F.col("p_n0")).alias("ratio"))
+        orders = [{g: n for g, n in zip(items, known[c].to_pylist()) if n}]
+        while len(orders) < ORDER - SHARED:
+            orders.append(_continued(orders[-1]))
+        by_class.append([(counts, _discounted(counts)) for counts in reversed(orders)])
+    ratios = []
+    for g in wanted:
+        p = [pairs[g[-2], g[-1]]] * 2
+        for c, orders in enumerate(by_class):
+            for order, (counts, contexts) in enumerate(orders, SHARED + 1):
+                suffix = g[ORDER - order :]
+                total = contexts.get(suffix[:-1])
+                if total:
+                    p[c] = (max(counts.get(suffix, 0) - DISCOUNT, 0.0) + DISCOUNT * total[1] * p[c]) / total[0]
+        ratios.append(math.log(p[1] / p[0]))
+    return pa.Table.from_arrays([pa.array(wanted, pa.binary()), pa.array(ratios, pa.float64())], schema=_RATIOS_ARROW)
 
 
-def _row_hash(rows: DataFrame) -> Column:
-    """A hash of the columns of a row that have one, maps have none."""
-    fields = [f.name for f in rows.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
-    return F.xxhash64(*[F.col(f"`{c}`") for c in fields])
+def gram_ratios(asked: DataFrame, model: Model) -> DataFrame:
+    """(g, ratio) for each distinct 5-gram ``g`` of ``asked``: log p(last
+    byte | the others, toxic) - log p(... | ordinary)."""
+    # All that a 5-gram's orders 3 to 5 need has the same two bytes before the last.
+    at, pairs = ORDER - SHARED, model.pairs
+    known = model.counts.select(F.substring("item", at, SHARED).alias("pair"), "item", "n0", "n1")
+    wanted = asked.select("g").distinct().select(F.substring("g", at, SHARED).alias("pair"), "g")
+    return known.groupBy("pair").cogroup(wanted.groupBy("pair")).applyInArrow(lambda k, w: _pair_ratios(k, w, pairs), "g binary, ratio double")
 
 
-def _features(rows: DataFrame, model: Model, score: Callable | None = None) -> DataFrame:
-    """``rows`` (with ``text``) with ``f``, the features, or by ``score``
-    a function of them as ``score``."""
+def _features(packed: Packed, model: Model) -> DataFrame:
+    """(doc_id, h1, h2, f) for each text: its features."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    added = T.StructField("f", T.ArrayType(T.DoubleType())) if score is None else T.StructField("score", T.DoubleType())
-    out = T.StructType([*rows.schema.fields, added])
-    schema, at = to_arrow_schema(out), rows.columns.index("text")
-    bytes_of = F.octet_length(text_or_empty())
-    parts, _ = parts_by_size(rows, bytes_of, CHUNK_BYTES)
-    chunks = max(parts, CHUNKS_PER_PARTITION * shuffle_partitions(rows))
-    # Rows keep their names inside a struct: theirs may be those used here.
-    packed = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "text"])
-    dealt = rows.select(F.pmod(_row_hash(rows), F.lit(chunks)).alias("chunk"), F.col("text"), packed.alias("others")).repartition("chunk")
-    asked = dealt.mapInArrow(_asked, _ASKED).repartition("g")
+    out = T.StructType([*packed.rows.select("doc_id", "h1", "h2").schema.fields, T.StructField("f", T.ArrayType(T.DoubleType()))])
+    schema = to_arrow_schema(out)
+    asked = packed.rows.where("at = -1").select("chunk", "data").mapInArrow(_asked, _ASKED).repartition("g")
     found = asked.join(gram_ratios(asked, model).hint("shuffle_merge"), "g").select("chunk", "g", "ratio")
 
-    def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        ratios = _Ratios(dict(zip(right["g"].to_pylist(), right["ratio"].to_pylist())))
-        made = [ratios.features(t.as_py()) for t in left["text"]]
-        if score is not None:
-            made = [score(f) for f in made]
-        others = iter(left["others"].combine_chunks().flatten())
-        columns = [left["text"] if i == at else next(others) for i in range(len(schema.names) - 1)]
-        return pa.Table.from_arrays([*columns, pa.array(made, schema.field(schema.names[-1]).type)], schema=schema)
+    def add(chunk: pa.Table, ratios: pa.Table) -> pa.Table:
+        by_gram = dict(zip(ratios["g"].to_pylist(), ratios["ratio"].to_pylist()))
+        words, bags, order = _opened(chunk)
+        evidence = np.array([min(max(math.fsum([by_gram[g] for g in grams(w)]), -CLIP), CLIP) for w in words])
+        made = []
+        for bag in bags:
+            # Exact sums: equal texts of different chunks have their words in another order.
+            own, n = evidence[bag] if len(bag) else np.empty(0), max(len(bag), 1)
+            made.append([math.fsum(own.tolist()) / n, math.fsum(own[own > DECISIVE].tolist()) / n, math.log(n)])
+        rows = chunk.select(["doc_id", "h1", "h2"]).take(pa.array(order))
+        return pa.Table.from_arrays([*rows.columns, pa.array(made, schema.field("f").type)], schema=schema)
 
-    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(add, out)
+    bags = packed.rows.select("chunk", "at", "doc_id", "h1", "h2", "data")
+    return bags.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(add, out)
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is
-    at least ``threshold``). Input columns of these names are replaced."""
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
+def scores(packed: Packed, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, h1, h2, score, predicted) for each packed text."""
     if model is None:
-        scored = base.withColumn("score", F.lit(0.0))
+        made = packed.rows.where("at >= 0").select("doc_id", "h1", "h2", F.lit(0.0).alias("score"))
     else:
-        bounded_arrow(docs.sparkSession)
         bias, *weights = model.weights
-
-        def probability(features) -> float:
-            return 1 / (1 + math.exp(-min(max(bias + sum(w * f for w, f in zip(weights, features)), -30.0), 30.0)))
-
-        scored = _features(base, model, probability)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        logit = F.lit(bias)
+        for i, w in enumerate(weights):
+            logit += F.lit(w) * F.col("f")[i]
+        sure = F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))
+        made = _features(packed, model).select("doc_id", "h1", "h2", (1 / (1 + F.exp(-sure))).alias("score"))
+    spark = made.sparkSession
+    path = shared_dir(spark, f"scores-{uuid.uuid4().hex}")
+    made.write.parquet(path)
+    done = spark.read.schema(made.schema).parquet(path)
+    return done.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, packed: Packed | None = None) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is
+    at least ``threshold``). Input columns of these names are replaced.
+    ``packed`` holds the same texts, if they have been packed already."""
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
+    if model is None:
+        return base.withColumns({"score": F.lit(0.0), "predicted": (F.lit(0.0) >= threshold).cast("int")})
+    own = packed or pack(base.select("text"))
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, f"scored-{uuid.uuid4().hex}")
+    scores(own, model, threshold).groupBy("h1", "h2").agg(F.max("score").alias("score")).write.parquet(path)
+    if packed is None:
+        own.release()
+    # Names that no column of the documents has. The written side lets Spark split a hot text of the other.
+    names = [f"{h}_{uuid.uuid4().hex}" for h in ("h1", "h2")]
+    by_text = spark.read.schema("h1 long, h2 long, score double").parquet(path).toDF(*names, "score")
+    joined = base.withColumns(dict(zip(names, _text_keys()))).join(by_text.hint("merge"), names, "left")
+    return joined.drop(*names).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -8,6 +8,7 @@ import os
 import random
 import uuid
 import warnings
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -344,32 +345,66 @@ def test_toxicity_ratios_match_plain_counts(spark):
     held = {r["doc_id"] for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()}
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
     texts = {(t or "", truth[i]) for i, t in plain if i in truth and i not in held}
-    want = {}
+    five = {}
     for text, toxic in texts:
         for word in set(toxicity.alnum_words(text)):
-            for order in (3, 4, 5):
-                for g in toxicity.grams(word, order):
-                    want.setdefault(g, [0, 0])[toxic] += 1
-    assert {bytes(r["item"]): [r["n0"], r["n1"]] for r in model.counts.collect()} == want
+            for g in toxicity.grams(word):
+                five.setdefault(g, [0, 0])[toxic] += 1
+    assert {bytes(r["item"]): [r["n0"], r["n1"]] for r in model.counts.collect()} == five
+
+    def lower(counts):
+        """Kneser-Ney counts of the next order: how many bytes precede it, or texts at a word's begin."""
+        out = {}
+        for g, ns in counts.items():
+            for c in (0, 1):
+                if ns[c]:
+                    out.setdefault(g[1:], [0, 0])[c] += ns[c] if g[1:2] == b"\x01" else 1
+        return out
+
+    four = lower(five)
+    want = {**five, **four, **lower(four)}
+    pairs = {}
+    for g in lower(four):
+        pairs.setdefault(g[1:], set()).add(g[:1])
+    pairs = {g: len(before) for g, before in pairs.items()}
+    singles = Counter(g[1:] for g in pairs)
+
+    def shared(pair):
+        """Orders 1 and 2, of both classes."""
+        own = [n for g, n in pairs.items() if g[:1] == pair[:1]]
+        single = (max(singles[pair[1:]] - 0.75, 0) + 0.75 * len(singles) / 256) / sum(singles.values())
+        return (max(pairs.get(pair, 0) - 0.75, 0) + 0.75 * len(own) * single) / sum(own) if own else single
+
     after = {}
     for g, n in want.items():
         after.setdefault(g[:-1], []).append(n)
 
     def ratio(gram):
-        p = [model.pairs[gram[-2], gram[-1]]] * 2
+        p = [shared(gram[-2:])] * 2
         for g in (gram[-3:], gram[-4:], gram):
             for c in (0, 1):
                 total = sum(n[c] for n in after.get(g[:-1], []))
                 if total:
                     rest = 1 - sum(max(n[c] - 0.75, 0) for n in after[g[:-1]]) / total
-                    p[c] = max(want.get(g, [0, 0])[c] - 0.75, 0) / total + max(rest, 1e-9) * p[c]
+                    p[c] = max(want.get(g, [0, 0])[c] - 0.75, 0) / total + rest * p[c]
         return math.log(p[1] / p[0])
 
-    asked = [*{g for w in ("qqqq", "the", "\u00e9t\u00e9", *(plain[0][1] or "").split()) for g in toxicity.grams(w.encode(), 5)}]
+    asked = [*{g for w in ("qqqq", "the", "\u00e9t\u00e9", *(plain[0][1] or "").split()) for g in toxicity.grams(w.encode())}]
     frame = spark.createDataFrame([(g,) for g in asked], "g binary")
     got = {bytes(r["g"]): r["ratio"] for r in toxicity.gram_ratios(frame, model).collect()}
     assert got == {g: pytest.approx(ratio(g), abs=1e-9) for g in asked}
 
+    by_gram = {g: ratio(g) for _, t in plain for w in set(toxicity.alnum_words(t)) for g in toxicity.grams(w)}
+    bias, *weights = model.weights
+    score_of = {}
+    for i, text in plain:
+        words = [min(max(sum(by_gram[g] for g in toxicity.grams(w)), -50), 50) for w in toxicity.alnum_words(text)]
+        n = max(len(words), 1)
+        f = (sum(words) / n, sum(w for w in words if w > 3) / n, math.log(n))
+        score_of[i] = 1 / (1 + math.exp(-min(max(bias + sum(w * x for w, x in zip(weights, f)), -30), 30)))
+    for r in toxicity.score(docs, model).select("doc_id", "score", "predicted").collect():
+        assert r["score"] == pytest.approx(score_of[r["doc_id"]], abs=1e-9) and r["predicted"] == int(r["score"] >= 0.7)
+
 
 def test_toxicity_learns_from_one_text_of_a_class(spark):
     learned, _ = not_held_out(spark, 30)
