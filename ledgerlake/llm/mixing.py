@@ -7,7 +7,12 @@ holds. Raking scales the cells' token weights to one marginal after the
 other. No document can be kept more than once, so no cell's weight is more
 than its tokens.
 
-Without a ``keep_share`` it is the largest part of all tokens at which no
+With a ``budget`` (a part of all tokens) that many tokens are kept whatever
+a margin holds: a value whose goal is over its tokens gives all it has, and
+what is missing is shared by the other values of its margin in proportion to
+their goals, so one scarce value never sets the share of the corpus.
+
+Without a ``keep_share`` or ``budget`` the share is the largest part of all tokens at which no
 named value needs more than its tokens, lowered until the capped weights
 meet every margin within ``TOLERANCE``; the cell table, bounded as it is,
 is fitted on the driver, and each step solves for the scale with the caps
@@ -35,13 +40,15 @@ through.
 from __future__ import annotations
 
 import warnings
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import WHITESPACE, text_or_empty
+from ledgerlake.llm.common import text_or_empty
 from ledgerlake.session import ensure_checkpoint_dir
 
 OTHER = "other"
@@ -63,20 +70,26 @@ TOPIC_RULES = (
     ("noise", r"[%&#*$]{3}|!!"),
 )
 DEFAULT_TOPIC = "prose"
+#: Lower-case pieces of which a text must hold one to match the rule; most
+#: texts are then not searched by its pattern.
+TOPIC_HINTS = {"legal": ("licen", "copyright"), "contact": ("@", "+")}
 
 
-def topic_of(text: Column, rules=TOPIC_RULES, default: str = DEFAULT_TOPIC) -> Column:
+def topic_of(text: Column, rules=TOPIC_RULES, default: str = DEFAULT_TOPIC, hints=TOPIC_HINTS) -> Column:
     """The first rule's topic whose pattern the text holds."""
     out = F.lit(default)
     for name, pattern in reversed(rules):
-        out = F.when(F.regexp_like(text, F.lit(pattern)), F.lit(name)).otherwise(out)
+        found = F.regexp_like(text, F.lit(pattern))
+        if name in hints:
+            lowered = F.lower(text) if any(x.upper() != x for x in hints[name]) else text
+            found = reduce(or_, [F.contains(lowered, F.lit(x)) for x in hints[name]]) & found
+        out = F.when(found, F.lit(name)).otherwise(out)
     return out
 
 
 def token_count(text: Column) -> Column:
     """Whitespace-separated words."""
-    trimmed = F.btrim(text, F.lit(WHITESPACE))
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def _named(c: Column, targets: dict[str, float]) -> Column:
@@ -137,6 +150,29 @@ class _Cells:
                 goal = n if v not in shares else shares[v] / present * (total - own.get(OTHER, 0.0)) if n > 0 and shares[v] > 0 else 0.0
                 self.goals.append((margin, v, np.flatnonzero(of == v), goal))
 
+    def refill(self, share: float) -> None:
+        """Bound each goal by what its value has at ``share``, and give the
+        rest to the other values of the margin, again while one is over."""
+        margins = dict.fromkeys(m for m, *_ in self.goals)
+        for margin in margins:
+            entries = [i for i, g in enumerate(self.goals) if g[0] == margin]
+            most = {i: self.tokens[self.goals[i][2]].sum() / share for i in entries}
+            goal = {i: self.goals[i][3] for i in entries}
+            full: set[int] = set()
+            while True:
+                over = {i for i in entries if i not in full and goal[i] > most[i]}
+                if not over:
+                    break
+                full |= over
+                open_ = [i for i in entries if i not in full]
+                left = sum(goal.values()) - sum(most[i] for i in full) - sum(goal[i] for i in open_)
+                rest = sum(goal[i] for i in open_)
+                goal |= {i: most[i] for i in full}
+                if rest > 0:
+                    goal |= {i: goal[i] * (1 + left / rest) for i in open_}
+            for i in entries:
+                self.goals[i] = (*self.goals[i][:3], goal[i])
+
     def most(self) -> float:
         """The largest share at which no value needs more than it has."""
         return min([1.0, *(self.tokens[at].sum() / goal for _, _, at, goal in self.goals if goal > 0)])
@@ -208,6 +244,33 @@ def rake_within(cells: DataFrame, targets: dict[str, dict[str, float]]) -> tuple
     return cells.sparkSession.createDataFrame(made, schema).coalesce(1), share
 
 
+def rake_budget(cells: DataFrame, targets: dict[str, dict[str, float]], budget: float) -> DataFrame:
+    """``cells`` with ``weight``: ``budget`` of all tokens, by margins whose
+    short values are made up for by the others."""
+    rows = cells.collect()
+    table = _Cells(rows, targets)
+    table.refill(budget)
+    schema = T.StructType([*cells.schema.fields, T.StructField("weight", T.DoubleType())])
+    made = [(*r, float(w)) for r, w in zip(rows, table.fit(budget))]
+    return cells.sparkSession.createDataFrame(made, schema).coalesce(1)
+
+
+def residuals(fitted: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+    """(margin, value, tokens, weight, target, got): by value of each margin
+    what there is, what is kept, and the shares asked for and got."""
+    total = F.sum("weight").over(Window.partitionBy("margin"))
+    out = None
+    for margin, shares in targets.items():
+        # At most one row a target.
+        asked = fitted.sparkSession.createDataFrame([(v, float(x)) for v, x in shares.items()], "value string, target double")
+        by_value = fitted.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("weight"))
+        one = by_value.join(asked, "value", "full").select(
+            F.lit(margin).alias("margin"), "value", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), "target"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("got", F.when(total > 0, F.col("weight") / total))
+
+
 def missed(fitted: DataFrame, targets: dict[str, dict[str, float]], keep_share: float) -> dict[tuple[str, str], tuple[float, float]]:
     """(margin, value) to the parts of the kept tokens got and asked for,
     for what the weights of ``fitted`` cells miss by more than TOLERANCE."""
@@ -223,6 +286,7 @@ def mix(
     keep_share: float | None = None,
     sweeps: int = SWEEPS,
     seed: str = "mix",
+    budget: float | None = None,
 ) -> DataFrame:
     """``docs`` with ``mix_source``, ``mix_lang``, ``mix_topic``,
     ``mix_tokens``, ``keep_p`` and ``kept``. Input columns of these names
@@ -239,7 +303,9 @@ def mix(
     )
     cells = tagged.groupBy(*MARGINS).agg(F.sum("mix_tokens").alias("tokens")).coalesce(1).checkpoint()
     targets = dict(zip(MARGINS, (source_targets, lang_targets, topic_targets)))
-    if keep_share is None:
+    if budget is not None:
+        fitted, keep_share = rake_budget(cells, targets, budget), budget
+    elif keep_share is None:
         fitted, keep_share = rake_within(cells, targets)
     else:
         fitted = rake(cells, targets, keep_share, sweeps).checkpoint()

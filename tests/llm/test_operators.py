@@ -474,3 +474,29 @@ def test_chat_perspectives(spark):
         "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nfirst < |im_end|><|im_end|>\n"
         "<|im_start|>user name=bob\nsecond<|im_end|>\n"
     )
+
+
+def test_a_scarce_topic_does_not_set_the_budget(spark):
+    """One value has 1e-5 of the tokens and a tenth of the target."""
+    cells = spark.createDataFrame(
+        [(f"src{i}", lang, topic, n) for i, k in ((0, 3), (1, 1)) for lang, m in (("en", 2), ("de", 1))
+         for topic, n in (("prose", 400_000 * k * m), ("legal", 60_000 * k * m), ("contact", 5 * k * m))],
+        "mix_source string, mix_lang string, mix_topic string, tokens long",
+    )
+    wanted = ({"src0": 0.6, "src1": 0.4}, {"en": 0.5, "de": 0.5}, {"prose": 0.8, "legal": 0.1, "contact": 0.1})
+    targets = dict(zip(mixing.MARGINS, wanted))
+    fitted = mixing.rake_budget(cells, targets, 0.5).cache()
+    got = fitted.toPandas()
+    assert got["weight"].sum() == pytest.approx(0.5 * got["tokens"].sum(), rel=0.01) and (got["weight"] <= got["tokens"] + 1e-6).all()
+    rest = {(r["margin"], r["value"]): r for r in mixing.residuals(fitted, targets).collect()}
+    assert len(rest) == 7 and rest["mix_topic", "contact"]["weight"] == pytest.approx(60, rel=0.01)
+    assert rest["mix_source", "src0"]["got"] == pytest.approx(0.6, rel=0.01) and rest["mix_lang", "de"]["got"] == pytest.approx(0.5, rel=0.01)
+    assert rest["mix_topic", "prose"]["got"] == pytest.approx(0.8 / 0.9, rel=0.01)
+
+
+def test_topic_hints_change_no_topic(spark):
+    texts = ["LICENSE", "a licence", "CopyRight x", "x@y.z", "a@b", "+1", "+ 1", "!!", "%&#", "plain", "", " \t\n", "a  b\x0bc ", "l\u0130cense"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select(mixing.topic_of(F.col("text")).alias("a"), mixing.topic_of(F.col("text"), hints={}).alias("b"), "text", mixing.token_count(F.col("text")).alias("n"))
+    for r in got.collect():
+        assert r["a"] == r["b"] and r["n"] == len((r["text"] or "").split()), r
