@@ -33,9 +33,11 @@ from ledgerlake.sources.tables import read_table
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
-    model = toxicity.fit(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    packed = toxicity.pack(docs.select("doc_id", "text"))
+    model = toxicity.fit(packed, read_table(spark, sf_dir, "labels"))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    kept = toxicity.score(marked, model).where("predicted = 0")
+    kept = toxicity.score(marked, model, packed=packed).where("predicted = 0")
+    packed.release()
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -63,9 +65,9 @@ def decontaminate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to the target weights."""
+    """Documents drawn to the target weights, half of all tokens."""
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source", "lang")
-    drawn = mixing.mix(marked, queries.SOURCE_TARGETS, queries.LANG_TARGETS, queries.TOPIC_TARGETS)
+    drawn = mixing.mix(marked, queries.SOURCE_TARGETS, queries.LANG_TARGETS, queries.TOPIC_TARGETS, budget=mixing.KEEP_SHARE)
     return drawn.where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
