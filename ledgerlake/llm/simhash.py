@@ -24,7 +24,7 @@ verified by its bit distance. Where none reaches a variant by at most one
 bit, the group proves no link.
 
 Variants travel sorted, as compressed gaps with two bytes for the flip that
-leads back to the fingerprint, cut into ranges (buckets). A bucket reduces
+leads back to the fingerprint, cut into buckets by a hash of the variant. A bucket reduces
 its edges to a forest before they leave it. The components of what is left
 are found by alternating large-star and small-star steps, each written to
 the checkpoint folder; an equal-fingerprint group of any size is one node.
@@ -48,8 +48,8 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm.common import (
     bounded_arrow,
-    bucket_edges,
     groups_of,
+    mix,
     pack_sorted,
     parts_by_size,
     small_batches,
@@ -128,9 +128,11 @@ def _variants(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
             made = [(block[even], len(FLIPS)), (block[~even], _NEAR)]
             values = np.concatenate([(fps[:, None] ^ FLIPS[None, :n]).ravel() for fps, n in made])
             flips = np.concatenate([np.tile(np.arange(n, dtype="<u2"), len(fps)) for fps, n in made])
-            order = np.argsort(values, kind="stable")
+            # By the mixed value: near copies share high bits, so ranges of the raw one crowd.
+            bucket = mix(values) % np.uint64(buckets)
+            order = np.lexsort((values, bucket))
             values, flips = values[order], flips[order]
-            edges = bucket_edges(values, 64, buckets)
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
             rows = [(b, pack_sorted(values[s:e]), flips[s:e].tobytes()) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT_ARROW)], schema=_SENT_ARROW)
 
