@@ -9,9 +9,10 @@ or more distinct documents together with the smallest holding ``doc_id``.
 All other holders lose those lines; the rest is put together again in
 order, in place, with higher-order functions on the line array.
 
-Plan: the key table is checkpointed, so that both sides of its join with
-the exploded keys are plain exchanges and Spark splits a hot key. Texts are
-shuffled once, by ``doc_id``, to meet their dropped keys.
+Plan: the key table and the dropped keys of each id are checkpointed, so
+that both sides of their joins are plain exchanges and Spark splits a hot key
+(many rows of one id or of none included). Texts are shuffled once, by
+``doc_id``, to meet their dropped keys, a sorted array searched by halving.
 
 Defined results: a null text is one empty line; a null ``doc_id`` neither
 holds a key nor loses a line; rows with the same ``doc_id`` count as one
@@ -44,6 +45,24 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _among(value: Column, ordered: Column) -> Column:
+    """Whether ``value`` is in an ascending array, by halving steps: linear
+    search would take the square of a long text's dropped lines."""
+
+    def search(v: Column) -> Column:
+        bits = F.ceil(F.log2(F.size(ordered) + 1)).cast("int")
+        steps = F.sequence(bits, F.lit(0), F.lit(-1))
+
+        def step(at: Column, bit: Column) -> Column:
+            further = at + F.call_function("shiftleft", F.lit(1), bit)
+            return F.when(F.get(ordered, further) <= v, further).otherwise(at)
+
+        last = F.aggregate(steps, F.lit(-1), step)
+        return F.coalesce(F.get(ordered, last) == v, F.lit(False))
+
+    return F.transform(F.array(value), search)[0]
+
+
 def line_dedup(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS
 ) -> DataFrame:
@@ -55,9 +74,8 @@ def line_dedup(
     ensure_checkpoint_dir(docs.sparkSession)
     doc = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("body"))
     keys = F.transform(_lines(F.col("body")), _key)
-    long_keys = F.array_distinct(
-        F.transform(F.filter(keys, lambda k: F.char_length(k) >= min_chars), _hashes)
-    )
+    # Distinct as strings, which Spark hashes; structs it would compare in pairs.
+    long_keys = F.transform(F.array_distinct(F.filter(keys, lambda k: F.char_length(k) >= min_chars)), _hashes)
     held = (
         doc.where(F.col("id").isNotNull())
         .select("id", F.explode(long_keys).alias("k"))
@@ -77,7 +95,8 @@ def line_dedup(
         held.join(repeated, ["h1", "h2"])
         .where(F.col("id") > F.col("first"))
         .groupBy("id")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+        .agg(F.array_sort(F.collect_set(F.struct("h1", "h2"))).alias("drop"))
+        .checkpoint()
     )
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -86,7 +105,7 @@ def line_dedup(
 
     def stays(line: Column) -> Column:
         key = _key(line)
-        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("drop"), _hashes(key))
+        return F.when(F.char_length(key) < min_chars, True).otherwise(~_among(_hashes(key), F.col("drop")))
 
     kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, stays))
     out = rows.join(drops, "id", "left").select("row", lines.alias("before"), kept.alias("after"))
