@@ -11,7 +11,9 @@ The patterns take the same strings as their plain greedy forms. Groups that
 repeat are possessive, because Java's regex engine recurses for each turn
 of a backtracking group and would overflow its stack on a very long run;
 a match may start inside a run of its first characters only where the last
-match ended, which changes no result and keeps long runs linear.
+match ended, which changes no result and keeps long runs linear. Offsets,
+contexts and redacted text are put together in blocks of about sqrt(n)
+matches, as an array that grows by one is copied each time.
 
 Defined results: null and empty texts have no spans; rows are judged one by
 one, so repeated rows give repeated rows and null ids stay null; an empty
@@ -20,6 +22,8 @@ table gives an empty result; other columns are passed through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,14 +124,35 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, text: Column, start: Column) -> Column:
-    first = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-    before = lower_ascii(F.substring(text, (first + 1).cast("int"), (start - first).cast("int")))
+def _score(kind: str, before: Column) -> Column:
+    before = lower_ascii(before)
     raising, lowering = (F.greatest(*[F.contains(before, F.lit(w)).cast("int") for w in words]) for words in CONTEXT[kind])
     score = F.lit(PRIOR[kind]) + CONTEXT_STEP * (raising - lowering)
     return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 2)
 
 
+def _last(text: Column) -> Column:
+    """The last CONTEXT_CHARS code points."""
+    return F.substring(text, F.lit(-CONTEXT_CHARS), F.lit(CONTEXT_CHARS))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_blocks(items: Column, state: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``step(state, block)`` over blocks of about sqrt(n) of the n items, so
+    that arrays and strings that a step makes longer stay short."""
+    block = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+
+    def walk(width: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), width)
+        return F.aggregate(starts, state, lambda acc, i: step(acc, F.slice(items, i, width)))
+
+    return _bound(block, walk)
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """Validated spans of one kind, by start."""
     pattern = PATTERNS[kind]
@@ -137,18 +162,30 @@ def spans_of(kind: str, text: Column) -> Column:
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.char_length(pair["gap"])
         end = start + F.char_length(pair["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        before = _last(F.concat(acc["tail"], _last(pair["gap"])))
+        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"), before.alias("before"))
+        tail = _last(F.concat(acc["tail"], _last(pair["gap"]), _last(pair["match"])))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string,before:string>>")
+
+    def block(acc: Column, pairs: Column) -> Column:
+        state = F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), empty.alias("spans"))
+        return F.aggregate(
+            pairs, state, step,
+            lambda x: F.struct(x["at"].alias("at"), x["tail"].alias("tail"), F.concat(acc["done"], F.array(x["spans"])).alias("done")),
+        )
 
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+    none = F.array().cast("array<array<struct<start:bigint,end:bigint,match:string,before:string>>>")
+    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), none.alias("done"))
     # The text after the last match pairs with no match; its null ends in no span.
     pairs = F.filter(F.arrays_zip(between.alias("gap"), matches.alias("match")), lambda p: p["match"].isNotNull())
-    located = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step)["spans"]
+    located = F.flatten(_bound(pairs, lambda p: _in_blocks(p, state, block))["done"])
     confirmed = F.filter(located, lambda s: valid(kind, s["match"]))
     scored = F.transform(
         confirmed,
         lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                           s["match"].alias("match"), _score(kind, text, s["start"]).alias("score")),
+                           s["match"].alias("match"), _score(kind, s["before"]).alias("score")),
     )
     return F.when(F.regexp_like(text, F.lit(_HINTS[kind])), scored).otherwise(F.array().cast(_SPAN))
 
@@ -174,14 +211,31 @@ def redact(docs: DataFrame, min_score: float = 0.0, kinds: tuple[str, ...] = KIN
     )
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        new = F.concat(acc["out"], gap, F.lit("<"), s["kind"], F.lit(">"))
-        inside = s["start"] < acc["at"]
+        to = F.greatest(acc["at"], s["end"])
+        new = F.concat(acc["out"], _from(acc["rest"], F.lit(0), s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
         return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(new).alias("out")
+            to.alias("at"), _from(acc["rest"], to - acc["at"]).alias("rest"),
+            F.when(s["start"] < acc["at"], acc["out"]).otherwise(new).alias("out"),
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, step)
-    rest = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.char_length("text"))
-    return found.withColumn("text", F.concat(done["out"], rest)).drop("pii")
+    def block(acc: Column, some: Column) -> Column:
+        # A block's steps cut only the text up to its furthest end.
+        reach = F.greatest(acc["at"], F.array_max(F.transform(some, lambda s: s["end"]))) - acc["at"]
+        head = _from(acc["rest"], F.lit(0), reach)
+        return F.aggregate(
+            some, F.struct(acc["at"].alias("at"), head.alias("rest"), F.lit("").alias("out")), step,
+            lambda x: F.struct(
+                x["at"].alias("at"), _from(acc["rest"], x["at"] - acc["at"]).alias("rest"),
+                F.concat(acc["out"], F.array(x["out"])).alias("out"),
+            ),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.col("text").alias("rest"), F.array().cast("array<string>").alias("out"))
+    done = _bound(spans, lambda s: _in_blocks(s, start, block))
+    text = _bound(done, lambda d: F.concat(F.array_join(d["out"], ""), d["rest"]))
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), text)).drop("pii")
+
+
+def _from(text: Column, skip: Column, size: Column | None = None) -> Column:
+    """``size`` code points (all that are there) after the first ``skip``."""
+    return F.substring(text, (skip + 1).cast("int"), F.char_length(text) if size is None else size.cast("int"))
