@@ -2,35 +2,38 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` sends each group to one
 task, so a group holding a third of the ledger becomes one huge sort.
-``number_rows`` range-partitions the rows on ``(g, k)`` and, last, a hash
+``slices`` range-partitions the rows on ``(g, k)`` and, last, a hash
 of where the row stands, so that even rows equal in every column are spread
 and a big group simply spans several consecutive partitions. Each row is
 numbered inside its (partition, group) slice; only the groups cut by a
 partition boundary need an offset, about two for each partition.
 
-The range-partitioned rows are checkpointed into the shared checkpoint
-folder right after tagging them with their partition id: range bounds come
-from sampling, and every later branch (and any recomputation after a lost
-executor) must see the very same slices. Building such a frame therefore
-runs jobs; the cluster should set
-``spark.cleaner.referenceTracking.cleanCheckpoints`` so that the files go
-when the frame does.
+The slices are written once as Parquet, a table bucketed by slice under the
+shared checkpoint folder: range bounds come from sampling, and every later
+branch (and any recomputation after a lost executor) must see the very same
+slices. As Spark knows that a bucket is a slice, windows and aggregates by
+(slice, group) follow the scan without another shuffle. Building such a
+frame therefore runs jobs, and its files stay in that folder.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlake.session import ensure_checkpoint_dir
+from ledgerlake.session import ensure_checkpoint_dir, shared_dir
 
 # Spark drops rows beyond this rank before the shuffle of a window.
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
-# Input bytes for each range partition.
-PARTITION_BYTES = 128 << 20
+# Input bytes for each range partition; as sorted rows they take ten times that.
+PARTITION_BYTES = 32 << 20
+# The range partition of a row, as a value that has a bucket of its own.
+SLICE = "_slice"
 # Sampled rows that the first rows of a group make, about.
 SAMPLE_RANK = 400
 SAMPLE_SEED = 7
@@ -112,6 +115,75 @@ def spread_key() -> Column:
     return F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
 
 
+def bucket_values(spark: SparkSession, n: int) -> list[int]:
+    """``n`` integers, of which each falls into another of ``n`` buckets."""
+    tried = 32 * n
+    while True:
+        ids = spark.range(0, tried, 1, 1).select(F.col("id").cast("int").alias("v"))
+        found = ids.groupBy(F.expr(f"pmod(hash(v), {n})").alias("b")).agg(F.min("v").alias("v")).orderBy("b").collect()
+        if len(found) == n:
+            return [r["v"] for r in found]
+        tried *= 2
+
+
+@dataclass(frozen=True)
+class Slices:
+    """Rows in the slices of a range partitioning, stored: ``rows`` has their
+    slice in ``SLICE``, ``order`` places a slice among the others, and ``cut``
+    has the groups that may go on in another slice."""
+
+    rows: DataFrame
+    groups: list[str]
+    order: Column
+    cut: DataFrame
+
+    def whole(self) -> DataFrame:
+        """Rows of the groups that are in one slice: what is grouped by
+        ``SLICE`` and more needs no shuffle."""
+        return null_safe_join(self.rows, F.broadcast(self.cut), self.groups, "left_anti")
+
+    def rest(self) -> DataFrame:
+        """Rows of the other groups, at most two for each slice."""
+        return null_safe_join(self.rows, F.broadcast(self.cut), self.groups, "left_semi")
+
+    def numbered(self, rows: DataFrame, order_cols: Sequence[Column], out: str, weight: str | None = None) -> DataFrame:
+        """Add ``out`` to ``rows`` (``rows``, ``whole()`` or ``rest()``): see
+        ``number_rows``."""
+        w = Window.partitionBy(SLICE, *self.groups).orderBy(*order_cols)
+        place = F.row_number().over(w) - 1
+        if weight:
+            place = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        local = rows.withColumn("_local", place)
+        counts = self.rest().groupBy(*self.groups, SLICE).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("count"))
+        before = Window.partitionBy(*self.groups).orderBy(self.order).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(*self.groups, SLICE, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+        # At most three rows for each slice.
+        joined = null_safe_join(local, F.broadcast(offsets), [*self.groups, SLICE], "left")
+        n_col = (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long").alias(out)
+        return joined.select(*[F.col(f"`{c}`") for c in rows.columns], n_col)
+
+
+def slices(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], partitions: int | None = None) -> Slices:
+    """``df`` ranged by group and order and stored: one shuffle of its rows.
+
+    An explicit partition count keeps AQE from re-cutting the range
+    partitions, so each task writes the one file of its slice's bucket.
+    """
+    spark, groups, n = df.sparkSession, list(group_cols), partition_count(df, partitions)
+    path = shared_dir(spark, name := f"slices_{uuid.uuid4().hex}")
+    values = f"array({', '.join(map(str, bucket_values(spark, n)))})"
+    keys = [F.col(g).asc_nulls_first() for g in groups] + list(order_cols)
+    ranged = range_partitioned(df, n, keys).withColumn(SLICE, F.expr(f"element_at({values}, spark_partition_id() + 1)"))
+    ranged.write.option("path", path).bucketBy(n, SLICE).sortBy(*groups).saveAsTable(name)
+    rows = spark.table(name)
+    # Groups that can continue across a boundary: first and last group of
+    # every slice.
+    key = F.struct(*[F.col(g) for g in groups])
+    ends = rows.groupBy(SLICE).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    cut = ends.select(F.explode(F.array("first", "last")).alias("k")).select(*[F.col(f"k.{g}").alias(g) for g in groups]).distinct()
+    return Slices(rows, groups, F.expr(f"array_position({values}, {SLICE})"), cut.checkpoint())
+
+
 def number_rows(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -126,66 +198,32 @@ def number_rows(
     stand before the row instead (needs ``group_cols``).
 
     ``order_cols`` must make the order total up to identical rows.
-    An explicit partition count keeps AQE from re-cutting the range
-    partitions, so ``spark_partition_id()`` is the same slice everywhere.
     """
-    group_cols = list(group_cols)
-    n = partition_count(df, partitions)
-    keys = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_cols)
     ensure_checkpoint_dir(df.sparkSession)
     if not group_cols:
         if weight:
             raise ValueError("running sums of weights need a group column")
-        return _number_globally(df, keys, n, out)
-    ranged = range_partitioned(df, n, keys).withColumn("_pid", F.spark_partition_id())
-    ranged = ranged.checkpoint(eager=True)
-
-    # Position inside the (partition, group) slice. Ranging on the partition
-    # id gives every range slice its own task (a hash of (pid, group) could
-    # stack several slices of one big group in one task); the window's
-    # clustering on (pid, group) is then met without another shuffle.
-    w = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols)
-    place = F.row_number().over(w) - 1
-    if weight:
-        place = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = ranged.repartitionByRange(n, "_pid").withColumn("_local", place)
-
-    # Groups that can continue across a boundary: first and last group of
-    # every partition (<= 2 per partition).
-    key = F.struct(*[F.col(g) for g in group_cols])
-    ends = ranged.groupBy("_pid").agg(F.min(key).alias("first"), F.max(key).alias("last"))
-    cut = (
-        ends.select(F.explode(F.array("first", "last")).alias("k"))
-        .select(*[F.col(f"k.{g}").alias(g) for g in group_cols])
-        .distinct()
-    )
-    slices = ranged.groupBy(*group_cols, "_pid").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("count"))
-    spans = null_safe_join(slices, cut, group_cols, "left_semi")
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spans.select(*group_cols, "_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    # At most ~3 rows per range partition: no hint, Spark broadcasts by size.
-    joined = null_safe_join(local, offsets, [*group_cols, "_pid"], "left")
-    n_col = (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long").alias(out)
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], n_col)
+        keys = list(order_cols)
+        return _number_globally(df, keys, partition_count(df, partitions), out)
+    stored = slices(df, group_cols, order_cols, partitions)
+    return stored.numbered(stored.rows, order_cols, out, weight).drop(SLICE)
 
 
 def _number_globally(df: DataFrame, keys: list[Column], n: int, out: str) -> DataFrame:
-    """Global position: sort each range partition, checkpoint it, and read
-    a row's place in its partition from ``monotonically_increasing_id``
-    (partition index << 33 | row index) of the checkpointed scan. Only the
-    per-partition counts (one row per partition) are joined back."""
-    ranged = range_partitioned(df, n, keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    """Global position: sort each range partition, and store its rows as
+    Parquet with their place in it, read from ``monotonically_increasing_id``
+    (partition index << 33 | row index). Only the per-partition counts (one
+    row per partition) are joined back."""
+    path = shared_dir(df.sparkSession, f"ranged-{uuid.uuid4().hex}")
     pid = F.spark_partition_id()
-    tagged = ranged.select(
-        "*",
-        pid.alias("_pid"),
-        (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_local"),
-    )
+    local = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
+    range_partitioned(df, n, keys).sortWithinPartitions(*keys).select("*", pid.alias("_pid"), local.alias("_local")).write.parquet(path)
+    tagged = df.sparkSession.read.parquet(path)
     counts = tagged.groupBy("_pid").count()
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    joined = tagged.join(offsets, on="_pid", how="left")
-    n_col = (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long").alias(out)
+    offsets = counts.select(F.col("_pid").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    joined = tagged.join(F.broadcast(offsets), F.col("_pid") == F.col("_p"))
+    n_col = (F.col("_offset") + F.col("_local")).cast("long").alias(out)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], n_col)
 
 

@@ -11,8 +11,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerlake.functions.aggregates import group_measures, totals_of
+from ledgerlake.functions.aggregates import finish_measures, group_measures, limb_columns, limb_fields, totals_of
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.schema import COLUMNS, DIMS, DISPLAY_NAMES, MEASURES
@@ -115,27 +116,29 @@ def flat_hierarchy_nested(
     ``chunk_rows``. Output has one row per (group, ``chunk``), chunk 0
     first; the group totals repeat on every chunk.
     """
-    from ledgerlake.operators.ordinal import null_safe_join, number_rows
+    from ledgerlake.operators.ordinal import SLICE, null_safe_join, slices
 
     rows = apply_filter(df, spec).select(*COLUMNS)
-    numbered = number_rows(rows, DIMS, [F.col(c).asc_nulls_first() for c in COLUMNS], "_n")
+    order = [F.col(c).asc_nulls_first() for c in COLUMNS]
+    stored = slices(rows, DIMS, order)
     tx = F.struct(F.col("_n").alias("tx_index"), *[F.col(c) for c in COLUMNS[4:]])
-    chunks = (
-        numbered.withColumn("chunk", F.floor(F.col("_n") / chunk_rows).cast("bigint"))
-        .groupBy(*DIMS, "chunk")
-        .agg(F.array_sort(F.collect_list(tx)).alias("transactions"))
+    limbs = [name for name, _ in limb_fields()]
+
+    def chunks(part: DataFrame, *keys: str) -> DataFrame:
+        numbered = stored.numbered(part, order, "_n").withColumn("chunk", F.floor(F.col("_n") / chunk_rows).cast("bigint"))
+        made = numbered.select(*keys, *DIMS, "chunk", tx.alias("_tx"), *limb_columns()).groupBy(*keys, *DIMS, "chunk")
+        sums = [F.sum(name).alias(name) for name in limbs]
+        return made.agg(F.array_sort(F.collect_list("_tx")).alias("transactions"), F.count(F.lit(1)).alias("__rows"), *sums)
+
+    # A group in one slice is added up there; the few others meet in a shuffle.
+    group = Window.partitionBy(SLICE, *DIMS)
+    whole = chunks(stored.whole(), SLICE).withColumns({name: F.sum(name).over(group) for name in ["__rows", *limbs]}).drop(SLICE)
+    rest = chunks(stored.rest())
+    sums = rest.groupBy(*DIMS).agg(*[F.sum(name).alias(name) for name in ["__rows", *limbs]])
+    rest = null_safe_join(rest.drop("__rows", *limbs), F.broadcast(sums), DIMS, "inner")
+    return finish_measures(whole.unionByName(rest), F.col("__rows")).select(
+        F.concat_ws("/", *[F.col(d) for d in DIMS]).alias("id"), F.lit(3).alias("level"), *DIMS, *NODE_MEASURES, "chunk", "transactions"
     )
-    # Group totals from the numbering's checkpointed rows: no second pass
-    # over the source. Checkpointed themselves, they leave a plain exchange
-    # to the join, which Spark splits at a group with very many chunks.
-    groups = group_measures(numbered, DIMS).select(
-        F.concat_ws("/", *[F.col(d) for d in DIMS]).alias("id"),
-        F.lit(3).alias("level"),
-        *DIMS,
-        *NODE_MEASURES,
-    ).checkpoint()
-    joined = null_safe_join(chunks, groups, DIMS, "inner")
-    return joined.select(*groups.columns, "chunk", "transactions")
 
 
 def write_rollup(df: DataFrame, path: str, mode: str = "overwrite") -> None:
