@@ -30,13 +30,19 @@ from ledgerlake.session import ensure_checkpoint_dir, shared_dir
 
 # Spark drops rows beyond this rank before the shuffle of a window.
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
-# Input bytes for each range partition; as sorted rows they take ten times that.
-PARTITION_BYTES = 32 << 20
+# Input bytes for each range partition, and for each that a task sorts,
+# numbers and adds up: as rows they take up to twenty times that.
+PARTITION_BYTES = 128 << 20
+SLICE_BYTES = 8 << 20
 # The range partition of a row, as a value that has a bucket of its own.
 SLICE = "_slice"
 # Sampled rows that the first rows of a group make, about.
 SAMPLE_RANK = 400
 SAMPLE_SEED = 7
+# Thresholds of large groups that a task may hold, and the tasks over which
+# a group is dealt where there are more.
+MAX_BROADCAST = 100_000
+SALTS = 32
 # Relations without statistics claim more than any table holds.
 UNKNOWN_BYTES = 1 << 60
 
@@ -56,7 +62,7 @@ def first_in_groups(
     order = [F.col(c).asc_nulls_first() for c in names]
     if limit > int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000")):
         # The planner's size of what is left, a join, would be far too large.
-        parts = partition_count(df, None)
+        parts = partition_count(df, None, SLICE_BYTES)
         return number_rows(among_first(df, group_cols, names, limit), group_cols, order, out, parts).filter(F.col(out) < limit)
     w = Window.partitionBy(*group_cols).orderBy(*order)
     # Directly on row_number() so Spark plans WindowGroupLimit.
@@ -82,14 +88,25 @@ def among_first(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
     firsts = first_in_groups(sampled, keys, names, rank, "_place")
     key = F.struct(*names)
     found = firsts.groupBy(*keys).agg(F.max(key).alias("_last"), F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") == rank).drop("_rows").checkpoint()
-    if found.isEmpty():
+    thresholds = found.count()
+    if not thresholds:
         return df
-    passed = null_safe_join(df, found, keys, "inner").where(key <= F.col("_last"))
+    # A join by the group would sort a large group in one task.
+    join = null_safe_join if thresholds <= MAX_BROADCAST else _salted_join
+    passed = join(df, F.broadcast(found) if thresholds <= MAX_BROADCAST else found, keys, "inner").where(key <= F.col("_last"))
     enough = passed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.max("_last").alias("_last")).where(F.col("_rows") >= limit).drop("_rows").checkpoint()
-    kept = null_safe_join(df, enough, keys, "left").where(F.col("_last").isNull() | (key <= F.col("_last")))
+    kept = join(df, F.broadcast(enough) if thresholds <= MAX_BROADCAST else enough, keys, "left").where(F.col("_last").isNull() | (key <= F.col("_last")))
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def _salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``null_safe_join`` with a row for each key on the right: the rows of
+    a key on the left are dealt to ``SALTS`` tasks."""
+    salted = left.withColumn("_salt", F.pmod(spread_key(), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return null_safe_join(salted, copies, [*on, "_salt"], how).drop("_salt")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the relations that ``df`` reads, as far as the plan knows
     them (a join's own estimate multiplies its sides)."""
@@ -101,13 +118,13 @@ def input_bytes(df: DataFrame) -> int:
     return sum(n for n in sizes if n < UNKNOWN_BYTES)
 
 
-def partition_count(df: DataFrame, partitions: int | None) -> int:
+def partition_count(df: DataFrame, partitions: int | None, size: int = PARTITION_BYTES) -> int:
     """The given count, or one by the size of the input, at least
     ``spark.sql.shuffle.partitions``."""
     if partitions:
         return partitions
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-input_bytes(df) // PARTITION_BYTES))
+    return max(least, -(-input_bytes(df) // size))
 
 
 def spread_key() -> Column:
@@ -169,7 +186,7 @@ def slices(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column
     An explicit partition count keeps AQE from re-cutting the range
     partitions, so each task writes the one file of its slice's bucket.
     """
-    spark, groups, n = df.sparkSession, list(group_cols), partition_count(df, partitions)
+    spark, groups, n = df.sparkSession, list(group_cols), partition_count(df, partitions, SLICE_BYTES)
     path = shared_dir(spark, name := f"slices_{uuid.uuid4().hex}")
     values = f"array({', '.join(map(str, bucket_values(spark, n)))})"
     keys = [F.col(g).asc_nulls_first() for g in groups] + list(order_cols)
@@ -204,7 +221,7 @@ def number_rows(
         if weight:
             raise ValueError("running sums of weights need a group column")
         keys = list(order_cols)
-        return _number_globally(df, keys, partition_count(df, partitions), out)
+        return _number_globally(df, keys, partition_count(df, partitions, SLICE_BYTES), out)
     stored = slices(df, group_cols, order_cols, partitions)
     return stored.numbered(stored.rows, order_cols, out, weight).drop(SLICE)
 
