@@ -84,6 +84,29 @@ def rollup_table(
     return r.select("level", *dims, *NODE_MEASURES)
 
 
+def rollup_of_groups(groups: DataFrame) -> DataFrame:
+    """The rows of ``rollup_table`` from one row for each full group
+    (``__rows`` and the limb sums): only the levels above are added up."""
+    grouped_out = sum((F.grouping(d).cast("int") for d in DIMS[:-1]), F.lit(0))
+    sums = [F.sum(name).cast(kind).alias(name) for name, kind in [("__rows", "bigint"), *limb_fields()]]
+    above = groups.rollup(*DIMS[:-1]).agg((F.lit(len(DIMS) - 2) - grouped_out).alias("level"), *sums)
+    every = groups.withColumn("level", F.lit(len(DIMS) - 1)).unionByName(above.withColumn(DIMS[-1], F.lit(None).cast("string")))
+    return finish_measures(every, F.col("__rows")).select("level", *DIMS, *NODE_MEASURES)
+
+
+def groups_of_slices(stored) -> DataFrame:
+    """One row for each full group (levels, ``__rows`` and the limb sums) of
+    ``ordinal.Slices`` by the levels; only the groups that span slices are
+    shuffled, as sums."""
+
+    def added(part: DataFrame, *keys: str) -> DataFrame:
+        sums = [F.sum(name).cast(kind).alias(name) for name, kind in limb_fields()]
+        grouped = part.select(*keys, *DIMS, *limb_columns()).groupBy(*keys, *DIMS)
+        return grouped.agg(F.count(F.lit(1)).alias("__rows"), *sums).drop(*keys)
+
+    return added(stored.whole(), "_slice").unionByName(added(stored.rest()))
+
+
 def group_lookup(df: DataFrame, keys: Mapping[str, str | None]) -> DataFrame:
     """Aggregates of one group given by any subset of the levels.
 

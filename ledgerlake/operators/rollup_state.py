@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlake.functions.aggregates import finish_measures, limb_columns, limb_fields
-from ledgerlake.operators.rollup import NODE_MEASURES
+from ledgerlake.functions.aggregates import limb_columns, limb_fields
+from ledgerlake.operators.rollup import rollup_of_groups
 from ledgerlake.schema import DIMS
 from ledgerlake.session import ensure_checkpoint_dir
 from ledgerlake.streaming.ingest import ledger_stream
@@ -114,19 +114,16 @@ def compact(spark: SparkSession, path: str) -> int:
     # The ids are fixed before the state is read, and committed after it is written.
     fresh = batches.select("batch").distinct().join(done, "batch", "left_anti").checkpoint()
     rows = _base(spark, path, gen).unionByName(batches.join(fresh, "batch", "left_semi").drop("batch"))
-    merge_state(rows).repartitionByRange(*DIMS).sortWithinPartitions(*DIMS).write.mode("overwrite").parquet(f"{path}/base/gen={gen + 1}")
+    # Rows of a group, one a batch, meet in a range: one shuffle merges and sorts.
+    merge_state(rows.repartitionByRange(*DIMS)).sortWithinPartitions(*DIMS).write.mode("overwrite").parquet(f"{path}/base/gen={gen + 1}")
     done.unionByName(fresh).write.mode("overwrite").parquet(f"{path}/folded/gen={gen + 1}")
     return gen + 1
 
 
 def rollup_of_state(state: DataFrame) -> DataFrame:
     """The rows of ``rollup.rollup_table`` from mergeable state: groups are
-    added up first, so the rollup expands groups, not transactions."""
-    grouped_out = sum((F.grouping(d).cast("int") for d in DIMS), F.lit(0))
-    level = (F.lit(len(DIMS) - 1) - grouped_out).alias("level")
-    sums = [F.sum(name).alias(name) for name, _ in limb_fields()]
-    out = merge_state(state).rollup(*DIMS).agg(level, F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("__rows"), *sums)
-    return finish_measures(out, F.col("__rows")).select("level", *DIMS, *NODE_MEASURES)
+    added up once, and the levels above from their sums."""
+    return rollup_of_groups(merge_state(state).withColumnRenamed("row_count", "__rows"))
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:

@@ -119,11 +119,18 @@ def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir)[1].select("line", "found", "expected", "reason")
 
 
+def _saved_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger joined once, for queries that read it again and again."""
+    path = shared_dir(spark, f"ledger-{uuid.uuid4().hex}")
+    _rows(ledger_from_tables(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _rollup_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger folded batch by batch, with retries and a compaction on
     the way."""
     path = shared_dir(spark, f"state-{uuid.uuid4().hex}")
-    ledger = ledger_from_tables(spark, sf_dir)
+    ledger = _saved_ledger(spark, sf_dir)
     batch = F.pmod(F.xxhash64(*COLUMNS), F.lit(P.FOLDED_BATCHES))
     for n in range(P.FOLDED_BATCHES):
         rows = ledger.where(batch == n)
@@ -140,7 +147,7 @@ def _indexed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages cut out of two saved orders: shallow, beyond the end, at a key
     and in the order of a user's sort."""
     path = shared_dir(spark, f"pages-{uuid.uuid4().hex}")
-    ledger = _rows(ledger_from_tables(spark, sf_dir))
+    ledger = _saved_ledger(spark, sf_dir)
     page_index.write_page_index(ledger, f"{path}/plain", range_rows=P.INDEX_RANGE_ROWS)
     page_index.write_page_index(ledger, f"{path}/sorted", P.USER_SORT, range_rows=P.INDEX_RANGE_ROWS)
     plain = page_index.read_page_index(spark, f"{path}/plain")
