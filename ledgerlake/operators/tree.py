@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.aggregates import group_measures
 from ledgerlake.functions.predicates import LedgerFilter, path_filter
 from ledgerlake.operators.filters import apply_filter
-from ledgerlake.operators.ordinal import first_in_groups, number_rows
+from ledgerlake.operators.ordinal import first_in_groups, number_rows, slices
 from ledgerlake.operators.rollup import (
     NODE_MEASURES,
+    groups_of_slices,
     level_label_sql,
     level_value_sql,
     node_path,
     node_path_sql,
+    rollup_of_groups,
     rollup_table,
 )
 from ledgerlake.schema import COLUMNS, DIMS, ROW_ORDER
@@ -169,7 +171,10 @@ def leaf_overflow(
     """One ``info`` row per leaf group with more than ``cap`` rows:
     ``... and N more transactions`` (count from a partial aggregate)."""
     levels = list(levels)
-    counts = apply_filter(df, spec).groupBy(*levels).agg(F.count(F.lit(1)).alias("_c"))
+    return _overflow_rows(apply_filter(df, spec).groupBy(*levels).agg(F.count(F.lit(1)).alias("_c")), cap, levels)
+
+
+def _overflow_rows(counts: DataFrame, cap: int, levels: list[str]) -> DataFrame:
     parent = node_path(len(levels) - 1, levels)
     more = F.col("_c") - F.lit(cap)
     return counts.filter(more > 0).select(
@@ -226,11 +231,22 @@ def hierarchy(
     """The whole drill-down tree as one flat node table: group nodes of
     levels 0-3 (count, sums, gross) and the transactions under each leaf;
     with ``max_transactions`` so many of them and one ``info`` row per leaf
-    that has more. The same filter applies to every part."""
-    groups = node_table(df, spec)
-    leaves = (
-        leaf_nodes(df, max_transactions, spec)
-        .withColumn("has_children", F.lit(False))
-        .withColumn("is_leaf", F.lit(True))
-    )
+    that has more. The same filter applies to every part. Runs jobs: the rows
+    are stored in range slices."""
+    rows = apply_filter(df, spec).select(*COLUMNS)
+    order = [F.col(c).asc_nulls_first() for c in ROW_ORDER]
+    # Groups, leaves and what they leave out come from the same stored slices.
+    stored = slices(rows, DIMS, order)
+    state = groups_of_slices(stored)
+    groups = _group_nodes(rollup_of_groups(state).filter(F.col("level") >= 0), "level")
+    numbered = stored.numbered(stored.rows, order, "_n")
+    if max_transactions is not None:
+        numbered = numbered.filter(F.col("_n") < max_transactions)
+    leaves = numbered.select(*_tx_columns(DIMS, F.col("_n")))
+    if max_transactions is not None:
+        more = _overflow_rows(state.select(*DIMS, F.col("__rows").alias("_c")), max_transactions, DIMS)
+        leaves = leaves.unionByName(more, allowMissingColumns=True)
+    else:
+        leaves = leaves.withColumns({"label": F.lit(None).cast("string"), "remaining": F.lit(None).cast("bigint")})
+    leaves = leaves.withColumn("has_children", F.lit(False)).withColumn("is_leaf", F.lit(True))
     return groups.unionByName(leaves, allowMissingColumns=True).select(*HIERARCHY_COLUMNS)
