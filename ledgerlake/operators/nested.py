@@ -16,7 +16,9 @@ parts of one path, in order, are all children of that node; put in the place
 of its ``children`` they give the whole document (``parts`` 0: they are there).
 
 Every transaction is kept. The running sums are made over range partitions
-(``ordinal.number_rows``), so no group has to fit a task; what is collected
+(``ordinal.slices``), so no group has to fit a task; the transactions are
+shuffled as columns, once by full group and once by the groups above, and
+become text only where they are packed; what is collected
 into one row is bounded by twice ``max_nodes``.
 """
 
@@ -27,11 +29,13 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ledgerlake.functions.aggregates import finish_measures, limb_columns, limb_fields
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
-from ledgerlake.operators.ordinal import number_rows
-from ledgerlake.operators.rollup import node_path, rollup_table
+from ledgerlake.operators.ordinal import SLICE, Slices, null_safe_join, number_rows, slices
+from ledgerlake.operators.rollup import groups_of_slices, node_path, rollup_of_groups
 from ledgerlake.schema import COLUMNS, DIMS, DISPLAY_NAMES, MEASURES
 from ledgerlake.session import shared_dir
 
@@ -61,50 +65,128 @@ def _parts(children: DataFrame, parents: list[str], order: list[Column], max_nod
     return children.sparkSession.read.parquet(path)
 
 
+def _array(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+
+def _transaction(x: Column) -> Column:
+    """JSON of a transaction (position and columns) of a full group."""
+    amounts = F.struct(*[x[m].cast("decimal(38,4)").alias(m) for m in MEASURES])
+    fields = F.struct(
+        F.concat(node_path(len(DIMS) - 1), F.lit("/tx/"), x["_n"].cast("string")).alias("id"),
+        F.lit("transaction").alias("type"), F.lit(len(DIMS)).alias("level"), x["vch_type"].alias("vch_type"), x["particulars"].alias("particulars"), amounts.alias("amounts"),
+    )
+    return F.to_json(fields, {"ignoreNullFields": "false"})
+
+
+def _group_node(level: int, max_nodes: int, first: Column) -> list[Column]:
+    """``size`` and ``json`` of a group node from its facts, ``parts`` and
+    ``below``; ``first`` is the text of its children."""
+    whole = F.col("below") <= max_nodes
+    head = F.struct(
+        node_path(level).alias("id"), F.lit("group").alias("type"), F.lit(level).alias("level"), F.col(DIMS[level]).alias("label"),
+        F.lit(DISPLAY_NAMES[DIMS[level]]).alias("column"), F.col("row_count").alias("count"), _amounts().alias("aggregates"), F.when(whole, 0).otherwise(F.col("parts")).alias("parts"),
+    )
+    inside = F.when(whole, first).otherwise(F.lit("[]"))
+    return [
+        F.when(whole, F.col("below") + 1).otherwise(F.lit(1)).cast("long").alias("size"),
+        F.concat(_open_object(head), F.lit(',"children":'), inside, F.lit("}")).alias("json"),
+    ]
+
+
+def _leaf_groups(stored: Slices, max_nodes: int) -> tuple[Slices, list[DataFrame]]:
+    """The full groups with their facts and first transactions, as slices by
+    the groups above, and the parts of those that are continued. Texts are
+    made last: what is shuffled is the transactions' columns."""
+    order = [F.col(c).asc_nulls_first() for c in COLUMNS]
+    limbs = [name for name, _ in limb_fields()]
+    part = F.floor(F.col("_n") / max_nodes).cast("long")
+    tx = F.struct("_n", *COLUMNS[len(DIMS) :])
+
+    def groups(rows: DataFrame, *keys: str) -> DataFrame:
+        numbered = stored.numbered(rows, order, "_n").select(*keys, *DIMS, F.when(F.col("_n") < max_nodes, tx).alias("_tx"), *limb_columns())
+        sums = [F.sum(name).alias(name) for name in limbs]
+        return numbered.groupBy(*keys, *DIMS).agg(F.count(F.lit(1)).alias("__rows"), *sums, F.array_sort(F.collect_list("_tx")).alias("_txs")).drop(*keys)
+
+    def later(rows: DataFrame, *keys: str) -> DataFrame:
+        numbered = stored.numbered(rows, order, "_n").where(F.col("_n") >= max_nodes)
+        grouped = numbered.select(*keys, *DIMS, part.alias("part"), tx.alias("_tx")).groupBy(*keys, *DIMS, "part")
+        return grouped.agg(F.array_sort(F.collect_list("_tx")).alias("_txs")).drop(*keys)
+
+    def parts(rows: DataFrame) -> DataFrame:
+        return rows.select(node_path(len(DIMS) - 1).alias("path"), "part", F.size("_txs").cast("long").alias("nodes"), _array(F.transform("_txs", _transaction)).alias("json"))
+
+    found = finish_measures(groups(stored.whole(), SLICE).unionByName(groups(stored.rest())), F.col("__rows")).drop("gross_total")
+    size = F.when(F.col("row_count") <= max_nodes, F.col("row_count") + 1).otherwise(F.lit(1)).cast("long")
+    above = slices(found.withColumn("size", size), DIMS[:-1], [F.col(DIMS[-1]).asc_nulls_first()], stored.count)
+    first = above.rows.where(F.col("row_count") > max_nodes).withColumn("part", F.lit(0).cast("long"))
+    return above, [parts(later(stored.whole(), SLICE)), parts(later(stored.rest())), parts(first)]
+
+
+def _packed_names(stored: Slices, max_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """The full groups packed below the groups above them: ``parts``,
+    ``below`` and ``first`` of each, and the parts of those continued."""
+    parents, order = DIMS[:-1], [F.col(DIMS[-1]).asc_nulls_first()]
+    facts = {"below": F.col("row_count"), "parts": F.floor((F.col("row_count") - 1) / max_nodes).cast("long") + 1}
+    text = _group_node(len(DIMS) - 1, max_nodes, _array(F.transform("_txs", _transaction)))[1]
+
+    def placed(rows: DataFrame, below: DataFrame | None, *keys: str) -> DataFrame:
+        named = stored.numbered(rows, order, "_before", weight="size").withColumns(facts)
+        named = named.select(*keys, *parents, "_before", "size", F.floor(F.col("_before") / max_nodes).cast("long").alias("part"), text.alias("json"))
+        if below is None:
+            return named.withColumn("_below", F.sum("size").over(Window.partitionBy(*keys, *parents)))
+        return null_safe_join(named, F.broadcast(below), parents, "inner")
+
+    sums = stored.rest().groupBy(*parents).agg(F.sum("size").alias("_below"))
+    item = F.struct("_before", "json")
+    text_of = _array(F.transform("items", lambda x: x["json"])).alias("json")
+
+    def packed(rows: DataFrame, *keys: str) -> DataFrame:
+        made = rows.where(F.col("_below") > max_nodes).groupBy(*keys, *parents, "part")
+        return made.agg(F.sum("size").alias("nodes"), F.array_sort(F.collect_list(item)).alias("items")).select(node_path(len(parents) - 1).alias("path"), "part", "nodes", text_of)
+
+    def known(rows: DataFrame, *keys: str) -> DataFrame:
+        made = rows.groupBy(*keys, *parents).agg(
+            (F.max("part") + 1).alias("parts"), F.max("_below").alias("below"), F.array_sort(F.collect_list(F.when(F.col("_below") <= max_nodes, item))).alias("items")
+        )
+        return made.select(*parents, "parts", "below", text_of).withColumnRenamed("json", "first")
+
+    whole, rest = placed(stored.whole(), None, SLICE), placed(stored.rest(), sums)
+    return known(whole, SLICE).unionByName(known(rest)), packed(whole, SLICE).unionByName(packed(rest))
+
+
 def nested_tree(df: DataFrame, spec: LedgerFilter | Mapping | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
     """The parts of the nested tree of the filtered rows: ``path``,
     ``part``, ``nodes``, ``json``. Runs jobs, and keeps the pieces of every
     level under ``spark.checkpoint.dir``."""
     base = shared_dir(df.sparkSession, f"nested-{uuid.uuid4().hex}")
     rows = apply_filter(df, spec).select(*COLUMNS)
-    groups = rollup_table(rows).where("level >= 0")
-    groups.write.parquet(f"{base}/groups")
+    stored = slices(rows, DIMS, [F.col(c).asc_nulls_first() for c in COLUMNS])
+    rollup_of_groups(groups_of_slices(stored)).where(F.col("level").between(0, len(DIMS) - 2)).write.parquet(f"{base}/groups")
     groups = df.sparkSession.read.parquet(f"{base}/groups")
 
-    number = number_rows(rows, DIMS, [F.col(c).asc_nulls_first() for c in COLUMNS], "_n")
-    fields = F.struct(
-        F.concat(node_path(len(DIMS) - 1), F.lit("/tx/"), F.col("_n").cast("string")).alias("id"),
-        F.lit("transaction").alias("type"), F.lit(len(DIMS)).alias("level"), "vch_type", "particulars", _amounts().alias("amounts"),
-    )
-    children = number.select(*DIMS, "_n", F.lit(1).cast("long").alias("size"), F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
-    parents, order = list(DIMS), [F.col("_n")]
-    out = []
-    for level in range(len(DIMS) - 1, -1, -1):
-        packed = _parts(children, parents, order, max_nodes, f"{base}/level-{level}")
-        first = F.when(F.col("part") == 0, F.col("json"))
-        known = packed.groupBy(*parents).agg(
-            (F.max("part") + 1).alias("parts"), F.sum("nodes").alias("below"), F.max(first).alias("first"), F.max(F.when(F.col("part") == 0, F.col("nodes"))).alias("nodes")
-        )
-        continued = packed.where("part > 0").unionByName(
-            known.where(F.col("below") > max_nodes).select(*parents, F.lit(0).cast("long").alias("part"), "nodes", F.col("first").alias("json"))
-        )
-        out.append(continued.select(node_path(level).alias("path"), "part", "nodes", "json"))
+    below_names, out = _leaf_groups(stored, max_nodes)
+    known, packed = _packed_names(below_names, max_nodes)
+    out.append(packed)
+    for level in range(len(DIMS) - 2, -1, -1):
+        parents = DIMS[: level + 1]
+        if level < len(DIMS) - 2:
+            packed = _parts(children, parents, order, max_nodes, f"{base}/level-{level}")
+            first = F.when(F.col("part") == 0, F.col("json"))
+            known = packed.groupBy(*parents).agg(
+                (F.max("part") + 1).alias("parts"), F.sum("nodes").alias("below"), F.max(first).alias("first"), F.max(F.when(F.col("part") == 0, F.col("nodes"))).alias("nodes")
+            )
+            continued = packed.where("part > 0").unionByName(
+                known.where(F.col("below") > max_nodes).select(*parents, F.lit(0).cast("long").alias("part"), "nodes", F.col("first").alias("json"))
+            )
+            out.append(continued.select(node_path(level).alias("path"), "part", "nodes", "json"))
+            known = known.drop("nodes")
         # Facts and children of a group meet in an aggregate.
         facts = groups.where(F.col("level") == level).select(*parents, "row_count", *MEASURES)
-        merged = facts.unionByName(known.drop("nodes"), allowMissingColumns=True).groupBy(*parents)
+        merged = facts.unionByName(known, allowMissingColumns=True).groupBy(*parents)
         nodes = merged.agg(*[F.max(c).alias(c) for c in ("row_count", *MEASURES, "parts", "below", "first")])
-        whole = F.col("below") <= max_nodes
-        head = F.struct(
-            node_path(level).alias("id"), F.lit("group").alias("type"), F.lit(level).alias("level"), F.col(DIMS[level]).alias("label"),
-            F.lit(DISPLAY_NAMES[DIMS[level]]).alias("column"), F.col("row_count").alias("count"), _amounts().alias("aggregates"), F.when(whole, 0).otherwise(F.col("parts")).alias("parts"),
-        )
-        inside = F.when(whole, F.col("first")).otherwise(F.lit("[]"))
-        children = nodes.select(
-            *[F.col(p) for p in parents], F.when(whole, F.col("below") + 1).otherwise(F.lit(1)).cast("long").alias("size"),
-            F.concat(_open_object(head), F.lit(',"children":'), inside, F.lit("}")).alias("json"),
-        )
+        children = nodes.select(*parents, *_group_node(level, max_nodes, F.col("first")))
         order = [F.col(parents[-1]).asc_nulls_first()]
-        parents = parents[:-1]
     top = _parts(children.withColumn(_TOP, F.lit("")), [_TOP], order, max_nodes, f"{base}/top")
     out.append(top.select(F.lit("").alias("path"), "part", "nodes", "json"))
     result = out[0]

@@ -146,13 +146,14 @@ def bucket_values(spark: SparkSession, n: int) -> list[int]:
 @dataclass(frozen=True)
 class Slices:
     """Rows in the slices of a range partitioning, stored: ``rows`` has their
-    slice in ``SLICE``, ``order`` places a slice among the others, and ``cut``
-    has the groups that may go on in another slice."""
+    slice in ``SLICE``, one of ``count``, ``order`` places a slice among the
+    others, and ``cut`` has the groups that may go on in another slice."""
 
     rows: DataFrame
     groups: list[str]
     order: Column
     cut: DataFrame
+    count: int
 
     def whole(self) -> DataFrame:
         """Rows of the groups that are in one slice: what is grouped by
@@ -198,7 +199,7 @@ def slices(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column
     key = F.struct(*[F.col(g) for g in groups])
     ends = rows.groupBy(SLICE).agg(F.min(key).alias("first"), F.max(key).alias("last"))
     cut = ends.select(F.explode(F.array("first", "last")).alias("k")).select(*[F.col(f"k.{g}").alias(g) for g in groups]).distinct()
-    return Slices(rows, groups, F.expr(f"array_position({values}, {SLICE})"), cut.checkpoint())
+    return Slices(rows, groups, F.expr(f"array_position({values}, {SLICE})"), cut.checkpoint(), n)
 
 
 def number_rows(

@@ -112,3 +112,27 @@ def test_global_positions_need_no_checkpoint(spark, hot):
     assert not saved() - before
     assert sorted(r["i"] for r in got) == list(range(6000))
     assert [tuple(r[c] for c in COLUMNS) for r in sorted(got, key=lambda r: r["i"])] == sorted(tuple(r[c] for c in COLUMNS) for r in got)
+
+
+def test_nested_tree_shuffles_columns_not_texts(spark, hot, small_ledger):
+    """The parts below full groups and the groups above them are made in
+    their slices; a hot leaf spans slices and parts."""
+    import json
+
+    from ledgerlake.operators.nested import nested_tree
+
+    lines = plan(nested_tree(small_ledger, max_nodes=4)).split("\n")
+    assert not any("Exchange rangepartitioning" in line and "json" in line for line in lines)
+    assert any("collect_list" in line and "keys=[_slice" in line for line in lines)
+    got = nested_tree(hot, max_nodes=50).collect()
+    texts = [n for r in got for n in json.loads(r["json"])]
+
+    def leaves(nodes):
+        return sum(1 if n["type"] == "transaction" else leaves(n["children"]) for n in nodes)
+
+    assert leaves(texts) == 6000 and max(r["nodes"] for r in got) <= 100
+    path = "/0/2024-01-15/1/Customer/2/Retail/3/ABC Corp"
+    parts = sorted((r["part"], r["json"]) for r in got if r["path"] == path)
+    assert [p for p, _ in parts] == list(range(len(parts))) and len(parts) > 80
+    ids = [n["id"] for _, text in parts for n in json.loads(text)]
+    assert ids == [f"{path}/tx/{i}" for i in range(len(ids))]
