@@ -43,6 +43,8 @@ SAMPLE_SEED = 7
 # a group is dealt where there are more.
 MAX_BROADCAST = 100_000
 SALTS = 32
+# Places over which equal rows are dealt.
+SPREAD = 1 << 16
 # Relations without statistics claim more than any table holds.
 UNKNOWN_BYTES = 1 << 60
 
@@ -128,8 +130,9 @@ def partition_count(df: DataFrame, partitions: int | None, size: int = PARTITION
 
 
 def spread_key() -> Column:
-    """A last range key that differs between rows equal in all others."""
-    return F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    """A last range key that deals rows equal in all others to ``SPREAD``
+    places; two bytes, as every row carries it through the shuffle."""
+    return F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(SPREAD)).cast("int")
 
 
 def bucket_values(spark: SparkSession, n: int) -> list[int]:
@@ -147,12 +150,13 @@ def bucket_values(spark: SparkSession, n: int) -> list[int]:
 class Slices:
     """Rows in the slices of a range partitioning, stored: ``rows`` has their
     slice in ``SLICE``, one of ``count``, ``order`` places a slice among the
-    others, and ``cut`` has the groups that may go on in another slice."""
+    others, and ``cut`` has the groups that may go on in another slice
+    (``None`` without groups, when all rows are one)."""
 
     rows: DataFrame
     groups: list[str]
     order: Column
-    cut: DataFrame
+    cut: DataFrame | None
     count: int
 
     def whole(self) -> DataFrame:
@@ -162,6 +166,8 @@ class Slices:
 
     def rest(self) -> DataFrame:
         """Rows of the other groups, at most two for each slice."""
+        if self.cut is None:
+            return self.rows
         return null_safe_join(self.rows, F.broadcast(self.cut), self.groups, "left_semi")
 
     def numbered(self, rows: DataFrame, order_cols: Sequence[Column], out: str, weight: str | None = None) -> DataFrame:
@@ -192,14 +198,18 @@ def slices(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column
     values = f"array({', '.join(map(str, bucket_values(spark, n)))})"
     keys = [F.col(g).asc_nulls_first() for g in groups] + list(order_cols)
     ranged = range_partitioned(df, n, keys).withColumn(SLICE, F.expr(f"element_at({values}, spark_partition_id() + 1)"))
-    ranged.write.option("path", path).bucketBy(n, SLICE).sortBy(*groups).saveAsTable(name)
+    writer = ranged.write.options(path=path, compression="zstd").bucketBy(n, SLICE)
+    (writer.sortBy(*groups) if groups else writer).saveAsTable(name)
     rows = spark.table(name)
+    place = F.expr(f"array_position({values}, {SLICE})")
+    if not groups:
+        return Slices(rows, groups, place, None, n)
     # Groups that can continue across a boundary: first and last group of
     # every slice.
     key = F.struct(*[F.col(g) for g in groups])
     ends = rows.groupBy(SLICE).agg(F.min(key).alias("first"), F.max(key).alias("last"))
     cut = ends.select(F.explode(F.array("first", "last")).alias("k")).select(*[F.col(f"k.{g}").alias(g) for g in groups]).distinct()
-    return Slices(rows, groups, F.expr(f"array_position({values}, {SLICE})"), cut.checkpoint(), n)
+    return Slices(rows, groups, place, cut.checkpoint(), n)
 
 
 def number_rows(

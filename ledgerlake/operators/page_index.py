@@ -13,8 +13,9 @@ its row count and its first key.
   rows of that one range that stand before it, so a page can start at a key
   and knows its offset.
 
-Positions come from ``ordinal.number_rows``, so rows that are equal in every
-column, however many, span tasks and ranges too. Nulls come first, or last
+Positions are counted in ``ordinal.slices``, so rows that are equal in every
+column, however many, span tasks and ranges too, and no task sorts more than
+a slice, whatever the size of a scan's splits. Nulls come first, or last
 where a key descends.
 """
 
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.ordinal import number_rows
+from ledgerlake.operators.ordinal import SLICE, slices
 from ledgerlake.operators.paging import _sort_cols, total_order
 from ledgerlake.schema import ROW_ORDER
 
@@ -97,14 +98,22 @@ class PageIndex:
 
 
 def write_page_index(
-    df: DataFrame, path: str, order_by: Sequence = (), tie_break: Sequence[str] = ROW_ORDER, range_rows: int = RANGE_ROWS
+    df: DataFrame,
+    path: str,
+    order_by: Sequence = (),
+    tie_break: Sequence[str] = ROW_ORDER,
+    range_rows: int = RANGE_ROWS,
+    partitions: int | None = None,
 ) -> None:
     """Save the rows of ``df`` in the total order of ``order_by`` with their
-    positions, and the index of their ranges."""
+    positions, and the index of their ranges. They are sorted in
+    ``partitions`` slices, or as many as their input's size asks for."""
     keys = total_order(order_by, tie_break)
-    numbered = number_rows(df, [], _sort_cols(keys), ROW)
+    order = _sort_cols(keys)
+    stored = slices(df, [], order, partitions)
+    numbered = stored.numbered(stored.rows, order, ROW).drop(SLICE)
     ranged = numbered.withColumn(RANGE, F.floor(F.col(ROW) / range_rows).cast("int"))
-    ranged.sortWithinPartitions(RANGE, ROW).write.mode("overwrite").partitionBy(RANGE).parquet(f"{path}/rows")
+    ranged.sortWithinPartitions(RANGE, ROW).write.mode("overwrite").partitionBy(RANGE).parquet(f"{path}/rows", compression="zstd")
     rows = df.sparkSession.read.schema(ranged.schema).parquet(f"{path}/rows")
     ranges = rows.groupBy(RANGE).agg(
         F.min(ROW).alias("start"), F.count(F.lit(1)).alias("row_count"), F.min_by(F.struct(*[k for k, _ in keys]), ROW).alias("first")

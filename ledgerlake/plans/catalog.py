@@ -20,6 +20,7 @@ from ledgerlake.functions.formatting import format_amount, format_inr
 from ledgerlake.operators import nested, page_index, paging, reports, rollup, rollup_state, totals, tree
 from ledgerlake.operators.filters import apply_filter, grid_filter
 from ledgerlake.operators.normalize import normalize
+from ledgerlake.operators.ordinal import SLICE_BYTES, partition_count
 from ledgerlake.plans import params as P
 from ledgerlake.schema import COLUMNS, MEASURES
 from ledgerlake.session import shared_dir
@@ -147,10 +148,13 @@ def _indexed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages cut out of two saved orders: shallow, beyond the end, at a key
     and in the order of a user's sort."""
     path = shared_dir(spark, f"pages-{uuid.uuid4().hex}")
-    ledger = _saved_ledger(spark, sf_dir)
-    page_index.write_page_index(ledger, f"{path}/plain", range_rows=P.INDEX_RANGE_ROWS)
-    page_index.write_page_index(ledger, f"{path}/sorted", P.USER_SORT, range_rows=P.INDEX_RANGE_ROWS)
+    ledger = _rows(ledger_from_tables(spark, sf_dir))
+    # By the tables' size: sorted and compressed, rows say little of theirs.
+    size = {"range_rows": P.INDEX_RANGE_ROWS, "partitions": partition_count(ledger, None, SLICE_BYTES)}
+    page_index.write_page_index(ledger, f"{path}/plain", **size)
     plain = page_index.read_page_index(spark, f"{path}/plain")
+    # The first index holds the joined ledger: nothing is joined or saved again.
+    page_index.write_page_index(_rows(plain.rows), f"{path}/sorted", P.USER_SORT, **size)
     by_cash = page_index.read_page_index(spark, f"{path}/sorted", P.USER_SORT)
     pages = {
         "shallow": plain.page(P.PAGE_OFFSET, P.PAGE_LIMIT),
