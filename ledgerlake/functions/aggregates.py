@@ -32,6 +32,7 @@ SCALE = 4
 _UNIT = 10.0**SCALE
 _LIMB_BITS = 21
 _LIMBS = 3
+_WIDE_BITS = 32
 _MASK = (1 << _LIMB_BITS) - 1
 SUM_TYPE = "decimal(38,4)"
 AMOUNT_TYPE = "decimal(28,4)"
@@ -86,17 +87,71 @@ def limb_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
     return limbs + [F.expr(_other_sql(m)).alias(_limb_name(m, _LIMBS)) for m in measures]
 
 
-def _recombined_sql(sums: Sequence[str]) -> str:
+def _recombined_sql(sums: Sequence[str], bits: int = _LIMB_BITS) -> str:
     """SQL text of ``decimal(38,4)`` from the sums of a measure's limbs and
     of its decimal rest."""
     parts = []
     for i, s in enumerate(sums[:-1]):
         limb = f"CAST(COALESCE({s}, 0) AS DECIMAL(38,0))"
-        parts.append(limb if i == 0 else f"{limb} * CAST({1 << (_LIMB_BITS * i)} AS DECIMAL(38,0))")
+        parts.append(limb if i == 0 else f"{limb} * CAST({1 << (bits * i)} AS DECIMAL(38,0))")
     fast = f"CAST(({' + '.join(parts)}) / {10**SCALE} AS {SUM_TYPE})"
     return f"CAST({fast} + COALESCE(CAST({sums[-1]} AS {SUM_TYPE}), CAST(0 AS {SUM_TYPE})) AS {SUM_TYPE})"
 
 
+def unit_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
+    """The measures in whole units where they are on the fast path, else
+    null: what ``wide_columns`` is made from."""
+    units = "CASE WHEN {} THEN CAST(rint(CAST(`{}` AS DOUBLE) * {:.1E}) AS BIGINT) END"
+    return [F.expr(units.format(_fast_sql(m), m, _UNIT)).alias(f"__units_{m}") for m in measures]
+
+
+def _wide_rest_sql(name: str) -> str:
+    """``_other_sql`` beside ``unit_columns``, with a single cast: its
+    generated code stays short where all measures are made at once."""
+    x = f"CAST(`{name}` AS DOUBLE)"
+    short, long, full = (f"format_string('%.{d}e', {x})" for d in (14, 15, 16))
+    text = f"CASE WHEN CAST({short} AS DOUBLE) = {x} THEN {short} WHEN CAST({long} AS DOUBLE) = {x} THEN {long} ELSE {full} END"
+    checked = f"CASE WHEN abs({x}) >= {MAX_AMOUNT:.1E} THEN raise_error(concat('amount out of range: ', {x})) ELSE {text} END"
+    return f"CASE WHEN `__units_{name}` IS NULL AND {x} IS NOT NULL THEN CAST({checked} AS {AMOUNT_TYPE}) END"
+
+
+def wide_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
+    """Every measure as two limbs of its units, null off the fast path, and
+    its decimal rest: fewer columns than ``limb_columns`` for sums that are
+    kept with every row. They add up without loss below 2^30 rows."""
+    out = []
+    for m in measures:
+        units = f"`__units_{m}`"
+        limbs = [f"{units} & {(1 << _WIDE_BITS) - 1}L", f"shiftright({units}, {_WIDE_BITS})", _wide_rest_sql(m)]
+        out += [F.expr(x).alias(name) for x, name in zip(limbs, wide_names([m]))]
+    return out
+
+
+def wide_names(measures: Sequence[str] = MEASURES) -> list[str]:
+    return [f"__{part}_{m}" for m in measures for part in ("low", "high", "rest")]
+
+
+def wide_units_sql(name: str) -> str:
+    """SQL text of a measure's sum in whole units from the sums of its
+    ``wide_columns``; null where it may have more digits than a double."""
+    low, high, rest = (f"`{n}`" for n in wide_names([name]))
+    small = f"{rest} IS NULL AND COALESCE({high}, 0L) BETWEEN {-(1 << 17)} AND {1 << 17}"
+    return f"CASE WHEN {small} THEN COALESCE({low}, 0L) + COALESCE({high}, 0L) * {1 << _WIDE_BITS}L END"
+
+
+def wide_sum_text_sql(name: str, units: str) -> str:
+    """SQL text of a measure's sum as ``finish_measures`` gives it and JSON
+    writes it, from ``units`` (``wide_units_sql``) or the sums themselves."""
+    slow = f"CAST(CAST({_recombined_sql([f'`{n}`' for n in wide_names([name])], _WIDE_BITS)} AS DOUBLE) AS {SUM_TYPE})"
+    # Below 1e15 the double nearest to the sum has the sum's digits.
+    return f"CASE WHEN abs({units}) < {10**15}L THEN {units_text_sql(units)} ELSE CAST({slow} AS STRING) END"
+
+
+def units_text_sql(units: str) -> str:
+    """SQL text of whole units, below 1e15, as a number with four decimals."""
+    return f"CAST(CAST({units} AS DECIMAL(15,0)) * {1 / 10**SCALE:.{SCALE}f}BD AS STRING)"
+
+
 def exact_sum_sql(name: str) -> str:
     """SQL text of the exact sum of column ``name`` as ``decimal(38,4)``:
     three ``long`` limb sums, recombined, plus the decimal sum of the amounts

@@ -187,21 +187,28 @@ class Slices:
         return joined.select(*[F.col(f"`{c}`") for c in rows.columns], n_col)
 
 
-def slices(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], partitions: int | None = None) -> Slices:
-    """``df`` ranged by group and order and stored: one shuffle of its rows.
+def stored_ranges(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], sort_cols: Sequence[str], partitions: int | None = None) -> tuple[DataFrame, Column, int]:
+    """``df`` ranged by group and order and stored, each slice written in the
+    order of ``sort_cols``: one shuffle of its rows. The rows with ``SLICE``,
+    the place of a slice among the others, and their count.
 
     An explicit partition count keeps AQE from re-cutting the range
     partitions, so each task writes the one file of its slice's bucket.
     """
-    spark, groups, n = df.sparkSession, list(group_cols), partition_count(df, partitions, SLICE_BYTES)
+    spark, n = df.sparkSession, partition_count(df, partitions, SLICE_BYTES)
     path = shared_dir(spark, name := f"slices_{uuid.uuid4().hex}")
     values = f"array({', '.join(map(str, bucket_values(spark, n)))})"
-    keys = [F.col(g).asc_nulls_first() for g in groups] + list(order_cols)
+    keys = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_cols)
     ranged = range_partitioned(df, n, keys).withColumn(SLICE, F.expr(f"element_at({values}, spark_partition_id() + 1)"))
     writer = ranged.write.options(path=path, compression="zstd").bucketBy(n, SLICE)
-    (writer.sortBy(*groups) if groups else writer).saveAsTable(name)
-    rows = spark.table(name)
-    place = F.expr(f"array_position({values}, {SLICE})")
+    (writer.sortBy(*sort_cols) if sort_cols else writer).saveAsTable(name)
+    return spark.table(name), F.expr(f"array_position({values}, {SLICE})"), n
+
+
+def slices(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], partitions: int | None = None) -> Slices:
+    """``df`` ranged by group and order and stored: see ``stored_ranges``."""
+    groups = list(group_cols)
+    rows, place, n = stored_ranges(df, groups, order_cols, groups, partitions)
     if not groups:
         return Slices(rows, groups, place, None, n)
     # Groups that can continue across a boundary: first and last group of

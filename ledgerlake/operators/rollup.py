@@ -84,16 +84,30 @@ def rollup_table(
     return r.select("level", *dims, *NODE_MEASURES)
 
 
+def _levels_above(groups: DataFrame) -> DataFrame:
+    """Every prefix of the levels above the full groups, and the grand total,
+    as ``__rows`` and limb sums."""
+    grouped_out = sum((F.grouping(d).cast("int") for d in DIMS[:-1]), F.lit(0))
+    sums = [F.sum(name).cast(kind).alias(name) for name, kind in [("__rows", "bigint"), *limb_fields()]]
+    return groups.rollup(*DIMS[:-1]).agg((F.lit(len(DIMS) - 2) - grouped_out).alias("level"), *sums)
+
+
 def rollup_of_groups(groups: DataFrame) -> DataFrame:
     """The rows of ``rollup_table`` from one row for each full group
     (``__rows`` and the limb sums): only the levels above are added up."""
-    grouped_out = sum((F.grouping(d).cast("int") for d in DIMS[:-1]), F.lit(0))
-    sums = [F.sum(name).cast(kind).alias(name) for name, kind in [("__rows", "bigint"), *limb_fields()]]
-    above = groups.rollup(*DIMS[:-1]).agg((F.lit(len(DIMS) - 2) - grouped_out).alias("level"), *sums)
+    above = _levels_above(groups)
     every = groups.withColumn("level", F.lit(len(DIMS) - 1)).unionByName(above.withColumn(DIMS[-1], F.lit(None).cast("string")))
     return finish_measures(every, F.col("__rows")).select("level", *DIMS, *NODE_MEASURES)
 
 
+def rollup_above(rows: DataFrame) -> DataFrame:
+    """The rows of ``rollup_table`` for the levels above the full groups."""
+    pre = rows.select(*DIMS[:-1], *limb_columns()).groupBy(*DIMS[:-1])
+    sums = [F.sum(name).cast(kind).alias(name) for name, kind in limb_fields()]
+    above = _levels_above(pre.agg(F.count(F.lit(1)).alias("__rows"), *sums))
+    return finish_measures(above, F.col("__rows")).select("level", *DIMS[:-1], *NODE_MEASURES)
+
+
 def groups_of_slices(stored) -> DataFrame:
     """One row for each full group (levels, ``__rows`` and the limb sums) of
     ``ordinal.Slices`` by the levels; only the groups that span slices are
