@@ -32,7 +32,7 @@ SCALE = 4
 _UNIT = 10.0**SCALE
 _LIMB_BITS = 21
 _LIMBS = 3
-_WIDE_BITS = 32
+_WIDE_BITS = 25
 _MASK = (1 << _LIMB_BITS) - 1
 SUM_TYPE = "decimal(38,4)"
 AMOUNT_TYPE = "decimal(28,4)"
@@ -118,7 +118,9 @@ def _wide_rest_sql(name: str) -> str:
 def wide_columns(measures: Sequence[str] = MEASURES) -> list[Column]:
     """Every measure as two limbs of its units, null off the fast path, and
     its decimal rest: fewer columns than ``limb_columns`` for sums that are
-    kept with every row. They add up without loss below 2^30 rows."""
+    kept with every row. They add up without loss below 2^38 rows; carried
+    (``wide_carried``), only the high limbs of 2^38 amounts near 1e11 would
+    not."""
     out = []
     for m in measures:
         units = f"`__units_{m}`"
@@ -131,11 +133,22 @@ def wide_names(measures: Sequence[str] = MEASURES) -> list[str]:
     return [f"__{part}_{m}" for m in measures for part in ("low", "high", "rest")]
 
 
+def wide_carried(measures: Sequence[str] = MEASURES) -> list[Column]:
+    """Sums of ``wide_columns`` with the low limbs' carry in the high ones,
+    to be added up further."""
+    out = []
+    for low, high, rest in (wide_names([m]) for m in measures):
+        limbs = [f"`{low}` & {(1 << _WIDE_BITS) - 1}L", f"`{high}` + shiftright(`{low}`, {_WIDE_BITS})", f"`{rest}`"]
+        out += [F.expr(x).alias(n) for x, n in zip(limbs, (low, high, rest))]
+    return out
+
+
 def wide_units_sql(name: str) -> str:
     """SQL text of a measure's sum in whole units from the sums of its
-    ``wide_columns``; null where it may have more digits than a double."""
+    ``wide_columns`` (over less than 2^37 rows, or carried); null where it may
+    have more digits than a double."""
     low, high, rest = (f"`{n}`" for n in wide_names([name]))
-    small = f"{rest} IS NULL AND COALESCE({high}, 0L) BETWEEN {-(1 << 17)} AND {1 << 17}"
+    small = f"{rest} IS NULL AND COALESCE({high}, 0L) BETWEEN {-(1 << 36)}L AND {1 << 36}L"
     return f"CASE WHEN {small} THEN COALESCE({low}, 0L) + COALESCE({high}, 0L) * {1 << _WIDE_BITS}L END"
 
 

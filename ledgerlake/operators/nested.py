@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlake.functions.aggregates import unit_columns, units_text_sql, wide_columns, wide_names, wide_sum_text_sql, wide_units_sql
+from ledgerlake.functions.aggregates import unit_columns, units_text_sql, wide_carried, wide_columns, wide_names, wide_sum_text_sql, wide_units_sql
 from ledgerlake.functions.predicates import LedgerFilter
 from ledgerlake.operators.filters import apply_filter
 from ledgerlake.operators.ordinal import MAX_BROADCAST, SLICE, null_safe_join, number_rows, stored_ranges
@@ -145,8 +145,10 @@ def _cut(stored: DataFrame, place: Column, max_nodes: int, base: str) -> tuple[D
     above = above.select(SLICE, *_ABOVE, F.coalesce(before, F.lit(0)).alias("_first"), F.sum("_size").over(parents).alias("_below"))
     above.write.parquet(f"{base}/above")
 
-    rows = null_safe_join(stored, F.broadcast(totals.select(*DIMS)), DIMS, "left_semi").select(*DIMS, *MEASURES, *unit_columns())
-    sums = rows.select(*DIMS, *wide_columns()).groupBy(*DIMS).agg(*[F.sum(name).alias(name) for name in wide_names()])
+    rows = null_safe_join(stored, F.broadcast(totals.select(*DIMS)), DIMS, "left_semi").select(SLICE, *DIMS, *MEASURES, *unit_columns())
+    added, types = [F.sum(name).alias(name) for name in wide_names()], ["bigint", "bigint", "decimal(38,4)"] * len(MEASURES)
+    sums = rows.select(SLICE, *DIMS, *wide_columns()).groupBy(SLICE, *DIMS).agg(*added).select(*DIMS, *wide_carried()).groupBy(*DIMS)
+    sums = sums.agg(*[F.sum(name).cast(kind).alias(name) for name, kind in zip(wide_names(), types)])
     null_safe_join(pieces.drop("_rows"), sums, DIMS, "inner").write.parquet(f"{base}/sums")
     return tuple(spark.read.parquet(f"{base}/{name}") for name in ("known", "sums", "above"))
 

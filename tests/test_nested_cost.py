@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake import nested_tree
+from ledgerlake.functions.aggregates import wide_carried, wide_names, wide_units_sql
 from ledgerlake.operators.paging import sort_rows
 from ledgerlake.schema import COLUMNS, DIMS
 from ledgerlake.session import shared_dir
@@ -51,3 +52,15 @@ def test_names_and_amounts_as_json_writes_them(spark, limit):
         assert r["nodes"] <= 2 * limit and r["part"] not in parts.setdefault(r["path"], {})
         parts[r["path"]][r["part"]] = r["json"]
     assert assembled(parts) == plain_tree(sort_rows(df, ()).collect(), DIMS)
+
+
+def test_carried_limbs_keep_their_sum(spark):
+    """Sums of low limbs as large as those of 2^37 rows."""
+    sums = [(2**62 - 1, -(2**37) + 5), (7, 3), (2**25, -1)]
+    names = wide_names(["cash_dr"])
+    rows = spark.createDataFrame([(low, high, None) for low, high in sums], f"{names[0]} bigint, {names[1]} bigint, {names[2]} decimal(38,4)")
+    got = rows.select(*wide_carried(["cash_dr"])).collect()
+    assert all(0 <= r[0] < 2**25 for r in got)
+    assert [r[0] + r[1] * 2**25 for r in got] == [low + high * 2**25 for low, high in sums]
+    units = [r["u"] for r in rows.select(*wide_carried(["cash_dr"])).select(F.expr(wide_units_sql("cash_dr")).alias("u")).collect()]
+    assert units == [low + high * 2**25 for low, high in sums]
